@@ -6,15 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import rotate
 from .common import read
+from .neighbours import nearest
 from .ngram_join import jaccard_components
+from .packing import pack_documents
+from .sharding import shard_by_key
+from .warc import archive_pages
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the contract names; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-OP2_SQL = r"""
+SQL["op2_ngram_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
@@ -25,11 +51,58 @@ WITH RECURSIVE words AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
 ), reach AS (
-  SELECT doc_id, doc_id AS at FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.at
+  SELECT doc_id, doc_id AS node FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.node
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
-FROM sets s JOIN (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+FROM sets s JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(read(spark, sf_dir, "conversations"))
+
+
+SQL["op5_chat_formatting"] = r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'
+), r AS (
+  SELECT m.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role
+  FROM m JOIN people ON m.conv_id IS NOT DISTINCT FROM people.conv_id
+), h AS (
+  SELECT *, '<|' || chat_role || CASE WHEN chat_role = 'user' THEN ':' || replace(speaker, '<|', '< |') ELSE '' END || '|>' || chr(10) AS head FROM r
+), s AS (SELECT *, head || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS segment FROM h
+), p AS (
+  SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS message,
+    CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, encode(speaker), encode(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, encode(speaker), encode(text))
+)
+SELECT conv_id, perspective, turn, message, speaker, chat_role, segment, start,
+  CASE WHEN chat_role = 'assistant' THEN start + length(head) END AS train_start,
+  CASE WHEN chat_role = 'assistant' THEN start + length(segment) END AS train_end
+FROM p
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-SQL: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL}
+
+@query
+def op7_warc_from_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read(spark, sf_dir, "pages"))
+
+
+SQL["op7_warc_from_legacy_archives"] = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op9_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_key(read(spark, sf_dir, "documents"))
