@@ -147,3 +147,48 @@ def id_ranges(df: DataFrame, col: str, n: int) -> Column:
         block = F.greatest(F.size(F.filter(every, lambda b: b < F.col(col))) - 1, F.lit(0)) * step
         found = block + F.size(F.filter(F.slice(whole, block + 1, F.lit(step)), lambda b: b < F.col(col)))
     return F.when(F.col(col).isNull(), -1).otherwise(found)
+
+
+# ---------------------------------------------------------------- code points
+
+SPACE = 0x20
+_letters: np.ndarray | None = None
+
+
+def letter_table() -> np.ndarray:
+    """For each code point of the basic plane: its lower-case letter, or a space for what is no letter."""
+    global _letters
+    if _letters is None:
+        t = np.full(1 << 16, SPACE, np.uint32)
+        for c in range(1 << 16):
+            if (x := chr(c)).isalpha():
+                t[c] = ord(low) if len(low := x.lower()) == 1 else c
+        _letters = t
+    return _letters
+
+
+def letters(col: pa.Array):
+    """Yields (first row, row count, lower-case letters with spaces for all else, offsets) of a string column."""
+    table = letter_table()
+    for i, n, buf, offs in text_buffers(col):
+        raw = buf.tobytes()
+        try:
+            text = raw.decode()
+            cut = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[offs]
+        except UnicodeDecodeError:
+            each = [raw[a:b].decode(errors="replace") for a, b in zip(offs, offs[1:])]
+            text, cut = "".join(each), np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = table[np.minimum(cps, 0xFFFF)]
+        for c in np.unique(cps[cps > 0xFFFF]).tolist():
+            low[cps == c] = ord(chr(c).lower()[0]) if chr(c).isalpha() else SPACE
+        yield i, n, low, cut
+
+
+def least_hashed(df: DataFrame, by: str, per: int) -> DataFrame:
+    """For each value of by: the per (at most 1000) ids with the least hashes, one row each. df: doc_id and by."""
+    from pyspark.sql import Window
+
+    one = df.groupBy("doc_id").agg(F.min(by).alias(by))
+    order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return one.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= min(per, 1000)).drop("nth")
