@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import rotate
 from .common import read
 from .imatch import fingerprint_edits
+from .langid import predict_languages
 from .neighbours import nearest
 from .ngram_join import jaccard_components
 from .packing import pack_documents
@@ -140,6 +141,11 @@ FROM f
 """
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"))
