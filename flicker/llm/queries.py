@@ -14,6 +14,7 @@ from .neighbours import nearest
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .sharding import shard_by_key
+from .toxicity import score_toxicity
 from .warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +102,11 @@ FROM h
 """.replace("\\\\p", "\\p")
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(read(spark, sf_dir, "conversations"))
