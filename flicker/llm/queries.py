@@ -10,6 +10,7 @@ from .chat import rotate
 from .common import read
 from .imatch import fingerprint_edits
 from .langid import predict_languages
+from .mixing import mix_counts
 from .neighbours import nearest
 from .ngram_join import jaccard_components
 from .packing import pack_documents
@@ -133,6 +134,11 @@ FROM p
 """
 
 
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_warc_from_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages"))
