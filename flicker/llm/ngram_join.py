@@ -271,6 +271,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, without near duplicates.
+
+    Of each component the rows with its smallest id stay, equal texts of them once. Rows without an id stay only if no
+    row of their component has one, equal texts once.
+    """
+    keep = jaccard_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("own_id")).distinct()
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["own_id"]), "left_semi")
+    return kept.withColumns({"text_md5": F.md5("text")}).dropDuplicates(["doc_id", "text_md5"]).drop("text_md5")
+
+
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         nodes = b.column(b.schema.get_field_index("node")).to_numpy()
