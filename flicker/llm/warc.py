@@ -6,9 +6,10 @@ an equivalent WARC record: a name-based record id, an ISO timestamp, the record
 payload. Of records with equal payloads of at least REVISIT_BYTES, that with the smallest page id is the response and
 the others revisit it by its record id, without the payload.
 
-At scale: files of about FILE_BYTES are written and read by many tasks through Spark's own sources, in the shared
-folder. Records are dealt to files by a hash; equal payloads meet only as (digest, smallest id) after a map-side
-combine, and the join back has one row for each digest on one side.
+At scale: archives are written where the rows are, one task writing files of about FILE_BYTES one after the other, so
+no payload is shuffled. The decision about each record is made over (file, place, digest) rows; the decisions of a file
+are joined to the compressed file by its path, and the task that converts a file has them all. Equal payloads meet only
+as (digest, smallest id) after a map-side combine.
 
 Defined results: a null html is the empty payload; a null url is `urn:unknown`; white space and control characters in
 urls are percent-encoded. A null page id is left out of the headers, reads back as null and never is the response that
@@ -20,13 +21,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, scratch_path
+from .common import materialize, scratch_path
 
 FILE_BYTES = 16 << 20
 REVISIT_BYTES = 100
@@ -39,13 +41,17 @@ CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _write(rows: DataFrame, files: int, path: str, sep: str) -> None:
-    """rows: file, at (0 first), id, value. One gzip file for each value of file, its rows in order."""
-    rows.repartition(files, "file").sortWithinPartitions("file", "at", "id").select("file", "value").write.partitionBy("file").option("lineSep", sep).option("compression", "gzip").text(path)
+def _write(rows: DataFrame, head, per: int, path: str, sep: str) -> None:
+    """Gzip files of per values each, in the tasks that have the rows; head(name) is put before the first value of a file."""
+    place = F.monotonically_increasing_id()  # counts from 0 in each task, below bit 33
+    name = F.concat(F.lit("pages-"), F.shiftright(place, 33).cast("string"), F.lit("-"), F.floor(place.bitwiseAND((1 << 33) - 1) / per).cast("string"))
+    first = F.pmod(place.bitwiseAND((1 << 33) - 1), F.lit(per)) == 0
+    value = F.when(first, F.concat(head(name), F.col("value"))).otherwise(F.col("value"))
+    rows.select(value.alias("value")).write.option("maxRecordsPerFile", per).option("lineSep", sep).option("compression", "gzip").text(path)
 
 
-def write_arc(pages: DataFrame, path: str, files: int) -> None:
-    """pages: page_id, url, payload (string). Even files have version 1, odd ones version 2."""
+def write_arc(pages: DataFrame, path: str, per: int, version: int = 2) -> None:
+    """pages: page_id, url, payload (string). Files of per records."""
     # percent-encode what would break a header line
     url = F.coalesce("url", F.lit("urn:unknown"))
     for c in [" ", "\t", "\r", "\n"]:
@@ -53,16 +59,12 @@ def write_arc(pages: DataFrame, path: str, files: int) -> None:
     url = F.when(url == "", "urn:unknown").otherwise(url)
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit(CRLF))
     date = F.date_format(F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000))), "yyyyMMddHHmmss")
-    rows = pages.withColumn("file", F.pmod(F.xxhash64("page_id", "url", "payload"), F.lit(files)).cast("int")).withColumn("body", F.concat(head, "payload")).withColumn("len", F.octet_length("body"))
-    one = F.concat_ws(" ", url, F.lit("192.0.2.1"), date, F.lit("text/html"), "len")
-    two = F.concat_ws(" ", url, F.lit("192.0.2.1"), date, F.lit("text/html"), F.lit("200"), F.md5("body"), F.lit("-"), F.lit("0"), F.format_string("pages-%d.arc", "file"), "len")
-    rows = rows.select("file", F.lit(1).alias("at"), F.col("page_id").alias("id"), F.concat(F.when(F.col("file") % 2 == 0, one).otherwise(two), F.lit("\n"), "body").alias("value"))
-    spark = pages.sparkSession
-    about = F.when(F.col("file") % 2 == 0, f"1 0 flicker\n{ARC_FIELDS[1]}\n").otherwise(f"2 0 flicker\n{ARC_FIELDS[2]}\n")
-    line = F.when(F.col("file") % 2 == 0, F.lit("text/plain")).otherwise(F.lit("text/plain 200 - - 0 -"))
-    first = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("id"))
-    first = first.withColumn("value", F.concat(F.format_string("filedesc://pages-%d.arc 0.0.0.0 20010909014640 ", "file"), line, F.lit(" "), F.octet_length(about), F.lit("\n"), about))
-    _write(rows.unionByName(first), files, path, "\n")
+    rows = pages.select(url.alias("url"), date.alias("date"), F.concat(head, "payload").alias("body"))
+    extra = [] if version == 1 else [F.lit("200"), F.md5("body"), F.lit("-"), F.lit("0"), F.lit("pages.arc")]
+    line = F.concat_ws(" ", "url", F.lit("192.0.2.1"), "date", F.lit("text/html"), *extra, F.octet_length("body"))
+    about = f"{version} 0 flicker\n{ARC_FIELDS[version]}\n"
+    own = f" 0.0.0.0 20010909014640 text/plain{'' if version == 1 else ' 200 - - 0 -'} {len(about)}\n{about}\n"
+    _write(rows.select(F.concat(line, F.lit("\n"), "body").alias("value")), lambda name: F.concat(F.lit("filedesc://"), name, F.lit(".arc" + own)), per, path, "\n")
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -133,38 +135,75 @@ def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return _files(spark, path).mapInArrow(_rows(parse, schema), schema)
 
 
-def _record_id(*parts: Column) -> Column:
-    h = F.sha2(F.concat_ws(" ", *parts), 256)
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), cut[0], F.lit("-"), cut[1], F.lit("-5"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4], F.lit(">"))
-
-
-def _headers(**fields) -> Column:
-    """Header lines of the fields that are not null."""
-    return F.concat(F.lit("WARC/1.1" + CRLF), *[F.coalesce(F.concat(F.lit(k.replace("_", "-") + ": "), v.cast("string"), F.lit(CRLF)), F.lit("")) for k, v in fields.items()], F.lit(CRLF))
-
-
-def convert(spark: SparkSession, arc_path: str, warc_path: str, files: int) -> None:
-    """Writes WARC files for the records of ARC files."""
-    heads = read_arc(spark, arc_path, payload=False).where(f"payload_bytes >= {REVISIT_BYTES}")
-    first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    r = read_arc(spark, arc_path).join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    named = F.when(F.col("page_id").isNotNull(), _record_id(F.lit("page"), F.col("page_id").cast("string"))).otherwise(_record_id("url", "date", "payload_digest"))
-    stamp = F.regexp_replace("date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
-    r = r.withColumn("again", again).withColumn("block", F.when(F.col("again"), F.col("head")).otherwise(F.concat("head", "payload")))
-    digest = lambda c: F.concat(F.lit("sha256:"), c)
-    head = _headers(
-        WARC_Type=F.when(F.col("again"), "revisit").otherwise("response"), WARC_Record_ID=named, WARC_Date=stamp, WARC_Target_URI=F.col("url"), WARC_IP_Address=F.col("address"),
-        WARC_Profile=F.when(F.col("again"), REVISIT_PROFILE), WARC_Refers_To=F.when(F.col("again"), _record_id(F.lit("page"), F.col("first").cast("string"))),
-        WARC_Payload_Digest=digest(F.col("payload_digest")), WARC_Block_Digest=digest(F.when(F.col("again"), F.sha2("head", 256)).otherwise(F.col("block_digest"))),
-        Content_Type=F.lit("application/http; msgtype=response"), Content_Length=F.octet_length("block"),
-    )
-    rows = r.select(F.pmod(F.xxhash64("page_id", "url", "payload_digest"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("at"), F.col("page_id").alias("id"), F.concat(head.cast("binary"), "block").cast("string").alias("value"))
+def record_id(*parts) -> str:
+    """A name-based record id: the same parts always give the same id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
+
+
+def warc_record(fields: dict, body: bytes, again: bool, first: int | None) -> bytes:
+    """The WARC record that is equivalent to an ARC record; a revisit of page first, without payload, if again."""
+    head, payload, page = split_http(body)
+    block = head if again else body
+    d = fields["Archive-date"]
+    lines = {
+        "WARC-Type": "revisit" if again else "response",
+        "WARC-Record-ID": record_id("page", page) if page is not None else record_id(fields["URL"], d, hashlib.sha256(payload).hexdigest()),
+        "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "WARC-Target-URI": fields["URL"],
+        "WARC-IP-Address": fields["IP-address"],
+        "WARC-Profile": REVISIT_PROFILE if again else None,
+        "WARC-Refers-To": record_id("page", first) if again else None,
+        "WARC-Payload-Digest": "sha256:" + hashlib.sha256(payload).hexdigest(),
+        "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(),
+        "Content-Type": "application/http; msgtype=response",
+        "Content-Length": len(block),
+    }
+    return ("WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in lines.items() if v is not None) + CRLF).encode() + block
+
+
+def _decisions(spark: SparkSession, arc_path: str) -> DataFrame:
+    """file, revisits: for each record of the file that revisits another, its place in the file and the page it refers to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = []
+                for nth, (_, body) in enumerate(parse_arc(gzip.decompress(content.as_py()))):
+                    _, payload, page = split_http(body)
+                    if len(payload) >= REVISIT_BYTES:
+                        rows.append((path, nth, page, hashlib.sha256(payload).hexdigest()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "nth", "page_id", "digest"])
+
+    large = materialize(_files(spark, arc_path).mapInArrow(run, "file string, nth long, page_id long, digest string"), "digests")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    again = large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return again.groupBy("file").agg(F.collect_list(F.struct("nth", "first")).alias("revisits"))
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, per: int) -> None:
+    """Writes WARC files of per records for the records of ARC files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, revisits in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                to = {x["nth"]: x["first"] for x in revisits or []}
+                out, size = [], 0
+                for nth, (fields, body) in enumerate(parse_arc(gzip.decompress(content.as_py()))):
+                    out.append(warc_record(fields, body, nth in to, to.get(nth)))
+                    size += len(out[-1])
+                    if size > 4 << 20:
+                        yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+                        out, size = [], 0
+                if out:
+                    yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+
+    files = _files(spark, arc_path).join(_decisions(spark, arc_path).withColumnRenamed("file", "path"), "path", "left")
+    rows = files.select("content", "revisits").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     about = f"software: flicker{CRLF}format: WARC File Format 1.1{CRLF}"
-    info = _headers(WARC_Type=F.lit("warcinfo"), WARC_Record_ID=_record_id(F.lit("file"), F.col("id").cast("string")), WARC_Date=F.lit("2001-09-09T01:46:40Z"), Content_Type=F.lit("application/warc-fields"), Content_Length=F.lit(len(about)))
-    infos = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("id"), F.concat(info, F.lit(about)).alias("value"))
-    _write(rows.unionByName(infos), files, warc_path, CRLF + CRLF)
+    tail = f"{CRLF}WARC-Date: 2001-09-09T01:46:40Z{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: {len(about)}{CRLF}{CRLF}{about}{CRLF}{CRLF}"
+    named = lambda name: [F.substring(F.sha2(name, 256), a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    info = lambda name: F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <urn:uuid:"), F.concat_ws("-", named(name)[0], named(name)[1], F.concat(F.lit("5"), named(name)[2]), F.concat(F.lit("8"), named(name)[3]), named(name)[4]), F.lit(">" + tail))
+    _write(rows, info, per, warc_path, CRLF + CRLF)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -203,12 +242,12 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes pages as ARC, converts them to WARC, reads these: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
-    total = pages.agg(F.sum(F.octet_length("payload") + 400)).first()[0] or 0
-    files = parts_for(total, FILE_BYTES, least=2)
+    size = pages.agg(F.avg(F.octet_length("payload") + 400)).first()[0] or 1
+    per = max(1, int(FILE_BYTES / size))
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc, files)
-    convert(spark, arc, warc, files)
-    records = read_warc(spark, warc).drop("payload", "url", "date")
+    write_arc(pages, arc, per)
+    convert(spark, arc, warc, per)
+    records = materialize(read_warc(spark, warc).drop("payload", "url", "date"), "records")
     whole = records.where("type = 'response' and page_id is not null").groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("bytes"))
     out = records.join(whole.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
     return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to")
