@@ -24,3 +24,6 @@ def query(name: str, sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["metrics_minimum_slice"](spark, sf_dir)
+
+
+from . import queries  # noqa: E402, F401  (fills QUERIES and ORACLE)

@@ -1,0 +1,12 @@
+"""Schemas of the data model; sources are read with these, never inferred."""
+
+COORDS = "run_id string, frame int, time_ps double, atom int, x float, y float, z float"
+ATOMS = "run_id string, atom int, source_index bigint, resid bigint, resname string"
+FEATURES = "cutoff int, feature_id int, i int, j int, frequency double"
+#: One row for each stretch of a series: frames lo - pre .. of a series of n frames, of which `own` from lo on are its own.
+CHUNKS = "run_id string, feature_id bigint, chunk bigint, lo bigint, pre int, own int, n bigint, xs array<tinyint>"
+MANIFEST = """dataset string, dataset_id int, protocol_sha256 string, protocol_version string, prepared_utc string, code_sha256 string,
+coverage_path string, runs array<struct<id: string, run_index: int, split: string, coordinates_path: string, coordinates_sha256: string,
+n_frames: int, n_ca: int, contacts: map<string, string>, contacts_sha256: map<string, string>>>"""
+SCENARIOS = "scenario_index int, name string, kind string, level double, rho double, cutoff int, is_primary boolean"
+CANDIDATES = "family_ord int, method string, cand_ord int, t int, alpha double, half_width int, sigma double, width int"
