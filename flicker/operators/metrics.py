@@ -48,7 +48,7 @@ def best_candidates(runs: DataFrame, metric: str = "brier") -> DataFrame:
 def best_control(best: DataFrame, families: tuple[str, ...] = CONTROLS) -> DataFrame:
     """The family with the smallest score; ties by the families' order. best: method, cand_ord, score."""
     place = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("method"))
-    return best.where(place > 0).agg(F.min_by(F.struct("method", "cand_ord", "score"), F.struct("score", place)).alias("b")).select("b.*")
+    return best.where(place > 0).agg(F.min_by(F.struct("method", "cand_ord", "score"), F.struct("score", place)).alias("b")).where("b is not null").select("b.*")
 
 
 def paired(runs: DataFrame, base: str, other: str, metric: str = "brier") -> DataFrame:

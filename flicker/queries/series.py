@@ -219,3 +219,19 @@ def shown_rates(spark, sf_dir):
 def hashed_uniforms(spark, sf_dir):
     u = uniform("event_id")
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.round(F.avg(u), 9).alias("mean_u"), F.round(F.min(u), 9).alias("min_u"))
+
+
+@query(
+    "long_runs_smoothing",
+    f"""WITH li AS (SELECT l_suppkey AS run_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS BIGINT) AS frame, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS x FROM lineitem
+), s AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM li), {Q.kernels([SHOWN["gaussian_s4"]])}, {Q.convolved("s", "x")}
+SELECT run_id, count(*) AS frames, round(avg(h), 9) AS mean_h, round(max(h), 9) AS max_h FROM h GROUP BY run_id""",
+)
+def long_runs_smoothing(spark, sf_dir):
+    """Long series in stretches of 256 frames with halos."""
+    m = SHOWN["gaussian_s4"]
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    frames = li.select(F.col("l_suppkey").alias("run_id"), F.lit(0).cast("long").alias("feature_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("l_quantity") > 25).cast("tinyint").alias("x"))
+    h = S.to_frames(H.smooth(S.to_chunks(frames, halo([m]), 256), [m]), "p")
+    return h.groupBy("run_id").agg(F.count("*").alias("frames"), F.round(F.avg("p"), 9).alias("mean_h"), F.round(F.max("p"), 9).alias("max_h"))
