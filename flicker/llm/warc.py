@@ -68,7 +68,9 @@ def write_arc(pages: DataFrame, path: str, per: int, version: int = 2) -> None:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, body) of each record after the version block."""
+    """(header fields, body) of each record after the version block; an empty file has none."""
+    if not data:
+        return
     end = data.index(b"\n")
     length = int(data[:end].split(b" ")[-1])
     lines = data[end + 1 : end + 1 + length].decode().split("\n")
