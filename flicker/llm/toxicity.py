@@ -150,7 +150,7 @@ class Model:
 
     def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
         """The log odds of the neighbours' distance-weighted votes."""
-        w = 1 / (np.sqrt(np.maximum(2 - 2 * sims, 0)) + 0.1)
+        w = 1 / (np.sqrt(np.maximum(2 - 2 * sims, 0)) + 0.05) ** 2
         y = self.toxic[near]
         one, zero = self.weight[1] * w[y == 1].sum(), self.weight[0] * w[y == 0].sum()
         rest = 0.01 * (one + zero)
