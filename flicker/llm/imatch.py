@@ -27,10 +27,12 @@ from .common import id_ranges, materialize, parts_for
 #: Least and most share of documents, as 1 / x.
 BAND = (1000, 10)
 RATES = (2, 8, 32, 128, 256)
-SUBSETS = 30
+SUBSETS = 20
 BROADCAST_TERMS = 400_000
 RANGE_ROWS = 1024
 HASH_BITS = 33
+#: How the md5 of no bytes begins.
+EMPTY = "d41d8cd9"
 TERM = r"[\p{L}\p{M}\p{N}]+"
 
 
@@ -69,18 +71,29 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
 
 
-def _in_part(k: int):
-    return lambda c: F.getbit(c, F.lit(HASH_BITS + k)) == 1
+def _bits(parts: list[int]) -> int:
+    return sum(1 << (HASH_BITS + k) for k in parts)
 
 
-def fingerprint(codes: Column, plain: Column) -> Column:
-    """codes: sorted distinct codes; plain: hash for a text without any."""
+def _in_any(parts: list[int]):
+    return lambda c: c.bitwiseAND(F.expr(f"{_bits(parts)}L")) != 0
+
+
+def fingerprints(sets: DataFrame, codes: str, plain: str, name: str) -> DataFrame:
+    """sets with the fingerprint of codes (sorted and distinct); plain: the hash for a text without any.
+
+    Parts of small rates have few codes, so they are looked for among the codes that are in any of them.
+    """
+    by_rate = {r: [k for k in range(SUBSETS) if RATES[k % len(RATES)] == r] for r in RATES}
+    few = [k for r in RATES[2:] for k in by_rate[r]]
+    sets = sets.withColumns({"_some": F.filter(codes, _in_any(by_rate[RATES[1]])), "_few": F.filter(codes, _in_any(few))})
     parts = []
     for k in range(SUBSETS):
-        inside = F.transform(F.filter(codes, _in_part(k)), lambda c: c.cast("string"))
-        joined = F.array_join(inside, ",")
-        parts.append(F.when(joined == "", F.lit("........")).otherwise(F.substring(F.md5(joined), 1, 8)))
-    return F.when(F.size(codes) == 0, F.repeat(F.substring(plain, 1, 8), F.lit(SUBSETS))).otherwise(F.concat(*parts))
+        among = codes if k in by_rate[RATES[0]] else "_few" if k in few else "_some"
+        joined = F.array_join(F.transform(F.filter(among, _in_any([k])), lambda c: c.cast("string")), ",")
+        parts.append(F.replace(F.substring(F.md5(joined), 1, 8), F.lit(EMPTY), F.lit("........")))
+    whole = F.when(F.size(codes) == 0, F.repeat(F.substring(plain, 1, 8), F.lit(SUBSETS))).otherwise(F.concat(*parts))
+    return sets.withColumn(name, whole).drop("_some", "_few")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,12 +118,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = ["range", "nth", "ghost", "doc_id", "n_chars", "edited_sha256", "plain", "edited_plain"]
     rows = rows.select(
         "range", "nth", "ghost", "doc_id", n.cast("long").alias("n_chars"), F.when(F.col("ghost") == 0, F.sha2("edited", 256)).alias("edited_sha256"), F.md5("text").alias("plain"), F.md5("edited").alias("edited_plain"),
-        F.explode(F.when(F.col("ghost") == 1, of(0, "text")).otherwise(F.concat(of(0, "text"), of(1, "edited")))).alias("t"),
+        F.when(F.col("ghost") == 1, of(0, "text")).otherwise(F.concat(of(0, "text"), of(1, "edited"))).alias("held"),
     )
+    # exploded in a select of its own: expressions beside an explode are evaluated for every row that it makes
+    rows = rows.select(*keys, F.explode("held").alias("t"))
     small = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     found = rows.select(*keys, "t.kind", "t.term").join(small, "term")
     sets = found.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("code")))).alias(c) for k, c in enumerate(("codes", "edited_codes"))])
-    prints = sets.select(*keys[:6], fingerprint(F.col("codes"), F.col("plain")).alias("fingerprint"), fingerprint(F.col("edited_codes"), F.col("edited_plain")).alias("edited_fingerprint"))
+    prints = fingerprints(sets, "codes", "plain", "fingerprint")
+    prints = fingerprints(prints, "edited_codes", "edited_plain", "edited_fingerprint").select(*keys[:6], "fingerprint", "edited_fingerprint")
     follow = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("nth"))
     out = prints.withColumn("follow", follow).where("ghost = 0")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("follow")).alias("near_next"))

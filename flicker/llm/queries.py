@@ -78,13 +78,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
   UNION ALL SELECT r, 1, unnest(list_distinct(regexp_extract_all(lower(edited), '[\p{L}\p{M}\p{N}]+'))) FROM f
 ), lex AS (
   SELECT term, CAST(('0x' || substr(md5(term), 1, 9))::BIGINT % 8589934592 AS BIGINT) + (
-    SELECT CAST(coalesce(sum(CASE WHEN substr(sha256(term), CAST(2 * k + 1 AS INTEGER), 2) < (['80', '20', '08', '02', '01'])[k % 5 + 1] THEN 8589934592 * (1::BIGINT << k) ELSE 0 END), 0) AS BIGINT) FROM range(30) ks(k)
+    SELECT CAST(coalesce(sum(CASE WHEN substr(sha256(term), CAST(2 * k + 1 AS INTEGER), 2) < (['80', '20', '08', '02', '01'])[k % 5 + 1] THEN 8589934592 * (1::BIGINT << k) ELSE 0 END), 0) AS BIGINT) FROM range(20) ks(k)
   ) AS code
   FROM t WHERE kind = 0 GROUP BY term HAVING count(*) * 1000 >= (SELECT count(*) FROM d) AND count(*) * 10 <= (SELECT count(*) FROM d)
 ), codes AS (SELECT r, kind, list_sort(list(DISTINCT code)) AS codes FROM t JOIN lex USING (term) GROUP BY r, kind
 ), texts AS (SELECT r, 0 AS kind, md5(text) AS plain FROM f UNION ALL SELECT r, 1, md5(edited) FROM f
 ), prints AS (
-  SELECT r, kind, CASE WHEN codes IS NULL THEN repeat(substr(plain, 1, 8), 30) ELSE array_to_string(list_transform(range(30), lambda k:
+  SELECT r, kind, CASE WHEN codes IS NULL THEN repeat(substr(plain, 1, 8), 20) ELSE array_to_string(list_transform(range(20), lambda k:
     CASE WHEN len(list_filter(codes, lambda c: (c >> (33 + k)) & 1 = 1)) = 0 THEN '........'
       ELSE substr(md5(array_to_string(list_filter(codes, lambda c: (c >> (33 + k)) & 1 = 1), ',')), 1, 8) END), '') END AS fp
   FROM texts LEFT JOIN codes USING (r, kind)
@@ -93,8 +93,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
   FROM f JOIN prints a ON a.r = f.r AND a.kind = 0 JOIN prints b ON b.r = f.r AND b.kind = 1
   WINDOW w AS (ORDER BY f.r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), h AS (
-  SELECT *, list_filter(range(30), lambda k: substr(x, k * 8 + 1, 8) <> '........' OR substr(y, k * 8 + 1, 8) <> '........') AS hy,
-    list_filter(range(30), lambda k: substr(x, k * 8 + 1, 8) <> '........' OR substr(z, k * 8 + 1, 8) <> '........') AS hz FROM g
+  SELECT *, list_filter(range(20), lambda k: substr(x, k * 8 + 1, 8) <> '........' OR substr(y, k * 8 + 1, 8) <> '........') AS hy,
+    list_filter(range(20), lambda k: substr(x, k * 8 + 1, 8) <> '........' OR substr(z, k * 8 + 1, 8) <> '........') AS hz FROM g
 )
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, x AS fingerprint, y AS edited_fingerprint,
   CASE WHEN x = y THEN 1.0 ELSE coalesce(len(list_filter(hy, lambda k: substr(x, k * 8 + 1, 8) = substr(y, k * 8 + 1, 8)))::DOUBLE / nullif(len(hy), 0), 0.0) END::DOUBLE AS near_edited,
