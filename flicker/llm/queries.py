@@ -166,3 +166,24 @@ def op9_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataF
 @query
 def op10_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_key(read(spark, sf_dir, "documents"))
+
+
+SQL["op10_jump_hash_sharding"] = r"""
+WITH RECURSIVE steps AS (
+  SELECT doc_id, n, CAST(coalesce(doc_id, 0) AS HUGEINT) AS k, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN (VALUES (16), (17)) t(n)
+  UNION ALL
+  SELECT doc_id, n, k2, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(k2 // 8589934592 AS DOUBLE) + 1.0))) AS BIGINT)
+  FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM steps WHERE j < n)
+), s AS (SELECT doc_id, CAST(max(b) FILTER (n = 16) AS INTEGER) AS shard, CAST(max(b) FILTER (n = 17) AS INTEGER) AS grown_shard FROM steps GROUP BY doc_id
+), tab AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([0, 1, 2, 3], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t
+), crc AS ( -- four bits at a time, the lower half of a byte first
+  SELECT doc_id, text, xor(list_reduce(
+    list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g'), ''), lambda d: CAST(strpos('123456789ABCDEF', d) AS BIGINT)),
+    lambda c, d: xor(c >> 4, t[(xor(c, d) & 15) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS v
+  FROM documents CROSS JOIN tab
+)
+SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) + 1 AS BIGINT) AS size, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE v END AS text_crc32, 'key' AS law, shard, grown_shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, strlen(coalesce(d.text, '')), v) - 1 AS BIGINT) AS slot
+FROM crc d JOIN s ON s.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
