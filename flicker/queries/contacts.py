@@ -123,3 +123,15 @@ def noise_jitter(spark, sf_dir):
     key = F.concat_ws("|", N.seed(F.lit(1), 1, "run_id", 4, F.lit(0)), "frame")
     j = N.jittered(_frames(spark, sf_dir), 0.025, key)
     return j.select("run_id", "frame", F.round(F.aggregate("xyz", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.array_max("xyz"), 6).alias("largest"))
+
+
+@query(
+    "backbone_fragments",
+    f"""WITH {_FRAMES}, s AS (SELECT run_id, frame, atom, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM atm WINDOW w AS (PARTITION BY run_id, frame ORDER BY atom)
+), f AS (SELECT run_id, frame, 1 + count(*) FILTER (step >= 0.25) AS fragments FROM s GROUP BY run_id, frame) SELECT run_id, fragments, count(*) AS frames FROM f GROUP BY run_id, fragments""",
+)
+def backbone_fragments(spark, sf_dir):
+    """Connected pieces of the chain in each frame: a step of 0.25 or more breaks it."""
+    steps = C.neighbour_steps(C.atoms_of(_frames(spark, sf_dir)))
+    f = steps.groupBy("run_id", "frame").agg((F.count_if(F.col("step") >= 0.25) + 1).alias("fragments"))
+    return f.groupBy("run_id", "fragments").agg(F.count("*").alias("frames"))

@@ -73,3 +73,17 @@ def validation_report(spark, sf_dir):
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v))
     broken = A.violations(("shape", F.size("embedding") == 64), ("finite", finite), ("label", F.col("label") < 8), ("range", ~(F.get("embedding", F.lit(0)) > 0.3)))
     return e.select("vec_id", broken.alias("broken")).where(F.size("broken") > 0)
+
+
+@query(
+    "audit_log",
+    """SELECT 'prepare' AS phase, 'documents' AS input, count(*) AS rows, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents
+UNION ALL SELECT 'score', 'labels', count(*), CAST(16 * count(*) AS BIGINT) FROM labels""",
+)
+def audit_log(spark, sf_dir):
+    """An append-only table of what each phase read; phases append in turn, nothing is overwritten."""
+    path = scratch_path(spark, "audit")
+    entry = lambda phase, name, size: table(spark, sf_dir, name).agg(F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes")).select(F.lit(phase).alias("phase"), F.lit(name).alias("input"), "rows", "bytes")
+    entry("prepare", "documents", F.octet_length("text")).write.mode("append").parquet(path)
+    entry("score", "labels", F.lit(16)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
