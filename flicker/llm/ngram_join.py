@@ -7,11 +7,13 @@ How it works
        of them is at most 0.2 ** 28 = 3e-20, below that of a collision of the 64-bit hashes; sets with no more than
        28 such elements are treated exactly.
     3. Nodes that share a prefix element and a size band meet in a tile, sorted by size. A bitmap of 2 to 4 bits for
-       each element bounds the overlap from above: overlap <= (|x| + |y| - popcount(bx xor by)) / 2.
-    4. Pairs that the bound lets through are verified by intersecting the sorted arrays of the whole texts.
-    5. Links are contracted: tiles first offer each node one partner; after these are verified and merged, every
-       remaining pair between different components is offered, so no link is lost and a group of near copies
-       doesn't emit all its pairs. Tiles above TILE_ROWS are cut into blocks, and all block pairs are visited.
+       each element bounds the overlap from above: overlap <= (|x| + |y| - popcount(bx xor by)) / 2. A pair belongs to
+       the tile of its smallest shared prefix element only. A tile returns the nodes with a pair that the bound lets
+       through, never the pairs.
+    4. The texts of these nodes are joined to their tiles, where pairs are verified by intersecting the sorted arrays
+       of the whole texts. Pairs that verified links already connect are skipped, so a tile returns fewer links than
+       it has nodes, and no link between different components is lost.
+    5. Tiles above TILE_SHINGLES elements are cut into blocks, and all block pairs are visited, each in a task's memory.
 
 Defined results: null, empty or white-space-only text: set size 0, its own component. Rows that share a doc_id are
 rows of one output each; null doc_ids never lead a component (its component is null if all ids in it are null).
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, small_batches, span_hashes, text_buffers, word_spans
 
-WORDS, PERCENT, TOKENS, TILE_ROWS = 5, 80, 28, 16384
+WORDS, PERCENT, TOKENS, TILE_SHINGLES = 5, 80, 28, 4 << 20
 
 
 def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -97,86 +99,70 @@ def _popcount(m: np.ndarray) -> np.ndarray:
     return np.bitwise_count(m).sum(1, dtype=np.int64) if hasattr(np, "bitwise_count") else _ONES[m.view(np.uint16)].sum(1, dtype=np.int64)
 
 
-def tile_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of pairs of a tile that the bitmap bound lets through and that lie in different components.
+class Tile:
+    """Nodes of a tile, sorted by size, and the pairs that belong to it and pass the bitmap bound.
 
-    Rows are sorted by n. side: 0 for rows of the tile's own block, 1 for visitors; two visitors don't meet here.
-    every: all such pairs; otherwise each row that has a partner gets at least one pair, by leaders.
+    side: odd for visitors from the next size band, which don't meet each other; plus 2 or 4 for rows of the first or
+    second of two blocks.
     """
-    widths = np.array([len(b) // 8 for b in bits])
-    out_i, out_j = [], []
-    maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for w in np.unique(widths):
-        at = np.flatnonzero(widths == w)
-        maps[int(w)] = at, np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), w)
-    row_of = np.zeros(len(n), np.int64)
-    for at, _ in maps.values():
-        row_of[at] = np.arange(len(at))
-    if every:  # pairs within the largest component are settled
-        values, counts = np.unique(comp, return_counts=True)
-        most = values[counts.argmax()]
-    visited = np.zeros(len(n), bool)
-    for i in range(len(n)):
-        if every and comp[i] == most:
-            lead = False
-        elif not every and visited[i]:
-            continue
-        else:
-            lead = True
-        if not lead:
-            continue
-        wi = int(widths[i])
-        mine = maps[wi][1][row_of[i] : row_of[i] + 1]
+
+    def __init__(self, token: int, n: np.ndarray, side: np.ndarray, toks: list[np.ndarray], bits: list[bytes]):
+        self.n, self.side = n, side
+        # prefix elements below the tile's own: a pair that shares one of them belongs elsewhere
+        own = np.array([token]).view(np.uint64)[0]
+        low = [t.view(np.uint64)[t.view(np.uint64) < own] for t in toks]
+        self.low = np.zeros((len(n), max((len(t) for t in low), default=0)), np.uint64)
+        for r, t in enumerate(low):
+            self.low[r, : len(t)] = t
+        self.lows = [len(t) for t in low]
+        self.widths = np.array([len(b) // 8 for b in bits])
+        self.row = np.zeros(len(n), np.int64)
+        self.maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.widths):
+            at = np.flatnonzero(self.widths == w)
+            self.maps[int(w)] = at, np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), w)
+            self.row[at] = np.arange(len(at))
+
+    def partners(self, i: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Places k > i of the partners of i (among those wanted)."""
         found = []
-        for w, (at, m) in maps.items():
-            lo = int(np.searchsorted(n[at], -(-PERCENT * n[i] // 100), "left"))
-            hi = int(np.searchsorted(n[at], 100 * n[i] // PERCENT, "right"))
+        w = int(self.widths[i])
+        mine = self.maps[w][1][self.row[i] : self.row[i] + 1]
+        most = 100 * self.n[i] // PERCENT
+        for v, (at, m) in self.maps.items():
+            lo = int(np.searchsorted(at, i, "right"))
+            hi = int(np.searchsorted(self.n[at], most, "right"))
             if lo >= hi:
                 continue
             k = at[lo:hi]
-            ok = (comp[k] != comp[i]) & ((side[k] == 0) | (side[i] == 0))
-            if every:
-                ok &= (k > i) | (comp[k] == most)
-            k = k[ok]
+            ok = (self.side[k] % 2 == 0) | (self.side[i] % 2 == 0)
+            if self.side[i] > 1:  # of two blocks: pairs of one block meet where it is alone
+                ok &= self.side[k] // 2 != self.side[i] // 2
+            if wanted is not None:
+                ok &= wanted[k]
+            if not ok.all():
+                k, m = k[ok], m[lo:hi][ok]
+            else:
+                m = m[lo:hi]
             if not len(k):
                 continue
-            width = min(w, wi)
-            diff = _popcount(_fold(m[lo:hi][ok], width) ^ _fold(mine, width))
-            both = n[k] + n[i]
+            width = min(v, w)
+            diff = _popcount(_fold(m, width) ^ _fold(mine, width))
+            both = self.n[k] + self.n[i]
             over = (both - diff) // 2
             k = k[100 * over >= PERCENT * (both - over)]
+            if len(k) and self.lows[i]:
+                k = k[~np.isin(self.low[k], self.low[i, : self.lows[i]]).any(1)]
             if len(k):
                 found.append(k)
-        if not found:
-            continue
-        k = np.concatenate(found)
-        if not every:
-            new = k[~visited[k] & (k > i)]
-            k = new if len(new) else k[:1]
-            visited[k] = True
-            visited[i] = True
-        out_i.append(np.full(len(k), i))
-        out_j.append(k)
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
-def _tiles(every: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by tile and size; a tile ends where its key changes."""
-        held: list[pa.RecordBatch] = []
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            if t.num_rows > 1:
-                n, comp, side, node = (t.column(c).to_numpy() for c in ("n", "comp", "side", "node"))
-                if (side == 0).any() and (comp != comp[0]).any():
-                    i, j = tile_pairs(n, comp, side, t.column("bits").to_pylist(), every)
-                    if len(i):
-                        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(node[i])], ["a", "b", "lead"])
 
+def _by_tile(flush):
+    """Runs flush over the rows of each tile; rows come sorted by tile, which ends where its key changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
             if not b.num_rows:
@@ -184,50 +170,82 @@ def _tiles(every: bool):
             keys = np.stack([b.column(c).to_numpy() for c in ("token", "band", "block")], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
             for s, e in zip(cuts, cuts[1:]):
-                key = tuple(keys[s])
+                key = tuple(keys[s].tolist())
                 if last is not None and key != last:
-                    yield from flush()
+                    yield from flush(last, pa.Table.from_batches(held).combine_chunks())
                     held.clear()
                 last = key
                 held.append(b.slice(s, e - s))
         if held:
-            yield from flush()
+            yield from flush(last, pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _candidates(nodes: DataFrame, every: bool) -> DataFrame:
-    """Distinct pairs (a, b, lead) of nodes (node, n, comp, toks, bits) that share a prefix element and pass the bound."""
-    rows = nodes.select("node", "n", "comp", F.explode("toks").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+def _tile(token: int, t: pa.Table) -> Tile:
+    n, side = (t.column(c).to_numpy() for c in ("n", "side"))
+    return Tile(token, n, side, [np.asarray(x.values, np.int64) for x in t.column("toks")], t.column("bits").to_pylist())
+
+
+def _mark(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The nodes of a tile that have a partner in it."""
+    if t.num_rows > 1 and (t.column("side").to_numpy() % 2 == 0).any():
+        tile, marked = _tile(key[0], t), np.zeros(t.num_rows, bool)
+        for i in range(t.num_rows - 1):
+            k = tile.partners(i)
+            if len(k):
+                marked[i] = True
+                marked[k] = True
+        if marked.any():
+            yield t.filter(pa.array(marked)).select(["token", "band", "block", "node", "n", "side", "toks", "bits"]).combine_chunks().to_batches()[0]
+
+
+def _link(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect all nodes of a tile which its verified pairs connect."""
+    tile, sets = _tile(key[0], t), list(shingle_sets(t.column("text").combine_chunks()))
+    node, comp = t.column("node").to_numpy(), np.arange(t.num_rows)
+    a, b = [], []
+    for i in range(t.num_rows - 1):
+        k = tile.partners(i, comp != comp[i])
+        while len(k):
+            j, k = k[0], k[1:]
+            x, y = sets[i], sets[j]
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = int((x[at] == y).sum())
+            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+                comp[comp == comp[j]] = comp[i]
+                k = k[comp[k] != comp[i]]
+    if a:
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """The rows (token, band, block, node, n, side, toks, bits) of nodes in the tiles where they have a partner."""
+    rows = nodes.select("node", "n", F.explode("toks").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     rows = rows.join(shared, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / PERCENT))).cast("long"))
     # a set of band k + 1 visits band k, so that sizes within the ratio always meet
-    homes = rows.select("node", "n", "comp", "token", F.explode(F.array(F.struct("band", F.lit(0).alias("side")), F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("side")))).alias("t")).select("node", "n", "comp", "token", "t.*")
-    tiles = homes.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("side").alias("own"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 and own = 0 and lo <> hi").select("token", "band", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("k"))
+    homes = rows.select("node", "n", "token", F.explode(F.array(F.struct("band", F.lit(0).alias("side")), F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("side")))).alias("t")).select("node", "n", "token", "t.*")
+    tiles = homes.groupBy("token", "band").agg(F.count("*").alias("size"), F.sum("n").alias("held"), F.min("side").alias("own")).where("size > 1 and own = 0").select("token", "band", F.ceil(F.col("held") / TILE_SHINGLES).cast("int").alias("k"))
     homes = homes.join(tiles, ["token", "band"])
     # block pairs (i, j) of a tile of k blocks have the number i * k + j; a row of block x meets all blocks y
     x = F.pmod(F.col("node"), F.col("k")).cast("int")
-    homes = homes.withColumn("block", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: F.least(x, y) * F.col("k") + F.greatest(x, y)))))
-    rows = homes.select("token", "band", "block", "node", "n", "comp", "side").join(nodes.select("node", "bits"), "node")
-    parts = rows.repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "n", "node").select("token", "band", "block", "node", "n", "comp", "side", "bits")
-    return parts.mapInArrow(_tiles(every), "a long, b long, lead long").groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    homes = homes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("block", F.least(x, "y") * F.col("k") + F.greatest(x, "y"))
+    homes = homes.withColumn("side", F.col("side") + F.when(x == F.col("y"), 0).when(x < F.col("y"), 2).otherwise(4))
+    rows = homes.select("token", "band", "block", "node", "side").join(nodes.select("node", "n", "toks", "bits"), "node")
+    parts = rows.repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "n", "node").select(*_KEYS)
+    return parts.mapInArrow(_by_tile(_mark), _ROW)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intersects the sorted arrays of both texts of a pair."""
-    for b in batches:
-        keep = []
-        for x, y in zip(shingle_sets(b.column(2)), shingle_sets(b.column(3)), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
-        at = np.flatnonzero(keep)
-        yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["a", "b"])
+_KEYS = ["token", "band", "block", "node", "n", "side", "toks", "bits"]
+_ROW = "token long, band long, block int, node long, n long, side int, toks array<long>, bits binary"
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    left = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), name)
+def _links(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    rows = marked.join(texts, "node").repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "n", "node")
+    return rows.select(*_KEYS, "text").mapInArrow(_by_tile(_link), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -244,26 +262,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, links_checked (see the module)."""
+    """One row for each row of docs: doc_id, n_shingles, component_id (see the module)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, node long, toks array<long>, bits binary"), "sketch")
     sets = sketch.where("node is not null")
     reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "toks", "bits"), "n").alias("s"))
-    nodes = materialize(reps.select("node", "doc_id", "s.*").withColumn("comp", F.col("node")), "nodes")
-    offered = materialize(_candidates(nodes, every=False), "offered")
-    touched = offered.select(F.col("a").alias("node")).union(offered.select("b")).distinct()
-    near = materialize(nodes.join(touched, "node", "left_semi"), "near")
+    nodes = materialize(reps.select("node", "doc_id", "s.*"), "nodes")
+    marked = materialize(_candidates(nodes), "marked")
+    near = nodes.join(marked.select("node").distinct(), "node", "left_semi")
     # the text of one row of each node; ids can repeat, so the set's hash decides
-    wanted = docs.join(near.select("doc_id", "node", "n"), "doc_id")
+    wanted = docs.join(near.select("doc_id", "node"), "doc_id")
     texts = materialize(wanted.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "texts")
-    ends = offered.select(F.col("a").alias("node"), "a", "b", "lead").union(offered.select("b", "a", "b", "lead")).where("node <> lead")
-    first = ends.groupBy("node").agg(F.min_by(F.struct("a", "b"), "lead").alias("p")).select("p.*").distinct()
-    links = _linked(first, texts, "links1")
-    comp = components(links, "comp1")
-    merged = near.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = _linked(_candidates(merged, every=True), texts, "links2")
-    comp = components(links.union(rest), "comp2")
+    comp = components(materialize(_links(marked, texts), "links"), "comp")
     named = nodes.select("node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     to = named.select("node", "comp").join(least, "comp").select("node", "component_id")
