@@ -162,8 +162,9 @@ def mix_counts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
     rows, plan = _laid_out(materialize(rows, "sizes"), "doc_id")
     rows = materialize(rows, "laid-out")
-    drawn = slots(docs.sparkSession, plan, block_words).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    got = _pieces(rows, block_words).join(drawn, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # slots grow with the corpus, which Spark can't see from the range that they are made of: never broadcast them
+    drawn = slots(docs.sparkSession, plan, block_words).groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
+    got = _pieces(rows, block_words).join(drawn, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).hint("merge")
     some = rows.where("size > 0").join(got, ["source_no", "start"], "left")
     cols = ["doc_id", "size", "source_size", "target"]
     return some.select(*cols, F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(rows.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken")))
@@ -196,8 +197,8 @@ def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     sized = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "tie": F.xxhash64("text")})
     rows, plan = _laid_out(sized, "doc_id")
     rows = materialize(rows.where("size > 0"), "laid-out")
-    drawn = slots(docs.sparkSession, plan, block_words).select("source_no", "round", "block")
-    spans = _pieces(rows, block_words).join(drawn, ["source_no", "block"]).groupBy("source_no", "start", "round").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
+    drawn = slots(docs.sparkSession, plan, block_words).select("source_no", "round", "block").hint("merge")
+    spans = _pieces(rows, block_words).join(drawn, ["source_no", "block"]).groupBy("source_no", "start", "round").agg(F.collect_list(F.struct("first", "words")).alias("spans")).hint("merge")
     found = rows.withColumnRenamed("text", "own_text").join(spans, ["source_no", "start"])
     fields = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields) + ", own_text string"
