@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of texts handed to Python at once, and bytes that the numpy kernels expand at once.
 BATCH_ROWS = 2000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
 

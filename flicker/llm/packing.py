@@ -27,8 +27,8 @@ from .common import parts_for, small_batches, span_hashes, text_buffers
 
 SEQUENCE = 2048
 GROUP_PIECES = 32768
-#: Words that a Python worker keeps with their ids; beyond it the store starts anew.
-STORE_WORDS = 1_500_000
+#: Words that a Python worker keeps with their ids; beyond it the store starts anew. A word takes about 200 bytes.
+STORE_WORDS = 200_000
 
 _LETTER, _DIGIT, _OTHER, _CONTRACTION, _BAD = 1, 2, 3, 4, 9
 _CLASS = np.full(256, _BAD, np.uint8)
@@ -61,8 +61,6 @@ class WordTokenizer:
         self.used = 0
 
     def _add(self, keys: list[int], words: list[str]) -> None:
-        if len(self.index) + len(keys) > STORE_WORDS:
-            self._clear()
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
@@ -85,13 +83,13 @@ class WordTokenizer:
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         keys = keys.tolist()
         missing = [i for i, h in enumerate(keys) if h not in self.index]
+        if len(self.index) + len(missing) > STORE_WORDS:  # begin anew, with all words of these texts
+            self._clear()
+            missing = list(range(len(keys)))
         if missing:
             raw = buf.tobytes()
             words = [raw[starts[first[i]] : ends[first[i]]].decode() for i in missing]
-            before = len(self.index)
             self._add([keys[i] for i in missing], words)
-            if len(self.index) < before + len(missing):  # the store began anew
-                return self._words(hashes, buf, starts, ends)
         return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[back]
 
     def ids(self, col: pa.Array) -> Iterator[np.ndarray]:

@@ -55,6 +55,16 @@ def test_ids_of_all_documents(spark, tok):
         assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_ids_with_more_words_than_the_store_holds(tok, monkeypatch):
+    monkeypatch.setattr(packing, "STORE_WORDS", 50)
+    texts = [" ".join(f"w{k}" for k in range(a, a + 80)) for a in (0, 40, 80, 0)]
+    t = packing.WordTokenizer(tokenizer_path())
+    for _ in range(2):
+        for text in texts:
+            [ids] = t.ids(pa.array([text]))
+            assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
 def check_packing(df, docs, tok):
     got = df.toPandas()
     assert (got.length >= 1).all() and (got.length <= 2048).all()
