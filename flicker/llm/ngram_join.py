@@ -82,7 +82,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
             toks.append(s[: min(n + (n > 0) - -(-PERCENT * n // 100), TOKENS)].view(np.int64))
             bits.append(bitmap(s) if n else None)
-        yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "node", "toks", "bits"])
+        yield pa.record_batch([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "n", "node", "toks", "bits"])
 
 
 _ONES = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
@@ -261,36 +261,53 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (see the module)."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text, text_hash): doc_id, text_hash, n, node, comp, component_id, lead.
+
+    comp is the smallest node of a component, lead the smallest text hash of the row's node; all are null without a shingle.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, node long, toks array<long>, bits binary"), "sketch")
+    sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, text_hash long, n long, node long, toks array<long>, bits binary"), "sketch")
     sets = sketch.where("node is not null")
-    reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "toks", "bits"), "n").alias("s"))
-    nodes = materialize(reps.select("node", "doc_id", "s.*"), "nodes")
+    reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("lead"), F.min_by(F.struct("n", "toks", "bits"), "n").alias("s"))
+    nodes = materialize(reps.select("node", "doc_id", "lead", "s.*"), "nodes")
     marked = materialize(_candidates(nodes), "marked")
     near = nodes.join(marked.select("node").distinct(), "node", "left_semi")
-    # the text of one row of each node; ids can repeat, so the set's hash decides
-    wanted = docs.join(near.select("doc_id", "node"), "doc_id")
-    texts = materialize(wanted.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "texts")
+    # the text of one row of each node, found by the text's hash: ids can repeat or be null. Copies go once from each batch
+    texts = docs.select("text_hash", "text").mapInArrow(_distinct_texts, "text_hash long, text string")
+    wanted = texts.join(near.select(F.col("lead").alias("text_hash"), "node"), "text_hash")
+    texts = materialize(wanted.select("node", "text").mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "texts")
     comp = components(materialize(_links(marked, texts), "links"), "comp")
-    named = nodes.select("node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = nodes.select("node", "doc_id", "lead").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    to = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "node").join(to, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    to = named.select("node", "comp", "lead").join(least, "comp").select("node", "comp", "component_id", "lead")
+    return sketch.select("doc_id", "text_hash", "n", "node").join(to, "node", "left")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (see the module)."""
+    out = _rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, without near duplicates.
 
     Of each component the rows with its smallest id stay, equal texts of them once. Rows without an id stay only if no
-    row of their component has one, equal texts once.
+    row of their component has one, and then one of them. Rows without an id and a word are kept, equal texts once.
     """
-    keep = jaccard_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("own_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["own_id"]), "left_semi")
-    return kept.withColumns({"text_md5": F.md5("text")}).dropDuplicates(["doc_id", "text_md5"]).drop("text_md5")
+    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")))
+    first = (F.col("node") == F.col("comp")) & (F.col("text_hash") == F.col("lead"))
+    leads = F.col("node").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull() & first)
+    keep = rows.where(leads).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct()
+    once = docs.withColumns({"text_md5": F.md5("text")}).dropDuplicates(["doc_id", "text_md5"]).drop("text_md5")
+    return once.join(keep, once["doc_id"].cast("long").eqNullSafe(keep["own_id"]) & (F.xxhash64(once["text"]) == keep["own_hash"]), "left_semi")
+
+
+def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        _, first = np.unique(b.column(0).to_numpy(), return_index=True)
+        yield b.take(pa.array(first))
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,6 +164,24 @@ def test_near_duplicates_of_odd_input(odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows 1 and 9 are linked only by a set whose rows have no id; other sets without ids are alone or near each other."""
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    bridge = word("w", 64)
+    far, near = " ".join(["x", "y", "z", "u", *bridge[4:]]), " ".join([*bridge[:-4], "p", "q", "r", "s"])
+    bridge = " ".join(bridge)
+    alone = " ".join(word("n", 64))
+    close = alone + " more"
+    other = " ".join(word("k", 64))
+    docs = spark.createDataFrame([(1, far), (9, near), (None, bridge), (None, bridge), (None, alone), (None, alone), (None, close), (None, other), (3, other), (4, other + " more"), (4, alone + " x y")], "doc_id long, text string")
+    got = rows(ngram_join.jaccard_components(docs), "doc_id", "component_id")
+    assert sorted(got, key=repr) == sorted([(1, 1), (9, 1), (None, 1), (None, 1), (None, 4), (None, 4), (None, 4), (None, 3), (3, 3), (4, 3), (4, 4)], key=repr)
+    assert sorted(rows(ngram_join.keep_one_of_each(docs), "doc_id", "text")) == [(1, far), (3, other), (4, alone + " x y")]
+    none = spark.createDataFrame([(None, alone), (None, alone), (None, close), (None, alone.upper()), (None, None), (None, None), (5, other)], "doc_id long, text string")
+    kept = rows(ngram_join.keep_one_of_each(none), "doc_id", "text")
+    assert len(kept) == 3 and (None, None) in kept and (5, other) in kept
+
+
 # ---------------------------------------------------------------- 3 fingerprints
 
 
