@@ -36,27 +36,29 @@ def structural_diff(a: DataFrame, b: DataFrame, volatile: tuple[str, ...] = VOLA
     return both.select("path", issue.alias("issue"), diff.alias("abs_diff")).where("issue is not null")
 
 
-def roots(edges: DataFrame, most_steps: int = 64) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """node, root, depth of all nodes of edges (node, parent; null parent: a root), by doubling: each step joins twice as far.
 
-    A node on a cycle, or below a missing parent, has a null root; depth is then the steps to where it ends.
+    A node on a cycle, or below one or a missing parent, has a null root; depth is then the steps to where it ends. No
+    path has more steps than there are nodes, so a node that goes further is on or below a cycle.
     """
     from ..session import persisted
 
     known = edges.select(F.col("node").alias("known"))
-    hop = edges.join(known, edges["parent"] == F.col("known"), "left")
-    hop = hop.select("node", "parent", (F.col("parent").isNotNull() & F.col("known").isNull()).alias("lost"))
-    state = hop.select("node", F.when(F.col("lost"), F.lit(None)).otherwise(F.col("parent")).alias("at"), F.when(F.col("lost") | F.col("parent").isNull(), F.lit(0)).otherwise(1).cast("long").alias("depth"), "lost", F.col("node").alias("top"))
-    state = state.withColumn("top", F.coalesce("at", "node"))
-    steps = 1
-    while steps < most_steps:
+    below = edges.where("parent is not null")
+    hop = below.join(known, below["parent"] == F.col("known"), "left").select("node", "parent", F.col("known").isNull().alias("lost"))
+    state = hop.select("node", F.when(~F.col("lost"), F.col("parent")).alias("at"), F.when(F.col("lost"), 0).otherwise(1).cast("long").alias("depth"), "lost", F.when(F.col("lost"), F.col("node")).otherwise(F.col("parent")).alias("top"))
+    none = F.lit(None).cast(edges.schema["parent"].dataType)
+    state = persisted(state.union(edges.where("parent is null").select("node", none, F.lit(0).cast("long"), F.lit(False), "node")), "roots")
+    most, steps = state.count(), 1
+    while steps <= most and not state.where("at is not null").isEmpty():
         up = state.select(F.col("node").alias("n2"), F.col("at").alias("a2"), F.col("depth").alias("d2"), F.col("lost").alias("l2"), F.col("top").alias("t2"))
-        s = state.join(up, state["at"] == up["n2"], "left")
-        state = s.select("node", F.col("a2").alias("at"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("lost") | F.coalesce("l2", F.lit(False))).alias("lost"), F.coalesce("t2", "top").alias("top"))
+        # nodes that have ended stay out of the join, where they would all meet under null
+        going = state.where("at is not null")
+        s = going.join(up, going["at"] == up["n2"])
+        moved = s.select("node", F.col("a2").alias("at"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("l2").alias("lost"), F.col("t2").alias("top"))
+        state = persisted(state.where("at is null").union(moved), "roots")
         steps *= 2
-        state = persisted(state, "roots")
-        if state.where("at is not null").isEmpty():
-            break
     ends = state["at"].isNull() & ~state["lost"]
     return state.select("node", F.when(ends, F.col("top")).alias("root"), "depth")
 

@@ -85,8 +85,10 @@ _TREE = "nd AS (SELECT conv_id * 100 + turn AS node, CASE WHEN turn > 0 THEN con
 def _tree(spark, sf_dir):
     """Turns as nodes below the turn before; some chains have lost a link."""
     c = table(spark, sf_dir, "conversations").where("conv_id % 7 <> 3 OR turn <> 1")
-    node = F.col("conv_id") * 100 + F.col("turn")
-    return c.select(node.alias("node"), F.when(F.col("turn") > 0, node - 1).alias("parent"))
+    turn = F.col("turn").cast("long")
+    # a number such as conv_id * 100 + turn would meet the next conversation's from turn 100 on
+    node = lambda t: F.struct("conv_id", t.alias("turn"))
+    return c.select(node(turn).alias("node"), F.when(turn > 0, node(turn - 1)).alias("parent"))
 
 
 @query(
@@ -96,7 +98,9 @@ f AS (SELECT node, max(depth) AS depth, arg_max(top, depth) AS top, max(CASE WHE
 SELECT node, CASE WHEN whole = 1 THEN top END AS root, CAST(depth AS BIGINT) AS depth FROM f""",
 )
 def ancestry_roots(spark, sf_dir):
-    return I.roots(_tree(spark, sf_dir))
+    """Nodes are shown as conv_id * 100 + turn."""
+    shown = lambda c: (F.col(c)["conv_id"] * 100 + F.col(c)["turn"]).alias(c)
+    return I.roots(_tree(spark, sf_dir)).select(shown("node"), shown("root"), "depth")
 
 
 @query(

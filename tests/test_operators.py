@@ -18,6 +18,7 @@ from flicker.operators import series as S
 from flicker.operators import smoothing as H
 from flicker.operators.smoothing import convolved
 from flicker.plans import benchmark as B
+from flicker.registry import QUERIES
 from flicker.sources import formats as A
 
 
@@ -121,6 +122,23 @@ def test_roots_cycles_and_missing_parents(spark):
     assert got[1] == (1, 0) and got[3] == (1, 2) and got[4][0] is None and got[5][0] is None and got[6][0] is None
 
 
+def test_roots_of_long_chains(spark):
+    n = 300
+    chain = [(1, None), *[(i, i - 1) for i in range(2, n)], (1000, 999), *[(i, i - 1) for i in range(1001, 1100)], (2001, 2000), (2000, 2001), (2002, 2001)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in I.roots(spark.createDataFrame(chain, "node long, parent long")).collect()}
+    assert len(got) == len(chain)
+    assert all(got[i] == (1, i - 1) for i in range(1, n))
+    assert all(got[i] == (None, i - 1000) for i in range(1000, 1100))
+    assert all(got[i][0] is None for i in (2000, 2001, 2002))
+
+
+def test_ancestry_of_long_conversations(spark, tmp_path):
+    turns = [(c, t, "user", "x") for c in (7, 8) for t in range(150)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["ancestry_roots"](spark, str(tmp_path)).select("node", "root", "depth").collect())
+    assert got == sorted((c * 100 + t, c * 100, t) for c in (7, 8) for t in range(150))
+
+
 def test_formats(spark, tmp_path):
     np.savez_compressed(tmp_path / "a.npz", xyz=np.arange(12, dtype=np.float32).reshape(2, 2, 3), flag=np.array([True, False]))
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
