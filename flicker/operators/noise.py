@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gaussian, uniform
@@ -28,18 +28,43 @@ def flips(frames: DataFrame, level: float, key: Column, x: str = "x") -> DataFra
     return frames.withColumn("z", F.when(u < level, 1 - F.col(x)).otherwise(F.col(x)).cast("tinyint"))
 
 
-def chained(chunks: DataFrame, level: float, rho: float, key: Column) -> DataFrame:
-    """Whole series (arrays xs, from frame 0) with zs: x flipped by a two-state chain that keeps its prevalence.
+def chained(chunks: DataFrame, level: float, rho: float, key: Column, keys: tuple[str, ...] = ("run_id", "feature_id")) -> DataFrame:
+    """Stretches without halos (to_chunks; without lo: whole series) with zs: x flipped by a two-state chain that keeps its prevalence.
 
-    A fold over uniforms; the state after frame i depends only on the uniforms up to i.
+    A fold over uniforms; the state after frame i depends only on the uniforms up to i. A stretch maps the state before
+    it to the state after it; these maps, one row for each stretch, are composed over a series, then every stretch is
+    folded from the state it is entered with.
     """
     rise, stay = level * (1 - rho), 1 - (1 - level) * (1 - rho)
-    u = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: uniform(key, F.col("feature_id"), i))
-    # states as a string of digits: appending to it is linear, unlike an array
-    states = F.aggregate(u, F.lit(""), lambda s, v: F.concat(s, F.when(v < F.when(s == "", F.lit(level)).when(F.right(s, F.lit(1)) == "1", F.lit(stay)).otherwise(F.lit(rise)), "1").otherwise("0")))
+    whole = "lo" not in chunks.columns
+    if whole:
+        chunks = chunks.withColumns({"lo": F.lit(0).cast("long"), "entry": F.lit(0)})
+    else:
+        chunks = chunks.join(_entries(chunks, level, rise, stay, key, keys), [*keys, "lo"])
+    # states as a string of digits; a later stretch starts with the state before it
+    start = F.when(F.col("lo") == 0, "").otherwise(F.col("entry").cast("string"))
+    states = F.aggregate(_uniforms(key), start, lambda s, v: F.concat(s, F.when(v < F.when(s == "", F.lit(level)).when(F.right(s, F.lit(1)) == "1", F.lit(stay)).otherwise(F.lit(rise)), "1").otherwise("0")))
     flip = F.transform(F.split(states, ""), lambda c: c.cast("tinyint"))
-    z = F.zip_with("xs", F.slice(flip, F.lit(1), F.col("n").cast("int")), lambda a, b: F.when(b == 1, 1 - a).otherwise(a).cast("tinyint"))
-    return chunks.withColumn("zs", z)
+    z = F.zip_with("xs", F.slice(flip, F.when(F.col("lo") == 0, 1).otherwise(2), F.size("xs")), lambda a, b: F.when(b == 1, 1 - a).otherwise(a).cast("tinyint"))
+    return chunks.withColumn("zs", z).drop("entry", *["lo"] * whole)
+
+
+def _uniforms(key: Column) -> Column:
+    return F.transform(F.sequence(F.col("lo"), F.col("lo") + F.size("xs") - 1), lambda i: uniform(key, F.col("feature_id"), i))
+
+
+def _entries(chunks: DataFrame, level: float, rise: float, stay: float, key: Column, keys: tuple[str, ...]) -> DataFrame:
+    """keys, lo and entry: the chain's state before each stretch."""
+    after = lambda s, v: F.when(v < F.when(s < 0, F.lit(level)).when(s == 1, F.lit(stay)).otherwise(F.lit(rise)), 1).otherwise(0)
+    begin = F.struct(F.when(F.col("lo") == 0, -1).otherwise(0).alias("a"), F.when(F.col("lo") == 0, -1).otherwise(1).alias("b"))
+    ends = chunks.select(*keys, "lo", F.aggregate(_uniforms(key), begin, lambda s, v: F.struct(after(s["a"], v).alias("a"), after(s["b"], v).alias("b"))).alias("m"))
+    # a map is constant, swaps the states or leaves them: the last constant one counts, and the swaps after it
+    w = Window.partitionBy(*keys).orderBy("lo")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    swap = (F.col("m.a") > F.col("m.b")).cast("int")
+    ends = ends.withColumn("swaps", F.sum(swap).over(w)).withColumn("fixed", F.when(F.col("m.a") == F.col("m.b"), F.struct(F.col("m.a").alias("state"), "swaps")))
+    last = F.last("fixed", ignorenulls=True).over(before)
+    return ends.withColumn("last", last).select(*keys, "lo", F.when(F.col("lo") == 0, 0).otherwise((F.col("last.state") + F.col("swaps") - swap - F.col("last.swaps")) % 2).cast("int").alias("entry"))
 
 
 def jittered(frames: DataFrame, sigma: float, key: Column) -> DataFrame:

@@ -170,7 +170,7 @@ def noise_bitflip(spark, sf_dir):
 ) SELECT run_id, frame, CAST(CASE WHEN e = 1 THEN 1 - x ELSE x END AS TINYINT) AS z FROM c""",
 )
 def noise_correlated(spark, sf_dir):
-    chunks = S.to_chunks(_frames(spark, sf_dir), 0, 1 << 20)
+    chunks = S.to_chunks(_frames(spark, sf_dir))
     return S.to_frames(N.chained(chunks, 0.1, 0.8, _key()), "zs").select("run_id", "frame", F.col("zs").alias("z"))
 
 

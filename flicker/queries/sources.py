@@ -45,11 +45,13 @@ def partition_pruned_scan(spark, sf_dir):
 
 @query("npz_roundtrip", f"WITH {Q.SERIES} SELECT CAST(run_id AS VARCHAR) AS path, frame, CAST(x AS DOUBLE) AS x FROM ev")
 def npz_roundtrip(spark, sf_dir):
-    """Series to NPZ bytes and back."""
+    """Series to NPZ bytes and back: a file for each stretch, which holds the place of its first frame."""
     frames = S.event_frames(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
-    runs = S.to_chunks(frames, 0, 1 << 20).select(F.col("run_id").cast("string").alias("path"), F.col("xs").alias("X"))
-    rows = A.read_npz(A.write_npz(runs)).where("array = 'X'")
-    return rows.select("path", F.posexplode("values").alias("frame", "x")).select("path", F.col("frame").cast("long").alias("frame"), "x")
+    runs = S.to_chunks(frames).select(F.concat_ws("/", "run_id", "chunk").alias("path"), F.col("xs").alias("X"), F.array("lo").alias("lo"))
+    of = lambda name: F.first(F.when(F.col("array") == name, F.col("values")), ignorenulls=True).alias(name)
+    files = A.read_npz(A.write_npz(runs)).groupBy("path").agg(of("X"), of("lo"))
+    rows = files.select(F.substring_index("path", "/", 1).alias("path"), F.col("lo")[0].cast("long").alias("lo"), F.posexplode("X").alias("at", "x"))
+    return rows.select("path", (F.col("lo") + F.col("at")).alias("frame"), "x")
 
 
 @query(

@@ -6,6 +6,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flicker.functions.methods import halo, kernel_weights, method
@@ -18,8 +19,9 @@ from flicker.operators import series as S
 from flicker.operators import smoothing as H
 from flicker.operators.smoothing import convolved
 from flicker.plans import benchmark as B
-from flicker.registry import QUERIES
+from flicker.registry import ORACLE, QUERIES
 from flicker.sources import formats as A
+from tests.conftest import DATA, assert_same
 
 
 def test_pairs_and_strict_cutoff(spark):
@@ -139,6 +141,20 @@ def test_ancestry_of_long_conversations(spark, tmp_path):
     assert got == sorted((c * 100 + t, c * 100, t) for c in (7, 8) for t in range(150))
 
 
+@pytest.mark.parametrize("name", ["noise_correlated", "npz_roundtrip"])
+def test_series_cut_into_stretches(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(S, "to_chunks", lambda frames, *_, cut=S.to_chunks: cut(frames, 0, 7))
+    assert_same(QUERIES[name](spark, f"{DATA}/sf0.001"), duck, ORACLE[name])
+
+
+@pytest.mark.parametrize("rho", [0.8, -0.05, -0.9])
+def test_chain_carried_over_stretches(spark, rho):
+    frames = _frames(spark, 6, 200)
+    of = lambda size: {(r["run_id"], r["feature_id"], r["frame"], r["zs"]) for r in S.to_frames(N.chained(S.to_chunks(frames, 0, size), 0.45, rho, F.lit("key")), "zs").collect()}
+    whole = of(1000)
+    assert len(whole) == 2400 and of(3) == whole and of(1) == whole
+
+
 def test_formats(spark, tmp_path):
     np.savez_compressed(tmp_path / "a.npz", xyz=np.arange(12, dtype=np.float32).reshape(2, 2, 3), flag=np.array([True, False]))
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
