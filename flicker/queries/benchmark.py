@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.methods import CONTROLS, halo, method
+from ..functions.methods import CONTROLS, candidates, halo, method
 from ..functions.scalars import T_975, ratio
 from ..operators import metrics as M
 from ..operators import noise as N
@@ -18,7 +20,10 @@ from . import sqltext as Q
 
 LEVEL = 0.1
 CFG = B.Config(level=LEVEL)
-#: A grid small enough for the SQL check; candidates() is the whole one.
+#: The reference's job: 120 candidates, 8 validation and 16 test draws. The queries whole_... and test_of_selected run it, without SQL.
+WHOLE = candidates(LEVEL)
+WHOLE_CFG = B.Config(level=LEVEL, validation_draws=8, test_draws=16)
+#: A grid small enough for the SQL check; the queries beside SQL run it.
 GRID = [
     method("raw"), *[method("linear", i, t=t) for i, t in enumerate((1, 4, 16))], *[method("cubic_median", i, t=t) for i, t in enumerate((1, 4, 16))],
     *[method("moving_average", i, half_width=w) for i, w in enumerate((1, 4))], method("gaussian", 0, sigma=2.0), *[method("median", i, width=w) for i, w in enumerate((3, 9))],
@@ -110,11 +115,12 @@ def discovery_frequency(spark, sf_dir):
 
 
 @query("metrics_all", f"WITH {_cells('test', 1)}, {_STRATA}, {_METRICS} SELECT run_id, method, cand_ord, {_ROUNDED} FROM rm")
-def metrics_all(spark, sf_dir):
+def metrics_all(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws=1)):
     """All eleven metrics of every candidate of the grid, for each test run."""
     f = _frames(spark, sf_dir)
-    sums = B.phase_sums(f, B.splits(f, CFG), "test", GRID, B.Config(level=LEVEL, test_draws=1))
-    return _rounded(B.scores(sums).select("run_id", "method", "cand_ord", *M.METRICS), *M.METRICS)
+    sums = B.phase_sums(f, B.splits(f, cfg), "test", grid, cfg)
+    draw = ["draw"] * (cfg.test_draws > 1)
+    return _rounded(B.scores(sums).select("run_id", *draw, "method", "cand_ord", *M.METRICS), *M.METRICS)
 
 
 _EQUAL = f"""w AS (SELECT run_id, method, cand_ord, {', '.join(f'avg("{m}") AS "{m}"' for m in M.METRICS)} FROM rm GROUP BY ALL)"""
@@ -124,9 +130,9 @@ _EQUAL = f"""w AS (SELECT run_id, method, cand_ord, {', '.join(f'avg("{m}") AS "
     "equal_weight_rollup",
     f"""WITH {_cells('test', 2)}, {_STRATA}, {_METRICS}, {_EQUAL} SELECT method, cand_ord, {', '.join(f'round(avg("{m}"), 9) AS "{m}", count("{m}") AS n_{m}' for m in M.METRICS)} FROM w GROUP BY method, cand_ord""",
 )
-def equal_weight_rollup(spark, sf_dir):
+def equal_weight_rollup(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws=2)):
     f = _frames(spark, sf_dir)
-    runs = B.scores(B.phase_sums(f, B.splits(f, CFG), "test", GRID, B.Config(level=LEVEL, test_draws=2)))
+    runs = B.scores(B.phase_sums(f, B.splits(f, cfg), "test", grid, cfg))
     return _rounded(M.equal_weight(runs, ("run_id", "method", "cand_ord"), ("method", "cand_ord")), *M.METRICS)
 
 
@@ -135,9 +141,9 @@ def equal_weight_rollup(spark, sf_dir):
     f"""WITH {_cells('test', 1)}, {_STRATA}, {_METRICS}, k AS (SELECT method, cand_ord, round(avg((p - x) * (p - x)), 9) AS cell_weighted FROM c GROUP BY ALL)
 SELECT method, cand_ord, round(avg(brier), 9) AS run_weighted, max(cell_weighted) AS cell_weighted FROM rm JOIN k USING (method, cand_ord) GROUP BY method, cand_ord""",
 )
-def cell_vs_run_weight(spark, sf_dir):
+def cell_vs_run_weight(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws=1)):
     f = _frames(spark, sf_dir)
-    runs = B.scores(B.phase_sums(f, B.splits(f, CFG), "test", GRID, B.Config(level=LEVEL, test_draws=1)))
+    runs = B.scores(B.phase_sums(f, B.splits(f, cfg), "test", grid, cfg))
     return runs.groupBy("method", "cand_ord").agg(F.round(F.avg("brier"), 9).alias("run_weighted"), F.round(F.sum(F.col("brier") * F.col("cells")) / F.sum("cells"), 9).alias("cell_weighted"))
 
 
@@ -148,15 +154,15 @@ _SELECT = """sc AS (SELECT method, cand_ord, round(avg(brier), 12) AS score FROM
 ), best AS (SELECT method, cand_ord, score FROM sc QUALIFY row_number() OVER (PARTITION BY method ORDER BY score, cand_ord) = 1)"""
 
 
-def _selection(spark, sf_dir):
+def _selection(spark, sf_dir, grid, cfg):
     f = _frames(spark, sf_dir)
-    split = B.splits(f, CFG)
-    return f, split, B.select(f, split, GRID, CFG)
+    split = B.splits(f, cfg)
+    return f, split, B.select(f, split, grid, cfg)
 
 
 @query("select_params", f"WITH {_cells('validation', 2)}, {_STRATA}, {_METRICS}, {_SELECT} SELECT method, cand_ord, round(score, 9) AS score FROM best")
-def select_params(spark, sf_dir):
-    return _rounded(_selection(spark, sf_dir)[2], "score")
+def select_params(spark, sf_dir, grid=GRID, cfg=CFG):
+    return _rounded(_selection(spark, sf_dir, grid, cfg)[2], "score")
 
 
 def _control_sql(families: tuple[str, ...]) -> str:
@@ -165,16 +171,16 @@ def _control_sql(families: tuple[str, ...]) -> str:
 
 
 @query("select_baseline", _control_sql(CONTROLS))
-def select_baseline(spark, sf_dir):
-    return _rounded(M.best_control(_selection(spark, sf_dir)[2]), "score")
+def select_baseline(spark, sf_dir, grid=GRID, cfg=CFG):
+    return _rounded(M.best_control(_selection(spark, sf_dir, grid, cfg)[2]), "score")
 
 
 _MATCHED = tuple(c for c in CONTROLS if c != "power_full")
 
 
 @query("matched_baseline", _control_sql(_MATCHED))
-def matched_baseline(spark, sf_dir):
-    return _rounded(M.best_control(_selection(spark, sf_dir)[2], _MATCHED), "score")
+def matched_baseline(spark, sf_dir, grid=GRID, cfg=CFG):
+    return _rounded(M.best_control(_selection(spark, sf_dir, grid, cfg)[2], _MATCHED), "score")
 
 
 _PAIR = [method("linear", 1, t=4), method("cubic_median", 1, t=4)]
@@ -184,14 +190,14 @@ _PAIRED = f"""pr AS (SELECT run_id, draw, max(brier) FILTER (method = 'linear')
 ), iv AS (SELECT run_id, n, mean_diff, q * sd / sqrt(n) AS half_width, CASE WHEN base_mean > 0 THEN mean_diff / base_mean END AS relative_gain, positive, negative FROM pa LEFT JOIN (VALUES {_TVALUES}) t(df, q) ON df = n - 1)"""
 
 
-def _pair_runs(spark, sf_dir):
+def _pair_runs(spark, sf_dir, cfg):
     f = _frames(spark, sf_dir)
-    return B.scores(B.phase_sums(f, B.splits(f, CFG), "test", _PAIR, CFG))
+    return B.scores(B.phase_sums(f, B.splits(f, cfg), "test", _PAIR, cfg))
 
 
 @query("paired_interval", f"WITH {_cells('test', 3, _PAIR)}, {_STRATA}, {_METRICS}, {_PAIRED} SELECT run_id, n, round(mean_diff, 9) AS mean_diff, round(half_width, 9) AS half_width, round(relative_gain, 9) AS relative_gain, positive, negative FROM iv")
-def paired_interval(spark, sf_dir):
-    return _rounded(M.paired(_pair_runs(spark, sf_dir), "linear", "cubic_median"), "mean_diff", "half_width", "relative_gain")
+def paired_interval(spark, sf_dir, cfg=CFG):
+    return _rounded(M.paired(_pair_runs(spark, sf_dir, cfg), "linear", "cubic_median"), "mean_diff", "half_width", "relative_gain")
 
 
 @query(
@@ -201,8 +207,8 @@ def paired_interval(spark, sf_dir):
 ), j AS (SELECT (b.brier - o.brier) / b.brier AS gain, o.rare >= b.rare AS k2, o.brief >= b.brief AS k3, (SELECT bool_and(mean_diff > 0) FROM iv) AS k1 FROM d b JOIN d o ON b.method = 'linear' AND o.method = 'cubic_median')
 SELECT round(gain, 9) AS gain, CASE WHEN gain IS NULL OR k1 IS NULL OR k2 IS NULL OR k3 IS NULL THEN 'not_evaluable' WHEN gain >= 0.05 AND k1 AND k2 AND k3 THEN 'pass' ELSE 'fail' END AS decision FROM j""",
 )
-def composite_decision(spark, sf_dir):
-    runs = _pair_runs(spark, sf_dir).withColumn("cand_ord", F.lit(0))
+def composite_decision(spark, sf_dir, cfg=CFG):
+    runs = _pair_runs(spark, sf_dir, cfg).withColumn("cand_ord", F.lit(0))
     mean = M.equal_weight(runs, ("run_id", "method"), ("method",))
     one = lambda name, p: mean.where(F.col("method") == name).select(*[F.col(c).alias(f"{p}_{c}") for c in ("brier", "rare_positive_recall", "short_positive_recall")])
     gains = M.paired(runs, "linear", "cubic_median").agg(F.bool_and(F.col("mean_diff") > 0).alias("all_positive"))
@@ -221,23 +227,23 @@ def decision_cases(spark, sf_dir):
 
 
 @query("same_t_attribution", f"WITH {_cells('test', 3, _PAIR)}, {_STRATA}, {_METRICS} SELECT method, CAST(sum(changed) AS BIGINT) AS disagreements, round(avg(brier), 9) AS brier FROM rm GROUP BY method")
-def same_t_attribution(spark, sf_dir):
+def same_t_attribution(spark, sf_dir, cfg=CFG):
     """Linear and cubic at the same t on the same corrupted series; cells where they classify differently."""
-    return _pair_runs(spark, sf_dir).groupBy("method").agg(F.sum("changed").cast("long").alias("disagreements"), F.round(F.avg("brier"), 9).alias("brier"))
+    return _pair_runs(spark, sf_dir, cfg).groupBy("method").agg(F.sum("changed").cast("long").alias("disagreements"), F.round(F.avg("brier"), 9).alias("brier"))
 
 
 @query("clean_control", f"WITH {_cells('test', 1, clean=True)}, {_STRATA}, {_METRICS} SELECT method, cand_ord, round(avg(brier), 9) AS brier, round(avg(mae), 9) AS mae FROM rm GROUP BY method, cand_ord")
-def clean_control(spark, sf_dir):
+def clean_control(spark, sf_dir, grid=GRID, cfg=CFG):
     f = _frames(spark, sf_dir)
-    runs = B.scores(B.phase_sums(f, B.splits(f, CFG), "test", GRID, CFG, clean=True))
+    runs = B.scores(B.phase_sums(f, B.splits(f, cfg), "test", grid, cfg, clean=True))
     return runs.groupBy("method", "cand_ord").agg(F.round(F.avg("brier"), 9).alias("brier"), F.round(F.avg("mae"), 9).alias("mae"))
 
 
 @query("test_of_selected", None)
-def test_of_selected(spark, sf_dir):
+def test_of_selected(spark, sf_dir, grid=WHOLE, cfg=WHOLE_CFG):
     """The whole plan: selection is written, then the selected candidates are scored on the test runs (checked by tests)."""
-    f, split, selection = _selection(spark, sf_dir)
-    runs = B.scores(B.phase_sums(f, split, "test", B.chosen(GRID, selection), CFG))
+    f, split, selection = _selection(spark, sf_dir, grid, cfg)
+    runs = B.scores(B.phase_sums(f, split, "test", B.chosen(grid, selection), cfg))
     return _rounded(M.equal_weight(runs, ("run_id", "method", "cand_ord"), ("method", "cand_ord")), *M.METRICS)
 
 
@@ -246,15 +252,21 @@ def test_of_selected(spark, sf_dir):
     f"""WITH {_cells('test', 1)}, {_STRATA}, {_METRICS}, g AS (SELECT method, min(score) AS brier FROM (SELECT method, cand_ord, avg(brier) AS score FROM rm GROUP BY ALL) GROUP BY method)
 SELECT method, round(brier, 9) AS brier, round(100 * ((SELECT brier FROM g WHERE method = 'raw') - brier) / (SELECT brier FROM g WHERE method = 'raw'), 6) AS gain_percent, brier < (SELECT brier FROM g WHERE method = 'linear') AS better_than_linear FROM g""",
 )
-def summary_table(spark, sf_dir):
+def summary_table(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws=1)):
     f = _frames(spark, sf_dir)
-    runs = B.scores(B.phase_sums(f, B.splits(f, CFG), "test", GRID, B.Config(level=LEVEL, test_draws=1)))
+    runs = B.scores(B.phase_sums(f, B.splits(f, cfg), "test", grid, cfg))
     g = runs.groupBy("method", "cand_ord").agg(F.avg("brier").alias("score")).groupBy("method").agg(F.min("score").alias("brier"))
     ref = g.agg(F.max(F.when(F.col("method") == "raw", F.col("brier"))).alias("raw"), F.max(F.when(F.col("method") == "linear", F.col("brier"))).alias("linear"))
     both = g.join(F.broadcast(ref), F.lit(True))  # one row
     return both.select("method", F.round("brier", 9).alias("brier"), F.round(100 * ratio(F.col("raw") - F.col("brier"), F.col("raw")), 6).alias("gain_percent"), (F.col("brier") < F.col("linear")).alias("better_than_linear"))
 
 
+for _f in (metrics_all, equal_weight_rollup, cell_vs_run_weight, select_params, select_baseline, matched_baseline, clean_control, summary_table):
+    query(f"whole_{_f.__name__}")(partial(_f, grid=WHOLE, cfg=WHOLE_CFG))
+for _f in (paired_interval, composite_decision, same_t_attribution):
+    query(f"whole_{_f.__name__}")(partial(_f, cfg=WHOLE_CFG))
+
+
 @query(
     "label_confusion",
     """WITH j AS (SELECT quality = 1 AS truth, n_chars >= 500 AS hit FROM labels JOIN documents USING (doc_id)), k AS (SELECT count(*) FILTER (hit AND truth) AS tp, count(*) FILTER (hit AND NOT truth) AS fp, count(*) FILTER (NOT hit AND truth) AS fn FROM j)

@@ -155,6 +155,22 @@ def test_chain_carried_over_stretches(spark, rho):
     assert len(whole) == 2400 and of(3) == whole and of(1) == whole
 
 
+class _Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["test_of_selected", *(q for q in sorted(QUERIES) if q.startswith("whole_"))])
+def test_whole_benchmark(spark, monkeypatch, name):
+    def seen(frames, split, phase, methods, cfg, clean=False):
+        raise _Seen(len(methods), cfg.validation_draws, cfg.test_draws)
+
+    monkeypatch.setattr(B, "phase_sums", seen)
+    with pytest.raises(_Seen) as got:
+        QUERIES[name](spark, f"{DATA}/sf0.001")
+    pair = name.removeprefix("whole_") in ("paired_interval", "composite_decision", "same_t_attribution")
+    assert got.value.args == (2 if pair else 120, 8, 16)
+
+
 def test_formats(spark, tmp_path):
     np.savez_compressed(tmp_path / "a.npz", xyz=np.arange(12, dtype=np.float32).reshape(2, 2, 3), flag=np.array([True, False]))
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
