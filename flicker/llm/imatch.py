@@ -9,12 +9,15 @@ fingerprints: the share of equal hashes among the parts where at least one of th
 
 At scale: a term of the lexicon is in at least N / 1000 documents, so the lexicon has at most 1000 times the mean number
 of distinct terms of a document, whatever N is; it is broadcast up to BROADCAST_TERMS and joined by shuffle beyond.
-Texts are shuffled once, by id range, to meet the next text; everything after that stays in the same partitions. The
-first row of a range is also sent to the range before it, so no task looks over all rows.
-
-Defined results: a null text is empty. A text without a term of the lexicon has the hash of its whole text in every
-part, so it is like its exact copies only. Null ids come last; rows of equal id are ordered by text. Repeated rows
-have equal fingerprints. Where only one row exists, it is its own next document.
+Texts are shuffled once, by range of the order, to meet the next text; everything after that stays in the same
+partitions. Ranges have about RANGE_ROWS rows (more where that would make over MOST_RANGES of them), are cut by id and
+then by how a text begins, so rows of one id or without any are spread as well, and the first row of a range is also
+sent to the range before it: no task looks over all rows.
+
+Defined results: a null text is empty; texts of any length are taken whole. A text without a term of the lexicon has the
+hash of its whole text in every part, so it is like its exact copies only. Null ids come last; rows of equal id are
+ordered by text. Repeated rows have equal fingerprints. Where only one row exists, it is its own next document. An empty
+table gives an empty result. Columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_ranges, materialize, parts_for
+from .common import materialize, order_ranges
 
 #: Least and most share of documents, as 1 / x.
 BAND = (1000, 10)
 RATES = (2, 8, 32, 128, 256)
 SUBSETS = 20
 BROADCAST_TERMS = 400_000
-RANGE_ROWS = 1024
+RANGE_ROWS, MOST_RANGES = 1024, 1 << 18
 HASH_BITS = 33
 #: How the md5 of no bytes begins.
 EMPTY = "d41d8cd9"
@@ -58,11 +61,15 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ghosts are copies of a range's first row at the end of the range before it.
     """
-    docs = docs.withColumn("range", id_ranges(docs, "doc_id", parts_for(docs.count(), RANGE_ROWS)))
-    heads = sorted(docs.groupBy("range").agg(F.max("doc_id").alias("head")).collect(), reverse=True)
-    before = [(r["range"], r["head"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
-    heads = docs.sparkSession.createDataFrame(before, "r int, head long, before int")  # at most one row for each range
-    same = (docs["range"] == heads["r"]) & docs["doc_id"].eqNullSafe(heads["head"])
+    rows = docs.count()
+    begin = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")  # orders as the text does
+    keys = {"none": F.col("doc_id").isNull().cast("long"), "id": F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")), "begin": begin}
+    per = max(RANGE_ROWS, -(-rows // MOST_RANGES))
+    docs = docs.withColumn("range", order_ranges(docs, keys, rows, per)).withColumn("key", F.struct(*[c.alias(k) for k, c in keys.items()]))
+    heads = sorted(docs.groupBy("range").agg(F.min("key").alias("head")).collect())  # one row for each range
+    before = [(r["range"], tuple(r["head"]), heads[i - 1]["range"]) for i, r in enumerate(heads)]
+    heads = docs.sparkSession.createDataFrame(before, "r int, head struct<none: long, id: long, begin: long>, before int")
+    same = (docs["range"] == heads["r"]) & (docs["key"] == heads["head"])
     both = docs.join(F.broadcast(heads), same, "left")
     here = F.struct(F.col("range"), F.lit(0).alias("ghost"))
     places = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("range"), F.lit(1).alias("ghost"))))

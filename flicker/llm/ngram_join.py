@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, sorted-array intersection.
 
 How it works
-    1. Each text becomes its set of distinct 5-word shingles (64-bit hashes). Rows with equal sets are one node.
+    1. Each text becomes its set of distinct 5-word shingles, as 64-bit hashes under a key drawn for the job: two
+       different shingles collide with a chance of about 2^-64, whatever the texts are. Rows with equal sets are one node.
     2. Two sets with Jaccard >= 0.8 share an element among the first n - ceil(0.8 n) + 1 of either set in any common
-       order. The order is the hash itself, so beyond TOKENS (28) elements the chance that a linked pair shares none
-       of them is at most 0.2 ** 28 = 3e-20, below that of a collision of the 64-bit hashes; sets with no more than
-       28 such elements are treated exactly.
+       order. The order is the keyed hash itself. With tokens=None whole prefixes are taken: exact. With a number (TOKENS),
+       prefixes are cut there: the order is random to every text, so a linked pair shares none of 28 elements with a
+       chance of at most 0.2 ** 28 = 3e-20, below that of a collision; sets of up to 140 shingles aren't cut at all.
     3. Nodes that share a prefix element and a size band meet in a tile, sorted by size. A bitmap of 2 to 4 bits for
        each element bounds the overlap from above: overlap <= (|x| + |y| - popcount(bx xor by)) / 2. A pair belongs to
        the tile of its smallest shared prefix element only. A tile returns the nodes with a pair that the bound lets
@@ -16,32 +17,37 @@ How it works
     5. Tiles above TILE_SHINGLES elements are cut into blocks, and all block pairs are visited, each in a task's memory.
 
 Defined results: null, empty or white-space-only text: set size 0, its own component. Rows that share a doc_id are
-rows of one output each; null doc_ids never lead a component (its component is null if all ids in it are null).
+rows of one output each; null doc_ids never lead a component (its component is null if all ids in it are null), but link
+as all others do. Texts of any length are taken whole. An empty table gives an empty result. Columns besides id and text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, small_batches, span_hashes, text_buffers, word_spans
+from .common import WordHash, discard, free, lower_ascii, materialize, mix, small_batches, text_buffers, word_spans
 
 WORDS, PERCENT, TOKENS, TILE_SHINGLES = 5, 80, 28, 4 << 20
+#: Rows of (id, 16-byte hash) that are broadcast to pick texts by; above, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
-def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(col: pa.Array, word: WordHash) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     for _, n, buf, offs in text_buffers(col):
         starts, ends, rows = word_spans(buf, offs)
         if not len(starts):
             yield from (np.zeros(0, np.uint64) for _ in range(n))
             continue
-        h = span_hashes(buf, starts, ends, lower=True)
+        h = word(lower_ascii(buf), starts, ends)
         m = max(0, len(h) - WORDS + 1)
         s = np.zeros(m, np.uint64)
         for k in range(WORDS):
@@ -73,16 +79,26 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size, node, toks, bits = [], [], [], []
-        for s in shingle_sets(b.column(1)):
-            n = len(s)
-            size.append(n)
-            node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
-            toks.append(s[: min(n + (n > 0) - -(-PERCENT * n // 100), TOKENS)].view(np.int64))
-            bits.append(bitmap(s) if n else None)
-        yield pa.record_batch([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "n", "node", "toks", "bits"])
+def _node(s: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
+def _sketch(key: bytes, tokens: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = WordHash(key)
+        for b in batches:
+            size, node, toks, bits = [], [], [], []
+            for s in shingle_sets(b.column(1), word):
+                n = len(s)
+                size.append(n)
+                node.append(_node(s))
+                prefix = n + (n > 0) - -(-PERCENT * n // 100)
+                toks.append(s[: prefix if tokens is None else min(prefix, tokens)].view(np.int64))
+                bits.append(bitmap(s) if n else None)
+            cols = [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.record_batch(cols, ["doc_id", "text_hash", "n", "node", "toks", "bits"])
+
+    return run
 
 
 _ONES = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
@@ -200,25 +216,29 @@ def _mark(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
             yield t.filter(pa.array(marked)).select(["token", "band", "block", "node", "n", "side", "toks", "bits"]).combine_chunks().to_batches()[0]
 
 
-def _link(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _link(word_key: bytes):
     """Links (a, b) that connect all nodes of a tile which its verified pairs connect."""
-    tile, sets = _tile(key[0], t), list(shingle_sets(t.column("text").combine_chunks()))
-    node, comp = t.column("node").to_numpy(), np.arange(t.num_rows)
-    a, b = [], []
-    for i in range(t.num_rows - 1):
-        k = tile.partners(i, comp != comp[i])
-        while len(k):
-            j, k = k[0], k[1:]
-            x, y = sets[i], sets[j]
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[at] == y).sum())
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                a.append(min(node[i], node[j]))
-                b.append(max(node[i], node[j]))
-                comp[comp == comp[j]] = comp[i]
-                k = k[comp[k] != comp[i]]
-    if a:
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        tile, sets = _tile(key[0], t), list(shingle_sets(t.column("text").combine_chunks(), WordHash(word_key)))
+        node, comp = t.column("node").to_numpy(), np.arange(t.num_rows)
+        a, b = [], []
+        for i in range(t.num_rows - 1):
+            k = tile.partners(i, comp != comp[i])
+            while len(k):
+                j, k = k[0], k[1:]
+                x, y = sets[i], sets[j]
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[at] == y).sum())
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
+                    k = k[comp[k] != comp[i]]
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -243,9 +263,9 @@ _KEYS = ["token", "band", "block", "node", "n", "side", "toks", "bits"]
 _ROW = "token long, band long, block int, node long, n long, side int, toks array<long>, bits binary"
 
 
-def _links(marked: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(marked: DataFrame, texts: DataFrame, key: bytes) -> DataFrame:
     rows = marked.join(texts, "node").repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "n", "node")
-    return rows.select(*_KEYS, "text").mapInArrow(_by_tile(_link), "a long, b long").distinct()
+    return rows.select(*_KEYS, "text").mapInArrow(_by_tile(_link(key)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -256,64 +276,73 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         top = labels.select(F.col("node").alias("to"), F.col("comp").alias("up"))
-        labels = materialize(step.join(top, "to").select("node", F.least("to", "up").alias("comp"), (F.least("to", "up") != F.col("was")).alias("moved")), name)
+        last, labels = labels, materialize(step.join(top, "to").select("node", F.least("to", "up").alias("comp"), (F.least("to", "up") != F.col("was")).alias("moved")), name)
+        discard(last)
         if labels.where("moved").isEmpty():
             return labels.select("node", "comp")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _text_hash(text: str) -> Column:
+    """128 bits of the text's SHA-256: equal for equal texts only. Null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+
+
+def _rows(docs: DataFrame, tokens: int | None) -> DataFrame:
     """One row for each row of docs (doc_id, text, text_hash): doc_id, text_hash, n, node, comp, component_id, lead.
 
     comp is the smallest node of a component, lead the smallest text hash of the row's node; all are null without a shingle.
     """
     small_batches(docs.sparkSession)
-    sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, text_hash long, n long, node long, toks array<long>, bits binary"), "sketch")
+    key = secrets.token_bytes(16)
+    sketch = materialize(docs.mapInArrow(_sketch(key, tokens), "doc_id long, text_hash binary, n long, node long, toks array<long>, bits binary"), "sketch")
     sets = sketch.where("node is not null")
     reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("lead"), F.min_by(F.struct("n", "toks", "bits"), "n").alias("s"))
     nodes = materialize(reps.select("node", "doc_id", "lead", "s.*"), "nodes")
     marked = materialize(_candidates(nodes), "marked")
-    near = nodes.join(marked.select("node").distinct(), "node", "left_semi")
+    near = materialize(nodes.join(marked.select("node").distinct(), "node", "left_semi").select(F.col("lead").alias("text_hash"), "node"), "near")
     # the text of one row of each node, found by the text's hash: ids can repeat or be null. Copies go once from each batch
-    texts = docs.select("text_hash", "text").mapInArrow(_distinct_texts, "text_hash long, text string")
-    wanted = texts.join(near.select(F.col("lead").alias("text_hash"), "node"), "text_hash")
-    texts = materialize(wanted.select("node", "text").mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "texts")
-    comp = components(materialize(_links(marked, texts), "links"), "comp")
+    if near.count() <= BROADCAST_ROWS:
+        texts = docs.select("text_hash", "text").join(F.broadcast(near.select("text_hash")), "text_hash", "left_semi")
+    else:
+        texts = docs.select("text_hash", "text")
+    wanted = texts.mapInArrow(_distinct_texts, "text_hash binary, text string").join(near, "text_hash")
+    texts = materialize(wanted.select("node", "text").dropDuplicates(["node"]), "texts")
+    links = materialize(_links(marked, texts, key), "links")
+    comp = components(links, "comp")
+    discard(marked, near, texts, links)
     named = nodes.select("node", "doc_id", "lead").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     to = named.select("node", "comp", "lead").join(least, "comp").select("node", "comp", "component_id", "lead")
     return sketch.select("doc_id", "text_hash", "n", "node").join(to, "node", "left")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: int | None = TOKENS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (see the module)."""
-    out = _rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")))
+    out = _rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash")), tokens)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, without near duplicates.
+def keep_one_of_each(docs: DataFrame, tokens: int | None = TOKENS) -> DataFrame:
+    """The rows of docs (doc_id, text and any others), with their columns, without near duplicates.
 
     Of each component the rows with its smallest id stay, equal texts of them once. Rows without an id stay only if no
-    row of their component has one, and then one of them. Rows without an id and a word are kept, equal texts once.
+    row of their component has one, and then one of them. Rows without a word are kept, equal texts of one id once.
     """
-    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")))
+    rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash("text").alias("text_hash")), tokens)
     first = (F.col("node") == F.col("comp")) & (F.col("text_hash") == F.col("lead"))
     leads = F.col("node").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull() & first)
-    keep = rows.where(leads).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct()
-    once = docs.withColumns({"text_md5": F.md5("text")}).dropDuplicates(["doc_id", "text_md5"]).drop("text_md5")
-    return once.join(keep, once["doc_id"].cast("long").eqNullSafe(keep["own_id"]) & (F.xxhash64(once["text"]) == keep["own_hash"]), "left_semi")
+    # the texts that stay, once, are most: look for the others
+    each = rows.groupBy("doc_id", "text_hash").agg(F.bool_or(F.coalesce(leads, F.lit(False))).alias("stays"), F.count("*").alias("n")).where(~F.col("stays") | (F.col("n") > 1))
+    own = [free(c, docs) for c in ("own_id", "own_hash", "stays", "text_hash")]
+    others = materialize(each.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1]), F.col("stays").alias(own[2])), "others")
+    some = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    held = docs.withColumn(own[3], _text_hash("text"))
+    held = held.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.col(own[3]) == F.col(own[1])), "left")
+    again = held.where(own[2]).dropDuplicates(["doc_id", own[3]])
+    return held.where(F.col(own[2]).isNull()).unionByName(again).select(*docs.columns)
 
 
 def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        _, first = np.unique(b.column(0).to_numpy(), return_index=True)
-        yield b.take(pa.array(first))
-
-
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        nodes = b.column(b.schema.get_field_index("node")).to_numpy()
-        text = b.column(b.schema.get_field_index("text"))
-        keep = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == v for s, v in zip(shingle_sets(text), nodes, strict=True)]
-        at = pa.array(np.flatnonzero(keep))
-        yield pa.record_batch([pa.array(nodes).take(at), text.take(at)], ["node", "text"])
+        first = dict(zip(reversed(b.column(0).to_pylist()), range(b.num_rows - 1, -1, -1)))
+        yield b.take(pa.array(sorted(first.values()), pa.int64()))

@@ -9,7 +9,9 @@ They are dealt by a hash of the whole row and its place in its task into groups
 key can't fill one group, and each group is packed by one task with bounded state (gap counts and open sequences).
 A group leaves at most a few sequences partly empty, so the number of sequences stays near the sum over lengths.
 
-Defined results: a null or empty text is the single id 0 (one piece of length 1). Repeated rows are packed once each.
+Defined results: a null or empty text is the single id 0 (one piece of length 1). A text of any length is tokenised
+whole. Repeated rows, and rows without an id, are packed once each; ties in length keep the order of checksum, id and
+piece. An empty table gives an empty result. Columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, small_batches, span_hashes, text_buffers
+from .common import heads, mix, parts_for, small_batches, text_buffers
 
 SEQUENCE = 2048
 GROUP_PIECES = 32768
@@ -41,26 +42,30 @@ _CLASS[48:58] = _DIGIT
 class WordTokenizer:
     """Ids of the tokenizer word_bpe_49k (lower case, word ends), by a store of words for plain Latin text.
 
-    The tokenizer's own encode() gives the ids of every word once and of every text with other characters.
+    The tokenizer's own encode() gives the ids of every word once, and of every text with other characters or with the
+    string of a special token. Words up to 16 bytes are found by a hash and compared byte by byte, longer ones by
+    themselves; a text with two words of one hash goes to encode().
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[int | bytes, int] = {}
+        self.heads = np.zeros((1 << 16, 2), np.uint64)
         self.offs = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _add(self, keys: list[int], words: list[str]) -> None:
+    def _add(self, keys: list[int | bytes], words: list[str], heads: np.ndarray) -> None:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
@@ -70,32 +75,46 @@ class WordTokenizer:
                 ids, cuts = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
             k = len(self.index)
             while k + len(some) + 1 > len(self.offs):
-                self.offs = np.concatenate((self.offs, np.zeros_like(self.offs)))
+                self.offs, self.heads = np.concatenate((self.offs, np.zeros_like(self.offs))), np.concatenate((self.heads, np.zeros_like(self.heads)))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             self.flat[self.used : self.used + len(ids)] = ids
             self.offs[k + 1 : k + 1 + len(some)] = cuts + self.used
+            self.heads[k : k + len(some)] = heads[at : at + 20_000]
             self.used += len(ids)
             self.index.update(zip(keys[at : at + 20_000], range(k, k + len(some))))
 
-    def _words(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Store positions of the words."""
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.index]
+    def _words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Store positions of the words, and whether each is the word at its position."""
+        a, b = heads(buf, starts, ends)
+        raw = buf.tobytes()
+        long = np.flatnonzero(ends - starts > 16)
+        hashes = mix(a ^ mix(b + np.uint64(0x9E3779B97F4A7C15)))
+        keys, first, back = np.unique(np.delete(hashes, long), return_index=True, return_inverse=True)
+        short = np.delete(np.arange(len(a)), long)
+        first = short[first]
+        own = [raw[starts[i] : ends[i]] for i in long.tolist()]
+        spans = dict.fromkeys(own)
+        names: list[int | bytes] = [*keys.tolist(), *spans]
+        missing = [i for i, h in enumerate(names) if h not in self.index]
         if len(self.index) + len(missing) > STORE_WORDS:  # begin anew, with all words of these texts
             self._clear()
-            missing = list(range(len(keys)))
+            missing = list(range(len(names)))
         if missing:
-            raw = buf.tobytes()
-            words = [raw[starts[first[i]] : ends[first[i]]].decode() for i in missing]
-            self._add([keys[i] for i in missing], words)
-        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[back]
+            top = np.concatenate((np.stack((a[first], b[first]), 1), np.zeros((len(spans), 2), np.uint64)))
+            words = [raw[starts[first[i]] : ends[first[i]]] if i < len(keys) else names[i] for i in missing]
+            self._add([names[i] for i in missing], [w.decode() for w in words], top[missing])
+        at = np.zeros(len(a), np.int64)
+        at[short] = np.fromiter(map(self.index.__getitem__, names[: len(keys)]), np.int64, len(keys))[back]
+        at[long] = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
+        same = (self.heads[at, 0] == a) & (self.heads[at, 1] == b)
+        same[long] = True
+        return at, same
 
     def ids(self, col: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row, and a final 0, as unsigned 32-bit numbers."""
         for i, n, buf, offs in text_buffers(col):
-            kind = _CLASS[buf]
+            kind, raw = _CLASS[buf], buf.tobytes()
             buf = buf.copy()
             buf[(buf >= 65) & (buf <= 90)] += 32
             lead = np.flatnonzero(buf == 0xC3)
@@ -130,9 +149,15 @@ class WordTokenizer:
             stops = np.flatnonzero(cut)
             ends = stops[np.searchsorted(stops, starts, "right")]
             rows = np.searchsorted(offs, starts, "right") - 1
+            for text in self.special:
+                p = raw.find(text)
+                while p >= 0:
+                    bad[np.searchsorted(offs, p, "right") - 1] = True
+                    p = raw.find(text, p + 1)
             good = ~bad[rows]
             starts, ends, rows = starts[good], ends[good], rows[good]
-            at = self._words(span_hashes(buf, starts, ends, lower=False), buf, starts, ends) if len(starts) else np.zeros(0, np.int64)
+            at, same = self._words(buf, starts, ends)
+            bad[rows[~same]] = True
             size = self.offs[at + 1] - self.offs[at]
             total = int(size.sum())
             place = np.repeat(self.offs[at] - (np.cumsum(size) - size), size) + np.arange(total)
@@ -146,21 +171,25 @@ class WordTokenizer:
                 yield np.append(own, np.uint32(0))
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker and path."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
+    """One for each Python worker, path and way of special tokens."""
+    key = (path, special_as_text)
+    if key not in _tokenizers:
+        _tokenizers[key] = WordTokenizer(*key)
+    return _tokenizers[key]
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, place (of the row in its task) and, if asked for, ids (bytes)."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, place (of the row in its task) and, if asked for, ids (bytes).
+
+    The strings of special tokens are these tokens, as the tokenizer has it, or ordinary text with special_as_text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, place = tokenizer(tokenizer_path), 0
+        tok, place = tokenizer(tokenizer_path, special_as_text), 0
         for b in batches:
             rows = []
             for r, ids in enumerate(tok.ids(b.column(1))):
@@ -217,14 +246,16 @@ def pack(pieces: DataFrame, rows: int, length: int = SEQUENCE) -> DataFrame:
     cols = [c for c in pieces.columns if c != "place"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "place") + ", sequence_id long, offset long"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece", "place"], ascending=[False, True, True, True, True], kind="stable")
-        seq, off = sum_of_squares(pdf["length"].to_numpy(), length)
-        return pdf[cols].assign(sequence_id=seq + (int(pdf["grp"].iloc[0]) << 32), offset=off)
+    def one(t: pa.Table) -> pa.Table:
+        # ids stay in Arrow: null ids don't turn their neighbours into floats
+        t = t.sort_by([("length", "descending"), *[(c, "ascending") for c in ("ids_crc32", "doc_id", "piece", "place")]])
+        seq, off = sum_of_squares(t.column("length").to_numpy(), length)
+        first = t.column("grp")[0].as_py() << 32
+        return t.select(cols).append_column("sequence_id", pa.array(seq + first)).append_column("offset", pa.array(off))
 
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(one, schema)
+    return dealt.groupBy("grp").applyInArrow(one, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    return pack(cut_pieces(docs, tokenizer_path, length, with_ids), 2 * docs.count(), length)
+def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
+    return pack(cut_pieces(docs, tokenizer_path, length, with_ids, special_as_text=special_as_text), 2 * docs.count(), length)

@@ -4,11 +4,12 @@ When shards are appended, a row either stays or goes to one of the new shards; a
 Law: `key`. Rows of equal text go where their own ids send them.
 
 At scale: the shard is a vectorised function of the id; texts aren't shuffled, only (id, size, crc32, shard) rows.
-Slots are dealt in two levels: id ranges (from quantiles) are counted for each shard, the counts are summed, and rows
-are numbered within (shard, range) only, so no task holds a shard.
+These rows are sorted by (shard, id, size, checksum) over range partitions that grow in number with the rows and split
+repeated rows too; a row's slot is its place in its partition and what earlier partitions hold of the shard.
 
-Defined results: a null id hashes as 0; a null text has size 1 and the crc32 of no bytes (0). Repeated rows go to the
-same shard and get slots of their own. Extra columns of the input are not looked at.
+Defined results: a null id hashes as 0 and comes first; a null text has size 1 and the crc32 of no bytes (0). Texts of
+any length count whole. Repeated rows go to the same shard and get slots of their own. An empty table gives an empty
+result. Extra columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_ranges, parts_for
+from .common import materialize, sorted_rows
 
-RANGE_ROWS = 16384
 #: Fixed values of the published algorithm: a linear congruential step and 2 ** 31.
 STEP, SPAN = 2862933555777941757, float(1 << 31)
 
@@ -53,12 +53,11 @@ def shard_by_key(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    ranges = id_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", parts_for(docs.count(), RANGE_ROWS))
-    rows = rows.withColumn("shard", jump_hash("doc_id", shards)).withColumn("grown_shard", jump_hash("doc_id", shards + 1)).withColumn("range", ranges)
-    counts = rows.groupBy("shard", "range").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "range").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("at", F.row_number().over(within))
-    out = numbered.join(starts, ["shard", "range"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at") - 1).alias("slot"), "grown_shard")
+    rows = materialize(rows.withColumn("shard", jump_hash("doc_id", shards)).withColumn("grown_shard", jump_hash("doc_id", shards + 1)), "sharded")
+    order = ["shard", "doc_id", "size", "text_crc32"]
+    held = sorted_rows(rows, *[F.col(c) for c in order], rows=rows.count(), name="shards")
+    counts = held.groupBy("shard", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = counts.select("shard", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    out = held.join(F.broadcast(starts), ["shard", "part"])  # at most one row for each partition and shard
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard")
