@@ -4,10 +4,14 @@ Features are the 1- to 3-grams of the lower-case letters of a text (everything e
 with weights (1 + ln count) * idf and unit length. Document frequencies of the buckets are counted over all documents.
 The model is trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample: the PER_LANGUAGE
 labelled documents with the smallest id hashes of each language (a documented parameter; every fifth one is held back
-to fit the temperature by which the logits are divided). Only the sample's sparse vectors come to the driver.
+to fit the temperature by which the logits are divided). Only the sample's sparse vectors come to the driver. Labels
+are classes of one model, so there are few of them: one row for each comes to the driver.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if nothing is labelled.
-With one labelled language, every text with a letter has it, with score 1. Ties go to the smaller language code.
+With one labelled language, every text with a letter has it, with score 1. Ties go to the smaller language code. Texts
+of any length are read whole. Repeated rows get equal results; to learn from, rows of one id count once, with the
+smallest text and label. Null ids are predicted but not learned from. An empty table gives an empty result. Other
+columns stay as they are, whatever their names, in keep_identified; identify adds lang_pred and score to them.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_mod, least_hashed, letters, small_batches
+from .common import SPACE, free, id_mod, least_hashed, letters, small_batches
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -178,14 +182,14 @@ def train(docs: DataFrame, labelled: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; other columns stay as they are."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score, under the given names; other columns stay as they are."""
     from pyspark.sql import types as T
 
     model.weights = model.weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.langs, "und"], object)
+        langs = np.array([*model.langs, "und"], object)
         for b in batches:
             pred, score = np.full(b.num_rows, len(model.langs)), np.zeros(b.num_rows)
             if model.langs:
@@ -193,10 +197,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     p = model.probabilities(row, bucket, count, n)
                     pred[i : i + n] = np.where(has, p.argmax(1), len(model.langs))
                     score[i : i + n] = np.where(has, p.max(1), 0.0)
-            yield pa.record_batch([*b.columns, pa.array(names[pred], pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*b.columns, pa.array(langs[pred], pa.string()), pa.array(score)], [*b.schema.names, *names])
 
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -210,4 +214,5 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language was identified, with the columns they had."""
-    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free("lang_pred", docs), free("score", docs)
+    return identify(docs, model, names=(lang, score)).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
