@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-case words of a text and the 5-grams of letters within words and over their ends. The vocabulary is
-bounded: the terms of the labelled sample that go with the label by a chi-squared test (LEAST_CHI2, at most VOCABULARY).
-Document frequencies of its terms are counted over all documents. The examples are a bounded sample of labelled rows,
-the PER_CLASS[label] of each label with the smallest id hashes (documented parameters). A text's vector has the
-weights (1 + ln count) * idf at unit length.
+Terms are the lower-case words of a text. The examples are a bounded sample of labelled rows, the PER_CLASS[label] of
+each label with the smallest id hashes (documented parameters); the vocabulary is every word of at least LEAST_DOCS of
+them, without a cap. Document frequencies are counted over all documents. A text's vector has the weights
+(1 + ln count) * idf * relevance at unit length; the relevance of a term is how far it goes with the label in the
+sample, its chi-squared over CHI2, at most 1, to the power of SHARPNESS. No term is left out by it, but those that go
+with neither label hardly count.
 
 The index keeps, for blocks of BLOCK similar examples, the postings of each term and the largest weight of the term in
 the block. A query visits blocks by falling bound (sum of its weights times the block's largest ones) until the K-th
@@ -13,15 +14,19 @@ by the true share of their label; a logistic curve fitted to the examples' own v
 into calibrated scores. The three nearest examples come along as evidence.
 
 At scale: three scans of the texts (sample, frequencies, scores), of which none shuffles them; the index is broadcast
-and bounded by the two parameters above.
+and bounded by the sample.
 
 Defined results: texts without any term of the vocabulary (also null and empty ones) get the smoothed share of label 1
 among such examples, and no evidence. If nothing is labelled, scores are 0. Repeated labels of one id count once, toxic
-if any is.
+if any is; rows of one id are one example with the smallest text. Rows without an id are scored, labels without one are
+not used. Texts of any length are read whole. Repeated rows get equal scores; ties in similarity go to the smaller id.
+An empty table gives an empty result. Other columns stay as they are, whatever their names, in keep_clean; score adds
+toxicity and evidence to them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, id_mod, letters, materialize, mix, small_batches
+from .common import SPACE, free, id_mod, letters, materialize, mix, small_batches
 
 PER_CLASS = {1: 3000, 0: 5000}
-VOCABULARY, LEAST_CHI2, LEAST_DOCS = 4096, 36.0, 3
-GRAM, BLOCK, K, EVIDENCE = 5, 64, 32, 3
+CHI2, SHARPNESS, LEAST_DOCS = 36.0, 2, 3
+BLOCK, K, EVIDENCE = 128, 32, 3
 THRESHOLD = 0.3
-STORE = 50_000
+#: Scores that a task keeps for texts of equal terms.
+STORE = 20_000
 
 _R = pow(3, 41, 1 << 64) | 1
 _powers: dict[str, np.ndarray] = {}
@@ -52,7 +58,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def row_terms(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row, 64-bit hash) of all words and 5-grams, in text order, repeats included."""
+    """(first row, rows, row, 64-bit hash) of all words, in text order, repeats included."""
     for i, n, cps, offs in letters(col):
         m = len(cps)
         row = np.repeat(np.arange(n), np.diff(offs))
@@ -65,18 +71,17 @@ def row_terms(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         starts = np.flatnonzero(full & (~np.concatenate(([False], full[:-1])) | first[:-1])) if m else np.zeros(0, np.int64)
         ends = np.flatnonzero(full & (~np.concatenate((full[1:], [False])) | first[1:])) + 1 if m else starts
         words = mix((sums[ends] - sums[starts]) * back[starts] + np.uint64(1))
-        p = max(0, m - GRAM + 1)
-        ok = row[:p] == row[GRAM - 1 :]
-        for k in range(1, GRAM - 1):
-            ok = ok & full[k : k + p]
-        at = np.flatnonzero(ok)
-        grams = mix((sums[at + GRAM] - sums[at]) * back[at] + np.uint64(2))
-        yield i, n, np.concatenate((row[starts], row[at])), np.concatenate((words, grams))
+        yield i, n, row[starts], words
 
 
 class Vocabulary:
-    def __init__(self, hashes: list[int]):
-        self.hashes = np.sort(np.array(hashes, np.int64).view(np.uint64))
+    """Terms by the order of their hashes, with the relevance of each."""
+
+    def __init__(self, hashes: list[int], relevance: list[float] | None = None):
+        held = np.array(hashes, np.int64).view(np.uint64)
+        order = np.argsort(held)
+        self.hashes = held[order]
+        self.relevance = np.ones(len(held)) if relevance is None else np.array(relevance, float)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -104,22 +109,23 @@ class BlockMaxIndex:
         w = np.concatenate([vectors[r][1] for r in self.order] or [np.zeros(0)])
         cell = t * self.blocks + ex // BLOCK
         by = np.argsort(cell, kind="stable")
-        self.example, self.weight = ex[by], w[by]
-        self.offs = np.searchsorted(cell[by], np.arange(terms * self.blocks + 1))
-        self.largest = np.zeros((terms, self.blocks))
-        np.maximum.at(self.largest, (t, ex // BLOCK), w)
+        self.example, self.weight = ex[by].astype(np.int32), w[by]
+        self.offs = np.searchsorted(cell[by], np.arange(terms * self.blocks + 1)).astype(np.int32)
+        largest = np.zeros((terms, self.blocks))
+        np.maximum.at(largest, (t, ex // BLOCK), w)
+        self.largest = np.nextafter(largest.astype(np.float32), np.float32(2))  # no less than the weights
         self.size = len(vectors)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and similarities of the k nearest with a similarity above 0, nearest first, and the number of blocks visited."""
-        bound = weights @ self.largest[terms]
+        bound = (weights @ self.largest[terms]) * (1 + 1e-6)
         order = np.argsort(-bound, kind="stable")
         found, sims = np.zeros(0, np.int64), np.zeros(0)
         at, kth, step = 0, 0.0, 2
         while at < self.blocks and bound[order[at]] > kth + 1e-12:
             some = order[at : at + step]
             cells = (terms[:, None] * self.blocks + some[None, :]).ravel()
-            a, size = self.offs[cells], self.offs[cells + 1] - self.offs[cells]
+            a, size = self.offs[cells].astype(np.int64), (self.offs[cells + 1] - self.offs[cells]).astype(np.int64)
             place = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
             total = np.bincount(self.example[place], self.weight[place] * np.repeat(np.repeat(weights, len(some)), size), self.size)
             new = np.flatnonzero(total)
@@ -130,7 +136,7 @@ class BlockMaxIndex:
             found, sims = found[best], sims[best]
             kth = sims[-1] if len(sims) == k else 0.0
             at, step = at + step, step * 2
-        return self.order[found], np.minimum(sims, 1.0), at
+        return self.order[found], np.minimum(sims, 1.0), min(at, self.blocks)
 
 
 @dataclass
@@ -145,8 +151,9 @@ class Model:
     empty: float = 0.0
 
     def vector(self, terms: np.ndarray, count: np.ndarray) -> np.ndarray:
-        x = (1 + np.log(count)) * self.idf[terms]
-        return x / np.sqrt((x * x).sum())
+        x = (1 + np.log(count)) * self.idf[terms] * self.vocabulary.relevance[terms]
+        norm = np.sqrt((x * x).sum())
+        return x / norm if norm > 0 else x
 
     def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
         """The log odds of the neighbours' distance-weighted votes."""
@@ -207,9 +214,9 @@ def _vocabulary(sample: DataFrame) -> Vocabulary:
     t = sample.select("text", "toxic").mapInArrow(run, "term long, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= LEAST_DOCS)
     a, n, rows = F.col("a").cast("double"), F.col("n").cast("double"), float(pos + neg)
     cross = a * (neg - (n - a)) - (n - a) * (pos - a)
-    chi2 = F.try_divide(F.lit(rows) * cross * cross, n * (F.lit(rows) - n) * float(pos) * float(neg))
-    best = t.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
-    return Vocabulary([r["term"] for r in best])
+    chi2 = F.coalesce(F.try_divide(F.lit(rows) * cross * cross, n * (F.lit(rows) - n) * float(pos) * float(neg)), F.lit(0.0))
+    got = t.select("term", F.pow(F.least(F.lit(1.0), F.greatest(chi2, F.lit(1e-6)) / CHI2), F.lit(SHARPNESS)).alias("relevance")).toArrow()  # the words of the bounded sample
+    return Vocabulary(got.column("term").to_numpy(), got.column("relevance").to_numpy())
 
 
 def term_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
@@ -224,10 +231,9 @@ def term_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.n
                 total += np.bincount(term, minlength=size)
         yield pa.record_batch([pa.array(np.arange(-1, size)), pa.array(np.concatenate(([rows], total)))], ["term", "n"])
 
-    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most VOCABULARY + 1 rows
+    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the words of the bounded sample
     df = np.zeros(size + 1, np.int64)
-    for r in got:
-        df[r[0] + 1] = r[1]
+    df[got.column("term").to_numpy() + 1] = got.column("n").to_numpy()
     return int(df[0]), df[1:]
 
 
@@ -272,8 +278,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with toxicity and evidence (doc_id, similarity and label of the nearest examples); other columns stay."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("toxicity", "evidence")) -> DataFrame:
+    """docs with toxicity and evidence (doc_id, similarity and label of the nearest examples), under the given names; other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store: dict[bytes, tuple] = {}  # many texts have the same few terms
@@ -283,18 +289,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for _, n, row, term, count in model.vocabulary.counts(b.column(b.schema.get_field_index(text_col))):
                 cut = np.searchsorted(row, np.arange(n + 1)).tolist()
                 for a, z in zip(cut, cut[1:]):
-                    key = term[a:z].tobytes() + count[a:z].tobytes()
+                    key = hashlib.blake2b(term[a:z].tobytes() + count[a:z].tobytes(), digest_size=16).digest()
                     if (got := store.get(key)) is None:
                         if len(store) >= STORE:
                             store.clear()
                         got = store[key] = model.score(term[a:z], count[a:z])
                     out.append(got)
             evidence = [[{"doc_id": i, "similarity": s, "toxic": t} for i, s, t in e] for _, e in out]
-            yield pa.record_batch([*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], [*b.schema.names, "toxicity", "evidence"])
+            yield pa.record_batch([*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], [*b.schema.names, *names])
 
     small_batches(docs.sparkSession)
     near = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", near)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], near)]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,4 +312,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with the columns they had."""
-    return score(docs, model).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    names = free("toxicity", docs), free("evidence", docs)
+    return score(docs, model, names=names).where(F.col(names[0]) < THRESHOLD).select(*docs.columns)
