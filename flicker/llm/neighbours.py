@@ -5,98 +5,163 @@ lines with the block's vectors sorted along each. A query opens a window around
 (half width HALF * R) and counts in how many windows each vector lies; vectors with at least the threshold of
 collisions are verified by their exact distance. Virtual rehashing: R grows by GROWTH, windows only add what is new,
 until the k-th verified distance is at most R (every vector that near has collided often enough but for a chance of
-about 1e-3) or the windows hold the whole block. There is no cap on candidates. Queries are dealt into chunks; each
-(block, chunk) is one task with bounded memory, and the k best of each block are merged for each query.
+about 1e-3) or the windows hold the whole block. There is no cap on candidates.
+
+A first pass searches every query in one block only. The k-th distance found there bounds what any other block can add,
+so in the second pass a query leaves a block as soon as R has reached its bound: how far it looks depends on its
+neighbours in the whole table, not on what the block happens to hold. Queries are dealt into chunks; each (block, chunk)
+is one task with bounded memory, which searches its queries together, and the k best of each block are merged.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part; equal distances go to the smaller id; copies of a query under other ids are ordinary candidates.
+no part; an empty table gives an empty result. Projections are taken of vectors scaled by the largest component, so no
+finite vector overflows them; a distance beyond the doubles is infinite and sorts last. Equal distances go to the
+smaller id. Copies of a query under other ids are ordinary candidates. Rows of one id are candidates each, but a query
+is searched once, with the smallest vector of its id, and its own id is never its neighbour. Columns besides id and
+vector are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import materialize, parts_for
 
 BLOCK_ROWS, CHUNK_QUERIES, LEAST_TASKS = 16384, 4096, 12
-PROJECTIONS, HALF, ALPHA, GROWTH = 64, 1.36, 0.62, 1.4
+PROJECTIONS, HALF, ALPHA, GROWTH = 64, 0.8, 0.39, 1.3
+#: Queries that are counted together: so many rows of counters for a block are held at once.
+TOGETHER = 32
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; differences are scaled where their squares would overflow or vanish."""
+    with np.errstate(over="ignore"):
+        d = np.abs(x - q)
+        top = d.max(-1, initial=0.0)
+        plain = (top < 1e150) & (top > 1e-140)
+        scale = np.where(plain | (top == 0) | ~np.isfinite(top), 1.0, top)
+        d = d / scale[..., None] if not plain.all() else d
+        return np.where(np.isfinite(top), scale * np.sqrt((d * d).sum(-1)), np.inf)
 
 
 class CollisionIndex:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors. scale: what vectors are divided by before they are projected."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, scale: float = 1.0, seed: int = 7):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order]
+        self.ids, self.x, self.scale = ids[order], vectors[order], scale
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-        p = self.x @ self.lines
+        p = (self.x / scale) @ self.lines
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.sort(p, axis=0).T.copy()
+        self.visited = 0
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, m = len(self.ids), PROJECTIONS
-        at = q @ self.lines
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and distances of the k nearest found for each query, nearest first. bounds: distances beyond which nothing is wanted."""
+        out = []
+        for at in range(0, len(queries), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            out += self._search(queries[some], own[some], k, np.full(len(queries[some]), np.inf) if bounds is None else bounds[some])
+        return out
+
+    def _search(self, q: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, m, many = len(self.ids), PROJECTIONS, len(q)
+        p = (q / self.scale) @ self.lines
         need = int(np.ceil(ALPHA * m))
-        counts = np.zeros(n, np.int16)
-        lo = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(m)])
+        counts = np.zeros(many * n, np.int16)
+        dist = np.full((many, n), np.nan)
+        done = self.ids[None, :] == own[:, None]
+        lo = np.stack([np.searchsorted(self.sorted[j], p[:, j]) for j in range(m)], 1)
         hi = lo.copy()
-        dist = np.full(n, np.inf)
-        own_row = (self.ids == own) if own is not None else np.zeros(n, bool)
-        done = own_row.copy()
         # the first radius: windows of the middle line hold about k vectors
-        reach = np.sort([abs(self.sorted[j][min(n - 1, max(0, lo[j] + k // 2))] - at[j]) for j in range(m)])
-        r = max(float(reach[m // 2]) / HALF, 1e-12)
-        while True:
-            left = [int(np.searchsorted(self.sorted[j], at[j] - HALF * r, "left")) for j in range(m)]
-            right = [int(np.searchsorted(self.sorted[j], at[j] + HALF * r, "right")) for j in range(m)]
-            new = [self.order[j][a:b] for j in range(m) for a, b in ((left[j], lo[j]), (hi[j], right[j])) if b > a]
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
-            lo, hi = np.array(left), np.array(right)
-            fresh = np.flatnonzero((counts >= need) & ~done)
-            if len(fresh):
-                done[fresh] = True
-                d = self.x[fresh] - q
-                dist[fresh] = np.sqrt(np.einsum("ij,ij->i", d, d))
-            found = int(np.isfinite(dist).sum())
-            if found >= k and np.partition(dist, k - 1)[k - 1] <= r or done.all():
-                break
-            r *= GROWTH
-        got = np.flatnonzero(np.isfinite(dist))
-        best = got[np.lexsort((self.ids[got], dist[got]))][:k]
-        return self.ids[best], dist[best]
+        there = np.clip(lo + k // 2, 0, n - 1)
+        reach = np.sort(np.abs(np.stack([self.sorted[j][there[:, j]] for j in range(m)], 1) - p), 1)
+        r = np.maximum(reach[:, m // 2] / HALF, 1e-12)
+        live = np.arange(many)
+        while len(live):
+            left = np.stack([np.searchsorted(self.sorted[j], p[live, j] - HALF * r[live], "left") for j in range(m)], 1)
+            right = np.stack([np.searchsorted(self.sorted[j], p[live, j] + HALF * r[live], "right") for j in range(m)], 1)
+            # the windows' new stretches, below and above the old ones
+            a, b = np.concatenate((left, hi[live]), 1), np.concatenate((lo[live], right), 1)
+            size = np.maximum(b - a, 0)
+            line = np.tile(np.arange(m), 2)
+            for g, i in enumerate(live):
+                if not size[g].any():
+                    continue
+                new = np.concatenate([self.order[j][s:e] for j, s, e in zip(line.tolist(), a[g].tolist(), b[g].tolist()) if e > s])
+                counts[i * n : (i + 1) * n] += np.bincount(new, minlength=n).astype(np.int16)
+            lo[live], hi[live] = left, right
+            self.visited += int(size.sum())
+            ended = []
+            for i in live.tolist():
+                fresh = np.flatnonzero((counts[i * n : (i + 1) * n] >= need) & ~done[i])
+                if len(fresh):
+                    done[i, fresh] = True
+                    dist[i, fresh] = distances(self.x[fresh], q[i])
+                found = dist[i][~np.isnan(dist[i])]
+                enough = len(found) >= k and np.partition(found, k - 1)[k - 1] <= r[i] * self.scale
+                if enough or r[i] * self.scale >= bounds[i] or done[i].all():
+                    ended.append(i)
+            live = np.setdiff1d(live, ended)
+            r[live] *= GROWTH
+        out = []
+        for i in range(many):
+            got = np.flatnonzero(~np.isnan(dist[i]) & (dist[i] <= bounds[i]))
+            best = got[np.lexsort((self.ids[got], dist[i][got]))][:k]
+            out.append((self.ids[best], dist[i][best]))
+        return out
+
+
+def _vectors(t: pa.Table, dims: int) -> np.ndarray:
+    return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _searched(left: DataFrame, right: DataFrame, dims: int, scale: float, k: int) -> DataFrame:
+    """The k best of each block for the queries sent to it. left: vec_id, v, block, chunk; right: vec_id, v, bound, block, chunk."""
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        got = []
+        if a.num_rows and b.num_rows:
+            ids, query = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+            index = CollisionIndex(ids, _vectors(a, dims), scale)
+            got = [(q, *x) for q, x in zip(query, index.search(_vectors(b, dims), query, k, b.column("bound").to_numpy()))]
+        flat = lambda i, kind: pa.array(np.concatenate([g[i] for g in got]) if got else np.zeros(0), kind)
+        return pa.table({"query_id": pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]) if got else [], pa.int64()), "vec_id": flat(1, pa.int64()), "score": flat(2, pa.float64())})
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(block, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 10, query_every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by query_every."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
-    width = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").select("d", "n").limit(1).collect()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    width = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), largest.alias("largest")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not width:
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, rows = width[0]
+    dims, rows, largest = width[0]
+    scale = 2.0 ** np.floor(np.log2(largest))  # a power of two: scaling changes no digit
     v = v.where(F.size("v") == dims)
-    queries = v.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = materialize(v.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = parts_for(rows, BLOCK_ROWS)
-    chunks = max(parts_for(parts_for(rows, query_every), CHUNK_QUERIES), parts_for(LEAST_TASKS, blocks))
+    most = parts_for(parts_for(rows, query_every), CHUNK_QUERIES)
     hashed = F.xxhash64("vec_id")
-    left = v.select("vec_id", "v", F.pmod(hashed, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
-    right = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(hashed, F.lit(chunks)).alias("chunk"))
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(a) and len(b):
-            index = CollisionIndex(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()))
-            for q, x in zip(b["vec_id"], b["v"], strict=True):
-                ids, dist = index.search(np.asarray(x), q, k)
-                out["query_id"] += [q] * len(ids)
-                out["vec_id"] += ids.tolist()
-                out["score"] += dist.tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    best = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(block, "query_id long, vec_id long, score double")
+    v = v.withColumn("block", F.pmod(hashed, F.lit(blocks)))
+    infinite = F.lit(float("inf"))
+
+    def searched(of: DataFrame, asked: DataFrame, places: int) -> DataFrame:
+        chunks = max(most, parts_for(LEAST_TASKS, places))
+        left = of.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+        return _searched(left, asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks))), int(dims), float(scale), k)
+
+    first = materialize(searched(v.where("block = 0"), queries.select("vec_id", "v", infinite.alias("bound"), F.lit(0).cast("long").alias("block")), 1), "first-block")
+    found = first
+    if blocks > 1:
+        bound = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far"))
+        asked = queries.join(bound, queries["vec_id"] == bound["query_id"], "left").select("vec_id", "v", F.when(F.col("n") >= k, F.col("far")).otherwise(infinite).alias("bound"))
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = first.unionByName(searched(v.where("block > 0"), asked, blocks - 1))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
