@@ -6,14 +6,17 @@ an equivalent WARC record: a name-based record id, an ISO timestamp, the record
 payload. Of records with equal payloads of at least REVISIT_BYTES, that with the smallest page id is the response and
 the others revisit it by its record id, without the payload.
 
-At scale: archives are written where the rows are, one task writing files of about FILE_BYTES one after the other, so
-no payload is shuffled. The decision about each record is made over (file, place, digest) rows; the decisions of a file
-are joined to the compressed file by its path, and the task that converts a file has them all. Equal payloads meet only
-as (digest, smallest id) after a map-side combine.
-
-Defined results: a null html is the empty payload; a null url is `urn:unknown`; white space and control characters in
-urls are percent-encoded. A null page id is left out of the headers, reads back as null and never is the response that
-others refer to. Repeated rows of one page id are written each, all with the type of the first.
+At scale: archives are written where the rows are, one task writing files one after the other, so no payload is
+shuffled. Pages of like size share files, so that a file has about FILE_BYTES at most (or one page), wherever large pages
+lie. The decision about each record is made over (file, place, digest) rows; the decisions of a file are joined to it by
+its path, as a broadcast up to BROADCAST_REVISITS records and by a shuffle of the compressed files beyond, and the task
+that converts a file has them all. Equal payloads meet only as (digest, smallest id) after a map-side combine.
+
+Defined results: a null html is the empty payload, a payload of any length is one record; a null or empty url is
+`urn:unknown`; spaces and control characters in urls are percent-encoded. A null page id is left out of the headers,
+reads back as null and never is the response that others refer to. Repeated rows of one page id are written each, with
+record ids of their own, all with the type of the first; others refer to the first by file and place. No pages make no
+records. Columns besides page_id, url and html are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, remove, scratch_path
 
-FILE_BYTES = 16 << 20
+FILE_BYTES = 64 << 20
 REVISIT_BYTES = 100
+#: Revisits (some 100 bytes each) whose decisions are broadcast to the archives.
+BROADCAST_REVISITS = 500_000
+#: Sizes of pages that share files: up to each of these, in bytes.
+SIZES = (1 << 14, 1 << 18, 1 << 22, 1 << 62)
 #: Fixed values of the formats.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -54,9 +61,10 @@ def write_arc(pages: DataFrame, path: str, per: int, version: int = 2) -> None:
     """pages: page_id, url, payload (string). Files of per records."""
     # percent-encode what would break a header line
     url = F.coalesce("url", F.lit("urn:unknown"))
-    for c in [" ", "\t", "\r", "\n"]:
-        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    url = F.when(url == "", "urn:unknown").otherwise(url)
+    encoded = url
+    for c in (*range(0x21), 0x7F):
+        encoded = F.replace(encoded, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    url = F.when(url == "", "urn:unknown").when(url.rlike(r"[\x00-\x20\x7F]"), encoded).otherwise(url)
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit(CRLF))
     date = F.date_format(F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000))), "yyyyMMddHHmmss")
     rows = pages.select(url.alias("url"), date.alias("date"), F.concat(head, "payload").alias("body"))
@@ -142,19 +150,20 @@ def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
 
 
-def warc_record(fields: dict, body: bytes, again: bool, first: int | None) -> bytes:
-    """The WARC record that is equivalent to an ARC record; a revisit of page first, without payload, if again."""
+def warc_record(fields: dict, body: bytes, place: str, first: tuple[int, str] | None) -> bytes:
+    """The WARC record that is equivalent to an ARC record at a place (file and number); a revisit, without payload, of the record of page first[0] at place first[1], if given."""
     head, payload, page = split_http(body)
+    again = first is not None
     block = head if again else body
     d = fields["Archive-date"]
     lines = {
         "WARC-Type": "revisit" if again else "response",
-        "WARC-Record-ID": record_id("page", page) if page is not None else record_id(fields["URL"], d, hashlib.sha256(payload).hexdigest()),
+        "WARC-Record-ID": record_id("page", page, place),
         "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         "WARC-Target-URI": fields["URL"],
         "WARC-IP-Address": fields["IP-address"],
         "WARC-Profile": REVISIT_PROFILE if again else None,
-        "WARC-Refers-To": record_id("page", first) if again else None,
+        "WARC-Refers-To": record_id("page", *first) if again else None,
         "WARC-Payload-Digest": "sha256:" + hashlib.sha256(payload).hexdigest(),
         "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(),
         "Content-Type": "application/http; msgtype=response",
@@ -163,8 +172,13 @@ def warc_record(fields: dict, body: bytes, again: bool, first: int | None) -> by
     return ("WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in lines.items() if v is not None) + CRLF).encode() + block
 
 
+def _place(path: str, nth: int) -> str:
+    """A record's place: the file's name below its archive, and the record's number in it."""
+    return f"{'/'.join(path.rsplit('/', 2)[-2:])} {nth}"
+
+
 def _decisions(spark: SparkSession, arc_path: str) -> DataFrame:
-    """file, revisits: for each record of the file that revisits another, its place in the file and the page it refers to."""
+    """file, nth, page, place: for each record that revisits another, its file and number in it, and the page and place of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,13 +187,15 @@ def _decisions(spark: SparkSession, arc_path: str) -> DataFrame:
                 for nth, (_, body) in enumerate(parse_arc(gzip.decompress(content.as_py()))):
                     _, payload, page = split_http(body)
                     if len(payload) >= REVISIT_BYTES:
-                        rows.append((path, nth, page, hashlib.sha256(payload).hexdigest()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "nth", "page_id", "digest"])
+                        rows.append((path, nth, _place(path, nth), page, hashlib.sha256(payload).hexdigest()))
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["file", "nth", "place", "page_id", "digest"])
 
-    large = materialize(_files(spark, arc_path).mapInArrow(run, "file string, nth long, page_id long, digest string"), "digests")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    again = large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    return again.groupBy("file").agg(F.collect_list(F.struct("nth", "first")).alias("revisits"))
+    large = materialize(_files(spark, arc_path).mapInArrow(run, "file string, nth long, place string, page_id long, digest string"), "digests")
+    some = F.min(F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").alias("page"), "place"))).alias("first")
+    first = large.groupBy("digest").agg(some, F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first.*")
+    again = large.drop("place").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("page")))
+    return materialize(again.select("file", "nth", "page", "place"), "decisions")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, per: int) -> None:
@@ -187,11 +203,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, per: int) -> Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content, revisits in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                to = {x["nth"]: x["first"] for x in revisits or []}
+            for path, content, revisits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                to = {x["nth"]: (x["page"], x["place"]) for x in revisits or []}
                 out, size = [], 0
                 for nth, (fields, body) in enumerate(parse_arc(gzip.decompress(content.as_py()))):
-                    out.append(warc_record(fields, body, nth in to, to.get(nth)))
+                    out.append(warc_record(fields, body, _place(path, nth), to.get(nth)))
                     size += len(out[-1])
                     if size > 4 << 20:
                         yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
@@ -199,8 +215,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, per: int) -> Non
                 if out:
                     yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    files = _files(spark, arc_path).join(_decisions(spark, arc_path).withColumnRenamed("file", "path"), "path", "left")
-    rows = files.select("content", "revisits").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    again = _decisions(spark, arc_path)
+    small = again.count() <= BROADCAST_REVISITS
+    again = again.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("nth", "page", "place")).alias("revisits"))
+    files = _files(spark, arc_path).join(F.broadcast(again) if small else again, "path", "left")
+    rows = files.select("path", "content", "revisits").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     about = f"software: flicker{CRLF}format: WARC File Format 1.1{CRLF}"
     tail = f"{CRLF}WARC-Date: 2001-09-09T01:46:40Z{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: {len(about)}{CRLF}{CRLF}{about}{CRLF}{CRLF}"
     named = lambda name: [F.substring(F.sha2(name, 256), a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
@@ -244,12 +263,23 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes pages as ARC, converts them to WARC, reads these: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
-    size = pages.agg(F.avg(F.octet_length("payload") + 400)).first()[0] or 1
-    per = max(1, int(FILE_BYTES / size))
-    arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc, per)
-    convert(spark, arc, warc, per)
-    records = materialize(read_warc(spark, warc).drop("payload", "url", "date"), "records")
+    # pages of like size share files, so the size of a file follows from the number of its pages
+    size = F.octet_length("payload") + 400
+    kind = F.lit(0)
+    for most in SIZES[:-1]:
+        kind = kind + (size > most).cast("int")
+    sizes = {r[0]: r[1] for r in pages.groupBy(kind.alias("kind")).agg(F.max(size)).collect()}  # at most one row for each of SIZES
+    records = None
+    for k, largest in sorted(sizes.items()):  # equal payloads are of one size
+        arc, warc, per = scratch_path(spark, "arc"), scratch_path(spark, "warc"), max(1, FILE_BYTES // largest)
+        write_arc(pages.where(kind == k), arc, per)
+        convert(spark, arc, warc, per)
+        some = materialize(read_warc(spark, warc).drop("payload", "url", "date"), "records")
+        remove(spark, arc)
+        remove(spark, warc)
+        records = some if records is None else records.unionByName(some)
+    if records is None:
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     whole = records.where("type = 'response' and page_id is not null").groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("bytes"))
     out = records.join(whole.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
     return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to")
