@@ -35,12 +35,21 @@ def rows(df, *cols):
 def tok():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
+
 
+def thue_morse(n):
+    """The Thue-Morse word of 2 ** n letters and its complement: polynomial hashes modulo 2 ** 64 can't tell them apart from n = 10 on."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
 
-TEXTS = ["", "It's 12,5% of we'll don't DON'T a'b ''s 've", "été über ÀÉ ×÷ ß ÿ", "日本語 mixed with latin <|endoftext|> <|startoftext|>x", "a\tb\x0bc\x0c d e", "x" * 300, "I'LL i'll 'LL 're' 1234567890 _-_ (a)[b]{c}", "\U0001f600 ok\x00\x01", None]
+
+TEXTS = [
+    "a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> <|endoftext |>", *thue_morse(10), " ".join(thue_morse(11)), "abcdefgh abcdefghi abcdefghijklmnop abcdefghijklmnopq",
+    "", "It's 12,5% of we'll don't DON'T a'b ''s 've", "été über ÀÉ ×÷ ß ÿ", "日本語 mixed with latin <|endoftext|> <|startoftext|>x", "a\tb\x0bc\x0c d e", "x" * 300, "I'LL i'll 'LL 're' 1234567890 _-_ (a)[b]{c}", "\U0001f600 ok\x00\x01", None,
+]
 
 
 def test_ids_equal_the_tokenizers(tok):
@@ -49,6 +58,31 @@ def test_ids_equal_the_tokenizers(tok):
         assert ids.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 0], text
 
 
+def test_special_tokens_as_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y"]
+    for text, ids in zip(texts, packing.WordTokenizer(tokenizer_path(), special_as_text=True).ids(pa.array(texts))):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_two_words_of_one_hash(tok, monkeypatch):
+    monkeypatch.setattr(packing, "mix", lambda x: x * np.uint64(0))  # all words collide
+    texts = ["one two three", "two", "three two", "one"]
+    t = packing.WordTokenizer(tokenizer_path())
+    for _ in range(2):
+        for text, ids in zip(texts, t.ids(pa.array(texts))):
+            assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_keeps_large_ids_beside_null_ids(spark, tok):
+    docs = [(9007199254740993, "a b c"), (None, "d e"), (2**63 - 1, "f <|endoftext|>"), (None, None)]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), tokenizer_path()).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got if r["doc_id"] is not None) == [(9007199254740993, 4), (2**63 - 1, 3)]
+
+
 def test_ids_of_all_documents(spark, tok):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").toArrow().column("text").combine_chunks()
     for text, ids in zip(docs.to_pylist(), packing.WordTokenizer(tokenizer_path()).ids(docs)):
@@ -67,7 +101,7 @@ def test_ids_with_more_words_than_the_store_holds(tok, monkeypatch):
 
 def check_packing(df, docs, tok):
     got = df.toPandas()
-    assert (got.length >= 1).all() and (got.length <= 2048).all()
+    assert len(got) and (got.length >= 1).all() and (got.length <= 2048).all()
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
@@ -147,14 +181,47 @@ def near_copies(n=60):
     return [*docs, (1000, docs[3][1].upper()), (1001, ""), (1002, None), (1003, "a b"), (1004, "A  B"), (1005, "a b c")]
 
 
-@pytest.mark.parametrize("tile", [4 << 20, 300])
-def test_near_duplicates(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,broadcast", [(4 << 20, 1000), (300, 0)])
+def test_near_duplicates(spark, monkeypatch, tile, broadcast):
     monkeypatch.setattr(ngram_join, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
     docs = near_copies()
     got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == brute_components(docs)
 
 
+@pytest.mark.parametrize("tokens", [None, 28])
+def test_near_duplicates_of_long_sets(spark, tokens):
+    """Sets of over 140 shingles, whose prefixes are longer than TOKENS: whole, and cut."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(900)]
+        for c in range(4):
+            w = list(base)
+            for k in rng.choice(900, 8 + 8 * c, replace=False):
+                w[k] = f"x{c}_{k}"
+            docs.append((g * 10 + c, " ".join(w)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), tokens=tokens)
+    assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == brute_components(docs)
+
+
+def test_sets_of_words_that_collide_in_polynomial_hashes(spark):
+    x, y = thue_morse(10)
+    docs = [(1, " ".join([x] * 3 + ["p"] * 3)), (2, " ".join([y] * 3 + ["p"] * 3)), (3, x + " " + y), (4, y + " " + x)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == brute_components(docs)
+
+
+def test_dropping_near_duplicates_keeps_all_columns(spark, monkeypatch):
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("text_md5", "text_hash", "own_id", "own_hash", "stays", "node")})
+    want = {c for _, _, c in brute_components(near_copies())}
+    for most in (1000, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+        kept = ngram_join.keep_one_of_each(docs)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
+
+
 def test_near_duplicates_of_odd_input(odd_docs, no_docs):
     got = rows(ngram_join.jaccard_components(odd_docs), "doc_id", "n_shingles", "component_id")
     assert len(got) == 9 and got.count((1, 5, 1)) == 2 and (None, 5, 1) in got and (2, 0, 2) in got and (5, 1, 5) in got
@@ -205,6 +272,16 @@ def test_next_text_over_many_ranges(spark, monkeypatch):
     assert got == {i * 3: f"text {i - 1 if i else 99}" for i in range(100)}
 
 
+def test_next_text_among_equal_and_null_ids(spark, monkeypatch):
+    """Rows of one id, or without any, are spread over ranges by their texts."""
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
+    docs = [(i if i < 20 else 20 if i < 60 else None, f"{i * 7919 % 100:03} text") for i in range(100)]
+    with_range = imatch.with_next(spark.createDataFrame(docs, "doc_id long, text string")).where("ghost = 0")
+    order = [t for _, t in sorted(docs, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert {r["text"]: r["next"] for r in with_range.collect()} == dict(zip(order, [*order[1:], order[0]]))
+    assert with_range.groupBy("range").count().agg(F.max("count")).first()[0] <= 14
+
+
 def test_edits_are_nearer_than_strangers(spark):
     got = QUERIES["op3_imatch_fingerprints"](spark, SMALL).where("n_chars > 100")
     near, far = got.agg(F.avg("near_edited"), F.avg("near_next")).first()
@@ -237,6 +314,66 @@ def test_block_max_search_is_exact():
     assert np.mean(visited) < index.blocks  # bounds let blocks be left out
 
 
+def test_toxicity_against_brute_force(spark):
+    """Neighbours, votes, curve and scores from dense vectors, on the words of a small table."""
+    sf = f"{DATA}/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    words = {d: [x.lower() for x in re.findall(r"[^\W\d_]+", t)] for d, t in texts.items()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["toxic"] is not None}
+    ids = sorted(toxic)
+    y = np.array([toxic[d] for d in ids])
+    held = {}
+    for d, t in zip(ids, y):
+        for w in set(words[d]):
+            held.setdefault(w, [0, 0])[t] += 1
+    n, pos = len(ids), int(y.sum())
+    relevance = {}
+    for w, (clean, bad) in held.items():
+        k = clean + bad
+        if k >= toxicity.LEAST_DOCS:
+            below = k * (n - k) * pos * (n - pos)
+            chi2 = n * (bad * (n - pos - clean) - clean * (pos - bad)) ** 2 / below if below else 0
+            relevance[w] = min(1, max(chi2, 1e-6) / toxicity.CHI2) ** toxicity.SHARPNESS
+    df = {w: 0 for w in relevance}
+    for d in words:
+        for w in set(words[d]) & df.keys():
+            df[w] += 1
+    place = {w: i for i, w in enumerate(relevance)}
+
+    def vector(d):
+        x = np.zeros(len(place))
+        for w in set(words[d]) & place.keys():
+            x[place[w]] = (1 + np.log(words[d].count(w))) * (np.log((1 + len(words)) / (1 + df[w])) + 1) * relevance[w]
+        return x / np.linalg.norm(x) if x.any() else x
+
+    X = np.stack([vector(d) for d in ids])
+
+    def vote(x, but=None):
+        s = X @ x
+        if but is not None:
+            s[but] = 0
+        at = [i for i in np.lexsort((np.arange(n), -s))[: toxicity.K] if s[i] > 0]
+        if not at:
+            return None
+        w = 1 / (np.sqrt(np.maximum(2 - 2 * s[at], 0)) + 0.05) ** 2
+        one, zero = w[y[at] == 1].sum(), w[y[at] == 0].sum()
+        one, zero = one * 2, zero * 2  # every labelled row is an example: a label weighs the same
+        return np.log((one + 0.01 * (one + zero)) / (zero + 0.01 * (one + zero)))
+
+    own = [(vote(X[i], i), y[i]) for i in range(n)]
+    known = [(v, t) for v, t in own if v is not None]
+    a, b = toxicity.logistic_curve(np.array([v for v, _ in known]), np.array([t for _, t in known]), np.ones(len(known)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    checked = 0
+    for d in list(texts)[::7]:
+        v = vote(vector(d))
+        if v is not None:
+            assert abs(got[d] - 1 / (1 + np.exp(-(a * v + b)))) < 1e-3, d
+            checked += 1
+    assert checked > 50
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = f"{DATA}/sf0.1"
     got = QUERIES["op4_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic", "score").toPandas()
@@ -268,6 +405,9 @@ def test_chat_masks_and_assembly(spark):
     for r in seg.where("conv_id = 'c' and perspective = 'bob'").collect():
         assert text["c", "bob"]["text"][r["start"] : r["start"] + len(r["segment"])] == r["segment"]
     assert chat.rotate(msgs.where("false")).count() == 0
+    long = "word " * 200_000
+    [one] = chat.rotate(spark.createDataFrame([("c", 0, "ann", long)], "conv_id string, turn long, role string, text string")).collect()
+    assert one["segment"].startswith("<|assistant|>\n" + long) and one["train_end"] == len(one["segment"])
 
 
 # ---------------------------------------------------------------- 6 mixing
@@ -311,8 +451,46 @@ def test_mix_counts_against_texts(spark):
     assert all(abs(n - t) <= 2 * mixing.BLOCK_WORDS for n, t in sources.values())
 
 
+def test_draws_of_any_size():
+    """Shares of halves are drawn, not averaged, beyond what fits a hypergeometric draw; they keep the totals and the spread."""
+    for counts in ([10**13, 3 * 10**12, 5], [7, 0, 2], [1], [400, 1, 1]):
+        counts = np.array(counts)
+        take = int(counts.sum()) // 2
+        drawn = np.array([mixing._half(counts, take, (0, k)) for k in range(400)])
+        assert (drawn.sum(1) == take).all() and (drawn >= 0).all() and (drawn <= counts).all()
+    drawn = np.array([mixing._half(np.array([10**13, 4 * 10**12]), 7 * 10**12, (1, k))[1] for k in range(400)])
+    assert 0.8 < drawn.std() / np.sqrt(10**12) < 1.2 and len(set(drawn.tolist())) == 400
+
+
+def test_mix_against_brute_force(spark):
+    """Slots, blocks and words, drawn and laid out in plain Python from the same seeds."""
+    rng = np.random.default_rng(2)
+    docs = [(int(i), " ".join(f"s{s}d{i}w{k}" for k in range(int(rng.integers(0, 90)))), [None, "a", "b", "c"][s]) for i in range(120) for s in [int(rng.integers(0, 4))]]
+    docs += [(500, "tiny source", "t"), (501, "x " * 30, "u")]
+    size = {i: len(t.split()) for i, t, _ in docs}
+    words = {s: [w for i, t, q in sorted(docs) if q == s for w in [(i, k) for k in range(size[i])]] for s in {q for *_, q in docs}}
+    plan = mixing.targets([(s, len(w)) for s, w in words.items()])
+    block = 16
+    drawn = mixing.slots(spark, plan, block, 32).collect()
+    taken = dict.fromkeys(size, 0)
+    total = dict.fromkeys(words, 0)
+    for r in drawn:
+        s = plan[r["source_no"]][0]
+        for i, _ in words[s][r["block"] * block :][: min(block, r["most"])]:
+            taken[i] += 1
+            total[s] += 1
+    assert sorted((r["shard"], r["position"]) for r in drawn) == [(k // 32, k % 32) for k in range(len(drawn))]
+    for s, n, t in plan:
+        assert abs(total[s] - t) < block and (len([r for r in drawn if plan[r["source_no"]][0] == s]) > 0) == (t > 0.5)
+        if n % block == 0 or n < block:
+            assert abs(total[s] - t) <= 0.5
+    got = {r["doc_id"]: r for r in mixing.mix_counts(spark.createDataFrame(docs, "doc_id long, text string, source string"), block).collect()}
+    assert {i: r["taken"] for i, r in got.items()} == taken
+    assert all(taken[i] <= 2 * size[i] for i in size)
+
+
 def test_mix_of_odd_input(odd_docs, no_docs):
-    docs = odd_docs.drop("size")
+    docs = odd_docs.withColumns({c: F.lit("clash") for c in ("start", "range", "tie", "spans", "own_text", "round", "row", "words", "part", "ahead")})
     got = mixing.mix_counts(odd_docs).collect()
     assert len(got) == 9 and sum(r["size"] for r in got) == sum(len(WORD.findall(r["text"] or "")) for r in docs.collect())
     assert all(r["taken"] <= 2 * r["size"] for r in got)
@@ -326,7 +504,7 @@ def test_mix_of_odd_input(odd_docs, no_docs):
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_to_warc_round_trip(spark, version):
     long = "<html>" + "é" * 200
-    page = [(1, "http://a/ b", long), (2, "http://b", long), (3, None, None), (None, "http://c", long), (4, "http://d", "short"), (5, "http://e", "short"), (6, "", "\r\n\r\nWARC/1.0\r\n\r\n" * 30), (6, "", "\r\n\r\nWARC/1.0\r\n\r\n" * 30)]
+    page = [(1, "http://a/ b\x01", long), (2, "http://b", long), (3, None, None), (None, "http://c", long), (4, "http://d", "short"), (5, "http://e", "short"), (6, "", "\r\n\r\nWARC/1.0\r\n\r\n" * 30), (6, "", "\r\n\r\nWARC/1.0\r\n\r\n" * 30)]
     pages = spark.createDataFrame(page, "page_id long, url string, html string").withColumn("file", F.lit("clash"))
     arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     warc.write_arc(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")), arc, 2, version)
@@ -336,6 +514,8 @@ def test_arc_to_warc_round_trip(spark, version):
     assert {bytes(r["payload"]).decode() for r in got if r["type"] == "response"} == {long, "", "short", page[6][2]}
     ids = {r["page_id"]: r["record_id"] for r in got if r["type"] == "response" and r["page_id"] is not None}
     assert all(r["refers_to_id"] == ids[1] for r in got if r["type"] == "revisit")
+    assert len({r["record_id"] for r in got}) == len(got)  # of repeated page ids too
+    assert {r["url"] for r in got} == {"http://a/%20b%01", "http://b", "urn:unknown", "http://c", "http://d", "http://e"}
     result = sorted(rows(warc.archive_pages(pages), "page_id", "payload_bytes", "record_type", "refers_to"), key=repr)
     n = len(long.encode())
     assert result == sorted([(1, n, "response", None), (2, n, "revisit", 1), (3, 0, "response", None), (None, n, "revisit", 1), (4, 5, "response", None), (5, 5, "response", None), *[(6, len(page[6][2]), "response", None)] * 2], key=repr)
@@ -352,6 +532,18 @@ def test_arc_parser_by_declared_length():
     assert gzip.decompress(gzip.compress(data)) == data
 
 
+def test_archives_of_pages_of_all_sizes(spark, monkeypatch):
+    """Large pages in a row make more files, not large ones."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    page = [(i, f"http://x/{i}", "y" * n) for i, n in enumerate([90] * 300 + [50_000] * 12 + [400_000] * 2)]
+    sizes = []
+    write = warc.write_arc
+    monkeypatch.setattr(warc, "write_arc", lambda p, path, per, version=2: (write(p, path, per, version), sizes.extend(len(gzip.decompress(bytes(r["content"]))) for r in warc._files(spark, path).collect())))
+    got = rows(warc.archive_pages(spark.createDataFrame(page, "page_id long, url string, html string").coalesce(1)), "page_id", "payload_bytes", "record_type", "refers_to")
+    assert sorted(got) == sorted((i, len(h), "response" if len(h) < 100 or i in (300, 312) else "revisit", None if len(h) < 100 or i in (300, 312) else 300 if len(h) < 100_000 else 312) for i, _, h in page)
+    assert max(sizes) < 402_000 and sorted(sizes)[-3] < 202_000
+
+
 def test_archives_of_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -365,6 +557,69 @@ def test_languages_on_held_out_rows(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_languages_against_brute_force(spark):
+    """Features, TF-IDF, the leader's steps and the softmax in plain Python, on the same sample."""
+    sf = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.select("text"), docs)
+    texts = [r["text"] or "" for r in docs.collect()]
+
+    def counts(text):
+        low = [ch.lower() if ch.isalpha() and len(ch.lower()) == 1 else " " for ch in text]
+        out = {}
+        for k in langid.ORDERS:
+            for i in range(len(low) - k + 1):
+                if any(c != " " for c in low[i : i + k]):
+                    h = 0
+                    for c in low[i : i + k]:
+                        h = ((h ^ ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                        h ^= h >> 15
+                    b = ((h * (0x85EBCA6B + 2 * (k - 1))) & 0xFFFFFFFF) >> (32 - langid.BITS)
+                    out[b] = out.get(b, 0) + 1
+        return out
+
+    some = [counts(t) for t in texts]
+    df = np.zeros(langid.BUCKETS)
+    for c in some:
+        df[list(c)] += 1
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    assert np.allclose(idf, model.idf)
+    got = [r["score"] for r in langid.identify(docs.select("text"), model).collect()]
+    for c, s in list(zip(some, got))[::5]:
+        if c:
+            at = np.array(sorted(c))
+            x = np.array([(1 + np.log(c[b])) * idf[b] for b in at])
+            z = (x / np.linalg.norm(x)) @ model.weights[at] + model.bias
+            p = np.exp((z - z.max()) / model.temperature)
+            assert abs(p.max() / p.sum() - s) < 1e-4
+    # one step of the leader by its definition
+    at, x = np.array([3, 5]), np.array([0.6, 0.8])
+    w, bias = langid.follow_the_leader([(at, x)], np.array([0]), 2, epochs=1)
+    for j, v in [(3, 0.6), (5, 0.8)]:
+        g = v * np.array([-0.5, 0.5])
+        want = -(g - np.sign(g) * langid.L1) / ((langid.BETA + np.abs(g)) / langid.ALPHA + langid.L2)
+        assert np.allclose(w[j], want)
+    assert np.allclose(bias, [0.5 / ((langid.BETA + 0.5) / langid.ALPHA + langid.L2), -0.5 / ((langid.BETA + 0.5) / langid.ALPHA + langid.L2)])
+
+
+def test_sample_of_least_hashes(spark):
+    from flicker.llm.common import least_hashed
+
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") == 1, "one").otherwise("hot").alias("lang"))
+    got = least_hashed(docs, "lang", 40)
+    want = {(r["doc_id"], r["lang"]) for k in ("rare", "one", "hot") for r in docs.where(F.col("lang") == k).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).limit(40).collect()}
+    assert {(r["doc_id"], r["lang"]) for r in got.collect()} == want and len(want) == 81
+
+
+def test_filters_keep_clashing_columns(spark, odd_docs):
+    docs = odd_docs.withColumns({c: F.lit("clash") for c in ("score", "Lang_Pred", "toxicity", "evidence")})
+    labels = spark.createDataFrame([(1, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = langid.keep_identified(docs, langid.train(docs.select("text"), docs))
+    assert kept.columns == docs.columns and {2, 3, 4}.isdisjoint(r["doc_id"] for r in kept.collect())
+    kept = toxicity.keep_clean(docs, toxicity.train(docs.select("doc_id", "text"), labels))
+    assert kept.columns == docs.columns and kept.exceptAll(docs).isEmpty()
+
+
 def test_languages_of_odd_input(odd_docs, no_docs):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict_languages(odd_docs).collect()}
     assert {(2, "und"), (3, "und"), (4, "und")} <= got and all(p in ("en", "de", "fr", "und") for _, p in got)
@@ -401,6 +656,40 @@ def test_neighbours_recall(spark):
     assert all(g.sort_values("rank")["rank"].tolist() == list(range(1, len(g) + 1)) and g.sort_values("rank").score.is_monotonic_increasing for _, g in got.groupby("query_id"))
 
 
+def test_neighbours_recall_over_blocks(spark, monkeypatch):
+    """All queries of a table of many blocks; the bound of the first block makes the others' work no larger."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 400)
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").limit(4000)
+    e = df.toPandas()
+    want = brute_nearest(e.vec_id.to_numpy(), np.stack(e.embedding).astype(float))
+    got = neighbours.nearest(df).toPandas()
+    assert set(got.query_id) == set(want) and (got.groupby("query_id").size() == 10).all()
+    assert sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_a_bound_ends_the_search_early():
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(0, 0.05, (500, 16)) + 5, rng.normal(0, 1, (3000, 16))))
+    index = neighbours.CollisionIndex(np.arange(len(x)) + 1, x)
+    q, own = rng.normal(0, 0.05, (20, 16)) - 5, np.zeros(20)
+    index.search(q, own, 10)
+    free, index.visited = index.visited, 0
+    assert all(not len(ids) for ids, _ in index.search(q, own, 10, np.full(20, 0.5))) and index.visited < free / 4
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    for size in (1e200, 1e-200, 1e308):
+        v = [(0, [size, 0.0]), (1, [size / 2, 0.0]), (2, [-size, size / 4]), (3, [size / 2, size / 8])]
+        got = rows(neighbours.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>")), "rank", "vec_id", "score")
+        assert [r[:2] for r in sorted(got)] == [(1, 1), (2, 3), (3, 2)] and sorted(got)[0][2] == size / 2
+
+
+def test_neighbours_of_repeated_ids(spark):
+    v = [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 3.0]), (8, [1.0, 2.0])]
+    got = sorted(rows(neighbours.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>")), "query_id", "rank", "vec_id", "score"))
+    assert got == [(0, 1, 7, 1.0), (0, 2, 8, 2.0), (0, 3, 7, 3.0)]
+
+
 def test_neighbours_of_odd_input(spark):
     nan = float("nan")
     v = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (7, [1.0]), (8, [0.0, 1.0]), (None, [1.0, 1.0]), (100, [2.0, 0.0])]
