@@ -7,9 +7,10 @@ them, without a cap. Document frequencies are counted over all documents. A text
 sample, its chi-squared over CHI2, at most 1, to the power of SHARPNESS. No term is left out by it, but those that go
 with neither label hardly count.
 
-The index keeps, for blocks of BLOCK similar examples, the postings of each term and the largest weight of the term in
-the block. A query visits blocks by falling bound (sum of its weights times the block's largest ones) until the K-th
-similarity found is no less than the next bound, so the K nearest are exact. Their votes are weighted by distance and
+The index keeps the postings of each term and, for blocks of BLOCK similar examples, the largest weight of the term in
+the block. A query adds up its terms by falling weight; what the terms that are left can still add to an example is
+bounded by its block's largest weights. It stops as soon as the bounds leave few examples that can be among the K
+nearest, and completes those alone, so the K nearest and their similarities are exact. Their votes are weighted by distance and
 by the true share of their label; a logistic curve fitted to the examples' own votes, each without itself, turns votes
 into calibrated scores. The three nearest examples come along as evidence.
 
@@ -40,7 +41,8 @@ from .common import SPACE, free, id_mod, letters, materialize, mix, small_batche
 
 PER_CLASS = {1: 3000, 0: 5000}
 CHI2, SHARPNESS, LEAST_DOCS = 36.0, 2, 3
-BLOCK, K, EVIDENCE = 128, 32, 3
+#: FEW: examples that are completed one by one.
+BLOCK, FEW, K, EVIDENCE = 128, 128, 32, 3
 THRESHOLD = 0.3
 #: Scores that a task keeps for texts of equal terms.
 STORE = 20_000
@@ -103,40 +105,54 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         lead = [(int(t[w.argmax()]) if len(t) else -1, len(t)) for t, w in vectors]
         self.order = np.array(sorted(range(len(vectors)), key=lambda r: (lead[r], r)), np.int64)  # alike examples share blocks
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
-        ex = np.repeat(np.arange(len(vectors)), [len(vectors[r][0]) for r in self.order])
+        self.size, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        self.block = np.arange(self.size) // BLOCK
+        sizes = [len(vectors[r][0]) for r in self.order]
+        ex = np.repeat(np.arange(self.size), sizes)
         t = np.concatenate([vectors[r][0] for r in self.order] or [np.zeros(0, np.int64)]).astype(np.int64)
         w = np.concatenate([vectors[r][1] for r in self.order] or [np.zeros(0)])
-        cell = t * self.blocks + ex // BLOCK
-        by = np.argsort(cell, kind="stable")
+        # the vectors themselves, and their postings by term
+        self.cuts, self.terms, self.weights = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), t.astype(np.int32), w
+        by = np.argsort(t, kind="stable")
         self.example, self.weight = ex[by].astype(np.int32), w[by]
-        self.offs = np.searchsorted(cell[by], np.arange(terms * self.blocks + 1)).astype(np.int32)
+        self.offs = np.searchsorted(t[by], np.arange(terms + 1))
         largest = np.zeros((terms, self.blocks))
         np.maximum.at(largest, (t, ex // BLOCK), w)
         self.largest = np.nextafter(largest.astype(np.float32), np.float32(2))  # no less than the weights
-        self.size = len(vectors)
+        self.query = np.zeros(terms)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows and similarities of the k nearest with a similarity above 0, nearest first, and the number of blocks visited."""
-        bound = (weights @ self.largest[terms]) * (1 + 1e-6)
-        order = np.argsort(-bound, kind="stable")
-        found, sims = np.zeros(0, np.int64), np.zeros(0)
-        at, kth, step = 0, 0.0, 2
-        while at < self.blocks and bound[order[at]] > kth + 1e-12:
-            some = order[at : at + step]
-            cells = (terms[:, None] * self.blocks + some[None, :]).ravel()
-            a, size = self.offs[cells].astype(np.int64), (self.offs[cells + 1] - self.offs[cells]).astype(np.int64)
-            place = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            total = np.bincount(self.example[place], self.weight[place] * np.repeat(np.repeat(weights, len(some)), size), self.size)
-            new = np.flatnonzero(total)
-            if but >= 0:
-                new = new[self.order[new] != but]
-            found, sims = np.concatenate((found, new)), np.concatenate((sims, total[new]))
-            best = np.lexsort((found, -sims))[:k]
-            found, sims = found[best], sims[best]
-            kth = sims[-1] if len(sims) == k else 0.0
-            at, step = at + step, step * 2
-        return self.order[found], np.minimum(sims, 1.0), min(at, self.blocks)
+        """Rows and similarities of the k nearest with a similarity above 0, nearest first, and the number of blocks that they were sought in to the end."""
+        by = np.argsort(-weights, kind="stable")
+        terms, weights = terms[by], weights[by]
+        largest, part = self.largest[terms], weights.astype(np.float32)
+        total, skip = np.zeros(self.size), np.flatnonzero(self.order == but) if but >= 0 else np.zeros(0, np.int64)
+        at, step = 0, 8
+        while True:
+            t = terms[at : at + step]
+            size = self.offs[t + 1] - self.offs[t]
+            place = np.repeat(self.offs[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            total += np.bincount(self.example[place], self.weight[place] * np.repeat(weights[at : at + step], size), self.size)
+            at, step = min(at + step, len(terms)), step * 2
+            total[skip] = 0
+            kth = np.partition(total, self.size - k)[self.size - k] if self.size > k else 0.0
+            rest = (part[at:] @ largest[at:]) * (1 + 1e-4)  # what the other terms can add in each block, above rounding
+            can = np.flatnonzero(total + rest[self.block] >= max(kth, 1e-300) - 1e-12)
+            if at == len(terms) or len(can) <= FEW:
+                break
+        can = can[~np.isin(can, skip)]
+        if at < len(terms):  # complete the few that are left
+            self.query[terms] = weights
+            size = self.cuts[can + 1] - self.cuts[can]
+            place = np.repeat(self.cuts[can] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            sims = np.bincount(np.repeat(np.arange(len(can)), size), self.weights[place] * self.query[self.terms[place]], len(can))
+            self.query[terms] = 0
+        else:
+            sims = total[can]
+        seen = len(np.unique(self.block[can]))
+        can, sims = can[sims > 0], sims[sims > 0]
+        best = np.lexsort((self.order[can], -sims))[:k]
+        return self.order[can[best]], np.minimum(sims[best], 1.0), seen
 
 
 @dataclass
