@@ -13,7 +13,7 @@ ALPHAS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0, 8.0)
 SIGMAS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 WIDTHS = (3, 5, 9, 17, 33, 65, 129)
 FAMILIES = ("raw", "linear", "cubic_median", "oracle_debiased_linear", "hard_linear", "moving_average", "gaussian", "median", "power_full", "power_matched")
-CONTROLS = ("raw", "linear", "moving_average", "gaussian", "median", "hard_linear", "power_full", "power_matched")
+CONTROLS = ("raw", "linear", "hard_linear", "moving_average", "gaussian", "median", "power_full", "power_matched")
 PARAMETERS = {
     "raw": (), "linear": ("t",), "cubic_median": ("t",), "oracle_debiased_linear": ("t",), "hard_linear": ("t",), "moving_average": ("half_width",),
     "gaussian": ("sigma",), "median": ("width",), "power_full": ("t", "alpha"), "power_matched": ("t",),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 LEAST_GAP = 4
 #: Cutoffs in the units of the stand-in coordinates, with the names they have in results.
 CUTOFFS = {15: 0.15, 20: 0.20, 25: 0.25}
@@ -12,8 +14,11 @@ CUTOFFS = {15: 0.15, 20: 0.20, 25: 0.25}
 
 def embedding_frames(embeddings: DataFrame, atoms: int = 21) -> DataFrame:
     """run_id, frame, xyz (a flat array of 3 * atoms doubles): runs by label, frames by vec_id."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return embeddings.select(F.col("label").cast("long").alias("run_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 3 * atoms).alias("xyz"))
+    xyz = F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 3 * atoms)
+    held = embeddings.select(F.col("label").cast("long").alias("run_id"), "vec_id", xyz.alias("xyz"))
+    # the ids are numbered without the vectors
+    placed = numbered(held.select("run_id", "vec_id"), ["run_id"], "vec_id", name="frame")
+    return held.join(placed, ["run_id", "vec_id"]).select("run_id", "frame", "xyz")
 
 
 def atoms_of(frames: DataFrame) -> DataFrame:
@@ -33,8 +38,13 @@ def pairs(spark, atoms: int, least_gap: int = LEAST_GAP) -> DataFrame:
 def distances(frames: DataFrame, of: DataFrame) -> DataFrame:
     """run_id, frame, feature_id, i, j, distance. The coordinates of a frame are one array, so both ends are gathered without a join."""
     rows = frames.join(F.broadcast(of), F.lit(True))  # of: the pairs of one molecule
-    part = [F.get("xyz", F.col("i").cast("int") * 3 + k) - F.get("xyz", F.col("j").cast("int") * 3 + k) for k in range(3)]
-    return rows.select("run_id", "frame", "feature_id", "i", "j", F.sqrt(part[0] * part[0] + part[1] * part[1] + part[2] * part[2]).alias("distance"))
+    return rows.select("run_id", "frame", "feature_id", "i", "j", distance("xyz").alias("distance"))
+
+
+def distance(xyz: str) -> Column:
+    """The distance of atoms i and j of a flat array of coordinates."""
+    part = [F.get(xyz, F.col("i").cast("int") * 3 + k) - F.get(xyz, F.col("j").cast("int") * 3 + k) for k in range(3)]
+    return F.sqrt(part[0] * part[0] + part[1] * part[1] + part[2] * part[2])
 
 
 def contacts(dist: DataFrame, cutoffs: dict[int, float] | None = None) -> DataFrame:
@@ -43,27 +53,28 @@ def contacts(dist: DataFrame, cutoffs: dict[int, float] | None = None) -> DataFr
     return dist.select("run_id", "frame", "feature_id", "i", "j", *[(F.col("distance") < F.lit(v)).cast("tinyint").alias(f"c{k}") for k, v in cutoffs.items()])
 
 
-def by_cutoff(cells: DataFrame) -> DataFrame:
-    """run_id, frame, feature_id, i, j, cutoff, x: the cutoff columns as rows."""
+def contact_counts(cells: DataFrame, *keys: str) -> DataFrame:
+    """cutoff, keys, positives, frames: the cutoff columns of contacts are summed first, then the sums become rows."""
     names = [c for c in cells.columns if c[0] == "c" and c[1:].isdigit()]
-    each = F.array(*[F.struct(F.lit(int(c[1:])).alias("cutoff"), F.col(c).alias("x")) for c in names])
-    return cells.select("run_id", "frame", "feature_id", "i", "j", F.explode(each).alias("v")).select("run_id", "frame", "feature_id", "i", "j", "v.*")
+    sums = cells.groupBy(*keys).agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in names], F.count("*").alias("frames"))
+    each = F.array(*[F.struct(F.lit(int(c[1:])).alias("cutoff"), F.col(c).alias("positives")) for c in names])
+    return sums.select(*keys, "frames", F.explode(each).alias("v")).select("v.cutoff", *keys, "v.positives", "frames")
 
 
-def discovery_features(cells: DataFrame, discovery) -> DataFrame:
-    """cutoff, feature_id, i, j, positives, frames, frequency of the pairs that are neither always nor never in contact in the discovery runs."""
-    seen = cells.where(discovery).groupBy("cutoff", "feature_id", "i", "j").agg(F.sum(F.col("x").cast("long")).alias("positives"), F.count("*").alias("frames"))
+def discovery_features(counts: DataFrame, discovery) -> DataFrame:
+    """cutoff, feature_id, i, j, positives, frames, frequency of the pairs that are neither always nor never in contact in the discovery runs. counts: by run_id, feature_id, i, j."""
+    seen = counts.where(discovery).groupBy("cutoff", "feature_id", "i", "j").agg(F.sum("positives").alias("positives"), F.sum("frames").alias("frames"))
     return seen.where("positives > 0 and positives < frames").withColumn("frequency", F.col("positives") / F.col("frames"))
 
 
-def coverage(cells: DataFrame, features: DataFrame, discovery) -> DataFrame:
-    """For each cutoff and run: positive cells, those of selected features, of pairs absent in discovery and their fraction, and those left out."""
-    runs = cells.groupBy("cutoff", "run_id", "feature_id").agg(F.sum(F.col("x").cast("long")).alias("p"))
-    absent = cells.where(discovery).groupBy("cutoff", "feature_id").agg(F.max("x").alias("top")).where("top = 0").select("cutoff", "feature_id", F.lit(1).alias("absent"))
-    kept = features.select("cutoff", "feature_id", F.lit(1).alias("kept"))
-    rows = runs.join(kept, ["cutoff", "feature_id"], "left").join(absent, ["cutoff", "feature_id"], "left")
+def coverage(counts: DataFrame, discovery) -> DataFrame:
+    """For each cutoff and run: positive cells, those of selected features, of pairs absent in discovery and their fraction, and those left out. counts: by run_id, feature_id, i, j."""
+    disc = F.expr(discovery) if isinstance(discovery, str) else discovery
+    pair = Window.partitionBy("cutoff", "feature_id")  # one row for each run
+    p, n = F.sum(F.when(disc, F.col("positives"))).over(pair), F.sum(F.when(disc, F.col("frames"))).over(pair)
+    rows = counts.withColumns({"kept": (p > 0) & (p < n), "absent": p == 0})
     out = rows.groupBy("cutoff", "run_id").agg(
-        F.sum("p").alias("all_positive"), F.sum(F.when(F.col("kept") == 1, F.col("p")).otherwise(0)).alias("selected_positive"), F.sum(F.when(F.col("absent") == 1, F.col("p")).otherwise(0)).alias("absent_positive")
+        F.sum("positives").alias("all_positive"), F.sum(F.when(F.col("kept"), F.col("positives")).otherwise(0)).alias("selected_positive"), F.sum(F.when(F.col("absent"), F.col("positives")).otherwise(0)).alias("absent_positive")
     )
     return out.select("*", (F.col("absent_positive") / F.nullif(F.col("all_positive").cast("double"), F.lit(0.0))).alias("absent_fraction"), (F.col("all_positive") - F.col("selected_positive")).alias("omitted_positive"))
 

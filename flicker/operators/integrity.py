@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 VOLATILE = ("created_utc", "elapsed_seconds", "environment", "argv")
 
 
+def unsafe_path(path: Column) -> Column:
+    return path.startswith("/") | F.array_contains(F.split(path, "/"), "..")
+
+
 def verify_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """path and issue (unsafe, missing, size, sha256 or ok) for every row of manifest (path, bytes, sha256) against actual files."""
     a = actual.select("path", F.col("bytes").alias("has_bytes"), F.col("sha256").alias("has_sha256"))
-    unsafe = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
-    issue = F.when(unsafe, "unsafe").when(F.col("has_bytes").isNull(), "missing").when(F.col("has_bytes") != F.col("bytes"), "size").when(F.col("has_sha256") != F.col("sha256"), "sha256").otherwise("ok")
+    issue = F.when(unsafe_path(F.col("path")), "unsafe").when(F.col("has_bytes").isNull(), "missing").when(F.col("has_bytes") != F.col("bytes"), "size").when(F.col("has_sha256") != F.col("sha256"), "sha256").otherwise("ok")
     return manifest.join(a, "path", "left").select("path", issue.alias("issue"))
 
 
@@ -22,13 +25,12 @@ def mismatched(published: DataFrame, verified: DataFrame, key: str) -> DataFrame
     return published.exceptAll(verified.select(published.columns)).select(key).distinct()
 
 
-def unsafe_path(path: Column) -> Column:
-    return path.startswith("/") | F.array_contains(F.split(path, "/"), "..")
-
-
 def structural_diff(a: DataFrame, b: DataFrame, volatile: tuple[str, ...] = VOLATILE) -> DataFrame:
-    """path, issue and abs_diff for flattened documents (path, kind, value): only_a, only_b, kind or value; equal ones are left out."""
-    drop = lambda d: d.where(~F.element_at(F.split("path", r"\."), -1).isin(*volatile))
+    """path, issue and abs_diff for flattened documents (path, kind, value): only_a, only_b, kind or value; equal ones are left out.
+
+    What lies below a volatile key, at any depth, isn't compared.
+    """
+    drop = lambda d: d.where(~F.exists(F.split("path", r"[.\[]"), lambda k: k.isin(*volatile)))
     x, y = drop(a).select("path", F.col("kind").alias("ka"), F.col("value").alias("va")), drop(b).select("path", F.col("kind").alias("kb"), F.col("value").alias("vb"))
     both = x.join(y, "path", "full_outer")
     issue = F.when(F.col("kb").isNull(), "only_a").when(F.col("ka").isNull(), "only_b").when(F.col("ka") != F.col("kb"), "kind").when(~F.col("va").eqNullSafe(F.col("vb")), "value")
@@ -36,6 +38,46 @@ def structural_diff(a: DataFrame, b: DataFrame, volatile: tuple[str, ...] = VOLA
     return both.select("path", issue.alias("issue"), diff.alias("abs_diff")).where("issue is not null")
 
 
+def flatten_json(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path ($.a[0].b), kind (number, string, boolean or null) and value of every leaf of JSON texts, level by level until none is left.
+
+    Empty objects and arrays have no leaves. A text that isn't JSON fails the job.
+    """
+    from ..session import discard, persisted
+
+    schema = F.schema_of_variant("v")
+    inner = lambda: schema.startswith("OBJECT") | schema.startswith("ARRAY")
+    level = persisted(documents.select(F.col(key), F.lit("$").alias("path"), F.parse_json(text).alias("v")), "json")
+    leaves = None
+    while True:
+        found = level.where(~inner())
+        number = schema.startswith("DECIMAL") | schema.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+        kind = F.when(number, "number").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").otherwise("string")
+        found = persisted(found.select(key, "path", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value")), "leaves")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        below = level.where(inner())
+        if below.isEmpty():
+            discard(level)
+            return leaves
+        view = f"json_{id(level)}"
+        below.createOrReplaceTempView(view)
+        step = level.sparkSession.sql(f"SELECT b.`{key}`, b.path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END AS path, e.value AS v FROM {view} b, LATERAL variant_explode(b.v) e")
+        last, level = level, persisted(step, "json")
+        level.sparkSession.catalog.dropTempView(view)
+        discard(last)
+
+
+def refuse_existing(spark, paths: list[str]) -> None:
+    """Fails, before any work is done, if any of the targets exists."""
+    there = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            there.append(path)
+    if there:
+        raise FileExistsError(f"will not overwrite {', '.join(there)}")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """node, root, depth of all nodes of edges (node, parent; null parent: a root), by doubling: each step joins twice as far.
 
@@ -71,9 +113,13 @@ def ancestry_violations(nodes: DataFrame) -> DataFrame:
     return both.select("node", why.alias("violation")).where("violation is not null")
 
 
-def eligibility(runs: DataFrame, least_frames: int = 20, cadence: float | None = None, tolerance: float = 1e-3) -> DataFrame:
-    """runs (frames, min_dt, max_dt) with eligible and the first reason why not; excluded rows stay."""
+def eligibility(runs: DataFrame, least_frames: int = 20, cadence: float | None = None, tolerance: float = 1e-3, atoms: int | None = None, longest_step: float | None = None) -> DataFrame:
+    """runs (frames, min_dt, max_dt; atoms and max_step if asked for) with eligible and the first reason why not; excluded rows stay."""
     reason = F.when(F.col("frames") < least_frames, "too_few_frames")
+    if longest_step is not None:
+        reason = reason.when(F.coalesce(F.col("max_step") >= longest_step, F.lit(True)), "geometry")
+    if atoms is not None:
+        reason = reason.when(F.coalesce(F.col("atoms") != atoms, F.lit(True)), "atom_count")
     reason = reason.when(F.col("min_dt") <= 0, "time_not_increasing")
     if cadence is not None:
         reason = reason.when((F.abs(F.col("min_dt") - cadence) > tolerance) | (F.abs(F.col("max_dt") - cadence) > tolerance), "cadence")
@@ -86,6 +132,33 @@ def cadence(frames: DataFrame, time: str, run: str = "run_id", order: tuple[str,
     return frames.withColumn("dt", F.col(time) - F.lag(time).over(w)).groupBy(run).agg(F.count("*").alias("frames"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"))
 
 
+def stride(dt: str, wanted: float, tolerance: float = 1e-8) -> Column:
+    """Every how many frames of spacing dt are `wanted` apart; null where no whole number is."""
+    k = F.round(F.lit(wanted) / F.col(dt))
+    return F.when((k >= 1) & (F.abs(k * F.col(dt) - wanted) <= tolerance * wanted), k.cast("long"))
+
+
+#: Fixed pattern of a trajectory's folder: e<epoch>s<sample>, and the parent that it started from.
+CHILD, PARENT = r"^e(\d+)s(\d+)", r"_e(\d+)s(\d+)p(\d+)f(\d+)"
+
+
+def trajectory_parts(paths: DataFrame, path: str = "path") -> DataFrame:
+    """paths with grp, folder, child_node, epoch, sample, parent_node, parent_piece and parent_frame, read off the path ../<group>/../<folder>/.. ; null where a part is missing."""
+    part = F.split(path, "/")
+    grp, folder = F.get(part, F.lit(1)), F.get(part, F.lit(3))
+    number = lambda pattern, k: F.nullif(F.regexp_extract(folder, pattern, k), F.lit("")).cast("int")
+    node = lambda pattern: F.concat(grp, F.lit("/e"), number(pattern, 1).cast("string"), F.lit("s"), number(pattern, 2).cast("string"))
+    return paths.withColumns({
+        "grp": grp, "folder": folder, "child_node": node(CHILD), "epoch": number(CHILD, 1), "sample": number(CHILD, 2),
+        "parent_node": node(PARENT), "parent_piece": number(PARENT, 3), "parent_frame": number(PARENT, 4),
+    })
+
+
+def input_paths(runs: DataFrame, cutoff: int, maps: tuple[str, ...] = ("contacts", "contacts_sha256")) -> DataFrame:
+    """runs of a manifest with the entry of each of maps (by cutoff, as text) that a scenario of a cutoff reads; null where there is none."""
+    return runs.withColumns({f"{m}_of_cutoff": F.try_element_at(m, F.lit(str(cutoff))) for m in maps})
+
+
 def array_digest(rows: DataFrame, keys: list[str], order: str, *columns: str) -> DataFrame:
     """keys and a SHA-256 of the given columns in order: stable under any partitioning."""
     text = F.concat_ws(",", *[F.col(c).cast("string") for c in columns])

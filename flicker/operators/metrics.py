@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.methods import CONTROLS
@@ -45,10 +45,11 @@ def best_candidates(runs: DataFrame, metric: str = "brier") -> DataFrame:
     return means.groupBy("method").agg(F.min_by("cand_ord", F.struct("score", "cand_ord")).alias("cand_ord"), F.min("score").alias("score"))
 
 
-def best_control(best: DataFrame, families: tuple[str, ...] = CONTROLS) -> DataFrame:
-    """The family with the smallest score; ties by the families' order. best: method, cand_ord, score."""
+def best_control(best: DataFrame, families: tuple[str, ...] = CONTROLS, by: str | None = None) -> DataFrame:
+    """The family with the smallest score (for each value of by); ties by the families' order. best: method, cand_ord, score."""
     place = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("method"))
-    return best.where(place > 0).agg(F.min_by(F.struct("method", "cand_ord", "score"), F.struct("score", place)).alias("b")).where("b is not null").select("b.*")
+    keys = [by] if by else []
+    return best.where(place > 0).groupBy(*keys).agg(F.min_by(F.struct("method", "cand_ord", "score"), F.struct("score", place)).alias("b")).where("b is not null").select(*keys, "b.*")
 
 
 def paired(runs: DataFrame, base: str, other: str, metric: str = "brier") -> DataFrame:
@@ -61,11 +62,23 @@ def paired(runs: DataFrame, base: str, other: str, metric: str = "brier") -> Dat
     return t.select("run_id", "n", "mean_diff", half.alias("half_width"), gain.alias("relative_gain"), "positive", "negative")
 
 
-def composite(gain: Column, rare: tuple[Column, Column], brief: tuple[Column, Column], all_positive: Column, least_gain: float = 0.05) -> Column:
-    """pass if the gain is large enough, every run gains and neither recall falls; not_evaluable if any of these is unknown."""
-    return decision(gain >= least_gain, all_positive, rare[0] >= rare[1], brief[0] >= brief[1])
-
-
-def first_by(df: DataFrame, keys: tuple[str, ...], *order) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+def composite(runs: DataFrame, base: str, other: str, least_gain: float = 0.02, most_rare_loss: float = 0.02, most_brief_loss: float = 0.02, by: tuple[str, ...] = ()) -> DataFrame:
+    """gain, the four conditions and the decision on method other against base; runs: run_id, method, brier and the two recalls, a row for each draw.
+
+    The gain is that of the means over runs (each the mean of its draws), relative to base's. In every run other must have
+    the smaller error and lose at most so much of the recall of rare features and of brief events. A relative gain over
+    zero and a recall that some run doesn't have are unknown, and make the whole not evaluable even beside a failure.
+    """
+    wide = []
+    for p, m in (("b", base), ("o", other)):
+        wide += [F.avg(F.when(F.col("method") == m, F.col(c))).alias(f"{p}_{c}") for c in ("brier", "rare_positive_recall", "short_positive_recall")]
+    each = runs.groupBy(*by, "run_id").agg(*wide).where("b_brier is not null and o_brier is not null")
+    loss = lambda c: F.col(f"b_{c}") - F.col(f"o_{c}")
+    every = lambda c: F.when(F.count("*") == F.count(c), F.bool_and(c))
+    b = F.avg("b_brier")
+    out = each.groupBy(*by, F.lit(0).alias("_")).agg(  # no runs: no row
+        F.when(b > 0, (b - F.avg("o_brier")) / b).alias("gain"), F.bool_and(F.col("b_brier") > F.col("o_brier")).alias("every_run_gains"),
+        every(loss("rare_positive_recall") <= most_rare_loss).alias("rare_kept"), every(loss("short_positive_recall") <= most_brief_loss).alias("brief_kept"),
+    )
+    enough = F.col("gain") >= least_gain
+    return out.select(*by, "gain", enough.alias("enough_gain"), "every_run_gains", "rare_kept", "brief_kept", decision(enough, F.col("every_run_gains"), F.col("rare_kept"), F.col("brief_kept")).alias("decision"))

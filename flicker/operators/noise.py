@@ -28,6 +28,13 @@ def flips(frames: DataFrame, level: float, key: Column, x: str = "x") -> DataFra
     return frames.withColumn("z", F.when(u < level, 1 - F.col(x)).otherwise(F.col(x)).cast("tinyint"))
 
 
+def flipped(chunks: DataFrame, level: float, key: Column) -> DataFrame:
+    """Stretches (to_chunks) with zs: the same flips as by flips, of every frame that the stretch holds."""
+    first = F.col("lo") - F.col("pre")
+    u = lambda k: uniform(key, F.col("feature_id"), first + k)
+    return chunks.withColumn("zs", F.transform("xs", lambda x, k: F.when(u(k) < level, 1 - x).otherwise(x).cast("tinyint")))
+
+
 def chained(chunks: DataFrame, level: float, rho: float, key: Column, keys: tuple[str, ...] = ("run_id", "feature_id")) -> DataFrame:
     """Stretches without halos (to_chunks; without lo: whole series) with zs: x flipped by a two-state chain that keeps its prevalence.
 
@@ -67,7 +74,11 @@ def _entries(chunks: DataFrame, level: float, rise: float, stay: float, key: Col
     return ends.withColumn("last", last).select(*keys, "lo", F.when(F.col("lo") == 0, 0).otherwise((F.col("last.state") + F.col("swaps") - swap - F.col("last.swaps")) % 2).cast("int").alias("entry"))
 
 
+def moved(xyz: Column | str, sigma: float, key: Column) -> Column:
+    """A flat array of coordinates with a normal deviate of width sigma on every one."""
+    return F.transform(xyz, lambda v, k: v + F.lit(sigma) * gaussian(uniform(key, F.lit("a"), k), uniform(key, F.lit("b"), k)))
+
+
 def jittered(frames: DataFrame, sigma: float, key: Column) -> DataFrame:
-    """Frames with a flat xyz array: a normal deviate of width sigma on every coordinate."""
-    moved = F.transform("xyz", lambda v, k: v + F.lit(sigma) * gaussian(uniform(key, F.lit("a"), k), uniform(key, F.lit("b"), k)))
-    return frames.withColumn("xyz", moved)
+    """Frames (with xyz) whose coordinates are moved."""
+    return frames.withColumn("xyz", moved("xyz", sigma, key))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 CHUNK_FRAMES = 32768
 
 
 def event_frames(events: DataFrame, positive: Column | None = None) -> DataFrame:
     """run_id, feature_id, frame, x: one run for each user, frames by time; x marks clicks and purchases unless told otherwise."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     positive = F.col("event_type").isin("click", "purchase") if positive is None else positive
-    return events.select(F.col("user_id").alias("run_id"), F.lit(0).cast("long").alias("feature_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"), positive.cast("tinyint").alias("x"))
+    slim = events.select(F.col("user_id").alias("run_id"), F.lit(0).cast("long").alias("feature_id"), "ts", "event_id", positive.cast("tinyint").alias("x"))
+    return numbered(slim, ["run_id"], "ts", "event_id", name="frame").select("run_id", "feature_id", "frame", "x")
 
 
 def to_chunks(frames: DataFrame, halo: int = 0, chunk_frames: int = CHUNK_FRAMES, values: tuple[str, ...] = ("x",), keys: tuple[str, ...] = ("run_id", "feature_id")) -> DataFrame:

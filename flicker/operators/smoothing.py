@@ -1,4 +1,4 @@
-"""Smoothing of chunked series and their error sums, in Arrow batches: one pass over a series for all methods."""
+"""Smoothing of chunked series and their error sums, in Arrow batches: each kernel once for all series of a batch."""
 
 from __future__ import annotations
 
@@ -11,45 +11,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.methods import Method, at_least_half, kernel_weights, shape
+from ..session import arrow_batches
 
-#: Arrays can be long: series handed to Python at once.
-BATCH_SERIES = 256
 #: Additive sums of a chunk, from which every metric follows.
 SUMS = ("cells", "sum_sq", "sum_abs", "sum_p", "sum_x", "tp", "fp", "fn", "brief_hits", "brief_cells", "edge_sq", "edge_cells", "changed")
+#: Taps times frames that one convolution takes at once.
+PART = 1 << 22
+TOLERANCE = 1e-11
+
+
+class Series:
+    """The series of a batch, one after the other. lo, pre, own, n: see to_chunks; values: frames from lo - pre on, halos included."""
+
+    def __init__(self, lo: np.ndarray, pre: np.ndarray, own: np.ndarray, n: np.ndarray, size: np.ndarray):
+        self.lo, self.pre, self.own, self.n, self.size = lo, pre, own, n, size
+        self.at = np.cumsum(size) - size  # where a series' values begin
+        self.cuts = np.cumsum(own) - own  # where its own frames begin among all own frames
+        self.row = np.repeat(np.arange(len(own)), own)
+        self.own_at = np.arange(int(own.sum())) - np.repeat(self.cuts - self.at - pre, own)
+
+    def convolved(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The convolution at all own frames, with half-sample symmetric reflection (repeated if need be) at each series' ends.
+
+        Where the whole window is 0 or 1, so is the result, exactly: sharpening would amplify what rounding leaves.
+        """
+        w = len(weights) // 2
+        if not w:
+            return x[self.own_at].astype(float)
+        out = np.empty(len(self.row))
+        wide = self.own + 2 * w
+        ends = np.cumsum(wide)
+        a = 0
+        while a < len(wide):  # so many series that their windows fit
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + max(PART // len(weights), 1), "right")))
+            some, first = wide[a:b], np.cumsum(wide[a:b]) - wide[a:b]
+            of = np.repeat(np.arange(a, b), some)
+            f = np.arange(int(some.sum())) - np.repeat(first - self.lo[a:b] + w, some)  # frames lo - w .. lo + own + w
+            f %= 2 * self.n[of]
+            f = np.where(f < self.n[of], f, 2 * self.n[of] - 1 - f)
+            v = x[f - (self.lo - self.pre - self.at)[of]].astype(float)
+            keep = np.repeat(first, self.own[a:b]) + np.arange(int(self.own[a:b].sum())) - np.repeat(self.cuts[a:b] - self.cuts[a], self.own[a:b])
+            h = np.convolve(v, weights[::-1], "valid")[keep]
+            ones = np.concatenate(([0.0], np.cumsum(v)))
+            ones = ones[keep + 2 * w + 1] - ones[keep]
+            h[ones == 0], h[ones == 2 * w + 1] = 0.0, 1.0
+            out[self.cuts[a] : self.cuts[a] + len(h)] = h
+            a = b
+        if len(out) and (out.min() < -TOLERANCE or out.max() > 1 + TOLERANCE):
+            raise ArithmeticError("smoothed values lie outside 0 to 1")
+        return out
+
+    def brief_and_edges(self, x: np.ndarray, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """Masks at the own frames: cells of positive runs of at most `longest` that touch neither end of the series; both ends of every change.
+
+        The chunks' halos must hold longest + 1 frames.
+        """
+        border = np.zeros(len(x) + 1, bool)
+        border[self.at], border[-1] = True, True
+        change = np.zeros(len(x) + 1, bool)
+        change[1:-1] = x[1:] != x[:-1]
+        change &= ~border
+        edge = change[:-1] | change[1:]
+        starts = np.flatnonzero((change | border)[:-1])
+        stops = np.append(starts[1:], len(x))
+        of = np.searchsorted(self.at, starts, "right") - 1
+        a, b = starts - self.at[of], stops - self.at[of]
+        first = (self.lo - self.pre)[of]
+        # a run cut by the chunk's own border continues in the halo's halo: then it's longer than `longest`
+        short = (b - a <= longest) & (x[starts] == 1) & (first + a > 0) & (first + b < self.n[of]) & (a > 0) & (b < self.size[of])
+        return np.repeat(short, stops - starts)[self.own_at], edge[self.own_at]
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """Sums over the own frames of each series."""
+        return np.add.reduceat(v.astype(float), self.cuts) if len(v) else np.zeros(len(self.own))
+
+
+def _one(x: np.ndarray, lo: int, pre: int, own: int, n: int) -> Series:
+    return Series(*(np.array([v], np.int64) for v in (lo, pre, own, n, len(x))))
 
 
 def convolved(x: np.ndarray, lo: int, pre: int, own: int, n: int, weights: np.ndarray) -> np.ndarray:
-    """The convolution at the own frames, with half-sample symmetric reflection (repeated if need be) at the series' ends."""
-    w = len(weights) // 2
-    at = np.arange(lo - w, lo + own + w) % (2 * n)
-    at = np.where(at < n, at, 2 * n - 1 - at) - (lo - pre)
-    return np.convolve(x[at], weights[::-1], "valid")
+    """Series.convolved of one stretch."""
+    return _one(x, lo, pre, own, n).convolved(x, weights)
 
 
 def brief_and_edges(x: np.ndarray, lo: int, pre: int, own: int, n: int, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Masks at the own frames: cells of positive runs of at most `longest` that touch neither end of the series; both ends of every change.
-
-    The chunk's halo must hold longest + 1 frames.
-    """
-    change = np.flatnonzero(np.diff(x)) + 1
-    edge = np.zeros(len(x), bool)
-    edge[change] = edge[change - 1] = True
-    brief = np.zeros(len(x), bool)
-    starts = np.concatenate(([0], change))
-    stops = np.concatenate((change, [len(x)]))
-    first = lo - pre
-    for a, b in zip(starts, stops):
-        # a run cut by the chunk's own border continues in the halo's halo: then it's longer than `longest`
-        if b - a <= longest and x[a] == 1 and first + a > 0 and first + b < n and a > 0 and b < len(x):
-            brief[a:b] = True
-    return brief[pre : pre + own], edge[pre : pre + own]
+    """Series.brief_and_edges of one stretch."""
+    return _one(x, lo, pre, own, n).brief_and_edges(x, longest)
 
 
-def _series(b: pa.RecordBatch, *arrays: str):
-    cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("lo", "pre", "own", "n")]
+def _read(b: pa.RecordBatch, *arrays: str) -> tuple[Series, list[np.ndarray]]:
+    lo, pre, own, n = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "pre", "own", "n"))
     lists = [b.column(b.schema.get_field_index(a)) for a in arrays]
-    for r in range(b.num_rows):
-        yield *(int(c[r]) for c in cols), *(np.asarray(x[r].values.to_numpy(zero_copy_only=False), float) for x in lists)
+    size = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return Series(lo, pre, own, n, size), [c.flatten().to_numpy(zero_copy_only=False) for c in lists]
+
+
+def _repeated(b: pa.RecordBatch, names: tuple[str, ...], times: int) -> list[pa.Array]:
+    """Columns of b, each row so many times."""
+    at = pa.array(np.repeat(np.arange(b.num_rows), times))
+    return [b.column(b.schema.get_field_index(c)).take(at) for c in names]
+
+
+def _method_columns(methods: list[Method], rows: int) -> list[pa.Array]:
+    return [pa.array([m.name for m in methods] * rows), pa.array([m.cand for m in methods] * rows, pa.int32())]
 
 
 def smooth(chunks: DataFrame, methods: list[Method], noise_level: float | None = None, column: str = "xs", keep: tuple[str, ...] = ("run_id", "feature_id")) -> DataFrame:
@@ -58,13 +123,18 @@ def smooth(chunks: DataFrame, methods: list[Method], noise_level: float | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels = {m.kernel: kernel_weights(*m.kernel) for m in methods}
         for b in batches:
-            for r, (lo, pre, own, n, x) in enumerate(_series(b, column)):
-                h = {k: convolved(x, lo, pre, own, n, w) for k, w in kernels.items()}
-                same = [pa.array([b.column(c)[r].as_py()] * len(methods), b.schema.field(c).type) for c in (*keep, "lo")]
-                p = pa.array([shape(m, h[m.kernel], noise_level) for m in methods], pa.list_(pa.float64()))
-                yield pa.record_batch([*same, pa.array([m.name for m in methods]), pa.array([m.cand for m in methods], pa.int32()), p], [*keep, "lo", "method", "cand_ord", "p"])
-
-    chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_SERIES))
+            if not b.num_rows:
+                continue
+            s, (x,) = _read(b, column)
+            h = {k: s.convolved(x, w) for k, w in kernels.items()}
+            p = [shape(m, h[m.kernel], noise_level) for m in methods]
+            ends = np.append(s.cuts, len(s.row))
+            flat = np.concatenate([v[a:z] for a, z in zip(ends, ends[1:]) for v in p])
+            offs = np.concatenate(([0], np.cumsum(np.repeat(s.own, len(methods)))))
+            values = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
+            yield pa.record_batch([*_repeated(b, (*keep, "lo"), len(methods)), *_method_columns(methods, b.num_rows), values], [*keep, "lo", "method", "cand_ord", "p"])
+
+    arrow_batches(chunks.sparkSession)
     fields = [chunks.schema[c] for c in (*keep, "lo")]
     schema = T.StructType([*fields, T.StructField("method", T.StringType()), T.StructField("cand_ord", T.IntegerType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
     return chunks.select(*keep, "lo", "pre", "own", "n", column).mapInArrow(run, schema)
@@ -79,24 +149,29 @@ def error_sums(chunks: DataFrame, methods: list[Method], noise_level: float | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels = {m.kernel: kernel_weights(*m.kernel) for m in methods}
         for b in batches:
-            for r, (lo, pre, own, n, x, z) in enumerate(_series(b, truth, given)):
-                brief, edge = brief_and_edges(x, lo, pre, own, n)
-                x = x[pre : pre + own]
-                h = {k: convolved(z, lo, pre, own, n, w) for k, w in kernels.items()}
-                half = {k: at_least_half(v) for k, v in h.items()}
-                rows = []
-                for m in methods:
-                    p = shape(m, h[m.kernel], noise_level)
+            if not b.num_rows:
+                continue
+            s, (x, z) = _read(b, truth, given)
+            brief, edge = s.brief_and_edges(x)
+            x = x[s.own_at]
+            one = x == 1
+            same = [s.own.astype(float), s.sums(x), s.sums(brief), s.sums(edge)]
+            out = np.empty((b.num_rows, len(methods), len(SUMS)))
+            for kernel, weights in kernels.items():
+                h = s.convolved(z, weights)
+                half = at_least_half(h)
+                for k, m in enumerate(methods):
+                    if m.kernel != kernel:
+                        continue
+                    p = shape(m, h, noise_level)
                     d, hit = p - x, at_least_half(p)
-                    rows.append((
-                        own, (d * d).sum(), np.abs(d).sum(), p.sum(), x.sum(), (hit & (x == 1)).sum(), (hit & (x == 0)).sum(), (~hit & (x == 1)).sum(),
-                        (hit & brief).sum(), brief.sum(), (d * d)[edge].sum(), edge.sum(), (hit != half[m.kernel]).sum(),
-                    ))
-                same = [pa.array([b.column(c)[r].as_py()] * len(methods), b.schema.field(c).type) for c in keep]
-                sums = [pa.array([float(v) for v in c]) for c in zip(*rows)]
-                yield pa.record_batch([*same, pa.array([m.name for m in methods]), pa.array([m.cand for m in methods], pa.int32()), *sums], [*keep, "method", "cand_ord", *SUMS])
-
-    chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_SERIES))
+                    sq = d * d
+                    sums = (same[0], s.sums(sq), s.sums(np.abs(d)), s.sums(p), same[1], s.sums(hit & one), s.sums(hit & ~one), s.sums(~hit & one), s.sums(hit & brief), same[2], s.sums(sq * edge), same[3], s.sums(hit != half))
+                    out[:, k, :] = np.stack(sums, 1)
+            flat = out.reshape(-1, len(SUMS))
+            yield pa.record_batch([*_repeated(b, keep, len(methods)), *_method_columns(methods, b.num_rows), *[pa.array(flat[:, c]) for c in range(len(SUMS))]], [*keep, "method", "cand_ord", *SUMS])
+
+    arrow_batches(chunks.sparkSession)
     schema = T.StructType([*[chunks.schema[c] for c in keep], T.StructField("method", T.StringType()), T.StructField("cand_ord", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in SUMS]])
     return chunks.select(*keep, "lo", "pre", "own", "n", truth, given).mapInArrow(run, schema)
 

@@ -35,3 +35,10 @@ def counts(frames: DataFrame) -> DataFrame:
     cells = transitions(frames).groupBy("run_id").agg(F.count("*").alias("frames"), F.sum(F.col("x").cast("long")).alias("positive"), F.count_if("edge").alias("edge_cells"))
     brief = brief_runs(positive_runs(frames)).groupBy("run_id").agg(F.count("*").alias("brief_events"), F.sum(F.col("stop") - F.col("start")).alias("brief_cells"))
     return cells.join(brief, "run_id", "left").na.fill(0, ["brief_events", "brief_cells"])
+
+
+def rare_counts(frames: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """run_id, rare_features and rare_positive (their positive cells): features of at most RARE by frequencies (feature_id, frequency)."""
+    rare = frames.join(frequencies.where(F.col("frequency") <= RARE), "feature_id")
+    found = rare.groupBy("run_id").agg(F.count_distinct("feature_id").alias("rare_features"), F.sum(F.col("x").cast("long")).alias("rare_positive"))
+    return frames.select("run_id").distinct().join(found, "run_id", "left").na.fill(0)

@@ -1,24 +1,54 @@
-"""The benchmark as a plan: splits, corruption, selection on validation runs only, scoring of test runs, comparison.
+"""The benchmark as a plan: scenarios, splits, corruption, selection on validation runs only, scoring of test runs, comparison.
 
-Selected parameters are written before any test run is scored, so a test run can't reach them.
+Selected parameters are written, with what they were selected on, before any test run is scored, so a test run can't
+reach them; scoring refuses a selection that was made on something else.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.methods import Method, halo
+from ..operators import contacts as C
 from ..operators import metrics as M
-from ..operators.noise import PHASES, draws, flips, seed
-from ..operators.series import to_chunks
+from ..operators.noise import PHASES, chained, draws, flipped, moved, seed
+from ..operators.series import to_chunks, to_frames
 from ..operators.smoothing import error_sums
 from ..operators.splits import hash_split
 from ..operators.strata import BRIEF, RARE
 from ..session import persisted
 
+#: Kinds of corruption whose level is the chance that a cell is flipped: only there is it known to the oracle family.
+FLIPPING = ("bitflip", "correlated")
+
+
+@dataclass(frozen=True)
+class Scenario:
+    """level: chance of a flip, or the width of the jitter in the units of the coordinates."""
+
+    name: str
+    kind: str
+    level: float
+    cutoff: int
+    rho: float | None = None
+    primary: bool = False
+    index: int = 0
+
+
+def _numbered(*scenarios: Scenario) -> tuple[Scenario, ...]:
+    return tuple(replace(s, index=i) for i, s in enumerate(scenarios))
+
+
+#: Eight scenarios. Cutoff 20 stands for the primary one of 8, 15 and 25 for 7 and 9; jitter widths are scaled alike.
+SCENARIOS = _numbered(
+    Scenario("flip10_cut20", "bitflip", 0.1, 20, primary=True), Scenario("flip05_cut20", "bitflip", 0.05, 20), Scenario("flip20_cut20", "bitflip", 0.2, 20),
+    Scenario("jitter025_cut20", "jitter", 0.25 / 40, 20), Scenario("jitter050_cut20", "jitter", 0.5 / 40, 20), Scenario("correlated10_cut20", "correlated", 0.1, 20, rho=0.8),
+    Scenario("flip10_cut15", "bitflip", 0.1, 15), Scenario("flip10_cut25", "bitflip", 0.1, 25),
+)
+
 
 @dataclass(frozen=True)
 class Config:
@@ -31,6 +61,19 @@ class Config:
     chunk_frames: int = 32768
 
 
+def scenarios_named(name: str = "all") -> list[Scenario]:
+    """All scenarios, or the one of a name with the index that it has among all."""
+    got = [s for s in SCENARIOS if name in ("all", s.name)]
+    if not got:
+        raise ValueError(f"unknown scenario {name!r}")
+    return got
+
+
+def eligible(methods: list[Method], scenario: Scenario) -> list[Method]:
+    """The methods that a scenario allows: the oracle family only where the noise level is a known flip rate."""
+    return [m for m in methods if m.name != "oracle_debiased_linear" or scenario.kind in FLIPPING]
+
+
 def splits(frames: DataFrame, cfg: Config) -> DataFrame:
     """run_id, split, run_index: by hash order, the rest of the runs left out."""
     return hash_split(frames.select("run_id").distinct(), "run_id", cfg.sizes)
@@ -42,22 +85,27 @@ def frequencies(frames: DataFrame, split: DataFrame) -> DataFrame:
     return seen.where("p > 0 and p < n").select("feature_id", (F.col("p") / F.col("n")).alias("frequency"))
 
 
+_KEYS = ("run_id", "feature_id", "draw", "frequency")
+
+
+def _phase_draws(phase: str, cfg: Config) -> int:
+    return cfg.validation_draws if phase == "validation" else cfg.test_draws
+
+
 def phase_sums(frames: DataFrame, split: DataFrame, phase: str, methods: list[Method], cfg: Config, clean: bool = False) -> DataFrame:
-    """Chunk sums of all methods over the runs of a phase, each (run, feature, draw) corrupted once and given to every method."""
+    """Chunk sums of all methods over the runs of a phase: series are cut into stretches once and corrupted there, each draw once for all methods."""
     runs = frames.join(split.where(F.col("split") == phase).select("run_id", "run_index"), "run_id").join(frequencies(frames, split), "feature_id")
-    n = 1 if clean else cfg.validation_draws if phase == "validation" else cfg.test_draws
-    rows = draws(runs, n)
+    keys = ("run_id", "feature_id", "frequency", "run_index")
+    chunks = to_chunks(runs, max(halo(methods), BRIEF + 1), cfg.chunk_frames, ("x",), keys)
+    chunks = draws(chunks, 1 if clean else _phase_draws(phase, cfg))
     key = seed(F.lit(PHASES[phase]), cfg.dataset, "run_index", cfg.scenario, "draw")
-    rows = rows.withColumn("z", F.col("x")) if clean else flips(rows, cfg.level, key)
-    keys = ("run_id", "feature_id", "draw", "frequency")
-    chunks = to_chunks(rows, max(halo(methods), BRIEF + 1), cfg.chunk_frames, ("x", "z"), keys)
-    sums = error_sums(chunks, methods, cfg.level, keep=keys)
-    return sums.withColumn("rare", F.col("frequency") <= RARE)
+    chunks = chunks.withColumn("zs", F.col("xs")) if clean else flipped(chunks, cfg.level, key)
+    return error_sums(chunks, methods, cfg.level, keep=_KEYS).withColumn("rare", F.col("frequency") <= RARE)
 
 
-def scores(sums: DataFrame) -> DataFrame:
+def scores(sums: DataFrame, keys: tuple[str, ...] = ("run_id", "draw", "method", "cand_ord")) -> DataFrame:
     """METRICS for each (run, draw, method, candidate)."""
-    return M.run_metrics(sums, ("run_id", "draw", "method", "cand_ord"))
+    return M.run_metrics(sums, keys)
 
 
 def select(frames: DataFrame, split: DataFrame, methods: list[Method], cfg: Config) -> DataFrame:
@@ -72,3 +120,134 @@ def chosen(methods: list[Method], selection: DataFrame) -> list[Method]:
     if missing:
         raise ValueError(f"no selection for {sorted(missing)}")
     return [m for m in methods if (m.name, m.cand) in got]
+
+
+# ---------------------------------------------------------------- scenarios over coordinates
+
+
+@dataclass
+class Prepared:
+    """Runs of coordinates, ready for any scenario: frames (run_id, frame, xyz), split (run_id, split, run_index), pairs, features."""
+
+    frames: DataFrame
+    split: DataFrame
+    pairs: DataFrame
+    features: DataFrame
+
+
+def prepare(frames: DataFrame, split: DataFrame, pairs: DataFrame) -> Prepared:
+    """Features of every cutoff are the pairs that vary in the discovery runs; they and the frames are written."""
+    frames = persisted(frames, "frames")
+    seen = frames.join(F.broadcast(split.where("split = 'discovery'").select("run_id")), "run_id")  # the runs of a manifest
+    counts = C.contact_counts(C.contacts(C.distances(seen, pairs)), "feature_id", "i", "j")
+    kept = counts.where("positives > 0 and positives < frames").select("cutoff", "feature_id", "i", "j", (F.col("positives") / F.col("frames")).alias("frequency"))
+    return Prepared(frames, split, pairs, persisted(kept, "features"))
+
+
+def identity(p: Prepared, methods: list[Method], scenario: Scenario) -> DataFrame:
+    """One row: what a selection of a scenario is made on. Digests of the features (pairs and frequencies), the grid and the scenario."""
+    of = p.features.where(F.col("cutoff") == scenario.cutoff)
+    each = F.sha2(F.concat_ws("|", "feature_id", "i", "j", "frequency"), 256)
+    ordered = F.array_join(F.array_sort(F.collect_list(each)), "")  # one hash for each feature of one molecule
+    grid = ";".join(f"{m.name},{m.cand},{m.params}" for m in methods)
+    return of.agg(F.sha2(ordered, 256).alias("features_sha256"), F.count("*").alias("features")).withColumns({"grid_sha256": F.sha2(F.lit(grid), 256), "scenario": F.lit(scenario.name), "scenario_index": F.lit(scenario.index), "scenario_sha256": F.sha2(F.lit(repr(scenario)), 256)})
+
+
+def corrupted(p: Prepared, scenario: Scenario, phase: str, methods: list[Method], cfg: Config, clean: bool = False) -> DataFrame:
+    """Stretches with xs and zs of the features of a scenario for each run and draw of a phase."""
+    n = 1 if clean else _phase_draws(phase, cfg)
+    features = p.features.where(F.col("cutoff") == scenario.cutoff).drop("cutoff")
+    runs = p.frames.join(F.broadcast(p.split.where(F.col("split") == phase).select("run_id", "run_index")), "run_id")
+    touch = lambda xyz: (C.distance(xyz) < F.lit(C.CUTOFFS[scenario.cutoff])).cast("tinyint")
+    wide = max(halo(methods), BRIEF + 1)
+    if scenario.kind == "jitter" and not clean:
+        key = F.concat_ws("|", seed(F.lit(PHASES[phase]), cfg.dataset, "run_index", scenario.index, "draw"), "frame")
+        both = draws(runs, n).withColumn("moved", moved("xyz", scenario.level, key)).join(F.broadcast(features), F.lit(True))  # the pairs of one molecule
+        rows = both.select(*_KEYS, "frame", touch("xyz").alias("x"), touch("moved").alias("z"))  # contacts of the same pairs again
+        return to_chunks(rows, wide, cfg.chunk_frames, ("x", "z"), _KEYS)
+    keys = ("run_id", "feature_id", "run_index", "frequency")
+    cells = runs.join(F.broadcast(features), F.lit(True)).select(*keys, "frame", touch("xyz").alias("x"))
+    key = seed(F.lit(PHASES[phase]), cfg.dataset, "run_index", scenario.index, "draw")
+    if scenario.kind == "correlated" and not clean:
+        # the chain runs over whole series: over stretches without halos first
+        plain = draws(to_chunks(cells, 0, cfg.chunk_frames, ("x",), keys), n)
+        rows = to_frames(chained(plain, scenario.level, scenario.rho, key, ("run_id", "feature_id", "draw")), "xs", "zs", keys=_KEYS)
+        return to_chunks(rows.withColumnsRenamed({"xs": "x", "zs": "z"}), wide, cfg.chunk_frames, ("x", "z"), _KEYS)
+    chunks = draws(to_chunks(cells, wide, cfg.chunk_frames, ("x",), keys), n)
+    if clean:
+        return chunks.withColumn("zs", F.col("xs"))
+    if scenario.kind != "bitflip":
+        raise ValueError(f"unknown kind of corruption {scenario.kind!r}")
+    return flipped(chunks, scenario.level, key)
+
+
+def scenario_scores(p: Prepared, scenario: Scenario, phase: str, methods: list[Method], cfg: Config, clean: bool = False) -> DataFrame:
+    """scenario, scenario_index, run_id, draw, method, cand_ord and METRICS of the eligible methods: scenario x run x draw x candidate."""
+    methods = eligible(methods, scenario)
+    # clean series are smoothed with the noise level that the selection was made at
+    level = scenario.level if scenario.kind in FLIPPING else None
+    sums = error_sums(corrupted(p, scenario, phase, methods, cfg, clean), methods, level, keep=_KEYS).withColumn("rare", F.col("frequency") <= RARE)
+    return scores(sums).select(F.lit(scenario.name).alias("scenario"), F.lit(scenario.index).alias("scenario_index"), "*")
+
+
+def missing_candidates(scored: DataFrame, methods: list[Method], scenario: Scenario) -> DataFrame:
+    """method, cand_ord of eligible candidates that a run or draw has no score of: must be empty."""
+    spark = scored.sparkSession
+    grid = spark.createDataFrame([(m.name, m.cand) for m in eligible(methods, scenario)], "method string, cand_ord int")
+    slots = scored.select("run_id", "draw").distinct()
+    want = slots.join(F.broadcast(grid), F.lit(True))  # the grid: at most 120 rows
+    return want.join(scored, ["run_id", "draw", "method", "cand_ord"], "left_anti").select("method", "cand_ord").distinct()
+
+
+def select_scenario(p: Prepared, scenario: Scenario, methods: list[Method], cfg: Config) -> DataFrame:
+    """method, cand_ord, score and the identity of the scenario; written, then read. Fails if a candidate has no score."""
+    scored = persisted(scenario_scores(p, scenario, "validation", methods, cfg), "validation")
+    absent = missing_candidates(scored, methods, scenario).count()
+    if absent:
+        raise ValueError(f"{scenario.name}: {absent} candidates without a score")
+    best = M.best_candidates(scored)
+    return persisted(best.join(F.broadcast(identity(p, methods, scenario)), F.lit(True)), "selection")  # identity: one row
+
+
+def same_identity(selection: DataFrame, own: DataFrame) -> None:
+    """Fails if a selection was made on other features, another grid or another scenario."""
+    fields = own.columns
+    other = selection.select(*fields).distinct().exceptAll(own).collect()  # one row if all is well
+    if other or selection.isEmpty():
+        want = own.first()
+        raise ValueError(f"saved selection differs in {[f for f in fields for o in other if o[f] != want[f]]}")
+
+
+def test_scenario(p: Prepared, scenario: Scenario, methods: list[Method], selection: DataFrame, cfg: Config, clean: bool = False) -> DataFrame:
+    """Scores of the selected candidates on the test runs, after checking that the selection is this scenario's."""
+    same_identity(selection, identity(p, methods, scenario))
+    return scenario_scores(p, scenario, "test", chosen(eligible(methods, scenario), selection), cfg, clean)
+
+
+def run_scenarios(p: Prepared, scenarios: list[Scenario], methods: list[Method], cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """Selections and test scores of several scenarios, as rows."""
+    picked = scored = None
+    for s in scenarios:
+        selection = select_scenario(p, s, methods, cfg)
+        tested = test_scenario(p, s, methods, selection, cfg)
+        picked = selection if picked is None else picked.unionByName(selection)
+        scored = tested if scored is None else scored.unionByName(tested)
+    return picked, persisted(scored, "tested")
+
+
+def summary(selection: DataFrame, tested: DataFrame) -> DataFrame:
+    """For each scenario: the controls chosen on validation runs, the cubic's mean error and its gains over them and over linear, in percent."""
+    means = M.equal_weight(tested, ("scenario", "scenario_index", "run_id", "method"), ("scenario", "scenario_index", "method"), ("brier",))
+    value = lambda m: F.max(F.when(F.col("method") == m, F.col("brier")))
+    wide = means.groupBy("scenario", "scenario_index").agg(value("cubic_median").alias("cubic"), value("linear").alias("linear"), F.map_from_entries(F.collect_list(F.struct("method", "brier"))).alias("by_method"))
+    full = M.best_control(selection, by="scenario").select("scenario", F.col("method").alias("baseline"))
+    matched = M.best_control(selection, tuple(f for f in M.CONTROLS if f != "power_full"), by="scenario").select("scenario", F.col("method").alias("matched_baseline"))
+    rows = wide.join(full, "scenario").join(matched, "scenario")
+    gain = lambda base: F.lit(100.0) * (base - F.col("cubic")) / F.nullif(base, F.lit(0.0))
+    base = F.element_at("by_method", F.col("baseline"))
+    return rows.select("scenario", "scenario_index", "baseline", "matched_baseline", "cubic", "linear", base.alias("baseline_brier"), gain(base).alias("gain_percent"), gain(F.element_at("by_method", F.col("matched_baseline"))).alias("matched_gain_percent"), gain(F.col("linear")).alias("linear_gain_percent"))
+
+
+def better_counts(summed: DataFrame) -> DataFrame:
+    """Over how many scenarios the cubic is better than linear, and than the chosen control."""
+    return summed.agg(F.count("*").alias("scenarios"), F.count_if(F.col("linear_gain_percent") > 0).alias("better_than_linear"), F.count_if(F.col("gain_percent") > 0).alias("better_than_baseline"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import contacts as C
 from ..operators import noise as N
 from ..registry import query
-from ..session import table
+from ..session import persisted, table
 from .sqltext import uniform
 
 ATOMS = 21
@@ -18,9 +18,16 @@ TEST = "run_id >= 7"
 _FRAMES = """fr AS (SELECT CAST(label AS BIGINT) AS run_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS frame, embedding FROM embeddings
 ), atm AS (SELECT run_id, frame, CAST(atom AS BIGINT) AS atom, CAST(embedding[3 * atom + 1] AS DOUBLE) AS x, CAST(embedding[3 * atom + 2] AS DOUBLE) AS y, CAST(embedding[3 * atom + 3] AS DOUBLE) AS z FROM fr CROSS JOIN range(21) t(atom))"""
 _PAIRS = "pr AS (SELECT CAST(row_number() OVER (ORDER BY a.i, b.j) - 1 AS BIGINT) AS feature_id, a.i, b.j FROM range(21) a(i) JOIN range(21) b(j) ON b.j >= a.i + 4)"
+
+
+def _E(atom: str, axis: int, of: str = "embedding") -> str:
+    """A coordinate of an atom, read from the list."""
+    return f"{of}[3 * {atom} + {axis}]::DOUBLE"
+
+
 _CELLS = f"""{_FRAMES}, {_PAIRS}, di AS (
-  SELECT a.run_id, a.frame, feature_id, i, j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance
-  FROM pr JOIN atm a ON a.atom = i JOIN atm b ON b.atom = j AND b.run_id = a.run_id AND b.frame = a.frame
+  SELECT run_id, frame, feature_id, i, j, sqrt(({_E('i', 1)} - {_E('j', 1)}) * ({_E('i', 1)} - {_E('j', 1)}) + ({_E('i', 2)} - {_E('j', 2)}) * ({_E('i', 2)} - {_E('j', 2)}) + ({_E('i', 3)} - {_E('j', 3)}) * ({_E('i', 3)} - {_E('j', 3)})) AS distance
+  FROM fr CROSS JOIN pr
 ), ce AS (SELECT run_id, frame, feature_id, i, j, c.cutoff, CASE WHEN distance < c.v THEN 1 ELSE 0 END AS x FROM di CROSS JOIN (VALUES (15, 0.15::DOUBLE), (20, 0.20::DOUBLE), (25, 0.25::DOUBLE)) c(cutoff, v)
 ), fe AS (SELECT cutoff, feature_id, i, j, CAST(sum(x) AS BIGINT) AS positives, count(*) AS frames FROM ce WHERE run_id < 4 GROUP BY ALL HAVING sum(x) > 0 AND sum(x) < count(*))"""
 _COVER = """ab AS (SELECT cutoff, feature_id FROM ce WHERE run_id < 4 GROUP BY ALL HAVING max(x) = 0
@@ -32,8 +39,10 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.embedding_frames(table(spark, sf_dir, "embeddings"), ATOMS)
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.by_cutoff(C.contacts(C.distances(_frames(spark, sf_dir), C.pairs(spark, ATOMS))))
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of each run and pair at all cutoffs, counted in one pass over the cells."""
+    cells = C.contacts(C.distances(_frames(spark, sf_dir), C.pairs(spark, ATOMS)))
+    return C.contact_counts(cells, "run_id", "feature_id", "i", "j")
 
 
 @query("pairs_theta_join", f"WITH {_PAIRS} SELECT feature_id, i, j FROM pr")
@@ -54,18 +63,17 @@ for _k, _v in C.CUTOFFS.items():
 
 @query("discovery_features", f"WITH {_CELLS} SELECT cutoff, feature_id, i, j, positives, frames, round(positives / frames, 9) AS frequency FROM fe")
 def discovery_features(spark, sf_dir):
-    return C.discovery_features(_cells(spark, sf_dir), DISCOVERY).withColumn("frequency", F.round("frequency", 9))
+    return C.discovery_features(_counts(spark, sf_dir), DISCOVERY).withColumn("frequency", F.round("frequency", 9))
 
 
 @query("rare_features", f"WITH {_CELLS} SELECT cutoff, feature_id FROM fe WHERE positives * 10 <= frames")
 def rare_features(spark, sf_dir):
-    return C.discovery_features(_cells(spark, sf_dir), DISCOVERY).where("frequency <= 0.1D").select("cutoff", "feature_id")
+    return C.discovery_features(_counts(spark, sf_dir), DISCOVERY).where("frequency <= 0.1D").select("cutoff", "feature_id")
 
 
 @query("coverage", f"WITH {_CELLS}, {_COVER} SELECT *, round(absent_positive / nullif(all_positive, 0), 9) AS absent_fraction, all_positive - selected_positive AS omitted_positive FROM cv")
 def coverage(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    return C.coverage(cells, C.discovery_features(cells, DISCOVERY), DISCOVERY).withColumn("absent_fraction", F.round("absent_fraction", 9))
+    return C.coverage(_counts(spark, sf_dir), DISCOVERY).withColumn("absent_fraction", F.round("absent_fraction", 9))
 
 
 @query(
@@ -74,7 +82,7 @@ def coverage(spark, sf_dir):
 SELECT cutoff, count(*) AS eligible, count(*) FILTER (p > 0 AND p < n) AS selected, count(*) FILTER (p = 0) AS constant_absent, count(*) FILTER (p = n) AS constant_present FROM s GROUP BY cutoff""",
 )
 def pair_constancy(spark, sf_dir):
-    s = _cells(spark, sf_dir).where(DISCOVERY).groupBy("cutoff", "feature_id").agg(F.sum(F.col("x").cast("long")).alias("p"), F.count("*").alias("n"))
+    s = _counts(spark, sf_dir).where(DISCOVERY).groupBy("cutoff", "feature_id").agg(F.sum("positives").alias("p"), F.sum("frames").alias("n"))
     return s.groupBy("cutoff").agg(F.count("*").alias("eligible"), F.count_if((F.col("p") > 0) & (F.col("p") < F.col("n"))).alias("selected"), F.count_if(F.col("p") == 0).alias("constant_absent"), F.count_if(F.col("p") == F.col("n")).alias("constant_present"))
 
 
@@ -83,8 +91,7 @@ def pair_constancy(spark, sf_dir):
     f"WITH {_CELLS}, {_COVER} SELECT cutoff, round(sum(absent_positive) / sum(all_positive), 9) AS absent_fraction, round(sum(selected_positive) / sum(all_positive), 9) AS selected_fraction, round(sum(all_positive - selected_positive) / sum(all_positive), 9) AS omitted_fraction FROM cv WHERE {TEST} GROUP BY cutoff",
 )
 def pooled_coverage(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    c = C.coverage(cells, C.discovery_features(cells, DISCOVERY), DISCOVERY).where(TEST).groupBy("cutoff").agg(*[F.sum(x).alias(x) for x in ("all_positive", "selected_positive", "absent_positive", "omitted_positive")])
+    c = C.coverage(_counts(spark, sf_dir), DISCOVERY).where(TEST).groupBy("cutoff").agg(*[F.sum(x).alias(x) for x in ("all_positive", "selected_positive", "absent_positive", "omitted_positive")])
     part = lambda x: F.round(F.col(f"{x}_positive") / F.col("all_positive"), 9).alias(f"{x}_fraction")
     return c.select("cutoff", part("absent"), part("selected"), part("omitted"))
 
@@ -96,11 +103,37 @@ def pooled_coverage(spark, sf_dir):
 SELECT *, 'a' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
 )
 def feature_compatibility(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    of = lambda r: C.discovery_features(cells, F.col("run_id") == r).withColumn("frequency", F.round("frequency", 9))
+    counts = persisted(_counts(spark, sf_dir), "counts")
+    of = lambda r: C.discovery_features(counts, F.col("run_id") == r).withColumn("frequency", F.round("frequency", 9))
     return C.incompatible(of(0), of(1)).withColumns({"cutoff": F.col("cutoff").cast("int")})
 
 
+@query(
+    "features_of_all_runs",
+    f"""WITH {_CELLS}, f AS (SELECT run_id, cutoff, feature_id, round(avg(x), 9) AS frequency FROM ce GROUP BY ALL HAVING sum(x) > 0 AND sum(x) < count(*)
+), k AS (SELECT cutoff, feature_id, count(*) AS runs, count(DISTINCT frequency) AS frequencies FROM f GROUP BY ALL)
+SELECT cutoff, count(*) AS features, count(*) FILTER (runs < (SELECT count(DISTINCT run_id) FROM fr)) AS not_in_all, count(*) FILTER (frequencies > 1) AS of_other_frequency FROM k GROUP BY cutoff""",
+)
+def features_of_all_runs(spark, sf_dir):
+    """How many features differ between any two of all runs, in presence or frequency."""
+    counts = persisted(_counts(spark, sf_dir), "counts")
+    runs = counts.agg(F.count_distinct("run_id").alias("all_runs"))
+    f = counts.where("positives > 0 and positives < frames").withColumn("frequency", F.round(F.col("positives") / F.col("frames"), 9))
+    k = f.groupBy("cutoff", "feature_id").agg(F.count("*").alias("runs"), F.count_distinct("frequency").alias("frequencies")).join(F.broadcast(runs), F.lit(True))  # one row
+    return k.groupBy("cutoff").agg(F.count("*").alias("features"), F.count_if(F.col("runs") < F.col("all_runs")).alias("not_in_all"), F.count_if(F.col("frequencies") > 1).alias("of_other_frequency"))
+
+
+@query(
+    "broken_frames",
+    f"""WITH {_FRAMES}, s AS (SELECT run_id, frame, atom, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM atm WINDOW w AS (PARTITION BY run_id, frame ORDER BY atom))
+SELECT run_id, frame, count(*) AS steps, round(max(step), 9) AS longest FROM s WHERE step >= 0.5 GROUP BY run_id, frame""",
+)
+def broken_frames(spark, sf_dir):
+    """The frames with a step of 0.5 or more along the chain."""
+    steps = C.neighbour_steps(C.atoms_of(_frames(spark, sf_dir))).where("step >= 0.5")
+    return steps.groupBy("run_id", "frame").agg(F.count("*").alias("steps"), F.round(F.max("step"), 9).alias("longest"))
+
+
 @query(
     "adjacent_distance",
     f"""WITH {_FRAMES}, s AS (SELECT run_id, frame, atom, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM atm WINDOW w AS (PARTITION BY run_id, frame ORDER BY atom))

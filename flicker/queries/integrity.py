@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.methods import candidates
+from ..operators import contacts as C
 from ..operators import integrity as I
 from ..operators import splits as P
 from ..registry import query
@@ -199,3 +201,113 @@ def adjacent_orders(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = table(spark, sf_dir, "orders")
     return o.select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(w), 2).alias("step")).where("step IS NOT NULL")
+
+
+# ---------------------------------------------------------------- manifests, names, nested documents
+
+_NAMES = """nm AS (SELECT conv_id, turn, 'md/' || (conv_id % 3 + 1) || '/run/' || CASE WHEN conv_id % 11 = 5 THEN 'other' ELSE 'e' || turn || 's' || conv_id END || CASE WHEN turn > 0 THEN '_e' || (turn - 1) || 's' || conv_id || 'p' || (conv_id % 4) || 'f' || (length(text) % 250) ELSE '' END || '/traj.xtc' AS path FROM conversations)"""
+
+
+def _paths(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    t = lambda x: (x if not isinstance(x, str) else F.lit(x)).cast("string")
+    child = F.when(F.col("conv_id") % 11 == 5, "other").otherwise(F.concat(t("e"), t(F.col("turn")), t("s"), t(F.col("conv_id"))))
+    parent = F.when(F.col("turn") > 0, F.concat(t("_e"), t(F.col("turn") - 1), t("s"), t(F.col("conv_id")), t("p"), t(F.col("conv_id") % 4), t("f"), t(F.char_length("text") % 250))).otherwise("")
+    return c.select("conv_id", "turn", F.concat(t("md/"), t(F.col("conv_id") % 3 + 1), t("/run/"), child, parent, t("/traj.xtc")).alias("path"))
+
+
+@query(
+    "trajectory_names",
+    f"""WITH {_NAMES}, f AS (SELECT path, split_part(path, '/', 2) AS grp, split_part(path, '/', 4) AS folder FROM nm
+), e AS (SELECT *, TRY_CAST(regexp_extract(folder, '^e([0-9]+)s([0-9]+)', 1) AS INTEGER) AS epoch, TRY_CAST(regexp_extract(folder, '^e([0-9]+)s([0-9]+)', 2) AS INTEGER) AS sample, TRY_CAST(regexp_extract(folder, '_e([0-9]+)s([0-9]+)p', 1) AS INTEGER) AS pe, TRY_CAST(regexp_extract(folder, '_e([0-9]+)s([0-9]+)p', 2) AS INTEGER) AS ps,
+  TRY_CAST(regexp_extract(folder, '_e[0-9]+s[0-9]+p([0-9]+)f', 1) AS INTEGER) AS parent_piece, TRY_CAST(regexp_extract(folder, '_e[0-9]+s[0-9]+p[0-9]+f([0-9]+)', 1) AS INTEGER) AS parent_frame FROM f)
+SELECT path, grp, folder, CASE WHEN epoch IS NOT NULL THEN grp || '/e' || epoch || 's' || sample END AS child_node, epoch, sample, CASE WHEN pe IS NOT NULL THEN grp || '/e' || pe || 's' || ps END AS parent_node, parent_piece, parent_frame FROM e""",
+)
+def trajectory_names(spark, sf_dir):
+    """Group, child and parent that a trajectory's path names."""
+    return I.trajectory_parts(_paths(spark, sf_dir).select("path"))
+
+
+@query(
+    "scenario_inputs",
+    """SELECT user_id AS run_id, CASE WHEN user_id % 9 <> 4 THEN 'contacts/' || user_id || '_20.npz' END AS contacts_of_cutoff, CASE WHEN user_id % 9 <> 4 THEN sha256('contacts/' || user_id || '_20.npz') END AS contacts_sha256_of_cutoff FROM (SELECT DISTINCT user_id FROM events)""",
+)
+def scenario_inputs(spark, sf_dir):
+    """The file and checksum that each run of a manifest has for a cutoff, from maps by cutoff."""
+    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id")).distinct()
+    cuts = F.when(F.col("run_id") % 9 == 4, F.array(F.lit("15"))).otherwise(F.array(F.lit("15"), F.lit("20"), F.lit("25")))
+    paths = F.map_from_entries(F.transform(cuts, lambda c: F.struct(c, F.concat(F.lit("contacts/"), F.col("run_id").cast("string"), F.lit("_"), c, F.lit(".npz")))))
+    manifest = runs.withColumn("contacts", paths).withColumn("contacts_sha256", F.transform_values("contacts", lambda _, v: F.sha2(v, 256)))
+    return I.input_paths(manifest, 20).select("run_id", "contacts_of_cutoff", "contacts_sha256_of_cutoff")
+
+
+@query(
+    "exact_stride",
+    "SELECT o_custkey AS run_id, dt, CASE WHEN round(200 / dt) >= 1 AND abs(round(200 / dt) * dt - 200) <= 2e-6 THEN CAST(round(200 / dt) AS BIGINT) END AS stride FROM (SELECT o_custkey, 10.0::DOUBLE * (1 + min(o_orderkey) % 7) AS dt FROM orders GROUP BY o_custkey)",
+)
+def exact_stride(spark, sf_dir):
+    """Frames between samples that are 200 apart, where the run's own spacing allows that exactly."""
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg((F.lit(10.0) * (F.min("o_orderkey") % 7 + 1)).alias("dt"))
+    return runs.withColumn("stride", I.stride("dt", 200.0))
+
+
+@query(
+    "eligibility_reasons",
+    """WITH fr AS (SELECT CAST(label AS BIGINT) AS run_id, vec_id, embedding FROM embeddings), a AS (SELECT run_id, vec_id, CAST(atom AS BIGINT) AS atom, embedding[3 * atom + 1]::DOUBLE AS x, embedding[3 * atom + 2]::DOUBLE AS y, embedding[3 * atom + 3]::DOUBLE AS z FROM fr CROSS JOIN range(21) t(atom)
+), s AS (SELECT run_id, atom, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM a WINDOW w AS (PARTITION BY run_id, vec_id ORDER BY atom)
+), k AS (SELECT run_id, count(*) FILTER (atom = 0) AS frames, max(step) AS max_step, count(DISTINCT atom) - CASE WHEN run_id = 6 THEN 1 ELSE 0 END AS atoms FROM s GROUP BY run_id)
+SELECT run_id, frames, atoms, CASE WHEN frames < 45 THEN 'too_few_frames' WHEN max_step >= 0.72 THEN 'geometry' WHEN atoms <> 21 THEN 'atom_count' END AS reason FROM k""",
+)
+def eligibility_reasons(spark, sf_dir):
+    """Runs by number of frames, longest step along the chain and number of atoms; one run is short of an atom."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("run_id"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda v: v.cast("double")).alias("xyz"))
+    atoms = C.atoms_of(e.withColumn("xyz", F.slice("xyz", 1, 63)))
+    steps = C.neighbour_steps(atoms).groupBy("run_id").agg(F.max("step").alias("max_step"))
+    lost = F.when(F.col("run_id") == 6, 1).otherwise(0)
+    runs = atoms.groupBy("run_id").agg(F.count_if(F.col("atom") == 0).alias("frames"), F.count_distinct("atom").alias("n")).withColumn("atoms", F.col("n") - lost)
+    runs = runs.join(steps, "run_id").withColumns({"min_dt": F.lit(1.0), "max_dt": F.lit(1.0)})
+    return I.eligibility(runs, 45, atoms=21, longest_step=0.72).select("run_id", "frames", "atoms", "reason")
+
+
+_JSON = """js AS (SELECT event_id, '{"run":{"id":' || user_id || ',"values":[' || event_id || ',{"k":"x' || (event_id % 5) || '"},[]],"environment":{"host":"h"}},"ok":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"none":null}' AS j FROM events)"""
+
+
+def _json(spark, sf_dir):
+    t = lambda c: c.cast("string")
+    e = table(spark, sf_dir, "events")
+    j = F.concat(F.lit('{"run":{"id":'), t(F.col("user_id")), F.lit(',"values":['), t(F.col("event_id")), F.lit(',{"k":"x'), t(F.col("event_id") % 5), F.lit('"},[]],"environment":{"host":"h"}},"ok":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(',"none":null}'))
+    return e.select("event_id", j.alias("j"))
+
+
+@query(
+    "json_leaves",
+    f"WITH {_JSON} SELECT event_id, fullkey AS path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, CASE WHEN type <> 'NULL' THEN atom ->> '$' END AS value FROM js, json_tree(js.j) WHERE type NOT IN ('OBJECT', 'ARRAY')",
+)
+def json_leaves(spark, sf_dir):
+    """The leaves of nested JSON documents, with their paths."""
+    return I.flatten_json(_json(spark, sf_dir), "event_id", "j")
+
+
+@query(
+    "json_diff",
+    f"WITH {_JSON}, l AS (SELECT event_id, fullkey AS path, type, CASE WHEN type <> 'NULL' THEN atom ->> '$' END AS value FROM js, json_tree(js.j) WHERE type NOT IN ('OBJECT', 'ARRAY') AND fullkey NOT LIKE '%.environment.%'), a AS (SELECT * FROM l WHERE event_id = 2), b AS (SELECT * FROM l WHERE event_id = 5)\n"
+    "SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'only_a' WHEN a.path IS NULL THEN 'only_b' WHEN a.value IS DISTINCT FROM b.value THEN 'value' END AS issue, CASE WHEN a.type = 'UBIGINT' THEN abs(a.value::DOUBLE - b.value::DOUBLE) END AS abs_diff FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.value IS DISTINCT FROM b.value",
+)
+def json_diff(spark, sf_dir):
+    """Two documents compared leaf by leaf; what lies below a volatile key isn't."""
+    leaves = I.flatten_json(_json(spark, sf_dir).where("event_id in (2, 5)"), "event_id", "j")
+    return I.structural_diff(leaves.where("event_id = 2"), leaves.where("event_id = 5"))
+
+
+@query("candidate_sets", "SELECT CAST(0 AS BIGINT) AS only_here, CAST(7 AS BIGINT) AS only_with_known_noise")
+def candidate_sets(spark, sf_dir):
+    """The grid with and without a known noise level, compared both ways as sets."""
+    of = lambda level: spark.createDataFrame([(m.name, m.cand) for m in candidates(level)], "method string, cand_ord int")
+    a, b = of(None), of(0.1)
+    return a.exceptAll(b).agg(F.count("*").alias("only_here")).join(F.broadcast(b.exceptAll(a).agg(F.count("*").alias("only_with_known_noise"))), F.lit(True))  # one row each
+
+
+@query("method_seconds", "SELECT event_type AS method, count(*) AS calls, round(sum(value) / 1000, 6) AS seconds FROM events GROUP BY event_type")
+def method_seconds(spark, sf_dir):
+    """Seconds summed over the calls of each method, from a table of timings."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("calls"), F.round(F.sum("value") / 1000, 6).alias("seconds"))

@@ -89,3 +89,43 @@ def audit_log(spark, sf_dir):
     entry("prepare", "documents", F.octet_length("text")).write.mode("append").parquet(path)
     entry("score", "labels", F.lit(16)).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+@query(
+    "zip_members",
+    """WITH m AS (SELECT lang || '.zip' AS path, CASE WHEN doc_id % 17 = 3 THEN '../' ELSE '' END || 'docs/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.pdb' ELSE '.xtc' END AS member, CAST(strlen(source || doc_id) AS BIGINT) AS bytes FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT path, member, bytes, NOT starts_with(member, '../') AS safe FROM m""",
+)
+def zip_members(spark, sf_dir):
+    """ZIP files of each language and their members; some would leave the folder that they are unpacked in."""
+    d = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("lang", "source", "doc_id")
+    end = F.when(F.col("doc_id") % 2 == 0, ".pdb").otherwise(".xtc")
+    name = F.concat(F.when(F.col("doc_id") % 17 == 3, "../").otherwise(""), F.lit("docs/"), F.col("doc_id").cast("string"), end)
+    parts = d.groupBy("lang").agg(F.collect_list(F.struct(name.alias("name"), F.concat("source", F.col("doc_id").cast("string")).alias("data"))).alias("members"))
+    files = A.write_zip(parts.select(F.concat("lang", F.lit(".zip")).alias("path"), "members"))
+    return A.read_zip(files).select("path", "member", "bytes", "safe")
+
+
+@query("member_extensions", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'pdb' ELSE 'xtc' END AS extension, count(*) AS members FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+def member_extensions(spark, sf_dir):
+    return zip_members(spark, sf_dir).groupBy(F.substring_index("member", ".", -1).alias("extension")).agg(F.count("*").alias("members"))
+
+
+@query("dcd_headers", "SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS frames, CAST(min(event_id) AS BIGINT) AS first_step, CAST(2 AS BIGINT) AS step_interval, CAST(35 + user_id % 5 AS BIGINT) AS atoms FROM events GROUP BY user_id")
+def dcd_headers(spark, sf_dir):
+    """Headers of DCD files that runs of events stand for, written and read back."""
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("frames"), F.min("event_id").alias("first"))
+    files = runs.select(F.col("user_id").cast("string").alias("path"), A.dcd_header(F.col("frames"), F.col("first"), F.lit(2), 35 + F.col("user_id") % 5).alias("content"))
+    return A.read_dcd_headers(files)
+
+
+@query(
+    "audit_record",
+    """SELECT 'score' AS phase, 'labels' AS input, count(*) AS rows, sha256(string_agg(sha256(concat_ws('|', doc_id, quality, toxic)), '' ORDER BY sha256(concat_ws('|', doc_id, quality, toxic)))) AS sha256, '{"draws":2,"level":0.1}' AS arguments, true AS has_environment FROM labels""",
+)
+def audit_record(spark, sf_dir):
+    """What a phase was started with: a digest of its input, its arguments, the environment and the time, appended to a log."""
+    path = scratch_path(spark, "audit")
+    A.audit(spark, "score", "labels", table(spark, sf_dir, "labels"), ["doc_id", "quality", "toxic"], {"level": 0.1, "draws": 2}).write.mode("append").parquet(path)
+    known = F.try_element_at("environment", F.lit("spark")).isNotNull() & F.try_element_at("environment", F.lit("python")).isNotNull() & F.col("started_utc").isNotNull()
+    return spark.read.parquet(path).select("phase", "input", "rows", "sha256", "arguments", known.alias("has_environment"))

@@ -25,9 +25,11 @@ def session(name: str = "flicker", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir. A temporary folder where that is unset, in local mode (tests) only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="flicker-"))
     return f"{base.rstrip('/')}/flicker-{name}-{uuid.uuid4().hex}"
 
@@ -36,7 +38,22 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by persisted that no later step reads."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Rows of series can be long: bound the rows and bytes of an Arrow batch, the same for all operators of a session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

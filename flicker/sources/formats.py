@@ -79,6 +79,32 @@ def read_zip(content: DataFrame) -> DataFrame:
     return content.mapInArrow(_each(_zip, ZIP_ROWS), ZIP_ROWS)
 
 
+def write_zip(files_: DataFrame) -> DataFrame:
+    """path and content of a ZIP file for each row (path, members: array<struct<name, data>>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for members in b.column(1).to_pylist():
+                f = io.BytesIO()
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    for m in members:
+                        z.writestr(zipfile.ZipInfo(m["name"]), m["data"])
+                out.append(f.getvalue())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    return files_.select("path", "members").mapInArrow(run, "path string, content binary")
+
+
+def dcd_header(frames: Column, first_step: Column, interval: Column, atoms: Column) -> Column:
+    """The header records of a DCD file, as bytes: control block, an empty title and the number of atoms."""
+    word = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    little = lambda c: F.concat(*[F.substring(word(c), 4 - k, 1) for k in range(4)])
+    n = lambda *v: F.concat(*[little(F.lit(x)) for x in v])
+    control = F.concat(n(84), F.encode(F.lit("CORD"), "US-ASCII"), little(frames), little(first_step), little(interval), n(*[0] * 17), n(84))
+    return F.concat(control, n(4, 0, 4), n(4), little(atoms), n(4))
+
+
 def _dcd(data: bytes):
     size, magic = struct.unpack_from("<i4s", data)
     if size != 84 or magic != b"CORD":
@@ -121,3 +147,16 @@ def digests(content: DataFrame, data: str = "content") -> DataFrame:
 def violations(*rules: tuple[str, Column]) -> Column:
     """The names of the rules that don't hold for a row."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))
+
+
+def audit(spark: SparkSession, phase: str, name: str, rows: DataFrame, columns: list[str], arguments: dict) -> DataFrame:
+    """One row for a log: phase, input, rows, sha256 (of the sorted hashes of all rows, in two levels), arguments (JSON), environment, started_utc."""
+    import json
+    import platform
+
+    each = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    # the hashes of a first digit are joined apart; their texts follow each other in order
+    parts = rows.select(each.alias("h")).groupBy(F.substring("h", 1, 2).alias("p")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("t"), F.count("*").alias("n"))
+    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda s: s["t"]), ""), 256).alias("sha256"))
+    environment = F.create_map(*[F.lit(x) for kv in {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform()}.items() for x in kv])
+    return whole.select(F.lit(phase).alias("phase"), F.lit(name).alias("input"), "rows", "sha256", F.lit(json.dumps(arguments, sort_keys=True, separators=(",", ":"))).alias("arguments"), environment.alias("environment"), F.current_timestamp().alias("started_utc"))

@@ -1,5 +1,6 @@
 """Operators on small fixtures."""
 
+import hashlib
 import io
 import math
 import struct
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flicker.functions.methods import halo, kernel_weights, method
+from flicker.functions.methods import candidates, halo, kernel_weights, method
 from flicker.functions.scalars import all_known, decision, t_975
 from flicker.operators import contacts as C
 from flicker.operators import integrity as I
@@ -17,7 +18,9 @@ from flicker.operators import metrics as M
 from flicker.operators import noise as N
 from flicker.operators import series as S
 from flicker.operators import smoothing as H
+from flicker.operators.order import numbered
 from flicker.operators.smoothing import convolved
+from flicker.operators.splits import hash_split
 from flicker.plans import benchmark as B
 from flicker.registry import ORACLE, QUERIES
 from flicker.sources import formats as A
@@ -171,6 +174,148 @@ def test_whole_benchmark(spark, monkeypatch, name):
     assert got.value.args == (2 if pair else 120, 8, 16)
 
 
+# ---------------------------------------------------------------- scenarios
+
+
+def _prepared(spark, runs=9, frames=30):
+    """Eight atoms that move about in a small box; runs 0 to 3 for discovery, 4 to 6 for validation, the others for test."""
+    rng = np.random.default_rng(21)
+    rows = [(r, f, rng.random(24).tolist()) for r in range(runs) for f in range(frames)]
+    xyz = spark.createDataFrame(rows, "run_id long, frame long, xyz array<double>").withColumn("xyz", F.transform("xyz", lambda v: v * 0.35))
+    split = spark.createDataFrame([(r, r, "discovery" if r < 4 else "validation" if r < 7 else "test") for r in range(runs)], "run_id long, run_index long, split string")
+    return B.prepare(xyz, split, C.pairs(spark, 8))
+
+
+SOME = [method("raw"), method("linear", 0, t=2), method("linear", 1, t=8), method("cubic_median", 0, t=2), method("oracle_debiased_linear", 0, t=2)]
+FEW = B.Config(validation_draws=2, test_draws=2)
+
+
+def test_scenarios_by_name():
+    assert [s.index for s in B.scenarios_named()] == list(range(8)) and sum(s.primary for s in B.SCENARIOS) == 1
+    assert [s.index for s in B.scenarios_named("correlated10_cut20")] == [5]
+    with pytest.raises(ValueError):
+        B.scenarios_named("flip11")
+    assert {s.kind: len(B.eligible(candidates(0.1), s)) for s in B.SCENARIOS} == {"bitflip": 120, "jitter": 113, "correlated": 120}
+
+
+@pytest.mark.parametrize("name", ["flip20_cut20", "jitter050_cut20", "correlated10_cut20", "flip10_cut15"])
+def test_corruption_by_kind(spark, name):
+    """Truth is the contacts; the corrupted series are those of the same pairs, drawn by their definition."""
+    [s] = B.scenarios_named(name)
+    p = _prepared(spark)
+    got = B.corrupted(p, s, "test", SOME, FEW).collect()
+    xyz = {(r["run_id"], r["frame"]): np.array(r["xyz"]).reshape(8, 3) for r in p.frames.collect()}
+    kept = {r["feature_id"]: (r["i"], r["j"]) for r in p.features.where(F.col("cutoff") == s.cutoff).collect()}
+    assert len(got) == 2 * 2 * len(kept) and {r["run_id"] for r in got} == {7, 8}
+    changed = cells = 0
+    for r in got:
+        i, j = kept[r["feature_id"]]
+        want = [int(np.linalg.norm(xyz[r["run_id"], f][i] - xyz[r["run_id"], f][j]) < C.CUTOFFS[s.cutoff]) for f in range(30)]
+        assert list(r["xs"]) == want
+        changed += sum(a != b for a, b in zip(r["xs"], r["zs"]))
+        cells += 30
+    rate = changed / cells
+    assert abs(rate - s.level) < 0.03 if s.kind == "bitflip" else 0 < rate < 0.2
+    if s.kind == "jitter":  # one deviate for each atom and axis: pairs of one frame move together
+        assert len({tuple(r["zs"]) for r in got}) > len(kept)
+
+
+def test_jitter_is_shared_by_the_pairs_of_an_atom(spark):
+    """Contacts after jitter are those of one moved set of coordinates."""
+    from flicker.functions.scalars import gaussian, uniform
+
+    [s] = B.scenarios_named("jitter050_cut20")
+    p = _prepared(spark)
+    key = F.concat_ws("|", N.seed(F.lit(N.PHASES["test"]), FEW.dataset, "run_index", s.index, F.lit(1)), "frame")
+    one = p.frames.join(p.split, "run_id").where("run_id = 8").select("frame", F.transform("xyz", lambda v, k: v + F.lit(s.level) * gaussian(uniform(key, F.lit("a"), k), uniform(key, F.lit("b"), k))).alias("m"))
+    xyz = {r["frame"]: np.array(r["m"]).reshape(8, 3) for r in one.collect()}
+    kept = {r["feature_id"]: (r["i"], r["j"]) for r in p.features.where(F.col("cutoff") == s.cutoff).collect()}
+    for r in B.corrupted(p, s, "test", SOME, FEW).where("run_id = 8 and draw = 1").collect():
+        i, j = kept[r["feature_id"]]
+        assert list(r["zs"]) == [int(np.linalg.norm(xyz[f][i] - xyz[f][j]) < C.CUTOFFS[s.cutoff]) for f in range(30)]
+
+
+def test_scenario_from_selection_to_summary(spark):
+    p = _prepared(spark)
+    some = [B.SCENARIOS[0], B.SCENARIOS[3]]
+    picked, tested = B.run_scenarios(p, some, SOME, FEW)
+    assert {(r["scenario"], r["method"]) for r in picked.collect()} == {(s.name, m.name) for s in some for m in B.eligible(SOME, s)}
+    assert tested.groupBy("scenario").agg(F.count_distinct("run_id", "draw").alias("n")).where("n <> 4").isEmpty()
+    rows = {r["scenario"]: r for r in B.summary(picked, tested).collect()}
+    assert set(rows) == {s.name for s in some}
+    for name, r in rows.items():
+        best = min((x["score"], M.CONTROLS.index(x["method"]), x["method"]) for x in picked.where(F.col("scenario") == name).collect() if x["method"] in M.CONTROLS)
+        assert r["baseline"] == best[2]
+        brier = {m: np.mean([np.mean([x["brier"] for x in tested.where((F.col("scenario") == name) & (F.col("method") == m) & (F.col("run_id") == run)).collect()]) for run in (7, 8)]) for m in ("cubic_median", "linear", best[2])}
+        assert math.isclose(r["cubic"], brier["cubic_median"]) and math.isclose(r["gain_percent"], 100 * (brier[best[2]] - brier["cubic_median"]) / brier[best[2]], abs_tol=1e-9)
+    counts = B.better_counts(B.summary(picked, tested)).first()
+    assert counts["scenarios"] == 2 and counts["better_than_linear"] == sum(r["linear_gain_percent"] > 0 for r in rows.values())
+
+
+def test_a_selection_of_something_else_is_refused(spark):
+    p = _prepared(spark)
+    selection = B.select_scenario(p, B.SCENARIOS[0], SOME, FEW)
+    assert B.test_scenario(p, B.SCENARIOS[0], SOME, selection, FEW).count() > 0
+    with pytest.raises(ValueError, match="scenario"):
+        B.test_scenario(p, B.SCENARIOS[1], SOME, selection, FEW)
+    with pytest.raises(ValueError, match="grid"):
+        B.test_scenario(p, B.SCENARIOS[0], SOME[:-1], selection, FEW)
+    other = B.Prepared(p.frames, p.split, p.pairs, p.features.where("feature_id > 0").withColumn("frequency", F.col("frequency") + 0.01))
+    with pytest.raises(ValueError, match="features"):
+        B.test_scenario(other, B.SCENARIOS[0], SOME, selection, FEW)
+
+
+def test_missing_candidates_are_named(spark):
+    p = _prepared(spark)
+    scored = B.scenario_scores(p, B.SCENARIOS[0], "validation", SOME[:-1], FEW)
+    assert [tuple(r) for r in B.missing_candidates(scored, SOME, B.SCENARIOS[0]).collect()] == [("oracle_debiased_linear", 0)]
+
+
+# ---------------------------------------------------------------- order, documents, targets
+
+
+def test_numbering_of_hot_groups_and_ties(spark):
+    rows = [("hot", i // 3) for i in range(400)] + [(None, i) for i in range(50)] + [("a", 1)]
+    df = spark.createDataFrame(rows, "g string, t long").repartition(5)
+    got = numbered(df, ["g"], "t").collect()
+    for g in ("hot", None, "a"):
+        mine = sorted((r["nth"], r["t"]) for r in got if r["g"] == g)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [t for _, t in mine] == sorted(t for _, t in mine)
+    assert sorted(r["nth"] for r in numbered(df, [], "t").collect()) == list(range(451))
+    assert numbered(df.where("false"), ["g"], "t").count() == 0
+
+
+def test_hash_split_indexes_all_runs(spark):
+    runs = spark.range(1000).select((F.col("id") * 7).alias("run_id"))
+    got = hash_split(runs, "run_id", (3, 4, 5)).collect()
+    order = sorted(range(0, 7000, 7), key=lambda r: hashlib.sha256(str(r).encode()).hexdigest())
+    want = {r: ("discovery" if k < 3 else "validation" if k < 7 else "test", r // 7) for k, r in enumerate(order[:12])}
+    assert {r["run_id"]: (r["split"], r["run_index"]) for r in got} == want
+
+
+def test_flattening_of_nested_documents(spark):
+    text = '{"a": {"b": [1, {"c": "x"}, [], [2.5, null]], "seconds": {"d": 1}}, "e": true}'
+    flat = I.flatten_json(spark.createDataFrame([(1, text), (2, "7")], "id long, j string"), "id", "j")
+    assert sorted(tuple(r) for r in flat.collect()) == sorted([(1, "$.a.b[0]", "number", "1"), (1, "$.a.b[1].c", "string", "x"), (1, "$.a.b[3][0]", "number", "2.5"), (1, "$.a.b[3][1]", "null", None), (1, "$.a.seconds.d", "number", "1"), (1, "$.e", "boolean", "true"), (2, "$", "number", "7")], key=str)
+    other = I.flatten_json(spark.createDataFrame([(1, text.replace('"d": 1', '"d": 9').replace("2.5", "2.75"))], "id long, j string"), "id", "j")
+    diff = I.structural_diff(flat.where("id = 1"), other, volatile=("seconds",)).collect()
+    assert [tuple(r) for r in diff] == [("$.a.b[3][0]", "value", 0.25)]
+
+
+def test_existing_targets_are_refused_before_any_work(spark, tmp_path):
+    (tmp_path / "there").mkdir()
+    I.refuse_existing(spark, [str(tmp_path / "new")])
+    with pytest.raises(FileExistsError, match="there"):
+        I.refuse_existing(spark, [str(tmp_path / "new"), str(tmp_path / "there")])
+
+
+def test_eligibility_names_the_first_reason(spark):
+    rows = [("ok", 30, 1.0, 1.0, 35, 0.3), ("short", 5, 1.0, 1.0, 10, 9.0), ("bent", 30, 1.0, 1.0, 35, 0.9), ("fewer", 30, 1.0, 1.0, 34, 0.3), ("slow", 30, 1.0, 2.0, 35, 0.3), ("unknown", 30, 1.0, 1.0, 35, None)]
+    runs = spark.createDataFrame(rows, "run string, frames long, min_dt double, max_dt double, atoms long, max_step double")
+    got = {r["run"]: (r["eligible"], r["reason"]) for r in I.eligibility(runs, 20, 1.0, atoms=35, longest_step=0.5).collect()}
+    assert got == {"ok": (True, None), "short": (False, "too_few_frames"), "bent": (False, "geometry"), "fewer": (False, "atom_count"), "slow": (False, "cadence"), "unknown": (False, "geometry")}
+
+
 def test_formats(spark, tmp_path):
     np.savez_compressed(tmp_path / "a.npz", xyz=np.arange(12, dtype=np.float32).reshape(2, 2, 3), flag=np.array([True, False]))
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
