@@ -1,7 +1,17 @@
 """The corpus pipeline: language ID, toxicity, near duplicates, source mixing and packing, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, and any others, whatever their names. What the stages do with nulls,
+empty and very long texts, ties and repeated rows is what their operators define; in short:
+
+    language ID       null and empty texts, and texts without a letter, go; null ids are judged as all others
+    toxicity          texts without a known word have the score of such examples; labels of null ids aren't used
+    near duplicates   texts without a word stay, equal ones of one id once; of equal rows one stays; rows without an id
+                      go where a row with one is like them
+    source mixing     a null source is a source; documents without words give no rows; n_chars is that of the new text
+    packing           a null or empty text is the single id 0; null ids stay null
+
+An empty table passes through all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flicker.llm import langid, mixing, ngram_join, packing, toxicity
-from flicker.llm.common import id_mod, materialize, read
+from flicker.llm.common import discard, id_mod, materialize, read
 from flicker.llm.queries import tokenizer_path
 
 
@@ -53,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table is deleted as soon as the next one is written."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+    last = None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
