@@ -27,11 +27,24 @@ def test_stages(spark):
 
 
 def test_run_of_odd_and_empty_documents(spark, odd_docs, tmp_path):
+    """Every stage on odd rows with clashing columns, and the run as a whole against its stages."""
     cols = ["doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars")]
+    clash = [F.lit("clash").alias(c) for c in ("score", "lang_pred", "toxicity", "evidence", "size", "start", "round", "row", "spans", "tie", "own_id", "stays", "node", "piece", "length")]
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
     for name, docs in (("odd", odd_docs), ("none", odd_docs.where("false"))):
-        docs.select(*cols).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs.select(*cols, *clash).write.parquet(str(tmp_path / name / "documents.parquet"))
         labels.write.parquet(str(tmp_path / name / "labels.parquet"))
-        got = P.run(spark, str(tmp_path / name))
-        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns)
-        assert got.count() >= 0
+    sf = str(tmp_path / "odd")
+    seen = [spark.read.parquet(f"{sf}/documents.parquet")]
+    for stage_name, stage in P.STAGES[:-1]:
+        out = P.materialize(stage(spark, seen[-1], sf), "test")
+        assert out.columns == seen[0].columns, stage_name
+        assert out.where("score <> 'clash' or piece <> 'clash'").isEmpty(), stage_name
+        seen.append(out)
+    ids = [[r["doc_id"] for r in s.collect()] for s in seen]
+    assert {2, 3, 4}.isdisjoint(ids[1]) and set(ids[1]) <= set(ids[0]) and set(ids[2]) <= set(ids[1])
+    assert len(ids[3]) == len(set(ids[3])) and (None not in ids[3] or 1 not in ids[3])  # the row without an id is a copy of 1
+    packed = P.run(spark, sf).collect()
+    assert {r["doc_id"] for r in packed} == set(ids[4])
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == sum(r["length"] for r in P.pack(spark, seen[4], sf).collect() if r["doc_id"] == 1)
+    assert P.run(spark, str(tmp_path / "none")).collect() == []
