@@ -114,18 +114,18 @@ class BlockMaxIndex:
         # the vectors themselves, and their postings by term
         self.cuts, self.terms, self.weights = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), t.astype(np.int32), w
         by = np.argsort(t, kind="stable")
-        self.example, self.weight = ex[by].astype(np.int32), w[by]
+        self.example, self.weight = ex[by].astype(np.int16 if self.size < 1 << 15 else np.int32), w[by]
         self.offs = np.searchsorted(t[by], np.arange(terms + 1))
-        largest = np.zeros((terms, self.blocks))
-        np.maximum.at(largest, (t, ex // BLOCK), w)
-        self.largest = np.nextafter(largest.astype(np.float32), np.float32(2))  # no less than the weights
+        # in half precision, rounded up: no less than the weights
+        self.largest = np.full((terms, self.blocks), np.nextafter(np.float16(0), np.float16(2)))
+        np.maximum.at(self.largest, (t, ex // BLOCK), np.nextafter(w.astype(np.float16), np.float16(2)))
         self.query = np.zeros(terms)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and similarities of the k nearest with a similarity above 0, nearest first, and the number of blocks that they were sought in to the end."""
         by = np.argsort(-weights, kind="stable")
         terms, weights = terms[by], weights[by]
-        largest, part = self.largest[terms], weights.astype(np.float32)
+        largest, part = self.largest[terms].astype(np.float32), weights.astype(np.float32)
         total, skip = np.zeros(self.size), np.flatnonzero(self.order == but) if but >= 0 else np.zeros(0, np.int64)
         at, step = 0, 8
         while True:
@@ -276,6 +276,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model.weight = tuple(labelled.get(k, 0) / share[k] / (len(model.ids) / 2) for k in (0, 1))
     sparse = [(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(got.column("terms"), got.column("counts"))]
     vectors = [(t, model.vector(t, c) if len(t) else np.zeros(0)) for t, c in sparse]
+    del got, sparse
     model.index = BlockMaxIndex(vectors, len(vocabulary.hashes))
     x, y, none = [], [], [1.0 * model.weight[1], 20.0 * model.weight[0]]
     for r, (t, w) in enumerate(vectors):
@@ -297,8 +298,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("toxicity", "evidence")) -> DataFrame:
     """docs with toxicity and evidence (doc_id, similarity and label of the nearest examples), under the given names; other columns stay."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample; one copy in a worker, for all its tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store: dict[bytes, tuple] = {}  # many texts have the same few terms
+        model = shared.value
+        store: dict[bytes, tuple] = {}  # texts of equal terms
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             out = []
