@@ -14,6 +14,7 @@ from .mixing import mix_counts
 from .neighbours import nearest
 from .ngram_join import jaccard_components
 from .packing import pack_documents
+from .records import encode_and_read
 from .sharding import shard_by_key
 from .toxicity import score_toxicity
 from .warc import archive_pages
@@ -187,3 +188,8 @@ SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) + 1 AS BIGINT) AS size, CASE
   CAST(row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, strlen(coalesce(d.text, '')), v) - 1 AS BIGINT) AS slot
 FROM crc d JOIN s ON s.doc_id IS NOT DISTINCT FROM d.doc_id
 """
+
+
+@query
+def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(read(spark, sf_dir, "documents"), tokenizer_path(), 1)
