@@ -10,6 +10,7 @@ from .chat import rotate
 from .common import read
 from .imatch import fingerprint_edits
 from .langid import predict_languages
+from .merkle import document_manifest
 from .mixing import mix_counts
 from .neighbours import nearest
 from .ngram_join import jaccard_components
@@ -193,3 +194,8 @@ FROM crc d JOIN s ON s.doc_id IS NOT DISTINCT FROM d.doc_id
 @query
 def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(read(spark, sf_dir, "documents"), tokenizer_path(), 1)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(read(spark, sf_dir, "documents"))
