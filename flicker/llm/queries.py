@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .records import encode_and_read
 from .sharding import shard_by_key
 from .toxicity import score_toxicity
+from .trie import prefix_trie
 from .warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +200,43 @@ def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+SQL["op13_conversation_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), tab AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([0, 1, 2, 3], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t
+), c AS ( -- crc32 of the decimal id, four bits at a time, the lower half of a byte first
+  SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_transform(string_split(regexp_replace(hex(encode(CAST(conv_id AS VARCHAR))), '(.)(.)', '\2\1', 'g'), ''), lambda d: CAST(strpos('123456789ABCDEF', d) AS BIGINT)),
+    lambda c, d: xor(c >> 4, t[(xor(c, d) & 15) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id) CROSS JOIN tab
+), r AS (
+  SELECT c.conv_id, 0 AS own, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h
+), p AS (
+  SELECT c.conv_id, coalesce(s, []) AS s, coalesce(len(s), 0) AS n FROM c LEFT JOIN (
+    SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) || '/' || length(text) ORDER BY own, i) AS s FROM r GROUP BY conv_id) USING (conv_id)
+), m AS (SELECT conv_id, s, n, unnest(range(0, n + 1)) AS d FROM p
+), nodes AS (
+  SELECT d, s[1:d] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE CAST(string_split(any_value(s[d]), '/')[2] AS BIGINT) END AS saves
+  FROM m GROUP BY d, s[1:d]
+), kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), whole AS (
+  SELECT u.path[1:u.k] AS path, sum(u.saves) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM (SELECT path, saves, unnest(range(0, d + 1)) AS k FROM nodes) u LEFT JOIN kids ON kids.path = u.path GROUP BY 1
+)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(whole.leaves AS BIGINT) AS n_leaves, CAST(whole.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN whole ON whole.path = v.path LEFT JOIN kids ON kids.path = v.path LEFT JOIN nodes up ON up.d = v.d - 1 AND up.path = v.path[1:v.d - 1]
+"""
