@@ -2,10 +2,11 @@
 
 Terms are the distinct lower-case runs of letters, marks and digits of a text. The lexicon holds the terms whose share
 of documents lies within BAND (so their inverse document frequency lies between ln 10 and ln 1000); document
-frequencies are counted over all documents. SUBSETS random parts of the lexicon are drawn by a hash of the term, some
-of each rate in RATES, so that long and short texts both have telling parts. A fingerprint is one 8-digit hash for
-each part: of the sorted distinct terms of the text in that part, or dots if it has none there. Likeness of two
-fingerprints: the share of equal hashes among the parts where at least one of them has terms.
+frequencies are counted over all documents. PARTS random parts of the lexicon are drawn by a hash of the term, PER_RATE
+of each of the rates 1/16 to 1/512, so that texts of some ten to some thousand terms of the lexicon all have many parts in
+which about one of their terms lies: a part of which one term changes is lost, so parts must be small to survive an edit.
+A fingerprint is one 8-digit hash for each part: of the sorted distinct terms of the text in that part, or dots if it has
+none there. Likeness of two fingerprints: the share of equal hashes among the parts where at least one of them has terms.
 
 At scale: a term of the lexicon is in at least N / 1000 documents, so the lexicon has at most 1000 times the mean number
 of distinct terms of a document, whatever N is; it is broadcast up to BROADCAST_TERMS and joined by shuffle beyond.
@@ -22,6 +23,8 @@ table gives an empty result. Columns besides id and text are not looked at, what
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +32,39 @@ from .common import materialize, order_ranges
 
 #: Least and most share of documents, as 1 / x.
 BAND = (1000, 10)
-RATES = (2, 8, 32, 128, 256)
-SUBSETS = 20
+#: Rates of the parts as powers of one half, and parts of each.
+RATE_BITS, PER_RATE = (4, 5, 6, 7, 8, 9), 10
 BROADCAST_TERMS = 400_000
 RANGE_ROWS, MOST_RANGES = 1024, 1 << 18
-HASH_BITS = 33
-#: How the md5 of no bytes begins.
-EMPTY = "d41d8cd9"
+NONE = "........"
 TERM = r"[\p{L}\p{M}\p{N}]+"
 
 
+def _parts() -> list[tuple[int, int, int]]:
+    """shift, mask and value of each part: it holds the terms that have this value in a field of their hash. Every rate has fields of its own."""
+    out, at = [], 0
+    for bits in RATE_BITS:
+        for k in range(PER_RATE):
+            if k and k % (1 << bits) == 0:
+                at += bits
+            out.append((at, (1 << bits) - 1, k % (1 << bits)))
+        at += bits
+    return out
+
+
+PARTS = _parts()
+
+
 def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """term, code: the parts that a term is in (one bit each, from HASH_BITS on) above HASH_BITS bits of its hash."""
+    """term, code: 60 bits of its hash, of which fields decide about its parts."""
     rows = docs.count()
     held = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     band = held.where((F.col("docs") * BAND[0] >= rows) & (F.col("docs") * BAND[1] <= rows))
-    hashed = band.select("term", F.pmod(F.conv(F.substring(F.md5("term"), 1, 9), 16, 10).cast("long"), F.lit(1 << HASH_BITS)).alias("code"), F.sha2("term", 256).alias("sha"))
-    # two hexadecimal digits of the hash decide about each part
-    limits = F.array(*[F.lit(f"{256 // RATES[k % len(RATES)]:02x}") for k in range(SUBSETS)])
-    parts = F.filter(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.substring("sha", 2 * k + 1, F.lit(2)) < F.get(limits, k))
-    code = F.aggregate(parts, F.col("code"), lambda c, k: c + F.expr(f"{1 << HASH_BITS}L") * F.power(F.lit(2), k).cast("long"))
-    return hashed.select("term", code.alias("code"))
+    return band.select("term", F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long").alias("code"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -78,39 +89,47 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
 
 
-def _bits(parts: list[int]) -> int:
-    return sum(1 << (HASH_BITS + k) for k in parts)
+def _field(c: Column, shift: int, mask: int) -> Column:
+    return F.shiftright(c, shift).bitwiseAND(F.lit(mask))
 
 
-def _in_any(parts: list[int]):
-    return lambda c: c.bitwiseAND(F.expr(f"{_bits(parts)}L")) != 0
+def _below(codes: str, at: tuple[int, int], count: int) -> Column:
+    return F.filter(codes, lambda c: _field(c, *at) < count) if count <= at[1] else F.col(codes)
 
 
-def fingerprints(sets: DataFrame, codes: str, plain: str, name: str) -> DataFrame:
-    """sets with the fingerprint of codes (sorted and distinct); plain: the hash for a text without any.
+def _field_hashes(some: str, shift: int, mask: int, count: int) -> Column:
+    """The hashes of the parts with values 0 to count - 1 of a field; some: the codes that are in any of them."""
 
-    Parts of small rates have few codes, so they are looked for among the codes that are in any of them.
+    def joined(k: Column) -> Column:
+        return F.array_join(F.transform(F.filter(some, lambda c: _field(c, shift, mask) == k), lambda c: c.cast("string")), ",")
+
+    texts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")), joined)
+    hashes = F.transform(texts, lambda t: F.when(t == "", NONE).otherwise(F.substring(F.md5(t), 1, 8)))
+    return F.when(F.size(some) == 0, F.array_repeat(F.lit(NONE), count)).otherwise(hashes)
+
+
+def with_part_hashes(sets: DataFrame, codes: str, plain: str, name: str) -> DataFrame:
+    """sets with the hash of each part of a text's codes (sorted and distinct); plain: the hash for a text without any.
+
+    The codes of a field are looked up in a step of their own, which stays one as long as each is used more than once.
     """
-    by_rate = {r: [k for k in range(SUBSETS) if RATES[k % len(RATES)] == r] for r in RATES}
-    few = [k for r in RATES[2:] for k in by_rate[r]]
-    sets = sets.withColumns({"_some": F.filter(codes, _in_any(by_rate[RATES[1]])), "_few": F.filter(codes, _in_any(few))})
-    parts = []
-    for k in range(SUBSETS):
-        among = codes if k in by_rate[RATES[0]] else "_few" if k in few else "_some"
-        joined = F.array_join(F.transform(F.filter(among, _in_any([k])), lambda c: c.cast("string")), ",")
-        parts.append(F.replace(F.substring(F.md5(joined), 1, 8), F.lit(EMPTY), F.lit("........")))
-    whole = F.when(F.size(codes) == 0, F.repeat(F.substring(plain, 1, 8), F.lit(SUBSETS))).otherwise(F.concat(*parts))
-    return sets.withColumn(name, whole).drop("_some", "_few")
+    counts = Counter(p[:2] for p in PARTS)
+    names = {at: f"_{name}_{at[0]}" for at in counts}
+    sets = sets.withColumns({names[at]: _below(codes, at, n) for at, n in counts.items()})
+    fields = [_field_hashes(names[at], *at, n) for at, n in counts.items()]
+    whole = F.when(F.size(codes) == 0, F.array_repeat(F.substring(plain, 1, 8), len(PARTS))).otherwise(F.concat(*fields))
+    return sets.withColumn(name, whole).drop(*names.values())
+
 
+def compared(a: str, b: str) -> Column:
+    """Of two arrays of part hashes, in one number: the parts where at least one has terms, and 1,000 times those of them that are equal."""
+    each = F.zip_with(a, b, lambda x, y: F.when(x != y, 1).when(x == NONE, 0).otherwise(1001))
+    return F.aggregate(each, F.lit(0), lambda n, v: n + v)
 
-def likeness(a: Column, b: Column) -> Column:
-    def part(x, k):
-        return F.substring(x, k * 8 + 1, F.lit(8))
 
-    places = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    held = F.filter(places, lambda k: (part(a, k) != "........") | (part(b, k) != "........"))
-    same = F.filter(held, lambda k: part(a, k) == part(b, k))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.size(same), F.size(held)), F.lit(0.0)))
+def likeness(n: str) -> Column:
+    """The share of equal parts, from compared; fingerprints of dots alone are equal."""
+    return F.coalesce(F.try_divide(F.floor(F.col(n) / 1000), F.col(n) % 1000), F.lit(1.0))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,12 +147,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("ghost") == 1, of(0, "text")).otherwise(F.concat(of(0, "text"), of(1, "edited"))).alias("held"),
     )
     # exploded in a select of its own: expressions beside an explode are evaluated for every row that it makes
-    rows = rows.select(*keys, F.explode("held").alias("t"))
+    rows = rows.select(*keys, F.explode_outer("held").alias("t"))  # of an inner one Spark would make the terms twice, once to see that there are any
     small = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     found = rows.select(*keys, "t.kind", "t.term").join(small, "term")
     sets = found.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("code")))).alias(c) for k, c in enumerate(("codes", "edited_codes"))])
-    prints = fingerprints(sets, "codes", "plain", "fingerprint")
-    prints = fingerprints(prints, "edited_codes", "edited_plain", "edited_fingerprint").select(*keys[:6], "fingerprint", "edited_fingerprint")
-    follow = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("nth"))
-    out = prints.withColumn("follow", follow).where("ghost = 0")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("follow")).alias("near_next"))
+    prints = with_part_hashes(with_part_hashes(sets, "codes", "plain", "own"), "edited_codes", "edited_plain", "other").select(*keys[:6], "own", "other")
+    follow = F.lead("own").over(Window.partitionBy("range").orderBy("nth"))
+    out = prints.withColumn("follow", follow).where("ghost = 0").withColumns({"to_edited": compared("own", "other"), "to_next": compared("own", "follow")})
+    text = lambda c: F.array_join(c, "")
+    return out.select("doc_id", "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"), likeness("to_edited").alias("near_edited"), likeness("to_next").alias("near_next"))

@@ -222,18 +222,20 @@ def prove(tree: Tree, above: DataFrame, keep: list[str], changed: str | None = N
     return whole.groupBy("grp", "block").applyInArrow(run, f"{kinds}, grp string, idx long, hash string, proof_sha256 string, folded string")
 
 
-def differing(old: DataFrame, new: DataFrame, leaves_old: DataFrame, leaves_new: DataFrame, most: int) -> DataFrame:
-    """grp, idx of leaves that differ between two manifests of equal sizes: only children of differing nodes are compared, level by level."""
+def differing(old: Tree, new: Tree) -> DataFrame:
+    """grp, idx of the leaves that differ between two trees over groups of equal sizes: from the roots down, only children of nodes that differ are compared."""
     at = None
-    for level in range(most, -1, -1):
-        a = (old.where(F.col("level") == level) if level else leaves_old).select("grp", "idx", F.col("hash").alias("was"))
-        b = (new.where(F.col("level") == level) if level else leaves_new).select("grp", "idx", "hash")
-        both = a.join(b, ["grp", "idx"]).where("was <> hash").select("grp", "idx")
-        if at is not None:  # groups that are lower than this level begin at their own top
-            lower = both.join(at.select(F.col("grp").alias("g")).distinct(), F.col("grp") == F.col("g"), "left_anti")
-            near = both.join(at.select("grp", F.col("idx").alias("up")), "grp").where(F.shiftright("idx", FANOUT_BITS) == F.col("up")).select("grp", "idx")
-            both = near.unionByName(lower)
-        at = both
+    for level in range(max(old.most, new.most), -1, -1):
+        a, b = ((t.nodes.where(F.col("level") == level) if level else t.leaves).select("grp", "idx", "hash") for t in (old, new))
+        both = a.withColumnRenamed("hash", "was").join(b, ["grp", "idx"]).where("was <> hash").select("grp", "idx")
+        found = both.join(new.sizes.where(F.col("height") == level).select("grp"), "grp", "left_semi")  # groups whose root is here
+        if at is not None:
+            above = at.select("grp", F.col("idx").alias("up"))
+            found = found.unionByName(both.withColumn("up", F.shiftright("idx", FANOUT_BITS)).join(above, ["grp", "up"], "left_semi").select("grp", "idx"))
+            last = at
+        at = materialize(found, "differing")
+        if level < max(old.most, new.most):
+            discard(last)
     return at
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import rotate
 from .common import read
-from .imatch import fingerprint_edits
+from .imatch import PARTS, fingerprint_edits
 from .langid import predict_languages
 from .merkle import document_manifest
 from .mixing import mix_counts
@@ -70,6 +70,7 @@ def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+_IMATCH_PARTS = "[" + ", ".join(f"{{s: {s}, m: {m}, v: {v}}}" for s, m, v in PARTS) + "]"
 SQL["op3_imatch_fingerprints"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
 ), e AS (
@@ -80,30 +81,27 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
   SELECT r, 0 AS kind, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'))) AS term FROM f
   UNION ALL SELECT r, 1, unnest(list_distinct(regexp_extract_all(lower(edited), '[\p{L}\p{M}\p{N}]+'))) FROM f
 ), lex AS (
-  SELECT term, CAST(('0x' || substr(md5(term), 1, 9))::BIGINT % 8589934592 AS BIGINT) + (
-    SELECT CAST(coalesce(sum(CASE WHEN substr(sha256(term), CAST(2 * k + 1 AS INTEGER), 2) < (['80', '20', '08', '02', '01'])[k % 5 + 1] THEN 8589934592 * (1::BIGINT << k) ELSE 0 END), 0) AS BIGINT) FROM range(20) ks(k)
-  ) AS code
+  SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS code
   FROM t WHERE kind = 0 GROUP BY term HAVING count(*) * 1000 >= (SELECT count(*) FROM d) AND count(*) * 10 <= (SELECT count(*) FROM d)
 ), codes AS (SELECT r, kind, list_sort(list(DISTINCT code)) AS codes FROM t JOIN lex USING (term) GROUP BY r, kind
 ), texts AS (SELECT r, 0 AS kind, md5(text) AS plain FROM f UNION ALL SELECT r, 1, md5(edited) FROM f
 ), prints AS (
-  SELECT r, kind, CASE WHEN codes IS NULL THEN repeat(substr(plain, 1, 8), 20) ELSE array_to_string(list_transform(range(20), lambda k:
-    CASE WHEN len(list_filter(codes, lambda c: (c >> (33 + k)) & 1 = 1)) = 0 THEN '........'
-      ELSE substr(md5(array_to_string(list_filter(codes, lambda c: (c >> (33 + k)) & 1 = 1), ',')), 1, 8) END), '') END AS fp
-  FROM texts LEFT JOIN codes USING (r, kind)
+  SELECT r, kind, CASE WHEN codes IS NULL THEN list_transform(parts, lambda p: substr(plain, 1, 8)) ELSE list_transform(parts, lambda p:
+    CASE WHEN len(list_filter(codes, lambda c: (c >> p.s) & p.m = p.v)) = 0 THEN '........'
+      ELSE substr(md5(array_to_string(list_filter(codes, lambda c: (c >> p.s) & p.m = p.v), ',')), 1, 8) END) END AS fp
+  FROM texts LEFT JOIN codes USING (r, kind) CROSS JOIN (SELECT PARTS AS parts)
 ), g AS (
   SELECT f.doc_id, f.n, f.edited, a.fp AS x, b.fp AS y, coalesce(lead(a.fp) OVER w, first_value(a.fp) OVER w) AS z
   FROM f JOIN prints a ON a.r = f.r AND a.kind = 0 JOIN prints b ON b.r = f.r AND b.kind = 1
   WINDOW w AS (ORDER BY f.r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), h AS (
-  SELECT *, list_filter(range(20), lambda k: substr(x, k * 8 + 1, 8) <> '........' OR substr(y, k * 8 + 1, 8) <> '........') AS hy,
-    list_filter(range(20), lambda k: substr(x, k * 8 + 1, 8) <> '........' OR substr(z, k * 8 + 1, 8) <> '........') AS hz FROM g
+  SELECT *, list_filter(list_zip(x, y), lambda p: p[1] <> '........' OR p[2] <> '........') AS hy, list_filter(list_zip(x, z), lambda p: p[1] <> '........' OR p[2] <> '........') AS hz FROM g
 )
-SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, x AS fingerprint, y AS edited_fingerprint,
-  CASE WHEN x = y THEN 1.0 ELSE coalesce(len(list_filter(hy, lambda k: substr(x, k * 8 + 1, 8) = substr(y, k * 8 + 1, 8)))::DOUBLE / nullif(len(hy), 0), 0.0) END::DOUBLE AS near_edited,
-  CASE WHEN x = z THEN 1.0 ELSE coalesce(len(list_filter(hz, lambda k: substr(x, k * 8 + 1, 8) = substr(z, k * 8 + 1, 8)))::DOUBLE / nullif(len(hz), 0), 0.0) END::DOUBLE AS near_next
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(x, '') AS fingerprint, array_to_string(y, '') AS edited_fingerprint,
+  CASE WHEN x = y THEN 1.0 ELSE coalesce(len(list_filter(hy, lambda p: p[1] = p[2]))::DOUBLE / nullif(len(hy), 0), 0.0) END::DOUBLE AS near_edited,
+  CASE WHEN x = z THEN 1.0 ELSE coalesce(len(list_filter(hz, lambda p: p[1] = p[2]))::DOUBLE / nullif(len(hz), 0), 0.0) END::DOUBLE AS near_next
 FROM h
-""".replace("\\\\p", "\\p")
+""".replace("PARTS", _IMATCH_PARTS)
 
 
 @query
@@ -202,6 +200,59 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(read(spark, sf_dir, "documents"))
 
 
+def _merkle_sql(levels: int, top_levels: int) -> str:
+    """Level by level, for up to 8 ** levels leaves of a language and 8 ** top_levels languages."""
+    ctes = []
+
+    def tree(t: str, most: int) -> None:
+        for k in range(most):
+            ctes.append(f"{t}r{k} AS (SELECT g, idx // 8 AS idx, list(hash ORDER BY idx) AS run FROM {t}{k} WHERE height > {k} GROUP BY g, idx // 8)")
+            ctes.append(f"{t}{k + 1} AS (SELECT g, idx, sha256(array_to_string(run, '')) AS hash, height FROM {t}r{k} JOIN {t}h USING (g))")
+
+    def climb(name: str, source: str, t: str, g: str, idx: str, most: int) -> str:
+        for k in range(most):
+            at = f"({idx} // {8**k})"
+            left, right = f"array_to_string(run[1:{at} % 8], '')", f"array_to_string(run[{at} % 8 + 2:], '')"
+            ctes.append(f"{name}{k} AS (SELECT s.* REPLACE (CASE WHEN run IS NULL THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN run IS NULL THEN cur ELSE sha256({left} || cur || {right}) END AS cur) FROM {source} s LEFT JOIN {t}r{k} r ON r.g = s.{g} AND r.idx = {idx} // {8 ** (k + 1)})")
+            source = f"{name}{k}"
+        return source
+
+    height = lambda most: " + ".join(f"CAST(count(*) > {8**k} AS INTEGER)" for k in range(most))
+    root = lambda t, most: " UNION ALL ".join(f"SELECT g, hash FROM {t}{k} WHERE height = {k}" for k in range(most + 1))
+    ctes.append("lh AS (SELECT g, " + height(levels) + " AS height FROM leaves GROUP BY g)")
+    ctes.append("l0 AS (SELECT g, idx, leaf AS hash, height FROM leaves JOIN lh USING (g))")
+    tree("l", levels)
+    ctes.append(f"subroots AS ({root('l', levels)})")
+    ctes.append("tops AS (SELECT '' AS g, g AS lang_key, hash, row_number() OVER (ORDER BY encode(g)) - 1 AS idx FROM subroots)")
+    ctes.append("th AS (SELECT g, " + height(top_levels) + " AS height FROM tops GROUP BY g)")
+    ctes.append("t0 AS (SELECT g, idx, hash, height FROM tops JOIN th USING (g))")
+    tree("t", top_levels)
+    ctes.append(f"root AS (SELECT hash AS root FROM ({root('t', top_levels)}))")
+    ctes.append("s AS (SELECT v.doc_id, v.g, v.idx, v.leaf, '' AS top, tops.hash AS subroot, tops.idx AS tidx, '' AS proof, tampered AS cur FROM leaves v JOIN tops ON tops.lang_key = v.g)")
+    last = climb("u", climb("p", "s", "l", "g", "s.idx", levels), "t", "top", "s.tidx", top_levels)
+    return r"""
+WITH tab AS (
+  SELECT list_transform(range(16), lambda i: list_reduce([0, 1, 2, 3], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t
+), f AS ( -- crc32 of the decimal id, four bits at a time, the lower half of a byte first
+  SELECT doc_id, coalesce('.' || lang, '-') AS g, text,
+    list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS fields,
+    xor(list_reduce(
+      list_transform(string_split(regexp_replace(hex(encode(CAST(doc_id AS VARCHAR))), '(.)(.)', '\2\1', 'g'), ''), lambda d: CAST(strpos('123456789ABCDEF', d) AS BIGINT)),
+      lambda c, d: xor(c >> 4, t[(xor(c, d) & 15) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 3 = 0 AS tampered
+  FROM documents CROSS JOIN tab
+), e AS (
+  SELECT doc_id, g, tampered, sha256(array_to_string(fields, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(array_to_string(fields, '') || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS other FROM f
+), leaves AS (
+  SELECT doc_id, g, leaf, CASE WHEN tampered THEN other ELSE leaf END AS tampered, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM e
+), """ + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM {last} CROSS JOIN root
+"""
+
+
+SQL["op12_merkle_manifest"] = _merkle_sql(7, 4)
+
+
 @query
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations"))
