@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of texts handed to Python at once, and bytes that the numpy kernels expand at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Bytes at once where a worker or executor holds much besides: a model, or sorted texts.
+NARROW_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
@@ -48,10 +50,10 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Texts can be long: bound the rows and bytes of an Arrow batch for the Python operators of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free, materialize, parts_for, small_batches, sorted_rows, text_buffers, word_spans
+from .common import NARROW_BYTES, discard, free, materialize, parts_for, small_batches, sorted_rows, text_buffers, word_spans
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK_WORDS, SHARD_SLOTS = 128, 4096
@@ -248,7 +248,7 @@ def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     n_chars, where docs has it, is that of the new text.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, NARROW_BYTES)
     row, size, tie = free("row", docs), free("size", docs), free("tie", docs)
     held = materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: _size(), tie: F.xxhash64("text")}).where(F.col(size) > 0), "sized")
     slim = held.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(size).alias("size"), F.col(tie).alias("tie"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, discard, free, lower_ascii, materialize, mix, small_batches, text_buffers, word_spans
+from .common import NARROW_BYTES, WordHash, discard, free, lower_ascii, materialize, mix, small_batches, text_buffers, word_spans
 
 WORDS, PERCENT, TOKENS, TILE_SHINGLES = 5, 80, 28, 4 << 20
 #: Rows of (id, 16-byte hash) that are broadcast to pick texts by; above, texts are shuffled to them.
@@ -292,7 +292,7 @@ def _rows(docs: DataFrame, tokens: int | None) -> DataFrame:
 
     comp is the smallest node of a component, lead the smallest text hash of the row's node; all are null without a shingle.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, NARROW_BYTES)
     key = secrets.token_bytes(16)
     sketch = materialize(docs.mapInArrow(_sketch(key, tokens), "doc_id long, text_hash binary, n long, node long, toks array<long>, bits binary"), "sketch")
     sets = sketch.where("node is not null")

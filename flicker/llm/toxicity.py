@@ -5,7 +5,8 @@ each label with the smallest id hashes (documented parameters); the vocabulary i
 them, without a cap. Document frequencies are counted over all documents. A text's vector has the weights
 (1 + ln count) * idf * relevance at unit length; the relevance of a term is how far it goes with the label in the
 sample, its chi-squared over CHI2, at most 1, to the power of SHARPNESS. No term is left out by it, but those that go
-with neither label hardly count.
+with neither label hardly count. This is a departure from plain TF-IDF: with SHARPNESS 0 the cosine knows no labels, and
+finds about half of the toxic rows of a held-out part where the weighted one finds 95 % (README has the figures).
 
 The index keeps the postings of each term and, for blocks of BLOCK similar examples, the largest weight of the term in
 the block. A query adds up its terms by falling weight; what the terms that are left can still add to an example is
@@ -28,6 +29,7 @@ toxicity and evidence to them.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, free, id_mod, letters, materialize, mix, small_batches
+from .common import NARROW_BYTES, SPACE, discard, free, id_mod, letters, materialize, small_batches
 
 PER_CLASS = {1: 3000, 0: 5000}
 CHI2, SHARPNESS, LEAST_DOCS = 36.0, 2, 3
@@ -47,39 +49,50 @@ THRESHOLD = 0.3
 #: Scores that a task keeps for texts of equal terms.
 STORE = 20_000
 
-_R = pow(3, 41, 1 << 64) | 1
-_powers: dict[str, np.ndarray] = {}
+class TermHash:
+    """Keyed 64-bit hashes of words of any length: multilinear in their letters, in two lanes of which the upper halves are kept.
 
+    Each place of a word has a random factor of its own, so two different words collide with a chance of about 2^-64 over
+    the key, whatever the words are. A key is drawn for each job.
+    """
 
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return _powers[base][:n]
+    STEP = 64
 
+    def __init__(self, key: tuple[int, ...]):
+        self.key = key
+        self.factors = np.zeros((2, 0), np.uint64)
 
-def row_terms(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def _factors(self, n: int) -> np.ndarray:
+        have = self.factors.shape[1] // self.STEP
+        more = [np.random.default_rng([*self.key, block]).integers(0, 1 << 63, (2, self.STEP), np.uint64) * np.uint64(2) + np.uint64(1) for block in range(have, -(-n // self.STEP))]
+        if more:
+            self.factors = np.concatenate((self.factors, *more), 1)
+        return self.factors
+
+    def __call__(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """letters: those of all words, one word behind the other; first: where each begins."""
+        size = np.diff(np.append(first, len(letters)))
+        place = np.arange(len(letters)) - np.repeat(first, size) + 1
+        k = self._factors(int(size.max()) + 1)
+        value = letters.astype(np.uint64) + np.uint64(1)
+        lanes = [np.add.reduceat(k[j][place] * value, first) + k[j][0] * size.astype(np.uint64) for j in (0, 1)]
+        return (lanes[0] >> np.uint64(32) << np.uint64(32)) | (lanes[1] >> np.uint64(32))
+
+
+def row_terms(col: pa.Array, words: TermHash) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, 64-bit hash) of all words, in text order, repeats included."""
     for i, n, cps, offs in letters(col):
-        m = len(cps)
-        row = np.repeat(np.arange(n), np.diff(offs))
-        full = cps != SPACE
-        sums = np.zeros(m + 1, np.uint64)
-        np.cumsum(mix(cps.astype(np.uint64) + np.uint64(7)) * _power(_R, m), out=sums[1:])
-        back = _power(pow(_R, -1, 1 << 64), m + 1)
-        first = np.zeros(m + 1, bool)
-        first[offs] = True
-        starts = np.flatnonzero(full & (~np.concatenate(([False], full[:-1])) | first[:-1])) if m else np.zeros(0, np.int64)
-        ends = np.flatnonzero(full & (~np.concatenate((full[1:], [False])) | first[1:])) + 1 if m else starts
-        words = mix((sums[ends] - sums[starts]) * back[starts] + np.uint64(1))
-        yield i, n, row[starts], words
+        at = np.flatnonzero(cps != SPACE)
+        row = np.searchsorted(offs, at, "right") - 1
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (np.diff(row) > 0)))) if len(at) else at
+        yield i, n, row[first], words(cps[at], first) if len(at) else np.zeros(0, np.uint64)
 
 
 class Vocabulary:
     """Terms by the order of their hashes, with the relevance of each."""
 
-    def __init__(self, hashes: list[int], relevance: list[float] | None = None):
+    def __init__(self, hashes: list[int], words: TermHash, relevance: list[float] | None = None):
+        self.words = words
         held = np.array(hashes, np.int64).view(np.uint64)
         order = np.argsort(held)
         self.hashes = held[order]
@@ -90,7 +103,7 @@ class Vocabulary:
     def counts(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, rows, row, term, count), by row and term."""
         size = len(self.hashes)
-        for i, n, row, h in row_terms(col):
+        for i, n, row, h in row_terms(col, self.words):
             at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             row, h = row[at], h[at]
             t = np.minimum(np.searchsorted(self.hashes, h), max(size - 1, 0))
@@ -214,10 +227,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
 
 
 def _vocabulary(sample: DataFrame) -> Vocabulary:
+    words = TermHash(tuple(secrets.token_bytes(16)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column(1).to_numpy()
-            for i, _, row, h in row_terms(b.column(0)):
+            for i, _, row, h in row_terms(b.column(0), words):
                 by = np.lexsort((h, row))
                 row, h = row[by], h[by]
                 new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
@@ -232,7 +247,7 @@ def _vocabulary(sample: DataFrame) -> Vocabulary:
     cross = a * (neg - (n - a)) - (n - a) * (pos - a)
     chi2 = F.coalesce(F.try_divide(F.lit(rows) * cross * cross, n * (F.lit(rows) - n) * float(pos) * float(neg)), F.lit(0.0))
     got = t.select("term", F.pow(F.least(F.lit(1.0), F.greatest(chi2, F.lit(1e-6)) / CHI2), F.lit(SHARPNESS)).alias("relevance")).toArrow()  # the words of the bounded sample
-    return Vocabulary(got.column("term").to_numpy(), got.column("relevance").to_numpy())
+    return Vocabulary(got.column("term").to_numpy(), words, got.column("relevance").to_numpy())
 
 
 def term_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
@@ -255,7 +270,7 @@ def term_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.n
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text of all documents; labels: doc_id, toxic (rows held out by the id rule are left out here)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, NARROW_BYTES)
     sample, labelled = _sample(docs, labels)
     vocabulary = _vocabulary(sample)
     rows, df = term_frequencies(docs, vocabulary)
@@ -269,6 +284,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.record_batch([b.column(0).slice(i, n), b.column(2).slice(i, n), *lists], ["doc_id", "toxic", "terms", "counts"])
 
     got = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    discard(sample)
     model.ids, model.toxic = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
     if not len(model.ids):
         return model
@@ -318,7 +334,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[st
             evidence = [[{"doc_id": i, "similarity": s, "toxic": t} for i, s, t in e] for _, e in out]
             yield pa.record_batch([*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], [*b.schema.names, *names])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, NARROW_BYTES)
     near = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], near)]))
 

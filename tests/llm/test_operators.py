@@ -288,6 +288,12 @@ def test_edits_are_nearer_than_strangers(spark):
     assert near > far
 
 
+def test_half_kept_texts_lie_above_strangers(spark):
+    got = QUERIES["op3_imatch_fingerprints"](spark, f"{DATA}/sf0.01").where("fingerprint <> edited_fingerprint or near_edited < 1")
+    share, none = got.agg(F.avg((F.col("near_edited") > F.col("near_next")).cast("int")), F.avg((F.col("near_edited") == 0).cast("int"))).first()
+    assert share >= 0.95 and none <= 0.05
+
+
 # ---------------------------------------------------------------- 4 toxicity
 
 
@@ -309,11 +315,29 @@ def test_block_max_search_is_exact():
         t, w = vector()
         found, sims, blocks = index.search(t, w, 5)
         want = np.sort(dense[:, t] @ w)[::-1][:5]
-        assert np.allclose(sims, want[want > 0][: len(sims)], atol=1e-12) and np.allclose(dense[found][:, t] @ w, sims)
+        want = want[want > 0]
+        assert len(found) == len(sims) == len(want) > 0
+        assert np.allclose(sims, want, atol=1e-12) and np.allclose(dense[found][:, t] @ w, sims)
         visited.append(blocks)
     assert np.mean(visited) < index.blocks  # bounds let blocks be left out
 
 
+def test_words_of_a_hash():
+    """Words of any length, also those that polynomial hashes can't tell apart, and words at borders of rows."""
+    words = [w for n in (1, 3, 10, 11) for w in thue_morse(n)] + ["a", "aa", "b" * 5000, "b" * 5001, "été", "𐐀x"]
+    hashing = toxicity.TermHash((1, 2, 3))
+    got = {}
+    for texts in (words, [" ".join(words)], ["x y", *words[::-1]], [None, "", "12", *words]):
+        for _, _, row, h in toxicity.row_terms(pa.array(texts), hashing):
+            flat = [w.lower() for t in texts for w in re.findall(r"[^\W\d_]+", t or "")]
+            assert len(flat) == len(h) == len(row)
+            for w, v in zip(flat, h.tolist()):
+                assert got.setdefault(w, v) == v
+    assert len(set(got.values())) == len(got)
+    other = next(toxicity.row_terms(pa.array(["a"]), toxicity.TermHash((4,))))[3]
+    assert other[0] != got["a"]
+
+
 def test_toxicity_against_brute_force(spark):
     """Neighbours, votes, curve and scores from dense vectors, on the words of a small table."""
     sf = f"{DATA}/sf0.01"
