@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+from .stretches import neighbours
+
 #: Keys whose values may differ between two runs of the same work.
 VOLATILE = ("created_utc", "elapsed_seconds", "environment", "argv")
 
@@ -127,9 +130,11 @@ def eligibility(runs: DataFrame, least_frames: int = 20, cadence: float | None =
 
 
 def cadence(frames: DataFrame, time: str, run: str = "run_id", order: tuple[str, ...] = ()) -> DataFrame:
-    """run_id, frames, min_dt, max_dt of numeric times."""
-    w = Window.partitionBy(run).orderBy(time, *order)
-    return frames.withColumn("dt", F.col(time) - F.lag(time).over(w)).groupBy(run).agg(F.count("*").alias("frames"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"))
+    """run_id, frames, min_dt, max_dt of numeric times; a run of any length is sorted over many tasks."""
+    placed = numbered(frames.select(run, time, *order), [run], time, *order, name="_place")
+    both = neighbours(placed, [run], [time], "_place")
+    dt = F.col(time) - F.col(f"before_{time}")
+    return both.groupBy(run).agg(F.count("*").alias("frames"), F.min(dt).alias("min_dt"), F.max(dt).alias("max_dt"))
 
 
 def stride(dt: str, wanted: float, tolerance: float = 1e-8) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.methods import Method, at_least_half, kernel_weights, shape
 from ..session import arrow_batches
+from .stretches import neighbours
 
 #: Additive sums of a chunk, from which every metric follows.
 SUMS = ("cells", "sum_sq", "sum_abs", "sum_p", "sum_x", "tp", "fp", "fn", "brief_hits", "brief_cells", "edge_sq", "edge_cells", "changed")
@@ -194,11 +195,8 @@ def thomas(z: np.ndarray, t: float) -> np.ndarray:
 
 
 def residuals(frames: DataFrame, t: float, h: str = "h", z: str = "z") -> DataFrame:
-    """run_id, feature_id and the largest absolute residual of the resolvent's equation, by lag and lead."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id", "feature_id").orderBy("frame")
-    left, right = F.lag(h).over(w), F.lead(h).over(w)
-    step = F.coalesce(F.col(h) - left, F.lit(0.0)) + F.coalesce(F.col(h) - right, F.lit(0.0))
+    """run_id, feature_id and the largest absolute residual of the resolvent's equation."""
+    both = neighbours(frames, ["run_id", "feature_id"], [h])
+    step = F.coalesce(F.col(h) - F.col(f"before_{h}"), F.lit(0.0)) + F.coalesce(F.col(h) - F.col(f"after_{h}"), F.lit(0.0))
     res = F.abs(F.col(h) + F.lit(t / 4) * step - F.col(z))
-    return frames.withColumn("res", res).groupBy("run_id", "feature_id").agg(F.max("res").alias("residual"))
+    return both.withColumn("res", res).groupBy("run_id", "feature_id").agg(F.max("res").alias("residual"))

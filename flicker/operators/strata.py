@@ -1,28 +1,28 @@
-"""Strata of a binary series: transitions, positive runs, brief runs, rare features. By windows, for results as rows."""
+"""Strata of a binary series: transitions, positive runs, brief runs, rare features, for results as rows. No window covers a whole series."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stretches import neighbours, runs_of
+
 RARE = 0.10
 BRIEF = 3
-_KEY = ("run_id", "feature_id")
+_KEY = ["run_id", "feature_id"]
 
 
 def transitions(frames: DataFrame) -> DataFrame:
     """frames with edge: whether either neighbour differs."""
-    w = Window.partitionBy(*_KEY).orderBy("frame")
-    return frames.withColumn("edge", F.coalesce(F.col("x") != F.lag("x").over(w), F.lit(False)) | F.coalesce(F.col("x") != F.lead("x").over(w), F.lit(False)))
+    both = neighbours(frames, _KEY, ["x"])
+    differs = lambda c: F.coalesce(F.col("x") != F.col(c), F.lit(False))
+    return both.select(*frames.columns, (differs("before_x") | differs("after_x")).alias("edge"))
 
 
 def positive_runs(frames: DataFrame) -> DataFrame:
-    """run_id, feature_id, start, stop (exclusive), n of every positive run: gaps and islands."""
-    within = Window.partitionBy(*_KEY, "x").orderBy("frame")
-    rows = frames.withColumn("island", F.col("frame") - F.row_number().over(within))
+    """run_id, feature_id, start, stop (exclusive), n of every positive run."""
     ends = frames.groupBy(*_KEY).agg((F.max("frame") + 1).alias("n"))
-    runs = rows.where("x = 1").groupBy(*_KEY, "island").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("stop"))
-    return runs.join(ends, list(_KEY)).select(*_KEY, "start", "stop", "n")
+    return runs_of(frames, _KEY, F.col("x") == 1).join(ends, _KEY).select(*_KEY, "start", "stop", "n")
 
 
 def brief_runs(runs: DataFrame, longest: int = BRIEF) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contacts as C
+from ..operators import streams as X
 from ..operators import noise as N
 from ..registry import query
 from ..session import persisted, table
@@ -168,3 +169,18 @@ def backbone_fragments(spark, sf_dir):
     steps = C.neighbour_steps(C.atoms_of(_frames(spark, sf_dir)))
     f = steps.groupBy("run_id", "frame").agg((F.count_if(F.col("step") >= 0.25) + 1).alias("fragments"))
     return f.groupBy("run_id", "fragments").agg(F.count("*").alias("frames"))
+
+
+@query("exact_normals")
+def exact_normals(spark, sf_dir):
+    """Coordinates moved by the very normals that NumPy's default generator draws for a whole run at once, 64 frames at a time (tested against it)."""
+    frames = C.embedding_frames(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ATOMS)
+    runs = frames.groupBy("run_id").agg(F.count("*").alias("frames"))
+    words = F.array(*[F.lit(w).cast("long") for w in (20261128, 2, 1)], "run_id", F.lit(3).cast("long"), F.lit(0).cast("long"))
+    streams = runs.select("run_id", words.alias("words"), (F.col("frames") * 3 * ATOMS).alias("total"))
+    blocks = runs.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(64).cast("long"))).alias("lo"), "frames")
+    blocks = blocks.select("run_id", "lo", (F.col("lo") * 3 * ATOMS).alias("first"), (F.least(F.lit(64), F.col("frames") - F.col("lo")) * 3 * ATOMS).alias("size"))
+    drawn = X.normals(blocks, streams).select("run_id", "lo", "v")
+    moved = frames.join(drawn, (frames["run_id"] == drawn["run_id"]) & ((frames["frame"] - frames["frame"] % 64) == drawn["lo"])).drop(drawn["run_id"])
+    own = F.slice("v", ((F.col("frame") - F.col("lo")) * 3 * ATOMS + 1).cast("int"), 3 * ATOMS)
+    return moved.select("run_id", "frame", F.zip_with("xyz", own, lambda c, z: c + F.lit(0.0125) * z).alias("xyz"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.methods import candidates, halo, method
@@ -11,6 +11,9 @@ from ..operators import noise as N
 from ..operators import series as S
 from ..operators import smoothing as H
 from ..operators import strata as R
+from ..operators import streams as X
+from ..operators import tridiagonal as D
+from ..operators.order import numbered
 from ..registry import query
 from ..session import table
 from . import sqltext as Q
@@ -125,6 +128,13 @@ def occupancy_preserved(spark, sf_dir):
     return frames.groupBy("run_id").agg(F.round(F.avg("x"), 9).alias("mean_x")).join(h, "run_id").select("run_id", "mean_x", "mean_h")
 
 
+@query("resolvent_exact", f"WITH {Q.SERIES}, s AS (SELECT ev.run_id, frame, x, n FROM ev JOIN nn USING (run_id)), {Q.kernels([SHOWN['resolvent_t16']])}, {Q.convolved('s', 'x')} SELECT run_id, frame, round(h, 9) AS y FROM h")
+def resolvent_exact(spark, sf_dir):
+    """The resolvent by its tridiagonal system, over stretches of 16 frames that meet in a small system for each series."""
+    h = D.resolvent(S.to_chunks(_frames(spark, sf_dir), 0, 16), 16.0)
+    return S.to_frames(h, "h").select("run_id", "frame", F.round("h", 9).alias("y"))
+
+
 @query("resolvent_residual", f"WITH {Q.SERIES} SELECT DISTINCT run_id, true AS solved FROM ev")
 def resolvent_residual(spark, sf_dir):
     """The smoothed series solves the resolvent's equation at every frame."""
@@ -200,13 +210,47 @@ def noise_seeds(spark, sf_dir):
     return v.union(t).agg(F.count("*").alias("seeds"), F.count_distinct("seed").alias("distinct_seeds")).join(F.broadcast(shared), F.lit(True))  # one row each
 
 
+#: Words before the run's own in a seed: a root of our own, the phase, the data set.
+_WORDS = (20261128, 1, 1)
+
+
+def _words():
+    """The seed words of a run: root, phase, data set, run, scenario, draw."""
+    return F.array(*[F.lit(w).cast("long") for w in _WORDS], "run_id", F.lit(0).cast("long"), F.lit(0).cast("long"))
+
+
+def _three_features(spark, sf_dir):
+    """Stretches of three features of a run, which share the run's stream frame by frame."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.array(F.col("event_type").isin("click", "purchase"), F.col("value") > 150, F.col("event_type") == "error").alias("bits"))
+    rows = numbered(e, ["run_id"], "ts", "event_id", name="frame").select("run_id", "frame", F.posexplode("bits").alias("feature_id", "x"))
+    frames = rows.select("run_id", F.col("feature_id").cast("long").alias("feature_id"), "frame", F.col("x").cast("tinyint").alias("x"))
+    return S.to_chunks(frames, 0).withColumns({"words": _words(), "column": F.col("feature_id"), "columns": F.lit(3).cast("long")})
+
+
+@query("exact_flips")
+def exact_flips(spark, sf_dir):
+    """Flips by the very numbers that NumPy's default generator draws for a whole run at once (tested against it)."""
+    z = X.flipped(_three_features(spark, sf_dir), 0.1)
+    return S.to_frames(z, "zs").select("run_id", "feature_id", "frame", F.col("zs").alias("z"))
+
+
+@query("exact_chain")
+def exact_chain(spark, sf_dir):
+    """Correlated flips by the same numbers; a stretch starts from the state in which the chain comes to it."""
+    z = X.chained(_three_features(spark, sf_dir), 0.1, 0.8)
+    return S.to_frames(z, "zs").select("run_id", "feature_id", "frame", F.col("zs").alias("z"))
+
+
 @query(
     "rolling_counts",
     f"WITH {Q.SERIES} SELECT run_id, frame, CAST(sum(x) OVER (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS last10 FROM ev",
 )
 def rolling_counts(spark, sf_dir):
-    w = Window.partitionBy("run_id").orderBy("frame").rowsBetween(-9, 0)
-    return _frames(spark, sf_dir).select("run_id", "frame", F.sum(F.col("x").cast("long")).over(w).alias("last10"))
+    """Over stretches that carry the frames before them."""
+    chunks = S.to_chunks(_frames(spark, sf_dir), 9)
+    last = lambda k: F.slice("xs", F.greatest(F.col("pre") + k - 8, F.lit(1)), F.least(F.col("pre") + k + 1, F.lit(10)))
+    sums = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda k: F.aggregate(last(k), F.lit(0).cast("long"), lambda a, v: a + v))
+    return S.to_frames(chunks.withColumn("last10", sums), "last10").select("run_id", "frame", "last10")
 
 
 @query("shown_rates", "SELECT event_type, CASE WHEN count(*) FILTER (value > 300) = 0 THEN 'not evaluable' ELSE printf('%.2f%%', 100.0 * count(*) FILTER (value > 300) / count(*)) END AS rate FROM events GROUP BY event_type")
@@ -230,8 +274,8 @@ SELECT run_id, count(*) AS frames, round(avg(h), 9) AS mean_h, round(max(h), 9)
 def long_runs_smoothing(spark, sf_dir):
     """Long series in stretches of 256 frames with halos."""
     m = SHOWN["gaussian_s4"]
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
-    frames = li.select(F.col("l_suppkey").alias("run_id"), F.lit(0).cast("long").alias("feature_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), (F.col("l_quantity") > 25).cast("tinyint").alias("x"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), "l_shipdate", "l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).cast("tinyint").alias("x"))
+    placed = numbered(li, ["run_id"], "l_shipdate", "l_orderkey", "l_linenumber", name="frame")
+    frames = placed.select("run_id", F.lit(0).cast("long").alias("feature_id"), "frame", "x")
     h = S.to_frames(H.smooth(S.to_chunks(frames, halo([m]), 256), [m]), "p")
     return h.groupBy("run_id").agg(F.count("*").alias("frames"), F.round(F.avg("p"), 9).alias("mean_h"), F.round(F.max("p"), 9).alias("max_h"))
