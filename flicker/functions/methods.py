@@ -104,8 +104,15 @@ def halo(methods: list[Method]) -> int:
     return max((len(kernel_weights(*m.kernel)) // 2 for m in methods), default=0)
 
 
-def shape(m: Method, h: np.ndarray, noise_level: float | None = None) -> np.ndarray:
-    """The pointwise formula on the convolved series."""
+def log_odds(h: np.ndarray) -> np.ndarray:
+    """ln((1 - h) / h): what all power methods of one kernel share; infinite at 0 and 1."""
+    h = np.clip(h, 0.0, 1.0)
+    with np.errstate(divide="ignore"):
+        return np.log1p(-h) - np.log(h)
+
+
+def shape(m: Method, h: np.ndarray, noise_level: float | None = None, odds: np.ndarray | None = None) -> np.ndarray:
+    """The pointwise formula on the convolved series; odds: log_odds(h), if it is known."""
     if m.name == "median":  # binary input: the majority of an odd window
         return (h > 0.5).astype(float)
     h = np.clip(h, 0.0, 1.0)
@@ -121,10 +128,11 @@ def shape(m: Method, h: np.ndarray, noise_level: float | None = None) -> np.ndar
         a = 3.0 if m.name == "power_matched" else float(m["alpha"])
         if a == 1.0:
             return h
-        return h**a / (h**a + (1 - h) ** a)
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(a * (log_odds(h) if odds is None else odds)))
     return h
 
 
 def at_least_half(p: np.ndarray) -> np.ndarray:
     """p >= 0.5, with values within 5e-13 of the tie counted as the tie."""
-    return np.round(p, 12) >= 0.5
+    return p >= 0.5 - 5e-13

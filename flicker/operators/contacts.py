@@ -13,12 +13,13 @@ CUTOFFS = {15: 0.15, 20: 0.20, 25: 0.25}
 
 
 def embedding_frames(embeddings: DataFrame, atoms: int = 21) -> DataFrame:
-    """run_id, frame, xyz (a flat array of 3 * atoms doubles): runs by label, frames by vec_id."""
+    """run_id, frame, xyz (a flat array of 3 * atoms doubles): runs by label, frames by vec_id.
+
+    Every row is a frame: those of a repeated vec_id follow each other, and rows without a label form a run of their own.
+    """
     xyz = F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 3 * atoms)
     held = embeddings.select(F.col("label").cast("long").alias("run_id"), "vec_id", xyz.alias("xyz"))
-    # the ids are numbered without the vectors
-    placed = numbered(held.select("run_id", "vec_id"), ["run_id"], "vec_id", name="frame")
-    return held.join(placed, ["run_id", "vec_id"]).select("run_id", "frame", "xyz")
+    return numbered(held, ["run_id"], "vec_id", name="frame").select("run_id", "frame", "xyz")
 
 
 def atoms_of(frames: DataFrame) -> DataFrame:

@@ -55,11 +55,22 @@ def best_control(best: DataFrame, families: tuple[str, ...] = CONTROLS, by: str
 def paired(runs: DataFrame, base: str, other: str, metric: str = "brier") -> DataFrame:
     """run_id, n, mean difference (base - other), half width of its 95 % interval, relative gain, numbers of positive and negative differences."""
     both = runs.groupBy("run_id", "draw").agg(F.max(F.when(F.col("method") == base, F.col(metric))).alias("b"), F.max(F.when(F.col("method") == other, F.col(metric))).alias("o")).where("b is not null and o is not null")
+    return _intervals(both, "run_id")
+
+
+def paired_with_all(runs: DataFrame, other: str, metric: str = "brier") -> DataFrame:
+    """base and the columns of paired for every method but `other`, each against it. runs: one candidate of each method."""
+    own = runs.where(F.col("method") == other).select("run_id", "draw", F.col(metric).alias("o"))
+    both = runs.where(F.col("method") != other).join(own, ["run_id", "draw"]).select("run_id", "draw", F.col("method").alias("base"), F.col(metric).alias("b"), "o")
+    return _intervals(both.where("b is not null and o is not null"), "base", "run_id")
+
+
+def _intervals(both: DataFrame, *keys: str) -> DataFrame:
     d = F.col("b") - F.col("o")
-    t = both.groupBy("run_id").agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"), F.avg("b").alias("base_mean"), F.count_if(d > 0).alias("positive"), F.count_if(d < 0).alias("negative"))
+    t = both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"), F.avg("b").alias("base_mean"), F.count_if(d > 0).alias("positive"), F.count_if(d < 0).alias("negative"))
     half = F.when(F.col("n") > 1, t_975(F.col("n") - 1) * F.col("sd") / F.sqrt(F.col("n")))
     gain = F.when(F.col("base_mean") > 0, F.col("mean_diff") / F.col("base_mean"))
-    return t.select("run_id", "n", "mean_diff", half.alias("half_width"), gain.alias("relative_gain"), "positive", "negative")
+    return t.select(*keys, "n", "mean_diff", half.alias("half_width"), gain.alias("relative_gain"), "positive", "negative")
 
 
 def composite(runs: DataFrame, base: str, other: str, least_gain: float = 0.02, most_rare_loss: float = 0.02, most_brief_loss: float = 0.02, by: tuple[str, ...] = ()) -> DataFrame:

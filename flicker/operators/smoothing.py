@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.methods import Method, at_least_half, kernel_weights, shape
+from ..functions.methods import Method, at_least_half, kernel_weights, log_odds, shape
 from ..session import arrow_batches
 from .stretches import neighbours
 
@@ -18,6 +19,8 @@ from .stretches import neighbours
 SUMS = ("cells", "sum_sq", "sum_abs", "sum_p", "sum_x", "tp", "fp", "fn", "brief_hits", "brief_cells", "edge_sq", "edge_cells", "changed")
 #: Taps times frames that one convolution takes at once.
 PART = 1 << 22
+#: Frames that running sums take at once.
+SHORT = 1 << 16
 TOLERANCE = 1e-11
 
 
@@ -31,10 +34,12 @@ class Series:
         self.row = np.repeat(np.arange(len(own)), own)
         self.own_at = np.arange(int(own.sum())) - np.repeat(self.cuts - self.at - pre, own)
 
-    def convolved(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def convolved(self, x: np.ndarray, weights: np.ndarray, ratio: float | None = None) -> np.ndarray:
         """The convolution at all own frames, with half-sample symmetric reflection (repeated if need be) at each series' ends.
 
-        Where the whole window is 0 or 1, so is the result, exactly: sharpening would amplify what rounding leaves.
+        Equal weights are summed as differences of running sums, weights that fall by a ratio (if given) by two running
+        sums that fall likewise, so the work for a frame doesn't grow with the width. Where the whole window is 0 or 1, so
+        is the result, exactly: sharpening would amplify what rounding leaves.
         """
         w = len(weights) // 2
         if not w:
@@ -42,19 +47,23 @@ class Series:
         out = np.empty(len(self.row))
         wide = self.own + 2 * w
         ends = np.cumsum(wide)
+        same = weights[0] == weights[w]
+        most = SHORT if same or ratio else PART // len(weights)
         a = 0
         while a < len(wide):  # so many series that their windows fit
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + max(PART // len(weights), 1), "right")))
-            some, first = wide[a:b], np.cumsum(wide[a:b]) - wide[a:b]
-            of = np.repeat(np.arange(a, b), some)
-            f = np.arange(int(some.sum())) - np.repeat(first - self.lo[a:b] + w, some)  # frames lo - w .. lo + own + w
-            f %= 2 * self.n[of]
-            f = np.where(f < self.n[of], f, 2 * self.n[of] - 1 - f)
-            v = x[f - (self.lo - self.pre - self.at)[of]].astype(float)
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + max(most, 1), "right")))
+            first = np.cumsum(wide[a:b]) - wide[a:b]
+            v = self._windows(x, a, b, w)
             keep = np.repeat(first, self.own[a:b]) + np.arange(int(self.own[a:b].sum())) - np.repeat(self.cuts[a:b] - self.cuts[a], self.own[a:b])
-            h = np.convolve(v, weights[::-1], "valid")[keep]
             ones = np.concatenate(([0.0], np.cumsum(v)))
             ones = ones[keep + 2 * w + 1] - ones[keep]
+            if same:
+                h = ones * weights[w]
+            elif ratio:
+                # a window of its own width lies before and after every series: what the one before leaves is below LEAST_WEIGHT
+                h = ((falling_sums(v, ratio) + falling_sums(v[::-1], ratio)[::-1] - v) * weights[w])[keep + w]
+            else:
+                h = np.convolve(v, weights[::-1], "valid")[keep]
             h[ones == 0], h[ones == 2 * w + 1] = 0.0, 1.0
             out[self.cuts[a] : self.cuts[a] + len(h)] = h
             a = b
@@ -62,6 +71,30 @@ class Series:
             raise ArithmeticError("smoothed values lie outside 0 to 1")
         return out
 
+    def _windows(self, x: np.ndarray, a: int, b: int, w: int) -> np.ndarray:
+        """Values of frames lo - w to lo + own + w of series a to b, one behind the other."""
+        if b - a > 64:  # many short ones: all places at once
+            some = self.own[a:b] + 2 * w
+            of = np.repeat(np.arange(a, b), some)
+            f = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some - self.lo[a:b] + w, some)
+            return x[self._reflected(f, self.n[of]) - (self.lo - self.pre - self.at)[of]].astype(float)
+        parts = []
+        for i in range(a, b):
+            lo, hi, n, at = self.lo[i], self.lo[i] + self.own[i], self.n[i], self.at[i] + self.pre[i] - self.lo[i]
+            start, stop = max(lo - w, 0), min(hi + w, n)
+            parts += [x[at + self._reflected(np.arange(lo - w, start), n)], x[at + start : at + stop], x[at + self._reflected(np.arange(stop, hi + w), n)]]
+        return np.concatenate(parts).astype(float)
+
+    @staticmethod
+    def _reflected(f: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        f = f % (2 * n)
+        return np.where(f < n, f, 2 * n - 1 - f)
+
+    def response(self, x: np.ndarray, kernel: tuple[str, float]) -> np.ndarray:
+        """convolved with a kernel of the catalogue."""
+        weights = kernel_weights(*kernel)
+        return self.convolved(x, weights, weights[len(weights) // 2 + 1] / weights[len(weights) // 2] if kernel[0] == "resolvent" else None)
+
     def brief_and_edges(self, x: np.ndarray, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """Masks at the own frames: cells of positive runs of at most `longest` that touch neither end of the series; both ends of every change.
 
@@ -87,6 +120,22 @@ class Series:
         return np.add.reduceat(v.astype(float), self.cuts) if len(v) else np.zeros(len(self.own))
 
 
+def falling_sums(v: np.ndarray, ratio: float) -> np.ndarray:
+    """s with s[i] = ratio * s[i - 1] + v[i], for v of at least 0.
+
+    In blocks in which the inverse powers of the ratio stay finite: there s is a running sum of values divided by powers,
+    times powers. A block's last sum goes on into the next one; into the one after that nothing is left of it.
+    """
+    size = max(1, min(len(v), int(-250 / math.log10(ratio))))
+    rows = np.zeros(-(-len(v) // size) * size)
+    rows[: len(v)] = v
+    rows = rows.reshape(-1, size)
+    k = np.arange(size)
+    s = np.cumsum(rows * ratio**-k.astype(float), 1) * ratio**k
+    s[1:] += s[:-1, -1:] * ratio ** (k + 1)
+    return s.ravel()[: len(v)]
+
+
 def _one(x: np.ndarray, lo: int, pre: int, own: int, n: int) -> Series:
     return Series(*(np.array([v], np.int64) for v in (lo, pre, own, n, len(x))))
 
@@ -122,12 +171,12 @@ def smooth(chunks: DataFrame, methods: list[Method], noise_level: float | None =
     """keep, lo, method, cand_ord and p (the method's values at the chunk's own frames) for each chunk and method."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernels = {m.kernel: kernel_weights(*m.kernel) for m in methods}
+        kernels = dict.fromkeys(m.kernel for m in methods)
         for b in batches:
             if not b.num_rows:
                 continue
             s, (x,) = _read(b, column)
-            h = {k: s.convolved(x, w) for k, w in kernels.items()}
+            h = {k: s.response(x, k) for k in kernels}
             p = [shape(m, h[m.kernel], noise_level) for m in methods]
             ends = np.append(s.cuts, len(s.row))
             flat = np.concatenate([v[a:z] for a, z in zip(ends, ends[1:]) for v in p])
@@ -148,7 +197,8 @@ def error_sums(chunks: DataFrame, methods: list[Method], noise_level: float | No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernels = {m.kernel: kernel_weights(*m.kernel) for m in methods}
+        kernels = dict.fromkeys(m.kernel for m in methods)
+        powers = {m.kernel for m in methods if m.name in ("power_full", "power_matched")}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -158,13 +208,13 @@ def error_sums(chunks: DataFrame, methods: list[Method], noise_level: float | No
             one = x == 1
             same = [s.own.astype(float), s.sums(x), s.sums(brief), s.sums(edge)]
             out = np.empty((b.num_rows, len(methods), len(SUMS)))
-            for kernel, weights in kernels.items():
-                h = s.convolved(z, weights)
-                half = at_least_half(h)
+            for kernel in kernels:
+                h = s.response(z, kernel)
+                half, odds = at_least_half(h), log_odds(h) if kernel in powers else None
                 for k, m in enumerate(methods):
                     if m.kernel != kernel:
                         continue
-                    p = shape(m, h, noise_level)
+                    p = shape(m, h, noise_level, odds)
                     d, hit = p - x, at_least_half(p)
                     sq = d * d
                     sums = (same[0], s.sums(sq), s.sums(np.abs(d)), s.sums(p), same[1], s.sums(hit & one), s.sums(hit & ~one), s.sums(~hit & one), s.sums(hit & brief), same[2], s.sums(sq * edge), same[3], s.sums(hit != half))

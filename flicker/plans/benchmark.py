@@ -6,6 +6,7 @@ reach them; scoring refuses a selection that was made on something else.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from ..operators.series import to_chunks, to_frames
 from ..operators.smoothing import error_sums
 from ..operators.splits import hash_split
 from ..operators.strata import BRIEF, RARE
-from ..session import persisted
+from ..session import discard, persisted
 
 #: Kinds of corruption whose level is the chance that a cell is flipped: only there is it known to the oracle family.
 FLIPPING = ("bitflip", "correlated")
@@ -108,9 +109,32 @@ def scores(sums: DataFrame, keys: tuple[str, ...] = ("run_id", "draw", "method",
     return M.run_metrics(sums, keys)
 
 
+def _identity(features: DataFrame, columns: list[str], methods: list[Method], name: str, index: int, about: object) -> DataFrame:
+    """One row: digests of the features, the grid and the scenario that a selection is made on."""
+    each = F.sha2(F.concat_ws("|", *columns), 256)
+    ordered = F.array_join(F.array_sort(F.collect_list(each)), "")  # one hash for each feature
+    grid = ";".join(f"{m.name},{m.cand},{m.params}" for m in methods)
+    return features.agg(F.sha2(ordered, 256).alias("features_sha256"), F.count("*").alias("features")).withColumns({"grid_sha256": F.sha2(F.lit(grid), 256), "scenario": F.lit(name), "scenario_index": F.lit(index), "scenario_sha256": F.sha2(F.lit(repr(about)), 256)})
+
+
+def plan_identity(frames: DataFrame, split: DataFrame, methods: list[Method], cfg: Config) -> DataFrame:
+    """One row: what the plain plan's selection is made on."""
+    return _identity(frequencies(frames, split), ["feature_id", "frequency"], methods, "plain", cfg.scenario, (cfg.level, cfg.scenario, cfg.dataset, cfg.sizes))
+
+
 def select(frames: DataFrame, split: DataFrame, methods: list[Method], cfg: Config) -> DataFrame:
-    """method, cand_ord, score chosen on the validation runs; written, then read."""
-    return persisted(M.best_candidates(scores(phase_sums(frames, split, "validation", methods, cfg))), "selection")
+    """method, cand_ord, score chosen on the validation runs, and the identity; written, then read. Fails if a candidate has no score."""
+    scored = persisted(scores(phase_sums(frames, split, "validation", methods, cfg)), "validation")
+    picked = _picked(scored, methods, plan_identity(frames, split, methods, cfg), "the plain plan")
+    discard(scored)
+    return picked
+
+
+def _picked(scored: DataFrame, methods: list[Method], identity: DataFrame, name: str) -> DataFrame:
+    absent = missing_candidates(scored, methods).count()
+    if absent:
+        raise ValueError(f"{name}: {absent} candidates without a score")
+    return persisted(M.best_candidates(scored).join(F.broadcast(identity), F.lit(True)), "selection")  # identity: one row
 
 
 def chosen(methods: list[Method], selection: DataFrame) -> list[Method]:
@@ -122,6 +146,62 @@ def chosen(methods: list[Method], selection: DataFrame) -> list[Method]:
     return [m for m in methods if (m.name, m.cand) in got]
 
 
+def selection_digest(selection: DataFrame) -> str:
+    """A digest of a selection's rows (one for each family), which test results carry."""
+    rows = sorted((r["method"], r["cand_ord"], r["score"], r["features_sha256"], r["grid_sha256"], r["scenario_sha256"]) for r in selection.collect())
+    return hashlib.sha256(repr(rows).encode()).hexdigest()
+
+
+def same_t(methods: list[Method], picked: list[Method]) -> Method:
+    """The linear candidate with the t of the selected cubic."""
+    t = next(m["t"] for m in picked if m.name == "cubic_median")
+    return next(m for m in methods if m.name == "linear" and m["t"] == t)
+
+
+def test_selected(frames: DataFrame, split: DataFrame, methods: list[Method], selection: DataFrame, cfg: Config) -> DataFrame:
+    """Scores of the selected candidates, and of linear at the cubic's t, on the test runs, after checking that the selection is this plan's.
+
+    selected tells the candidates that were chosen; selection_sha256 is the digest of what they were chosen by.
+    """
+    same_identity(selection, plan_identity(frames, split, methods, cfg))
+    return _scored_with(scores(phase_sums(frames, split, "test", _with_same_t(methods, selection), cfg)), methods, selection)
+
+
+def _with_same_t(methods: list[Method], selection: DataFrame) -> list[Method]:
+    picked = chosen(methods, selection)
+    return list(dict.fromkeys([*picked, same_t(methods, picked)]))
+
+
+def _scored_with(scored: DataFrame, methods: list[Method], selection: DataFrame) -> DataFrame:
+    picked = F.array(*[F.struct(F.lit(m.name).alias("m"), F.lit(m.cand).alias("c")) for m in chosen(methods, selection)])
+    here = F.struct(F.col("method").alias("m"), F.col("cand_ord").alias("c"))
+    return persisted(scored.withColumns({"selected": F.array_contains(picked, here), "selection_sha256": F.lit(selection_digest(selection))}), "tested")
+
+
+def baselines(selection: DataFrame) -> dict[str, str]:
+    """The control with the smallest validation error: of all families, and of those with as many parameters as the cubic."""
+    matched = tuple(f for f in M.CONTROLS if f != "power_full")
+    return {"selected": M.best_control(selection).first()["method"], "matched": M.best_control(selection, matched).first()["method"]}
+
+
+def decisions(tested: DataFrame, selection: DataFrame) -> DataFrame:
+    """against (selected or matched), baseline, gain, the conditions and the decision on the selected cubic."""
+    own, out = tested.where("selected"), None
+    for against, base in baselines(selection).items():
+        rule = M.composite(own, base, "cubic_median").select(F.lit(against).alias("against"), F.lit(base).alias("baseline"), "*")
+        out = rule if out is None else out.unionByName(rule)
+    return out
+
+
+def same_t_report(tested: DataFrame, methods: list[Method], selection: DataFrame) -> DataFrame:
+    """method, t, disagreements and mean error of the selected cubic and of linear at its t, on the same corrupted series."""
+    picked = chosen(methods, selection)
+    line = same_t(methods, picked)
+    rows = tested.where(((F.col("method") == "cubic_median") & F.col("selected")) | ((F.col("method") == "linear") & (F.col("cand_ord") == line.cand)))
+    means = M.equal_weight(rows, ("run_id", "method"), ("method",), ("brier",)).select("method", "brier")
+    return rows.groupBy("method").agg(F.sum("changed").cast("long").alias("disagreements")).join(means, "method").select("method", F.lit(int(line["t"])).alias("t"), "disagreements", "brier")
+
+
 # ---------------------------------------------------------------- scenarios over coordinates
 
 
@@ -145,12 +225,8 @@ def prepare(frames: DataFrame, split: DataFrame, pairs: DataFrame) -> Prepared:
 
 
 def identity(p: Prepared, methods: list[Method], scenario: Scenario) -> DataFrame:
-    """One row: what a selection of a scenario is made on. Digests of the features (pairs and frequencies), the grid and the scenario."""
-    of = p.features.where(F.col("cutoff") == scenario.cutoff)
-    each = F.sha2(F.concat_ws("|", "feature_id", "i", "j", "frequency"), 256)
-    ordered = F.array_join(F.array_sort(F.collect_list(each)), "")  # one hash for each feature of one molecule
-    grid = ";".join(f"{m.name},{m.cand},{m.params}" for m in methods)
-    return of.agg(F.sha2(ordered, 256).alias("features_sha256"), F.count("*").alias("features")).withColumns({"grid_sha256": F.sha2(F.lit(grid), 256), "scenario": F.lit(scenario.name), "scenario_index": F.lit(scenario.index), "scenario_sha256": F.sha2(F.lit(repr(scenario)), 256)})
+    """One row: what a selection of a scenario is made on."""
+    return _identity(p.features.where(F.col("cutoff") == scenario.cutoff), ["feature_id", "i", "j", "frequency"], methods, scenario.name, scenario.index, scenario)
 
 
 def corrupted(p: Prepared, scenario: Scenario, phase: str, methods: list[Method], cfg: Config, clean: bool = False) -> DataFrame:
@@ -190,10 +266,11 @@ def scenario_scores(p: Prepared, scenario: Scenario, phase: str, methods: list[M
     return scores(sums).select(F.lit(scenario.name).alias("scenario"), F.lit(scenario.index).alias("scenario_index"), "*")
 
 
-def missing_candidates(scored: DataFrame, methods: list[Method], scenario: Scenario) -> DataFrame:
-    """method, cand_ord of eligible candidates that a run or draw has no score of: must be empty."""
+def missing_candidates(scored: DataFrame, methods: list[Method], scenario: Scenario | None = None) -> DataFrame:
+    """method, cand_ord of (a scenario's eligible) candidates that a run or draw has no score of: must be empty."""
     spark = scored.sparkSession
-    grid = spark.createDataFrame([(m.name, m.cand) for m in eligible(methods, scenario)], "method string, cand_ord int")
+    methods = methods if scenario is None else eligible(methods, scenario)
+    grid = spark.createDataFrame([(m.name, m.cand) for m in methods], "method string, cand_ord int")
     slots = scored.select("run_id", "draw").distinct()
     want = slots.join(F.broadcast(grid), F.lit(True))  # the grid: at most 120 rows
     return want.join(scored, ["run_id", "draw", "method", "cand_ord"], "left_anti").select("method", "cand_ord").distinct()
@@ -202,11 +279,9 @@ def missing_candidates(scored: DataFrame, methods: list[Method], scenario: Scena
 def select_scenario(p: Prepared, scenario: Scenario, methods: list[Method], cfg: Config) -> DataFrame:
     """method, cand_ord, score and the identity of the scenario; written, then read. Fails if a candidate has no score."""
     scored = persisted(scenario_scores(p, scenario, "validation", methods, cfg), "validation")
-    absent = missing_candidates(scored, methods, scenario).count()
-    if absent:
-        raise ValueError(f"{scenario.name}: {absent} candidates without a score")
-    best = M.best_candidates(scored)
-    return persisted(best.join(F.broadcast(identity(p, methods, scenario)), F.lit(True)), "selection")  # identity: one row
+    picked = _picked(scored, eligible(methods, scenario), identity(p, methods, scenario), scenario.name)
+    discard(scored)
+    return picked
 
 
 def same_identity(selection: DataFrame, own: DataFrame) -> None:
@@ -224,6 +299,31 @@ def test_scenario(p: Prepared, scenario: Scenario, methods: list[Method], select
     return scenario_scores(p, scenario, "test", chosen(eligible(methods, scenario), selection), cfg, clean)
 
 
+def test_selected_scenario(p: Prepared, scenario: Scenario, methods: list[Method], selection: DataFrame, cfg: Config, clean: bool = False) -> DataFrame:
+    """As test_selected, of a scenario."""
+    same_identity(selection, identity(p, methods, scenario))
+    able = eligible(methods, scenario)
+    return _scored_with(scenario_scores(p, scenario, "test", _with_same_t(able, selection), cfg, clean), able, selection)
+
+
+def primary(p: Prepared, scenario: Scenario, methods: list[Method], cfg: Config) -> DataFrame:
+    """The final report of a scenario: the decisions on the selected cubic beside its clean control and the coverage of the features.
+
+    Everything is chosen on validation runs and written before a test run is scored; the clean control isn't tuned anew.
+    """
+    selection = select_scenario(p, scenario, methods, cfg)
+    ruled = decisions(test_selected_scenario(p, scenario, methods, selection, cfg), selection)
+    clean = M.equal_weight(test_selected_scenario(p, scenario, methods, selection, cfg, clean=True).where("selected"), ("run_id", "method"), ("method",), ("brier",))
+    clean = clean.agg(F.map_from_entries(F.collect_list(F.struct("method", "brier"))).alias("clean"))  # a row for each family
+    test = p.frames.join(F.broadcast(p.split.where("split = 'test'").select("run_id")), "run_id")  # the runs of a manifest
+    counts = C.contact_counts(C.contacts(C.distances(test, p.pairs), {scenario.cutoff: C.CUTOFFS[scenario.cutoff]}), "feature_id")
+    kept = p.features.where(F.col("cutoff") == scenario.cutoff).select("feature_id", F.lit(True).alias("kept"))
+    covered = counts.join(kept, "feature_id", "left").agg((F.sum(F.when(F.col("kept"), F.col("positives"))) / F.sum("positives")).alias("selected_fraction"))
+    both = ruled.join(F.broadcast(clean), F.lit(True)).join(F.broadcast(covered), F.lit(True))  # one row each
+    at = lambda m: F.element_at("clean", m)
+    return both.select("against", "baseline", "gain", "decision", at(F.lit("cubic_median")).alias("clean_cubic"), at(F.col("baseline")).alias("clean_baseline"), "selected_fraction")
+
+
 def run_scenarios(p: Prepared, scenarios: list[Scenario], methods: list[Method], cfg: Config) -> tuple[DataFrame, DataFrame]:
     """Selections and test scores of several scenarios, as rows."""
     picked = scored = None

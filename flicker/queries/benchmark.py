@@ -163,7 +163,7 @@ def _selection(spark, sf_dir, grid, cfg):
 
 @query("select_params", f"WITH {_cells('validation', 2)}, {_STRATA}, {_METRICS}, {_SELECT} SELECT method, cand_ord, round(score, 9) AS score FROM best")
 def select_params(spark, sf_dir, grid=GRID, cfg=CFG):
-    return _rounded(_selection(spark, sf_dir, grid, cfg)[2], "score")
+    return _rounded(_selection(spark, sf_dir, grid, cfg)[2].select("method", "cand_ord", "score"), "score")
 
 
 def _control_sql(families: tuple[str, ...]) -> str:
@@ -267,26 +267,79 @@ def test_of_selected_small(spark, sf_dir):
 @query("test_of_selected", None)
 def test_of_selected(spark, sf_dir, grid=WHOLE, cfg=WHOLE_CFG):
     """The whole plan: selection is written, then the selected candidates are scored on the test runs (checked by tests)."""
-    f, split, selection = _selection(spark, sf_dir, grid, cfg)
-    runs = B.scores(B.phase_sums(f, split, "test", B.chosen(grid, selection), cfg))
+    runs = _tested(spark, sf_dir, grid, cfg)[1].where("selected")
     return _rounded(M.equal_weight(runs, ("run_id", "method", "cand_ord"), ("method", "cand_ord")), *M.METRICS)
 
 
+def _tested(spark, sf_dir, grid, cfg):
+    """The selection, and the test scores of what was selected."""
+    f, split, selection = _selection(spark, sf_dir, grid, cfg)
+    return selection, B.test_selected(f, split, grid, selection, cfg)
+
+
+def _selected_sql(draws: int) -> str:
+    """picks(method, cand_ord, score): chosen on validation runs; sel: their metrics on the test runs; bases(against, baseline)."""
+    base = lambda order: f"(SELECT method FROM picks WHERE list_contains({order}, method) ORDER BY score, list_position({order}, method) LIMIT 1)"
+    short = "[" + ", ".join(f"'{c}'" for c in _MATCHED) + "]"
+    return f"""picks AS MATERIALIZED (SELECT * FROM (WITH {_cells('validation', 2)}, {_STRATA}, {_METRICS}, {_SELECT} SELECT method, cand_ord, score FROM best)
+), tests AS MATERIALIZED (SELECT * FROM (WITH {_cells('test', draws)}, {_STRATA}, {_METRICS} SELECT * FROM rm)
+), sel AS MATERIALIZED (SELECT t.* FROM tests t JOIN picks b ON b.method = t.method AND b.cand_ord = t.cand_ord
+), bases AS MATERIALIZED (SELECT 'selected' AS against, {base(_ORDER)} AS baseline UNION ALL SELECT 'matched', {base(short)})"""
+
+
+@query(
+    "decision_of_selected",
+    f"""WITH {_selected_sql(3)}, cm AS (SELECT against AS k, run_id, CASE method WHEN baseline THEN 'b' ELSE 'o' END AS method, brier, rare_positive_recall AS rare, short_positive_recall AS brief FROM sel JOIN bases ON method IN (baseline, 'cubic_median')
+), {_COMPOSITE} SELECT k AS against, baseline, round(gain, 9) AS gain, decision FROM ruled JOIN bases ON against = k""",
+)
+def decision_of_selected(spark, sf_dir, grid=GRID, cfg=CFG):
+    """The selected cubic against the control that validation runs chose, and against the best one with as many parameters."""
+    selection, tested = _tested(spark, sf_dir, grid, cfg)
+    return _rounded(B.decisions(tested, selection).select("against", "baseline", "gain", "decision"), "gain")
+
+
+@query(
+    "paired_all_methods",
+    f"""WITH {_selected_sql(3)}, o AS (SELECT run_id, draw, brier FROM sel WHERE method = 'cubic_median'
+), pa AS (SELECT s.method AS base, s.run_id, count(*) AS n, avg(s.brier - o.brier) AS mean_diff, stddev_samp(s.brier - o.brier) AS sd, avg(s.brier) AS base_mean, count(*) FILTER (s.brier > o.brier) AS positive, count(*) FILTER (s.brier < o.brier) AS negative
+  FROM sel s JOIN o ON o.run_id = s.run_id AND o.draw = s.draw WHERE s.method <> 'cubic_median' GROUP BY ALL)
+SELECT base, run_id, n, round(mean_diff, 9) AS mean_diff, round(q * sd / sqrt(n), 9) AS half_width, round(CASE WHEN base_mean > 0 THEN mean_diff / base_mean END, 9) AS relative_gain, positive, negative FROM pa LEFT JOIN (VALUES {_TVALUES}) t(df, q) ON df = n - 1""",
+)
+def paired_all_methods(spark, sf_dir, grid=GRID, cfg=CFG):
+    """Intervals of the selected cubic against every other family's selected candidate, for each test run."""
+    tested = _tested(spark, sf_dir, grid, cfg)[1].where("selected")
+    return _rounded(M.paired_with_all(tested, "cubic_median"), "mean_diff", "half_width", "relative_gain")
+
+
+_SAME_T = ", ".join(f"({c.cand}, {next(m.cand for m in GRID if m.name == 'linear' and m['t'] == c['t'])}, {int(c['t'])})" for c in GRID if c.name == "cubic_median")
+
+
+@query(
+    "same_t_of_selected",
+    f"""WITH {_selected_sql(3)}, st AS (SELECT c AS cubic, l AS linear, tt FROM (VALUES {_SAME_T}) v(c, l, tt) JOIN picks ON method = 'cubic_median' AND cand_ord = c
+), w AS (SELECT method, run_id, avg(brier) AS brier, sum(changed) AS changed FROM tests JOIN st ON (method = 'cubic_median' AND cand_ord = cubic) OR (method = 'linear' AND cand_ord = linear) GROUP BY ALL)
+SELECT method, CAST(max(tt) AS INTEGER) AS t, CAST(sum(changed) AS BIGINT) AS disagreements, round(avg(brier), 9) AS brier FROM w CROSS JOIN st GROUP BY method""",
+)
+def same_t_of_selected(spark, sf_dir, grid=GRID, cfg=CFG):
+    """The selected cubic and linear at the same t, whatever t linear itself was selected with."""
+    selection, tested = _tested(spark, sf_dir, grid, cfg)
+    return _rounded(B.same_t_report(tested, grid, selection), "brier")
+
+
 @query(
     "summary_table",
-    f"""WITH {_cells('test', 1)}, {_STRATA}, {_METRICS}, g AS (SELECT method, min(score) AS brier FROM (SELECT method, cand_ord, avg(brier) AS score FROM rm GROUP BY ALL) GROUP BY method)
+    f"""WITH {_selected_sql(1)}, g AS (SELECT method, avg(brier) AS brier FROM sel GROUP BY method)
 SELECT method, round(brier, 9) AS brier, round(100 * ((SELECT brier FROM g WHERE method = 'raw') - brier) / (SELECT brier FROM g WHERE method = 'raw'), 6) AS gain_percent, brier < (SELECT brier FROM g WHERE method = 'linear') AS better_than_linear FROM g""",
 )
 def summary_table(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws=1)):
-    f = _frames(spark, sf_dir)
-    runs = B.scores(B.phase_sums(f, B.splits(f, cfg), "test", grid, cfg))
-    g = runs.groupBy("method", "cand_ord").agg(F.avg("brier").alias("score")).groupBy("method").agg(F.min("score").alias("brier"))
+    """Every family's error on the test runs, with the candidate that validation runs chose."""
+    g = M.equal_weight(_tested(spark, sf_dir, grid, cfg)[1].where("selected"), ("run_id", "method"), ("method",), ("brier",))
     ref = g.agg(F.max(F.when(F.col("method") == "raw", F.col("brier"))).alias("raw"), F.max(F.when(F.col("method") == "linear", F.col("brier"))).alias("linear"))
     both = g.join(F.broadcast(ref), F.lit(True))  # one row
     return both.select("method", F.round("brier", 9).alias("brier"), F.round(100 * ratio(F.col("raw") - F.col("brier"), F.col("raw")), 6).alias("gain_percent"), (F.col("brier") < F.col("linear")).alias("better_than_linear"))
 
 
-for _f in (metrics_all, equal_weight_rollup, cell_vs_run_weight, select_params, select_baseline, matched_baseline, clean_control, summary_table):
+for _f in (metrics_all, equal_weight_rollup, cell_vs_run_weight, select_params, select_baseline, matched_baseline, clean_control, summary_table, decision_of_selected, paired_all_methods, same_t_of_selected):
     query(f"whole_{_f.__name__}")(partial(_f, grid=WHOLE, cfg=WHOLE_CFG))
 for _f in (paired_interval, composite_decision, same_t_attribution):
     query(f"whole_{_f.__name__}")(partial(_f, cfg=WHOLE_CFG))
