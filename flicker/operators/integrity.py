@@ -169,3 +169,42 @@ def array_digest(rows: DataFrame, keys: list[str], order: str, *columns: str) ->
     text = F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
     parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("t")))).alias("s"))
     return parts.select(*keys, F.sha2(F.array_join(F.transform("s", lambda s: s["t"]), ";"), 256).alias("digest"))
+
+
+#: Values of a block, and digests of a block of digests.
+BLOCK_BITS = 12
+
+
+def little_endian(value: Column) -> Column:
+    """The 8 bytes of a whole number, least first."""
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
+
+
+def tree_digest(rows: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
+    """keys, values and a SHA-256 of value (bytes) in order, as a tree: no task has more than 4,096 values or digests at once.
+
+    A key's values are numbered over many tasks; 4,096 at a time, their bytes one behind the other, have a digest, and so have
+    4,096 digests (32 bytes each) at a time, until one is left. Equal keys and values give equal digests however the rows lie.
+    """
+    from ..session import persisted
+
+    placed = numbered(rows.select(*keys, order, value.alias("_v")), keys, order, name="_at")
+    ordered = lambda at, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.hex(v).alias("v")))), lambda x: x["v"]), "")
+    up = lambda at: F.shiftright(at, BLOCK_BITS).alias("_up")
+    level = placed.groupBy(*keys, up("_at")).agg(F.count("*").alias("values"), F.unhex(F.sha2(F.unhex(ordered("_at", "_v")), 256)).alias("_v"))
+    out = None
+    while True:
+        level = persisted(level.withColumnRenamed("_up", "_at"), "digests")
+        first = level.groupBy(*keys).agg(F.max("_at").alias("_last")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        on = None
+        for i, k in enumerate(keys):
+            same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            on = same if on is None else on & same
+        both = level.join(first, on).drop(*[f"_k{i}" for i in range(len(keys))])
+        done = both.where("_last = 0").select(*keys, "values", F.lower(F.hex("_v")).alias("digest"))
+        out = done if out is None else out.unionByName(done)
+        rest = both.where("_last > 0")
+        if rest.isEmpty():
+            return out
+        level = rest.groupBy(*keys, up("_at")).agg(F.sum("values").alias("values"), F.unhex(F.sha2(F.unhex(ordered("_at", "_v")), 256)).alias("_v"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,11 +191,13 @@ def smooth(chunks: DataFrame, methods: list[Method], noise_level: float | None =
     return chunks.select(*keep, "lo", "pre", "own", "n", column).mapInArrow(run, schema)
 
 
-def error_sums(chunks: DataFrame, methods: list[Method], noise_level: float | None = None, truth: str = "xs", given: str = "zs", keep: tuple[str, ...] = ("run_id", "feature_id")) -> DataFrame:
+def error_sums(chunks: DataFrame, methods: list[Method], noise_level: float | None = None, truth: str = "xs", given: str = "zs", keep: tuple[str, ...] = ("run_id", "feature_id"), timed: bool = False) -> DataFrame:
     """keep, method, cand_ord and SUMS for each chunk and method: the values are scored where they are made and never leave the task.
 
-    changed counts cells where the method and its kernel alone fall on different sides of one half.
+    changed counts cells where the method and its kernel alone fall on different sides of one half. timed: seconds as
+    well, those of a batch shared among its chunks by their frames, and a kernel's among its methods.
     """
+    names = (*SUMS, "seconds") if timed else SUMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels = dict.fromkeys(m.kernel for m in methods)
@@ -207,23 +210,29 @@ def error_sums(chunks: DataFrame, methods: list[Method], noise_level: float | No
             x = x[s.own_at]
             one = x == 1
             same = [s.own.astype(float), s.sums(x), s.sums(brief), s.sums(edge)]
-            out = np.empty((b.num_rows, len(methods), len(SUMS)))
+            out = np.empty((b.num_rows, len(methods), len(names)))
+            share = s.own / max(s.own.sum(), 1)
             for kernel in kernels:
+                began = time.perf_counter()
                 h = s.response(z, kernel)
                 half, odds = at_least_half(h), log_odds(h) if kernel in powers else None
+                common = (time.perf_counter() - began) / sum(m.kernel == kernel for m in methods)
                 for k, m in enumerate(methods):
                     if m.kernel != kernel:
                         continue
+                    began = time.perf_counter()
                     p = shape(m, h, noise_level, odds)
                     d, hit = p - x, at_least_half(p)
                     sq = d * d
                     sums = (same[0], s.sums(sq), s.sums(np.abs(d)), s.sums(p), same[1], s.sums(hit & one), s.sums(hit & ~one), s.sums(~hit & one), s.sums(hit & brief), same[2], s.sums(sq * edge), same[3], s.sums(hit != half))
-                    out[:, k, :] = np.stack(sums, 1)
-            flat = out.reshape(-1, len(SUMS))
-            yield pa.record_batch([*_repeated(b, keep, len(methods)), *_method_columns(methods, b.num_rows), *[pa.array(flat[:, c]) for c in range(len(SUMS))]], [*keep, "method", "cand_ord", *SUMS])
+                    out[:, k, : len(SUMS)] = np.stack(sums, 1)
+                    if timed:
+                        out[:, k, -1] = share * (common + time.perf_counter() - began)
+            flat = out.reshape(-1, len(names))
+            yield pa.record_batch([*_repeated(b, keep, len(methods)), *_method_columns(methods, b.num_rows), *[pa.array(flat[:, c]) for c in range(len(names))]], [*keep, "method", "cand_ord", *names])
 
     arrow_batches(chunks.sparkSession)
-    schema = T.StructType([*[chunks.schema[c] for c in keep], T.StructField("method", T.StringType()), T.StructField("cand_ord", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in SUMS]])
+    schema = T.StructType([*[chunks.schema[c] for c in keep], T.StructField("method", T.StringType()), T.StructField("cand_ord", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in names]])
     return chunks.select(*keep, "lo", "pre", "own", "n", truth, given).mapInArrow(run, schema)
 
 

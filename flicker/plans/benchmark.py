@@ -93,7 +93,7 @@ def _phase_draws(phase: str, cfg: Config) -> int:
     return cfg.validation_draws if phase == "validation" else cfg.test_draws
 
 
-def phase_sums(frames: DataFrame, split: DataFrame, phase: str, methods: list[Method], cfg: Config, clean: bool = False) -> DataFrame:
+def phase_sums(frames: DataFrame, split: DataFrame, phase: str, methods: list[Method], cfg: Config, clean: bool = False, timed: bool = False) -> DataFrame:
     """Chunk sums of all methods over the runs of a phase: series are cut into stretches once and corrupted there, each draw once for all methods."""
     runs = frames.join(split.where(F.col("split") == phase).select("run_id", "run_index"), "run_id").join(frequencies(frames, split), "feature_id")
     keys = ("run_id", "feature_id", "frequency", "run_index")
@@ -101,7 +101,12 @@ def phase_sums(frames: DataFrame, split: DataFrame, phase: str, methods: list[Me
     chunks = draws(chunks, 1 if clean else _phase_draws(phase, cfg))
     key = seed(F.lit(PHASES[phase]), cfg.dataset, "run_index", cfg.scenario, "draw")
     chunks = chunks.withColumn("zs", F.col("xs")) if clean else flipped(chunks, cfg.level, key)
-    return error_sums(chunks, methods, cfg.level, keep=_KEYS).withColumn("rare", F.col("frequency") <= RARE)
+    return error_sums(chunks, methods, cfg.level, keep=_KEYS, timed=timed).withColumn("rare", F.col("frequency") <= RARE)
+
+
+def seconds(sums: DataFrame) -> DataFrame:
+    """method, candidates, cells and seconds of timed sums: the time that prediction and metrics took inside the tasks."""
+    return sums.groupBy("method").agg(F.count_distinct("cand_ord").alias("candidates"), F.sum("cells").cast("long").alias("cells"), F.sum("seconds").alias("seconds"))
 
 
 def scores(sums: DataFrame, keys: tuple[str, ...] = ("run_id", "draw", "method", "cand_ord")) -> DataFrame:

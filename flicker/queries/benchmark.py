@@ -339,6 +339,13 @@ def summary_table(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws
     return both.select("method", F.round("brier", 9).alias("brier"), F.round(100 * ratio(F.col("raw") - F.col("brier"), F.col("raw")), 6).alias("gain_percent"), (F.col("brier") < F.col("linear")).alias("better_than_linear"))
 
 
+@query("measured_seconds")
+def measured_seconds(spark, sf_dir):
+    """What each family's prediction and metrics took inside the tasks, over the whole grid and all test draws."""
+    f = _frames(spark, sf_dir)
+    return B.seconds(B.phase_sums(f, B.splits(f, WHOLE_CFG), "test", WHOLE, WHOLE_CFG, timed=True))
+
+
 for _f in (metrics_all, equal_weight_rollup, cell_vs_run_weight, select_params, select_baseline, matched_baseline, clean_control, summary_table, decision_of_selected, paired_all_methods, same_t_of_selected):
     query(f"whole_{_f.__name__}")(partial(_f, grid=WHOLE, cfg=WHOLE_CFG))
 for _f in (paired_interval, composite_decision, same_t_attribution):

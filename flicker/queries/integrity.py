@@ -311,3 +311,17 @@ def candidate_sets(spark, sf_dir):
 def method_seconds(spark, sf_dir):
     """Seconds summed over the calls of each method, from a table of timings."""
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("calls"), F.round(F.sum("value") / 1000, 6).alias("seconds"))
+
+
+@query(
+    "tree_digests",
+    """WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, printf('%016X', event_id) AS h FROM events
+), l AS (SELECT user_id, place, h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS b FROM v
+), d AS (SELECT user_id, place // 4096 AS block, count(*) AS n, sha256(unhex(string_agg(b, '' ORDER BY place))) AS s FROM l GROUP BY ALL
+), e AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN max(s) ELSE sha256(unhex(string_agg(s, '' ORDER BY block))) END AS digest FROM d GROUP BY user_id)
+SELECT user_id, n AS "values", digest FROM e""",
+)
+def tree_digests(spark, sf_dir):
+    """Digests of every user's event ids as little-endian 64-bit numbers, in blocks of 4,096 (the SQL has two levels)."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return I.tree_digest(e, ["user_id"], "event_id", I.little_endian(F.col("event_id")))
