@@ -417,6 +417,21 @@ def test_toxicity_of_odd_input(spark, odd_docs, no_docs):
 # ---------------------------------------------------------------- 5 chat
 
 
+def test_chat_of_long_conversations_without_turns(spark, monkeypatch):
+    """Null, equal and repeated turns in one long conversation: runs go by place, none holds more than RUN messages of a perspective."""
+    monkeypatch.setattr(chat, "RUN", 16)
+    monkeypatch.setattr(chat, "PART_ROWS", 50)
+    rows = [(1, None if k % 3 else 7, "ab"[k % 2], f"t{k % 90:03}") for k in range(300)] + [(None, 1, "x", "same")] * 40 + [(2, t, "system", "s") for t in range(3)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    order = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+    for who in "ab":
+        own = sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == who), key=lambda r: r["message"])
+        assert [r["message"] for r in own] == list(range(300))
+        assert [(r["speaker"], r["turn"]) for r in own] == [(r[2], r[1]) for r in order]
+        assert [r["start"] for r in own] == [0, *np.cumsum([len(r["segment"]) for r in own])[:-1]]
+    assert sorted(r["message"] for r in got if r["conv_id"] is None) == list(range(40)) and not any(r["conv_id"] == 2 for r in got)
+
+
 def test_chat_masks_and_assembly(spark):
     m = [("c", 0, "system", "be kind"), ("c", 1, "ann", "hi <|end|>"), ("c", 2, "bob", None), ("c", None, None, "late"), (None, 0, "ann", "x"), ("s", 0, "system", "alone"), ("c", 1, "ann", "hi <|end|>")]
     msgs = spark.createDataFrame(m, "conv_id string, turn long, role string, text string").withColumn("start", F.lit("clash"))
@@ -723,6 +738,28 @@ def test_neighbours_of_odd_input(spark):
     assert [r[2] for r in got if r[0] == 100][-1] == 8 and neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_beside_huge_vectors(spark):
+    """A few huge vectors leave the search of the others as it is, and find their own neighbours."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((600, 12)) * 0.01
+    x[[3, 100, 450]] *= 1e17
+    x[7], x[8] = 1e307, -1e307
+    index = neighbours.CollisionIndex(np.arange(600), x, 0.01)
+    index.search(x[200:240], np.arange(200, 240), 10)
+    plain = neighbours.CollisionIndex(np.arange(600), np.delete(x, [3, 7, 8, 100, 450], 0)[np.arange(600) % 595], 0.01)
+    plain.search(x[200:240], np.arange(200, 240), 10)
+    assert index.visited < 1.3 * plain.visited
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), query_every=50).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, 600, 50):
+        d = neighbours.distances(x, x[q])
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(600), d))[:10].tolist()) & set(got[q]))
+    assert hits >= 0.9 * 120
+
+
 # ---------------------------------------------------------------- 10 sharding
 
 
