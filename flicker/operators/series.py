@@ -17,12 +17,13 @@ def event_frames(events: DataFrame, positive: Column | None = None) -> DataFrame
     return numbered(slim, ["run_id"], "ts", "event_id", name="frame").select("run_id", "feature_id", "frame", "x")
 
 
-def to_chunks(frames: DataFrame, halo: int = 0, chunk_frames: int = CHUNK_FRAMES, values: tuple[str, ...] = ("x",), keys: tuple[str, ...] = ("run_id", "feature_id")) -> DataFrame:
+def to_chunks(frames: DataFrame, halo: int = 0, chunk_frames: int = CHUNK_FRAMES, values: tuple[str, ...] = ("x",), keys: tuple[str, ...] = ("run_id", "feature_id"), lengths: DataFrame | None = None) -> DataFrame:
     """One row for each stretch of a series: keys, chunk, lo, pre, own, n and an array for each of values.
 
     A stretch has at most chunk_frames frames of its own and, before and after, up to halo frames of its neighbours, so
     window operators see what they need and a long series is spread over tasks. lo: its first own frame; pre: frames of
-    the halo before it; n: frames of the whole series.
+    the halo before it; n: frames of the whole series. lengths: some of the keys and n, where that is known; otherwise
+    frames is evaluated once more to count it.
     """
     size = max(chunk_frames, halo + 1)
     home = F.floor(F.col("frame") / size)
@@ -32,10 +33,10 @@ def to_chunks(frames: DataFrame, halo: int = 0, chunk_frames: int = CHUNK_FRAMES
     # the halo after the last chunk of a series has no frames of its own: such rows go below
     parts = rows.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("frame", *values))).alias("f"), F.max("frame").alias("top"))
     parts = parts.withColumn("lo", F.col("chunk") * size).where(F.col("top") >= F.col("lo"))
-    length = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("n"))
+    length = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("n")) if lengths is None else lengths
     own = F.least(F.lit(size), F.col("n") - F.col("lo")).cast("int")
     first = F.col("f")[0]["frame"]
-    out = parts.join(length, list(keys)).select(*keys, "chunk", "lo", (F.col("lo") - first).cast("int").alias("pre"), own.alias("own"), "n", *[F.col("f").getField(v).alias(f"{v}s") for v in values])
+    out = parts.join(length, [k for k in keys if k in length.columns]).select(*keys, "chunk", "lo", (F.col("lo") - first).cast("int").alias("pre"), own.alias("own"), "n", *[F.col("f").getField(v).alias(f"{v}s") for v in values])
     return out
 
 

@@ -241,20 +241,21 @@ def corrupted(p: Prepared, scenario: Scenario, phase: str, methods: list[Method]
     runs = p.frames.join(F.broadcast(p.split.where(F.col("split") == phase).select("run_id", "run_index")), "run_id")
     touch = lambda xyz: (C.distance(xyz) < F.lit(C.CUTOFFS[scenario.cutoff])).cast("tinyint")
     wide = max(halo(methods), BRIEF + 1)
+    lengths = p.frames.groupBy("run_id").agg((F.max("frame") + 1).alias("n"))  # all series of a run are of its length
     if scenario.kind == "jitter" and not clean:
         key = F.concat_ws("|", seed(F.lit(PHASES[phase]), cfg.dataset, "run_index", scenario.index, "draw"), "frame")
         both = draws(runs, n).withColumn("moved", moved("xyz", scenario.level, key)).join(F.broadcast(features), F.lit(True))  # the pairs of one molecule
         rows = both.select(*_KEYS, "frame", touch("xyz").alias("x"), touch("moved").alias("z"))  # contacts of the same pairs again
-        return to_chunks(rows, wide, cfg.chunk_frames, ("x", "z"), _KEYS)
+        return to_chunks(rows, wide, cfg.chunk_frames, ("x", "z"), _KEYS, lengths)
     keys = ("run_id", "feature_id", "run_index", "frequency")
     cells = runs.join(F.broadcast(features), F.lit(True)).select(*keys, "frame", touch("xyz").alias("x"))
     key = seed(F.lit(PHASES[phase]), cfg.dataset, "run_index", scenario.index, "draw")
     if scenario.kind == "correlated" and not clean:
         # the chain runs over whole series: over stretches without halos first
-        plain = draws(to_chunks(cells, 0, cfg.chunk_frames, ("x",), keys), n)
+        plain = draws(to_chunks(cells, 0, cfg.chunk_frames, ("x",), keys, lengths), n)
         rows = to_frames(chained(plain, scenario.level, scenario.rho, key, ("run_id", "feature_id", "draw")), "xs", "zs", keys=_KEYS)
-        return to_chunks(rows.withColumnsRenamed({"xs": "x", "zs": "z"}), wide, cfg.chunk_frames, ("x", "z"), _KEYS)
-    chunks = draws(to_chunks(cells, wide, cfg.chunk_frames, ("x",), keys), n)
+        return to_chunks(rows.withColumnsRenamed({"xs": "x", "zs": "z"}), wide, cfg.chunk_frames, ("x", "z"), _KEYS, lengths)
+    chunks = draws(to_chunks(cells, wide, cfg.chunk_frames, ("x",), keys, lengths), n)
     if clean:
         return chunks.withColumn("zs", F.col("xs"))
     if scenario.kind != "bitflip":

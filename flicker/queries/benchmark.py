@@ -339,6 +339,41 @@ def summary_table(spark, sf_dir, grid=GRID, cfg=B.Config(level=LEVEL, test_draws
     return both.select("method", F.round("brier", 9).alias("brier"), F.round(100 * ratio(F.col("raw") - F.col("brier"), F.col("raw")), 6).alias("gain_percent"), (F.col("brier") < F.col("linear")).alias("better_than_linear"))
 
 
+def _grid_sql() -> str:
+    rows = [f"({i}, '{m.name}', {m.cand}, {m['t'] or 'NULL'}, {m['alpha'] or 'NULL'}, {m['half_width'] or 'NULL'}, {m['sigma'] or 'NULL'}, {m['width'] or 'NULL'})" for i, m in enumerate(WHOLE)]
+    cells = lambda phase: f"(SELECT count(*) FROM fx JOIN split USING (run_id) JOIN fq USING (feature_id) WHERE split = '{phase}')"
+    return f"WITH {Q.SERIES}, {_SPLIT}, {_FEATURES} SELECT CAST(c.place AS INTEGER) AS place, c.method, CAST(c.cand_ord AS INTEGER) AS cand_ord, CAST(t AS INTEGER) AS t, CAST(alpha AS DOUBLE) AS alpha, CAST(half_width AS INTEGER) AS half_width, CAST(sigma AS DOUBLE) AS sigma, CAST(width AS INTEGER) AS width, {cells('validation')} AS validation_cells, {cells('test')} AS test_cells FROM (VALUES " + ", ".join(rows) + ") c(place, method, cand_ord, t, alpha, half_width, sigma, width)"
+
+
+@query("candidate_grid", _grid_sql())
+def candidate_grid(spark, sf_dir):
+    """The grid, with the cells of the validation and test runs that every candidate is scored on in each draw."""
+    whole = lambda v: None if v is None else int(v)
+    rows = [(i, m.name, m.cand, whole(m["t"]), m["alpha"], whole(m["half_width"]), m["sigma"], whole(m["width"])) for i, m in enumerate(WHOLE)]
+    grid = spark.createDataFrame(rows, "place int, method string, cand_ord int, t int, alpha double, half_width int, sigma double, width int")
+    f = _frames(spark, sf_dir)
+    split = B.splits(f, CFG)
+    cells = f.join(split.select("run_id", "split"), "run_id").join(B.frequencies(f, split).select("feature_id"), "feature_id")
+    of = lambda phase: F.count_if(F.col("split") == phase).alias(f"{phase}_cells")
+    return grid.join(F.broadcast(cells.agg(of("validation"), of("test"))), F.lit(True))  # one row
+
+
+@query(
+    "decision_against_all",
+    f"""WITH {_selected_sql(3)}, others AS (SELECT DISTINCT method AS base FROM sel WHERE method <> 'cubic_median'
+), cm AS (SELECT base AS k, run_id, CASE method WHEN base THEN 'b' ELSE 'o' END AS method, brier, rare_positive_recall AS rare, short_positive_recall AS brief FROM sel JOIN others ON method IN (base, 'cubic_median')
+), {_COMPOSITE} SELECT k AS base, round(gain, 9) AS gain, decision FROM ruled""",
+)
+def decision_against_all(spark, sf_dir, grid=GRID, cfg=CFG):
+    """The composite rule on the selected cubic against every other family's selected candidate."""
+    tested = _tested(spark, sf_dir, grid, cfg)[1].where("selected")
+    own = tested.where("method = 'cubic_median'")
+    bases = F.array(*[F.lit(m) for m in dict.fromkeys(m.name for m in grid) if m != "cubic_median"])
+    both = tested.where("method <> 'cubic_median'").withColumn("base", F.col("method")).unionByName(own.withColumn("base", F.explode(bases)))
+    both = both.withColumn("method", F.when(F.col("method") == "cubic_median", "o").otherwise("b"))
+    return _rounded(M.composite(both, "b", "o", by=("base",)).select("base", "gain", "decision"), "gain")
+
+
 @query("measured_seconds")
 def measured_seconds(spark, sf_dir):
     """What each family's prediction and metrics took inside the tasks, over the whole grid and all test draws."""

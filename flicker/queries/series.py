@@ -145,18 +145,6 @@ def resolvent_residual(spark, sf_dir):
     return H.residuals(rows, 16.0).select("run_id", (F.col("residual") < 1e-12).alias("solved"))
 
 
-def _grid_sql() -> str:
-    rows = [f"({i}, '{m.name}', {m.cand}, {m['t'] or 'NULL'}, {m['alpha'] or 'NULL'}, {m['half_width'] or 'NULL'}, {m['sigma'] or 'NULL'}, {m['width'] or 'NULL'})" for i, m in enumerate(candidates(LEVEL))]
-    return "SELECT CAST(c.place AS INTEGER) AS place, c.method, CAST(c.cand_ord AS INTEGER) AS cand_ord, CAST(t AS INTEGER) AS t, CAST(alpha AS DOUBLE) AS alpha, CAST(half_width AS INTEGER) AS half_width, CAST(sigma AS DOUBLE) AS sigma, CAST(width AS INTEGER) AS width FROM (VALUES " + ", ".join(rows) + ") c(place, method, cand_ord, t, alpha, half_width, sigma, width)"
-
-
-@query("candidate_grid", _grid_sql())
-def candidate_grid(spark, sf_dir):
-    whole = lambda v: None if v is None else int(v)
-    rows = [(i, m.name, m.cand, whole(m["t"]), m["alpha"], whole(m["half_width"]), m["sigma"], whole(m["width"])) for i, m in enumerate(candidates(LEVEL))]
-    return spark.createDataFrame(rows, "place int, method string, cand_ord int, t int, alpha double, half_width int, sigma double, width int")
-
-
 # ---------------------------------------------------------------- noise
 
 _KEY = "concat_ws('|', 20261007, 1, 1, run_id, 0, 0)"
