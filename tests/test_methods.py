@@ -18,7 +18,7 @@ def dense(n, t):
     return np.linalg.inv(np.eye(n) + t * (np.eye(n) - a))
 
 
-@pytest.mark.parametrize("n,t", list(itertools.product((1, 2, 3, 9, 50), (1, 8, 64))))
+@pytest.mark.parametrize("n,t", list(itertools.product((*range(1, 13), 47), (3, 21, 150))))
 def test_resolvent_equals_dense_inverse(n, t):
     z = np.random.default_rng(n).integers(0, 2, n).astype(float)
     h = convolved(z, 0, 0, n, n, kernel_weights("resolvent", t))
@@ -56,7 +56,7 @@ def test_resolvent_equals_its_spectral_form():
 def test_constants_and_range(m):
     """Series of zeros or ones stay exactly that, at any length and in any stretch."""
     w = kernel_weights(*m.kernel)
-    for n in (1, 2, 11, 100, 1000, 5000):
+    for n in (1, 3, 8, 70, 900, 6000):
         for v in (0.0, 1.0):
             assert (shape(m, convolved(np.full(n, v), 0, 0, n, n, w), 0.1) == v).all()
     half = len(w) // 2
