@@ -8,7 +8,7 @@ from .conftest import DATA, assert_same
 
 
 #: These need validation runs, which the smallest size hasn't.
-LARGER = ("test_of_selected_small",)
+LARGER = ("test_of_selected_small", "summary_table", "decision_of_selected", "decision_against_all", "paired_all_methods", "same_t_of_selected")
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE) - set(LARGER)))
