@@ -72,20 +72,25 @@ class TermHash:
     def __call__(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
         """letters: those of all words, one word behind the other; first: where each begins."""
         size = np.diff(np.append(first, len(letters)))
-        place = np.arange(len(letters)) - np.repeat(first, size) + 1
+        place = np.arange(1, len(letters) + 1, dtype=np.int32)
+        place -= np.repeat(first.astype(np.int32), size)
         k = self._factors(int(size.max()) + 1)
-        value = letters.astype(np.uint64) + np.uint64(1)
-        lanes = [np.add.reduceat(k[j][place] * value, first) + k[j][0] * size.astype(np.uint64) for j in (0, 1)]
+        value, count = letters.astype(np.uint64) + np.uint64(1), size.astype(np.uint64)
+        lanes = [np.add.reduceat(np.take(k[j], place) * value, first) + k[j][0] * count for j in (0, 1)]
         return (lanes[0] >> np.uint64(32) << np.uint64(32)) | (lanes[1] >> np.uint64(32))
 
 
 def row_terms(col: pa.Array, words: TermHash) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, 64-bit hash) of all words, in text order, repeats included."""
     for i, n, cps, offs in letters(col):
-        at = np.flatnonzero(cps != SPACE)
-        row = np.searchsorted(offs, at, "right") - 1
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (np.diff(row) > 0)))) if len(at) else at
-        yield i, n, row[first], words(cps[at], first) if len(at) else np.zeros(0, np.uint64)
+        full = cps != SPACE
+        begins = full.copy()
+        begins[1:] &= ~full[:-1]
+        rows = offs[:-1][offs[:-1] < len(cps)]
+        begins[rows] = full[rows]  # words never cross rows
+        at = np.flatnonzero(begins)
+        first = (np.cumsum(full) - 1)[at] if len(at) else at
+        yield i, n, np.searchsorted(offs, at, "right") - 1, words(cps[full], first) if len(at) else np.zeros(0, np.uint64)
 
 
 class Vocabulary:
@@ -140,7 +145,7 @@ class BlockMaxIndex:
         terms, weights = terms[by], weights[by]
         largest, part = self.largest[terms].astype(np.float32), weights.astype(np.float32)
         total, skip = np.zeros(self.size), np.flatnonzero(self.order == but) if but >= 0 else np.zeros(0, np.int64)
-        at, step = 0, 8
+        at, step = 0, 32
         while True:
             t = terms[at : at + step]
             size = self.offs[t + 1] - self.offs[t]
