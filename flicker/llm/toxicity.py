@@ -8,12 +8,13 @@ sample, its chi-squared over CHI2, at most 1, to the power of SHARPNESS. No term
 with neither label hardly count. This is a departure from plain TF-IDF: with SHARPNESS 0 the cosine knows no labels, and
 finds about half of the toxic rows of a held-out part where the weighted one finds 95 % (README has the figures).
 
-The index keeps the postings of each term and, for blocks of BLOCK similar examples, the largest weight of the term in
-the block. A query adds up its terms by falling weight; what the terms that are left can still add to an example is
-bounded by its block's largest weights. It stops as soon as the bounds leave few examples that can be among the K
-nearest, and completes those alone, so the K nearest and their similarities are exact. Their votes are weighted by distance and
-by the true share of their label; a logistic curve fitted to the examples' own votes, each without itself, turns votes
-into calibrated scores. The three nearest examples come along as evidence.
+The index keeps the postings of each term, whole rows of weights for terms of many examples, and, for blocks of BLOCK
+similar examples, the largest weight of the term in the block. A query adds up its terms by falling weight; what the
+terms that are left can still add to an example is bounded by its block's largest weights. It stops as soon as the
+bounds leave few examples that can be among the K nearest, and completes those alone, so the K nearest and their
+similarities are exact. Their votes are weighted by distance and by the true share of their label; a logistic curve
+fitted to the examples' own votes, each without itself, turns votes into calibrated scores. The three nearest examples
+come along as evidence.
 
 At scale: three scans of the texts (sample, frequencies, scores), of which none shuffles them; the index is broadcast
 and bounded by the sample.
@@ -43,8 +44,11 @@ from .common import NARROW_BYTES, SPACE, discard, free, id_mod, letters, materia
 
 PER_CLASS = {1: 3000, 0: 5000}
 CHI2, SHARPNESS, LEAST_DOCS = 36.0, 2, 3
-#: FEW: examples that are completed one by one.
+#: FEW: examples that are completed one by one. Terms of more than one in LONG examples are held as whole rows.
 BLOCK, FEW, K, EVIDENCE = 128, 128, 32, 3
+LONG = 8
+#: Upper bits of a hash that its place among the terms is looked up by.
+BITS = 18
 THRESHOLD = 0.3
 #: Scores that a task keeps for texts of equal terms.
 STORE = 20_000
@@ -90,7 +94,8 @@ def row_terms(col: pa.Array, words: TermHash) -> Iterator[tuple[int, int, np.nda
         begins[rows] = full[rows]  # words never cross rows
         at = np.flatnonzero(begins)
         first = (np.cumsum(full) - 1)[at] if len(at) else at
-        yield i, n, np.searchsorted(offs, at, "right") - 1, words(cps[full], first) if len(at) else np.zeros(0, np.uint64)
+        sizes = np.diff(np.searchsorted(at, offs))
+        yield i, n, np.repeat(np.arange(n), sizes), words(cps[full], first) if len(at) else np.zeros(0, np.uint64)
 
 
 class Vocabulary:
@@ -102,19 +107,33 @@ class Vocabulary:
         order = np.argsort(held)
         self.hashes = held[order]
         self.relevance = np.ones(len(held)) if relevance is None else np.array(relevance, float)[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # hashes with equal upper BITS bits lie side by side: the first of each, and the most of any
+        self.first = np.searchsorted(self.hashes >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h of the hashes of terms, and their terms."""
+        top = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        t, end = self.first[top], self.first[top + 1]
+        at = np.flatnonzero(t < end)
+        t, end = t[at], end[at]
+        places, terms = [at[:0]], [t[:0]]
+        for _ in range(self.most):
+            same = self.hashes[t] == h[at]
+            places.append(at[same])
+            terms.append(t[same])
+            more = ~same & (t + 1 < end)
+            at, t, end = at[more], t[more] + 1, end[more]
+        return np.concatenate(places), np.concatenate(terms)
 
     def counts(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, rows, row, term, count), by row and term."""
-        size = len(self.hashes)
+        size = max(len(self.hashes), 1)
         for i, n, row, h in row_terms(col, self.words):
-            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            row, h = row[at], h[at]
-            t = np.minimum(np.searchsorted(self.hashes, h), max(size - 1, 0))
-            ok = self.hashes[t] == h if size else np.zeros(len(h), bool)
-            keys, count = np.unique(row[ok] * max(size, 1) + t[ok], return_counts=True)
-            yield i, n, keys // max(size, 1), keys % max(size, 1), count
+            at, t = self.find(h)
+            keys, count = np.unique(row[at] * size + t, return_counts=True)
+            row = keys // size
+            yield i, n, row, keys - row * size, count
 
 
 class BlockMaxIndex:
@@ -134,40 +153,53 @@ class BlockMaxIndex:
         by = np.argsort(t, kind="stable")
         self.example, self.weight = ex[by].astype(np.int16 if self.size < 1 << 15 else np.int32), w[by]
         self.offs = np.searchsorted(t[by], np.arange(terms + 1))
-        # in half precision, rounded up: no less than the weights
-        self.largest = np.full((terms, self.blocks), np.nextafter(np.float16(0), np.float16(2)))
-        np.maximum.at(self.largest, (t, ex // BLOCK), np.nextafter(w.astype(np.float16), np.float16(2)))
+        # terms of many examples: a weight for every example, at most 8 * LONG bytes for each posting
+        long = np.flatnonzero(np.diff(self.offs) * LONG > self.size)
+        self.row, self.rows = np.full(terms, -1, np.int32), np.zeros((len(long), self.size))
+        self.row[long] = np.arange(len(long))
+        for r, (a, z) in enumerate(zip(self.offs[long], self.offs[long + 1])):
+            self.rows[r, self.example[a:z]] = self.weight[a:z]
+        # in single precision, rounded up: no less than the weights
+        self.largest = np.zeros((terms, self.blocks), np.float32)
+        np.maximum.at(self.largest, (t, ex // BLOCK), np.nextafter(w.astype(np.float32), np.float32(2)))
         self.query = np.zeros(terms)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and similarities of the k nearest with a similarity above 0, nearest first, and the number of blocks that they were sought in to the end."""
         by = np.argsort(-weights, kind="stable")
         terms, weights = terms[by], weights[by]
-        largest, part = self.largest[terms].astype(np.float32), weights.astype(np.float32)
+        largest, part = self.largest[terms], weights.astype(np.float32)
         total, skip = np.zeros(self.size), np.flatnonzero(self.order == but) if but >= 0 else np.zeros(0, np.int64)
-        at, step = 0, 32
+        at, step, held = 0, 32, np.zeros(self.size)
         while True:
-            t = terms[at : at + step]
+            t, w = terms[at : at + step], weights[at : at + step]
+            row = self.row[t]
+            long = row >= 0
+            for r, x in zip(row[long].tolist(), w[long].tolist()):
+                total += np.multiply(self.rows[r], x, out=held)
+            t, w = t[~long], w[~long]
             size = self.offs[t + 1] - self.offs[t]
             place = np.repeat(self.offs[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            total += np.bincount(self.example[place], self.weight[place] * np.repeat(weights[at : at + step], size), self.size)
+            total += np.bincount(self.example[place], self.weight[place] * np.repeat(w, size), self.size)
             at, step = min(at + step, len(terms)), step * 2
             total[skip] = 0
             kth = np.partition(total, self.size - k)[self.size - k] if self.size > k else 0.0
             rest = (part[at:] @ largest[at:]) * (1 + 1e-4)  # what the other terms can add in each block, above rounding
-            can = np.flatnonzero(total + rest[self.block] >= max(kth, 1e-300) - 1e-12)
+            can = np.flatnonzero(total + np.repeat(rest, BLOCK)[: self.size] >= max(kth, 1e-300) - 1e-12)
             if at == len(terms) or len(can) <= FEW:
                 break
-        can = can[~np.isin(can, skip)]
+        if len(skip):
+            can = can[~np.isin(can, skip)]
         if at < len(terms):  # complete the few that are left
             self.query[terms] = weights
-            size = self.cuts[can + 1] - self.cuts[can]
-            place = np.repeat(self.cuts[can] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            sims = np.bincount(np.repeat(np.arange(len(can)), size), self.weights[place] * self.query[self.terms[place]], len(can))
+            spans = [slice(a, z) for a, z in zip(self.cuts[can].tolist(), self.cuts[can + 1].tolist())]
+            parts = self.query[np.concatenate([self.terms[:0], *[self.terms[s] for s in spans]])]
+            parts *= np.concatenate([self.weights[:0], *[self.weights[s] for s in spans]])
+            sims = np.bincount(np.repeat(np.arange(len(can)), self.cuts[can + 1] - self.cuts[can]), parts, len(can))
             self.query[terms] = 0
         else:
             sims = total[can]
-        seen = len(np.unique(self.block[can]))
+        seen = np.count_nonzero(np.bincount(self.block[can]))
         can, sims = can[sims > 0], sims[sims > 0]
         best = np.lexsort((self.order[can], -sims))[:k]
         return self.order[can[best]], np.minimum(sims[best], 1.0), seen

@@ -322,6 +322,41 @@ def test_block_max_search_is_exact():
     assert np.mean(visited) < index.blocks  # bounds let blocks be left out
 
 
+def test_block_max_search_with_frequent_terms():
+    """Terms of many examples are added from whole rows, without their postings; ties still go to the smaller row."""
+    rng = np.random.default_rng(6)
+    have = []
+    for r in range(600):
+        t = np.sort(np.concatenate((np.flatnonzero(rng.random(6) < 0.7), 6 + rng.choice(300, 5, replace=False))))
+        w = rng.random(len(t)) + 0.1
+        have.append((t, w / np.linalg.norm(w)) if r % 50 else (np.array([0, 2, 4]), np.full(3, 3**-0.5)))
+    dense = np.zeros((600, 306))
+    for r, (t, w) in enumerate(have):
+        dense[r, t] = w
+    index = toxicity.BlockMaxIndex(have, 306)
+    frequent = np.flatnonzero((dense > 0).sum(0) > 600 // toxicity.LONG)
+    assert 0 < len(frequent) < 306 and (np.flatnonzero(index.row >= 0) == frequent).all()
+    assert (index.rows == dense[index.order][:, frequent].T).all()
+    index.weight[np.isin(np.repeat(np.arange(306), np.diff(index.offs)), frequent)] = np.nan  # the search doesn't touch these postings
+    for q in [*have[1:60], (np.array([0, 2, 4]), np.full(3, 3**-0.5))]:
+        found, sims, _ = index.search(*q, 8)
+        assert np.allclose(sims, np.sort(dense[:, q[0]] @ q[1])[::-1][:8], atol=1e-12) and np.allclose(dense[found][:, q[0]] @ q[1], sims)
+    assert found.tolist() == list(range(0, 400, 50))
+    alone = np.arange(40), np.full(40, 40**-0.5)
+    assert len(toxicity.BlockMaxIndex([alone], 40).search(*alone, 8, but=0)[0]) == 0
+
+
+def test_terms_are_found_by_their_upper_bits():
+    """Also among terms whose upper bits are all equal, at both ends of the range, and in an empty vocabulary."""
+    hashes = np.unique(np.concatenate((np.arange(40, dtype=np.uint64) * np.uint64(3) + np.uint64(5 << 50), np.array([0, 1, 2**64 - 1, 2**63], np.uint64))))
+    terms = toxicity.Vocabulary(hashes.view(np.int64), toxicity.TermHash((1,)))
+    asked = np.random.default_rng(7).permutation(np.concatenate((hashes, hashes + np.uint64(1), hashes - np.uint64(1), hashes)))
+    place = {h: t for t, h in enumerate(hashes.tolist())}
+    at, t = terms.find(asked)
+    assert dict(zip(at.tolist(), t.tolist())) == {i: place[h] for i, h in enumerate(asked.tolist()) if h in place} and len(at) == len(set(at.tolist()))
+    assert len(toxicity.Vocabulary([], toxicity.TermHash((1,))).find(asked)[0]) == 0
+
+
 def test_words_of_a_hash():
     """Words of any length, also those that polynomial hashes can't tell apart, and words at borders of rows."""
     words = [w for n in (1, 3, 10, 11) for w in thue_morse(n)] + ["a", "aa", "b" * 5000, "b" * 5001, "été", "𐐀x"]
