@@ -28,8 +28,10 @@ from .common import heads, mix, parts_for, small_batches, text_buffers
 
 SEQUENCE = 2048
 GROUP_PIECES = 32768
-#: Words that a Python worker keeps with their ids; beyond it the store starts anew. A word takes about 200 bytes.
-STORE_WORDS = 200_000
+#: Words that a Python worker keeps with their ids, at most: 32 bytes each, and as many ids as 4 a word before the store starts anew.
+STORE_WORDS = 1 << 19
+#: Words that are encoded at once.
+ENCODE_WORDS = 500
 
 _LETTER, _DIGIT, _OTHER, _CONTRACTION, _BAD = 1, 2, 3, 4, 9
 _CLASS = np.full(256, _BAD, np.uint8)
@@ -42,9 +44,10 @@ _CLASS[48:58] = _DIGIT
 class WordTokenizer:
     """Ids of the tokenizer word_bpe_49k (lower case, word ends), by a store of words for plain Latin text.
 
-    The tokenizer's own encode() gives the ids of every word once, and of every text with other characters or with the
-    string of a special token. Words up to 16 bytes are found by a hash and compared byte by byte, longer ones by
-    themselves; a text with two words of one hash goes to encode().
+    The tokenizer itself gives the ids of every word, and of every text with other characters or with the string of a
+    special token. Words up to 16 bytes have a place in the store by their hash and are compared byte by byte; a new one
+    takes the place of what was there, so frequent words stay or come back and rare ones make room. Longer words are kept
+    by themselves.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -59,57 +62,65 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int | bytes, int] = {}
-        self.heads = np.zeros((1 << 16, 2), np.uint64)
-        self.offs = np.zeros(1 << 16, np.int64)
+        bits = max(1, (STORE_WORDS - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros((1 << bits, 4), np.uint64)  # a word's bytes in two numbers, first of its ids in flat, how many
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _add(self, keys: list[int | bytes], words: list[str], heads: np.ndarray) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _add(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words: the first of the ids of each in flat, and how many they are."""
+        sizes = [np.zeros(0, np.int64)]
+        begin = self.used
+        for at in range(0, len(words), ENCODE_WORDS):
+            some = words[at : at + ENCODE_WORDS]
+            ids = self._encode(b" ".join(some).decode())
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some) or (len(ids) and cuts[-1] != len(ids)):
-                each = [self.tok.encode(w, add_special_tokens=False).ids for w in some]
-                ids, cuts = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
-            k = len(self.index)
-            while k + len(some) + 1 > len(self.offs):
-                self.offs, self.heads = np.concatenate((self.offs, np.zeros_like(self.offs))), np.concatenate((self.heads, np.zeros_like(self.heads)))
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                each = [self._encode(w.decode()) for w in some]
+                ids, cuts = np.concatenate(each), np.cumsum([len(e) for e in each])
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.offs[k + 1 : k + 1 + len(some)] = cuts + self.used
-            self.heads[k : k + len(some)] = heads[at : at + 20_000]
             self.used += len(ids)
-            self.index.update(zip(keys[at : at + 20_000], range(k, k + len(some))))
+            sizes.append(np.diff(cuts, prepend=0))
+        size = np.concatenate(sizes)
+        return begin + np.cumsum(size) - size, size
 
     def _words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Store positions of the words, and whether each is the word at its position."""
+        """The first of the ids of each word in flat, and how many they are."""
+        if self.used > 4 * STORE_WORDS:
+            self._clear()
         a, b = heads(buf, starts, ends)
-        raw = buf.tobytes()
-        long = np.flatnonzero(ends - starts > 16)
         hashes = mix(a ^ mix(b + np.uint64(0x9E3779B97F4A7C15)))
-        keys, first, back = np.unique(np.delete(hashes, long), return_index=True, return_inverse=True)
-        short = np.delete(np.arange(len(a)), long)
-        first = short[first]
-        own = [raw[starts[i] : ends[i]] for i in long.tolist()]
-        spans = dict.fromkeys(own)
-        names: list[int | bytes] = [*keys.tolist(), *spans]
-        missing = [i for i, h in enumerate(names) if h not in self.index]
-        if len(self.index) + len(missing) > STORE_WORDS:  # begin anew, with all words of these texts
-            self._clear()
-            missing = list(range(len(names)))
-        if missing:
-            top = np.concatenate((np.stack((a[first], b[first]), 1), np.zeros((len(spans), 2), np.uint64)))
-            words = [raw[starts[first[i]] : ends[first[i]]] if i < len(keys) else names[i] for i in missing]
-            self._add([names[i] for i in missing], [w.decode() for w in words], top[missing])
-        at = np.zeros(len(a), np.int64)
-        at[short] = np.fromiter(map(self.index.__getitem__, names[: len(keys)]), np.int64, len(keys))[back]
-        at[long] = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-        same = (self.heads[at, 0] == a) & (self.heads[at, 1] == b)
-        same[long] = True
-        return at, same
+        slot = (hashes >> self.shift).astype(np.int64)
+        held = self.table[slot]
+        at, size = held[:, 2].astype(np.int64), held[:, 3].astype(np.int64)
+        long = ends - starts > 16
+        missing = np.flatnonzero(((held[:, 0] != a) | (held[:, 1] != b)) & ~long)
+        if len(missing):
+            by = missing[np.argsort(hashes[missing])]
+            new = np.ones(len(by), bool)  # words of one hash may be mixed: then some are encoded twice
+            new[1:] = (a[by[1:]] != a[by[:-1]]) | (b[by[1:]] != b[by[:-1]])
+            first, nth = by[new], np.cumsum(new) - 1
+            raw = buf.tobytes()
+            place, count = self._add([raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())])
+            self.table[slot[first]] = np.stack((a[first], b[first], place.astype(np.uint64), count.astype(np.uint64)), 1)
+            at[by], size[by] = place[nth], count[nth]
+        if long.any():
+            which = np.flatnonzero(long)
+            own = [buf[x:y].tobytes() for x, y in zip(starts[which].tolist(), ends[which].tolist())]
+            if len(self.long) > STORE_WORDS // 8:
+                self.long.clear()
+            fresh = [w for w in dict.fromkeys(own) if w not in self.long]
+            place, count = self._add(fresh)
+            self.long.update(zip(fresh, zip(place.tolist(), count.tolist())))
+            at[which], size[which] = np.array([self.long[w] for w in own], np.int64).T
+        return at, size
 
     def ids(self, col: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row, and a final 0, as unsigned 32-bit numbers."""
@@ -145,10 +156,10 @@ class WordTokenizer:
                         if d:
                             cut[q + d] = False
                     cut[q + k] = True
-            starts = np.flatnonzero(cut[:-1] & (kind != 0))
             stops = np.flatnonzero(cut)
-            ends = stops[np.searchsorted(stops, starts, "right")]
-            rows = np.searchsorted(offs, starts, "right") - 1
+            full = kind[stops[:-1]] != 0
+            starts, ends = stops[:-1][full], stops[1:][full]
+            rows = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offs)))
             for text in self.special:
                 p = raw.find(text)
                 while p >= 0:
@@ -156,16 +167,13 @@ class WordTokenizer:
                     p = raw.find(text, p + 1)
             good = ~bad[rows]
             starts, ends, rows = starts[good], ends[good], rows[good]
-            at, same = self._words(buf, starts, ends)
-            bad[rows[~same]] = True
-            size = self.offs[at + 1] - self.offs[at]
-            total = int(size.sum())
-            place = np.repeat(self.offs[at] - (np.cumsum(size) - size), size) + np.arange(total)
+            at, size = self._words(buf, starts, ends)
+            place = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
             got = self.flat[place]
             cuts = np.concatenate(([0], np.cumsum(np.bincount(rows, weights=size, minlength=n).astype(np.int64))))
             for r in range(n):
                 if bad[r]:
-                    own = np.array(self.tok.encode(col[i + r].as_py(), add_special_tokens=False).ids, np.uint32)
+                    own = self._encode(col[i + r].as_py())
                 else:
                     own = got[cuts[r] : cuts[r + 1]]
                 yield np.append(own, np.uint32(0))

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -99,6 +100,22 @@ def test_ids_with_more_words_than_the_store_holds(tok, monkeypatch):
             assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_most_of_many_words_are_encoded_once(monkeypatch):
+    """250,000 words, seen twice: the store neither starts anew nor grows beyond its bound."""
+    t, encoded = packing.WordTokenizer(tokenizer_path()), []
+    add = t._add
+    monkeypatch.setattr(t, "_add", lambda words, *more: encoded.append(len(words)) or add(words, *more))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 250_000)]
+    text = pa.array([" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)])
+    first = [ids.tolist() for ids in t.ids(text)]
+    assert sum(encoded) == len(words)
+    encoded.clear()
+    assert [ids.tolist() for ids in t.ids(text)] == first
+    assert sum(encoded) < 0.4 * len(words)
+    assert t.table.nbytes + t.flat.nbytes <= 64 * packing.STORE_WORDS
+
+
 def check_packing(df, docs, tok):
     got = df.toPandas()
     assert len(got) and (got.length >= 1).all() and (got.length <= 2048).all()
