@@ -57,10 +57,21 @@ def check(monkeypatch, spark, name, *how):
     assert [broadcast_frames(df) for df in found] == [[] for _ in found]
 
 
-#: Queries without a selection.
-ONE_PLAN = ["discovery_frequency"]
+#: Queries without a selection of a whole grid.
+ONE_PLAN = [
+    "discovery_frequency",
+]
+#: These need validation runs, which the smallest size hasn't.
+LARGER = [
+    "paired_all_methods",
+]
 
 
 @pytest.mark.parametrize("name", ONE_PLAN)
 def test_frames_are_not_broadcast(monkeypatch, spark, name):
     check(monkeypatch, spark, name)
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_frames_are_not_broadcast_in_larger_query(monkeypatch, spark, name):
+    check(monkeypatch, spark, name, "sf0.01")
