@@ -66,6 +66,7 @@ ONE_PLAN = [
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
     "paired_all_methods",
+    "summary_table",
 ]
 
 
