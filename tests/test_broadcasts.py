@@ -62,6 +62,7 @@ ONE_PLAN = [
     "discovery_frequency",
     "cell_vs_run_weight",
     "composite_decision",
+    "whole_cell_vs_run_weight",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
