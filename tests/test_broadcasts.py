@@ -63,6 +63,7 @@ ONE_PLAN = [
     "cell_vs_run_weight",
     "composite_decision",
     "whole_cell_vs_run_weight",
+    "whole_clean_control",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
