@@ -64,6 +64,7 @@ ONE_PLAN = [
     "composite_decision",
     "whole_cell_vs_run_weight",
     "whole_clean_control",
+    "whole_composite_decision",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
