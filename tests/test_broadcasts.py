@@ -65,6 +65,7 @@ ONE_PLAN = [
     "whole_cell_vs_run_weight",
     "whole_clean_control",
     "whole_composite_decision",
+    "whole_equal_weight_rollup",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
