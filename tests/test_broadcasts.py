@@ -72,6 +72,10 @@ LARGER = [
     "paired_all_methods",
     "summary_table",
 ]
+#: Their selections take long; what follows is planned as with the small grid.
+FIRST_PLAN = [
+    "whole_matched_baseline",
+]
 
 
 @pytest.mark.parametrize("name", ONE_PLAN)
@@ -82,3 +86,8 @@ def test_frames_are_not_broadcast(monkeypatch, spark, name):
 @pytest.mark.parametrize("name", LARGER)
 def test_frames_are_not_broadcast_in_larger_query(monkeypatch, spark, name):
     check(monkeypatch, spark, name, "sf0.01")
+
+
+@pytest.mark.parametrize("name", FIRST_PLAN)
+def test_frames_are_not_broadcast_in_selection(monkeypatch, spark, name):
+    check(monkeypatch, spark, name, "sf0.001", True)
