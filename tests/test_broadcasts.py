@@ -66,6 +66,7 @@ ONE_PLAN = [
     "whole_clean_control",
     "whole_composite_decision",
     "whole_equal_weight_rollup",
+    "whole_metrics_all",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
