@@ -67,6 +67,7 @@ ONE_PLAN = [
     "whole_composite_decision",
     "whole_equal_weight_rollup",
     "whole_metrics_all",
+    "whole_paired_interval",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
