@@ -77,6 +77,7 @@ LARGER = [
 #: Their selections take long; what follows is planned as with the small grid.
 FIRST_PLAN = [
     "whole_matched_baseline",
+    "whole_same_t_of_selected",
 ]
 
 
