@@ -78,6 +78,7 @@ LARGER = [
 FIRST_PLAN = [
     "whole_matched_baseline",
     "whole_same_t_of_selected",
+    "whole_select_baseline",
 ]
 
 
