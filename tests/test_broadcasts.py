@@ -79,6 +79,7 @@ FIRST_PLAN = [
     "whole_matched_baseline",
     "whole_same_t_of_selected",
     "whole_select_baseline",
+    "whole_summary_table",
 ]
 
 
