@@ -68,6 +68,7 @@ ONE_PLAN = [
     "whole_equal_weight_rollup",
     "whole_metrics_all",
     "whole_paired_interval",
+    "candidate_grid",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
