@@ -69,6 +69,7 @@ ONE_PLAN = [
     "whole_metrics_all",
     "whole_paired_interval",
     "candidate_grid",
+    "clean_control",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
