@@ -71,6 +71,7 @@ ONE_PLAN = [
     "candidate_grid",
     "clean_control",
     "equal_weight_rollup",
+    "matched_baseline",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
