@@ -72,6 +72,7 @@ ONE_PLAN = [
     "clean_control",
     "equal_weight_rollup",
     "matched_baseline",
+    "measured_seconds",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
