@@ -73,6 +73,7 @@ ONE_PLAN = [
     "equal_weight_rollup",
     "matched_baseline",
     "measured_seconds",
+    "metrics_all",
 ]
 #: These need validation runs, which the smallest size hasn't.
 LARGER = [
