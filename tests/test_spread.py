@@ -31,3 +31,13 @@ def test_frames_are_spread_over_files(prepared):
 def test_more_cells_take_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(B, "PIECE", 10)
     assert B.spread(spark.range(100), 1000, "id").rdd.getNumPartitions() == 100
+
+
+def test_below_is_uniform_below_a_level(spark):
+    from flicker.functions.scalars import below, uniform
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("k"), uniform("id").alias("u"))
+    drawn = rows.first()["u"]
+    for level in (-0.1, 0.0, 1e-9, 0.05, 0.1, 0.2, drawn, drawn + 2.0**-33, 0.5, 1.0, 2.0):
+        assert rows.where(below(level, "k") != (F.col("u") < level)).count() == 0
+    assert rows.where(below(drawn + 2.0**-33, "k") & (F.col("u") == drawn)).count() == 1
